@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space as the contracts define it: space and the controls 0x09-0x0D.
@@ -69,3 +71,25 @@ def durable(df: DataFrame) -> DataFrame:
 def broadcast_if_small(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Hints a broadcast if the (materialised) rows are few; else joins shuffle, split by AQE where skewed."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Writes a table to the shared checkpoint folder and reads it back; columnar, so smaller than a checkpoint.
+
+    The files go when this process ends, or with the folder.
+    """
+    spark = df.sparkSession
+    durable(spark.range(0)) if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty() else None
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    path = f"{top}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_drop, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001  the session has ended
+        pass

@@ -10,13 +10,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, quality
+from . import bpe, line_dedup, mixing, quality, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(_table(spark, sf_dir, "documents"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.digest(_table(spark, sf_dir, "pages"))
+
+
 def op4_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(_table(spark, sf_dir, "documents"))
 
@@ -25,12 +33,21 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(_table(spark, sf_dir, "documents"))
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_source_mixing": op2_source_mixing,
+    "op3_url_filter": op3_url_filter,
     "op4_quality_divergence": op4_quality_divergence,
     "op5_line_dedup": op5_line_dedup,
+    "op6_bpe": op6_bpe,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_source_mixing": mixing.ORACLE,
+    "op3_url_filter": url_filter.ORACLE,
     "op4_quality_divergence": quality.ORACLE,
     "op5_line_dedup": line_dedup.ORACLE,
 }
