@@ -10,13 +10,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, lm, mixing, near_dup, quality, url_filter
+from . import bpe, fingerprint, lang_id, line_dedup, lm, mixing, near_dup, quality, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.digest(_table(spark, sf_dir, "documents"))
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(_table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(_table(spark, sf_dir, "documents"))
 
 
+def op7_phrase_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.digest(_table(spark, sf_dir, "documents"))
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.digest(_table(spark, sf_dir, "documents"))
 
@@ -46,11 +54,13 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_source_mixing": op2_source_mixing,
     "op3_url_filter": op3_url_filter,
     "op4_quality_divergence": op4_quality_divergence,
     "op5_line_dedup": op5_line_dedup,
     "op6_bpe": op6_bpe,
+    "op7_phrase_fingerprint": op7_phrase_fingerprint,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_near_dup": op10_near_dup,
 }
