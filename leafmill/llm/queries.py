@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, lang_id, line_dedup, lm, mixing, near_dup, quality, url_filter
+from . import bpe, fingerprint, lang_id, license, line_dedup, lm, mixing, near_dup, quality, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op7_phrase_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.digest(_table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.digest(_table(spark, sf_dir, "documents"))
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.digest(_table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
     "op6_bpe": op6_bpe,
     "op7_phrase_fingerprint": op7_phrase_fingerprint,
+    "op8_license_scan": op8_license_scan,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_near_dup": op10_near_dup,
 }
