@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..durable import durable
 from ..functions.codecs import decode_stream, object_key, rc4_stream
 from ..operators.graph import leaves, newest, walk
 from . import pdf_bytes as B
@@ -73,11 +74,10 @@ def _ref(c: str | Column, path: str) -> Column:
 class Documents:
     """Tables of a batch of files; each is a DataFrame, computed when used."""
 
-    def __init__(self, files: DataFrame, password: str = "", checkpoint: bool = False) -> None:
+    def __init__(self, files: DataFrame, password: str = "", checkpoint: bool = True) -> None:
+        """checkpoint: the files are read and parsed once, here; else whenever a table is used."""
         self.password = password.encode()
-        self.opened = open_files(files)
-        if checkpoint:
-            self.opened = self.opened.checkpoint()
+        self.opened = durable(open_files(files)) if checkpoint else open_files(files)
 
     @property
     def xref(self) -> DataFrame:
