@@ -1,8 +1,7 @@
 """Connected components by alternating large-star and small-star steps.
 
 Every step is a group-by minimum (combined map-side) and an equi-join, so a hub
-with millions of neighbours never gathers in one task; edges are checkpointed
-between rounds.
+with millions of neighbours is never collected; edges are checkpointed between rounds.
 """
 
 from __future__ import annotations
@@ -13,10 +12,6 @@ from pyspark.sql import functions as F
 from .common import durable
 
 
-def _star(pairs: DataFrame, low: DataFrame) -> DataFrame:
-    return pairs.join(low, "u")
-
-
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node with an edge; component is its smallest node.
 
@@ -27,11 +22,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     seen = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = durable(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = _star(both, low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = durable(large)
-        low = durable(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = _star(large, low).where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         e = durable(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == seen:
