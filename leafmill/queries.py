@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import codecs, scalars
-from .operators import cmaps, graph, layout
+from .operators import cmaps, graph, layout, tables
 from .plans import contents
 from .sources import pdf
 from .testing import pdfwriter
@@ -192,6 +192,11 @@ def png_up(b: bytes, columns: int = 16) -> bytes:
     return zlib.compress(bytes(out))
 
 
+def tiff_sub(b: bytes, columns: int = 16) -> bytes:
+    b += b"\0" * (-len(b) % columns)
+    return zlib.compress(bytes((x - (b[i - 1] if i % columns else 0)) & 255 for i, x in enumerate(b)))
+
+
 def _add_filters() -> None:
     plain = {
         "filter_ascii85": (lambda b: base64.a85encode(b) + b"~>", ["ASCII85Decode"], None),
@@ -204,9 +209,10 @@ def _add_filters() -> None:
     }
     for name, args in plain.items():
         QUERIES[name], ORACLES[name] = _filter_query(*args), MD5_SQL
+    QUERIES["predictor_tiff"] = _filter_query(tiff_sub, ["FlateDecode"], '[{"Predictor": 2, "Columns": 16}]')
     padded = "SELECT doc_id, md5(encode(text) || repeat('\\x00'::BLOB, (16 - octet_length(encode(text)) % 16) % 16)) AS digest FROM documents"
     QUERIES["predictor_png"] = _filter_query(png_up, ["FlateDecode"], '[{"Predictor": 12, "Columns": 16}]')
-    ORACLES["predictor_png"] = padded
+    ORACLES["predictor_png"] = ORACLES["predictor_tiff"] = padded
 
 
 _add_filters()
@@ -374,6 +380,21 @@ def table_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("o_custkey", layout.render_table(F.col("rows")).alias("rendered"))
 
 
+@query("""
+SELECT o_custkey, string_agg(o_orderstatus || ' || ' || o_orderpriority, chr(10) ORDER BY o_orderkey) AS rendered FROM orders GROUP BY o_custkey HAVING count(*) > 1
+""")
+def table_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    line = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    o = o.withColumn("obj_seq", line)
+    o = o.select("o_custkey", "obj_seq", F.explode(F.array(F.struct(F.lit(0.0).alias("tx"), F.col("o_orderstatus").alias("text")), F.struct(F.lit(100.0).alias("tx"), F.col("o_orderpriority").alias("text")))).alias("c"))
+    e = o.select("o_custkey", "obj_seq", (F.col("c.tx") / 100).cast("int").alias("elem_seq"), "c.tx", "c.text", (F.col("obj_seq") * -12.0).alias("ty"))
+    e = e.withColumn("width", F.char_length("text") * 5.0).withColumn("scale_y", F.lit(10.0)).withColumn("space_width", F.lit(5.0))
+    key = ["o_custkey"]
+    found = tables.table_rows(tables.divide_columns(layout.lines_and_groups(layout.reading_order(e, key), key), key), key)
+    return found.select("o_custkey", layout.render_table(F.col("rows")).alias("rendered"))
+
+
 # --- trees and precedence
 
 

@@ -199,8 +199,16 @@ class Documents:
         e = found.join(self.fonts, ["file_id", "page_index", "font_key"], "left")
         return e.withColumn("text", _texts("items", "cmap")).drop("cmap")
 
+    @property
+    def images(self) -> DataFrame:
+        """(file_id, obj, width, height, components, filter, n_bytes): a JPEG's bytes stay as they are."""
+        i = self.streams.where(_get("value", "Subtype") == "/Image")
+        space = _get("value", "ColorSpace")
+        parts = F.when(space == "/DeviceGray", 1).when(space == "/DeviceCMYK", 4).otherwise(3)
+        return i.select("file_id", "obj", _get("value", "Width").cast("int").alias("width"), _get("value", "Height").cast("int").alias("height"), parts.alias("components"), _get("value", "Filter").alias("filter"), F.octet_length("data").alias("n_bytes"))
+
     def create_views(self, prefix: str = "pdf_") -> None:
-        for name in ("xref", "trailers", "objects", "pages", "outline", "fonts", "elements", "errors"):
+        for name in ("xref", "trailers", "objects", "pages", "outline", "fonts", "elements", "images", "errors"):
             getattr(self, name).createOrReplaceTempView(prefix + name)
 
 

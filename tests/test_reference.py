@@ -81,6 +81,22 @@ def test_layouts(spark, tmp_path):
     assert titles == sorted((n, t, i) for n in ("table", "stream", "broken", "update") for i, t in enumerate(["One", "Zwö"]))
 
 
+def test_images(spark):
+    b = b"%PDF-1.4\n9 0 obj\n<</Subtype/Image/Width 2/Height 3/ColorSpace/DeviceCMYK/Filter/DCTDecode/Length 4>>\nstream\nabcd\nendstream\nendobj\n"
+    got = Documents(spark.createDataFrame([("a", bytearray(b))], "file_id string, content binary")).images.collect()
+    assert [tuple(r) for r in got] == [("a", 9, 2, 3, 4, "/DCTDecode", 4)]
+
+
+def test_tables_with_gaps_and_other_lines(spark):
+    from leafmill.operators import tables
+
+    lines = [["only text here"], ["a", "b", "c"], ["d", None, "f"], ["more text"], ["g", "h"], ["i", "j"]]
+    rows = [(1, n, k, n, 100.0 * k, 10.0, t, 5.0, n * 10 + k) for n, cells in enumerate(lines) for k, t in enumerate(cells) if t]
+    e = spark.createDataFrame(rows, "doc_id int, line_id int, k int, n int, tx double, width double, text string, space_width double, seq int").drop("k", "n")
+    got = {r["table_id"]: r["rows"] for r in tables.table_rows(tables.divide_columns(e, ["doc_id"]), ["doc_id"]).collect()}
+    assert got[1] == [["g", "h"], ["i", "j"]] and got[0][0] == ["a", "b", "c"] and len(got) == 2
+
+
 def test_broken_input_is_data(spark):
     d = Documents(spark.createDataFrame([("null", None), ("empty", bytearray())], "file_id string, content binary"))
     assert [r["file_id"] for r in d.errors.collect()] == ["null"]
