@@ -35,8 +35,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and a digest of the text that they decode to."""
-    coded = bpe.encode(docs)
-    return bpe.decode(coded.withColumn("token_ids", F.col("ids"))).select("doc_id", "n_tokens", "token_ids", F.sha2("text", 256).alias("decoded_sha256"))
+    coded = bpe.encode_and_decode(docs)
+    return coded.select("doc_id", "n_tokens", F.col("ids").alias("token_ids"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
 STAGES = [

@@ -1,14 +1,16 @@
-"""BPE encoding through a table of distinct words, and decoding through a table of pieces.
+"""BPE encoding through tables of distinct words, and decoding through a table of pieces.
 
 1. Words: each text is split at special tokens and then by the tokenizer's own pattern.
-2. The distinct words of all texts are counted, each is encoded once, and the table is
-   written to the shared folder.
-3. Words that make up at least ``FREQUENT`` of all words are looked up in memory.  There
-   are at most 1 / FREQUENT of them, each of at most ``MAX_FREQUENT_BYTES``.
-4. All others are joined by word, and come back to their text as its own small dictionary.
-5. Every text is put together position by position.
-
-The texts are shuffled once, as arrays of token ids with gaps, two bytes a token.
+2. The distinct words of all texts are counted; each that makes up at least ``FREQUENT`` of
+   all words is encoded once.  There are at most 1 / FREQUENT of them, each of at most
+   ``MAX_FREQUENT_BYTES``, so their table can go to every task.
+3. Each task keeps a table of the rarer words that it meets and encodes those once
+   (``TASK_WORDS`` at most at a time).
+4. Ids come back to each text position by position.
+
+Joining the rarer words by a shuffle instead, and the texts with what it finds, is more
+work than encoding them again in another task: see the README for figures.
+
 Decoding looks each id up in the table of pieces, which is as large as the vocabulary.
 """
 
@@ -16,12 +18,10 @@ from __future__ import annotations
 
 import json
 import re
-import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +31,10 @@ from .common import stored
 FREQUENT = 1e-6
 MAX_FREQUENT_BYTES = 64
 #: Distinct words that a task counts before it passes the counts on.
-FLUSH_WORDS = 200_000
+FLUSH_WORDS = 150_000
+#: Rarer words that a task remembers; then it starts afresh.
+TASK_WORDS = 200_000
+ROWS = 500
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -52,9 +55,15 @@ def _tokenizer(path: str):  # noqa: ANN202
 
 
 @lru_cache(maxsize=2)
-def _special(path: str) -> tuple[str, ...]:
+def _special(path: str) -> dict[str, int]:
     with open(path, encoding="utf-8") as f:
-        return tuple(x["content"] for x in json.load(f)["added_tokens"])
+        return {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
+
+
+def _byte_names() -> dict[int, str]:
+    """The printable stand-ins for bytes in a byte-level vocabulary."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
 
 
 def _split(path: str, pattern: str = PATTERN):  # noqa: ANN202
@@ -62,19 +71,27 @@ def _split(path: str, pattern: str = PATTERN):  # noqa: ANN202
     import regex
 
     find = regex.compile(pattern).findall
+    # the same words where all characters are ASCII, found faster
+    plain = re.compile(pattern.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9").replace(" ?A-Za-z+", " ?[A-Za-z]+").replace(" ?0-9+", " ?[0-9]+"), re.ASCII).findall
     marks = _special(path)
-    if not marks:
-        return find
-    cut = re.compile("(" + "|".join(map(re.escape, sorted(marks, key=len, reverse=True))) + ")").split
+    cut = re.compile("(" + "|".join(map(re.escape, sorted(marks, key=len, reverse=True))) + ")").split if marks else None
 
     def words(text: str) -> list[str]:
-        if not any(m in text for m in marks):
-            return find(text)
-        return [w for i, part in enumerate(cut(text)) for w in ([part] if i % 2 else find(part))]
+        each = plain if text.isascii() else find
+        if cut is None or not any(m in text for m in marks):
+            return each(text)
+        return [w for i, part in enumerate(cut(text)) for w in ([part] if i % 2 else each(part))]
 
     return words
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of batches: Python objects are made of ROWS texts at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, ROWS):
+            yield b.slice(i, ROWS)
+
+
 def _texts(batch: pa.RecordBatch) -> list[str]:
     return [x or "" for x in batch.column("text").to_pylist()]
 
@@ -85,7 +102,7 @@ def distinct_words(docs: DataFrame, path: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen = _split(path), Counter()
         flush = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-        for b in batches:
+        for b in _slices(batches):
             for text in _texts(b):
                 seen.update(words(text))
                 if len(seen) > FLUSH_WORDS:
@@ -96,102 +113,101 @@ def distinct_words(docs: DataFrame, path: str) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _ids(words: list[str], path: str) -> list[str]:
+    """The ids of each word: decimal, joined by commas.  The merges are those of the tokenizer's model."""
+    merge, special, name = _tokenizer(path).model.tokenize, _special(path), _byte_names().__getitem__
+    return [str(special[w]) if w in special else ",".join([str(t.id) for t in merge("".join(map(name, w.encode())))]) for w in words]
+
+
 def encode_words(table: DataFrame, path: str) -> DataFrame:
-    """Adds ``ids`` (two bytes a token, low byte first): each distinct word is encoded once."""
+    """(word, ids): each distinct word is encoded once."""
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _tokenizer(path)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = t.encode_batch(b.column("word").to_pylist(), add_special_tokens=False)
-            ids = pa.array([np.asarray(e.ids, dtype=np.uint16).tobytes() for e in got], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("n"), ids], ["word", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(_ids(b.column("word").to_pylist(), path), pa.string())], ["word", "ids"])
 
-    if _tokenizer(path).get_vocab_size(with_added_tokens=True) > 65_535:
-        raise ValueError("ids of more than two bytes")
-    return table.mapInArrow(encode, "word string, n long, ids binary")
+    return table.select("word").mapInArrow(run, "word string, ids string")
 
 
-def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids): one row per input row; ids are decimal, joined by commas.
+def _encoder(docs: DataFrame, path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From batches of (doc_id, text) to batches of (doc_id, n_tokens, ids), with the frequent words of ``docs`` known."""
+    counts = stored(distinct_words(docs, path))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    often = counts.where((F.col("n") >= FREQUENT * total) & (F.octet_length("word") <= MAX_FREQUENT_BYTES))
+    frequent = docs.sparkSession.sparkContext.broadcast({r["word"]: r["ids"] for r in encode_words(often, path).toLocalIterator()})
 
-    The ids are those of the tokenizers library with add_special_tokens=False.  Null and empty
-    texts have none (an empty string).  Rows equal in id and text are encoded alike; an empty
-    table gives no rows.  Columns other than doc_id and text are ignored.
-    """
-    path = path or default_tokenizer()
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text", F.octet_length("text")))
-    table = stored(encode_words(distinct_words(docs, path), path))
-    total = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    often = (F.col("n") >= FREQUENT * total) & (F.octet_length("word") <= MAX_FREQUENT_BYTES)
-    frequent = spark.sparkContext.broadcast({r["word"]: bytes(r["ids"]) for r in table.where(often).select("word", "ids").toLocalIterator()})
-
-    def gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Ids with 65535 for each rare word, compressed, and the rare words in their order."""
-        words, get = _split(path), frequent.value.get
-        gap = b"\xff\xff"
-        for b in batches:
-            packed, rare = [], []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, shared, own = _split(path), frequent.value, {}
+        for b in _slices(batches):
+            n, texts = [], []
             for text in _texts(b):
                 ws = words(text)
-                found = [get(w, gap) for w in ws]
-                rare.append([w for w, x in zip(ws, found, strict=True) if x is gap])
-                packed.append(zlib.compress(b"".join(found), 1))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(packed, pa.binary()), pa.array(rare, pa.list_(pa.string()))], ["doc_id", "th", "packed", "rare"])
-
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    coded = docs.mapInArrow(gaps, f"doc_id {id_type}, th long, packed binary, rare array<string>")
-    # one row per distinct rare word of a text; a rare word is, by its share of all words, never a hot key
-    asked = coded.select("doc_id", "th", F.explode(F.array_distinct("rare")).alias("word"))
-    found = asked.join(table.where(~often).select("word", "ids").hint("shuffle_hash"), "word")
-    own = found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("word", "ids")).alias("own"))
-    own = own.select(F.col("doc_id").alias("__d"), F.col("th").alias("__h"), F.col("own"))
-    whole = coded.join(own, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("th") == F.col("__h")), "left").select("doc_id", "packed", "rare", "own")
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n, texts = [], []
-            for packed, rare, pairs in zip(b.column("packed").to_pylist(), b.column("rare").to_pylist(), b.column("own").to_pylist(), strict=True):
-                ids = np.frombuffer(zlib.decompress(packed), dtype=np.uint16)
-                if rare:
-                    local = {p["word"]: np.frombuffer(p["ids"], dtype=np.uint16) for p in pairs}
-                    parts, start = [], 0
-                    for at, w in zip(np.flatnonzero(ids == 65_535).tolist(), rare, strict=True):
-                        parts += [ids[start:at], local[w]]
-                        start = at + 1
-                    ids = np.concatenate([*parts, ids[start:]])
-                n.append(len(ids))
-                texts.append(",".join(map(str, ids.tolist())))
+                found = list(map(shared.get, ws))
+                if None in found:
+                    rest = [i for i, x in enumerate(found) if x is None]
+                    asked = {ws[i] for i in rest}
+                    new = [w for w in asked if w not in own]
+                    if len(own) + len(new) > TASK_WORDS:
+                        own.clear()
+                        new = list(asked)
+                    own.update(zip(new, _ids(new, path), strict=True))
+                    for i in rest:
+                        found[i] = own[ws[i]]
+                ids = ",".join(found)
+                n.append(ids.count(",") + 1 if ids else 0)
+                texts.append(ids)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids"])
 
-    return whole.mapInArrow(fill, f"doc_id {id_type}, n_tokens long, ids string")
+    return run
+
+
+def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens, ids): one row per input row; ids are decimal, joined by commas.
+
+    The ids are those of the tokenizers library with add_special_tokens=False.  Null and empty
+    texts have none (an empty string).  Repeated rows each give a row; an empty table gives none.
+    Columns other than doc_id and text are ignored.
+    """
+    run = _encoder(docs, path or default_tokenizer())
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids string")
 
 
 @lru_cache(maxsize=2)
 def _pieces(path: str) -> dict[str, bytes]:
     """Decimal id to bytes: the printable stand-ins of a byte-level vocabulary, undone."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    shown = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-    special = set(_special(path))
+    shown = {c: b for b, c in _byte_names().items()}
+    special = _special(path)
     vocab = _tokenizer(path).get_vocab(with_added_tokens=True)
     return {str(i): p.encode() if p in special else bytes(shown[c] for c in p) for p, i in vocab.items()}
 
 
-def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """Replaces ``ids`` (decimal, joined by commas; null: none) by ``text``; bytes that aren't UTF-8 become U+FFFD.  An unknown id is an error."""
-    path = path or default_tokenizer()
-    names = [c for c in encoded.columns if c != "ids"]
+def _decoder(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds ``text`` to batches with ``ids``."""
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = _pieces(path).__getitem__
-        for b in batches:
+        for b in _slices(batches):
             texts = [b"".join(map(piece, x.split(","))).decode("utf-8", "replace") if x else "" for x in b.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(texts, pa.string())], [*names, "text"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, "text"])
+
+    return run
+
 
-    kinds = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in names)
-    return encoded.select(*names, "ids").mapInArrow(join, f"{kinds}, text string")
+def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
+    """Adds ``text`` to rows with ``ids`` (decimal, joined by commas; null: none); bytes that aren't UTF-8 become U+FFFD.  An unknown id is an error."""
+    encoded = encoded.drop("text")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
+    return encoded.mapInArrow(_decoder(path or default_tokenizer()), f"{kinds}, text string")
+
+
+def encode_and_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens, ids, text): both in one pass of a Python worker; text is decoded from the ids."""
+    path = path or default_tokenizer()
+    encoder, decoder = _encoder(docs, path), _decoder(path)
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids string, text string"
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: decoder(encoder(batches)), schema)
 
 
 def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
-    coded = encode(docs, path).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "ids")
-    return decode(coded, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+    coded = encode_and_decode(docs, path)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))

@@ -39,7 +39,7 @@ BANDS, ROWS = 12, 3
 FREQUENT = 2e-6
 MAX_FREQUENT_BYTES = 64
 FLUSH_WORDS = 200_000
-LEADER_ROUNDS = 4
+LEADER_ROUNDS = 2
 
 _U = np.uint64
 #: Variates of consistent weighted sampling come from tables of this many entries, by hash.
@@ -243,7 +243,7 @@ def _groups(multi: DataFrame, texts: DataFrame, model, least: float) -> DataFram
         now = durable(current())
         if turn < LEADER_ROUNDS:  # everything against one leader in each bucket; the first time the same one in all of them
             order = F.xxhash64("key", *([F.lit(turn), F.col("bk")] if turn else []))
-            leader = durable(now.groupBy("bk").agg(F.max(F.struct(order, "key", "comp")).alias("l")).select("bk", F.col("l.key").alias("y"), F.col("l.comp").alias("yc")))
+            leader = now.groupBy("bk").agg(F.max(F.struct(order, "key", "comp")).alias("l")).select("bk", F.col("l.key").alias("y"), F.col("l.comp").alias("yc"))
             found = _pairs(now.withColumnRenamed("key", "x").join(leader, "bk").where((F.col("comp") != F.col("yc")) & (F.col("x") != F.col("y"))))
         else:  # the rest of different components, the largest of a bucket on one side only
             per = now.groupBy("bk", "comp").agg(F.count("*").alias("n"))
@@ -258,16 +258,12 @@ def _groups(multi: DataFrame, texts: DataFrame, model, least: float) -> DataFram
             found = _pairs(x.join(y, "bk").where((F.col("xc") != F.col("yc")) & once & first))
         if tested is not None:
             found = found.join(tested, ["a", "b"], "left_anti")
-        seen = durable(_verified(durable(found), texts, model, least))
+        seen = durable(_verified(found, texts, model, least))
         more = seen.where("similar").select("a", "b")
-        tested = seen.select("a", "b") if tested is None else durable(tested.unionByName(seen.select("a", "b")))
+        tested = seen.select("a", "b") if tested is None else tested.unionByName(seen.select("a", "b"))
         if more.isEmpty():
-            if turn == 0:  # no leader matched anything; other leaders may
-                continue
-            if turn < LEADER_ROUNDS:
-                continue
-            break
-        links = more if links is None else durable(links.unionByName(more))
+            continue  # other leaders, or the rest, may still match
+        links = more if links is None else links.unionByName(more)
         parts = durable(connected_components(links, "a", "b"))
     return parts
 
