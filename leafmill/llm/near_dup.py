@@ -9,10 +9,12 @@
    in a sample with the probability of their weighted Jaccard similarity.  Samples are
    banded by threes: contents of similarity 0.8 share none of the 12 bands with a chance
    of 2 in 10,000.
-4. Within a bucket contents are compared with a leader first, in several rounds with different
-   leaders; contents already in one component need no comparison.  What is left of different
-   components in one bucket is then compared pair by pair, each pair in the first bucket
-   that it shares, so no link between candidates is lost and a group's size isn't squared.
+4. Within a bucket contents are compared with a leader first: any, then the one that has least
+   of its own; contents already in one component need no comparison.  What is left of
+   different components in one bucket is then compared pair by pair, each pair in the first
+   bucket that it shares, unless a bound rules it out: a content can have no more in common
+   with another than the weight of those of its shingles that any other such content has.
+   So no link between candidates is lost, and many variants of one text make few pairs.
 5. Candidates are verified by their exact weighted Jaccard similarity; groups are the
    connected components of the links.
 """
@@ -39,7 +41,6 @@ BANDS, ROWS = 12, 3
 FREQUENT = 2e-6
 MAX_FREQUENT_BYTES = 64
 FLUSH_WORDS = 200_000
-LEADER_ROUNDS = 2
 
 _U = np.uint64
 #: Variates of consistent weighted sampling come from tables of this many entries, by hash.
@@ -225,6 +226,27 @@ def _verified(pairs: DataFrame, texts: DataFrame, model, least: float) -> DataFr
     return both.mapInArrow(run, "a string, b string, similar boolean")
 
 
+def _shareable(wanted: DataFrame, texts: DataFrame, model) -> DataFrame:  # noqa: ANN001
+    """(key, total, shared): the weight of a content, and that of its shingles which other wanted contents have too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, top = model.value
+        unpack = zstandard.ZstdDecompressor().decompress
+        for b in batches:
+            for key, p in zip(b.column("key").to_pylist(), b.column("packed").to_pylist(), strict=True):
+                h, weight = weighted_shingles(unpack(p).split(b" "), idf, top)
+                for i in range(0, len(h), 65536):  # long texts in pieces
+                    part = slice(i, i + 65536)
+                    rows = [pa.array([key]), pa.array([h[part].view(np.int64).tolist()]), pa.array([weight[part].tolist()])]
+                    yield pa.RecordBatch.from_arrays(rows, ["key", "h", "w"])
+
+    found = durable(texts.join(wanted, "key", "left_semi").mapInArrow(run, "key string, h array<long>, w array<double>"))
+    total = found.groupBy("key").agg(F.sum(F.aggregate("w", F.lit(0.0), lambda a, x: a + x)).alias("total"))
+    each = found.select("key", F.explode(F.arrays_zip("h", "w")).alias("s")).groupBy("s.h").agg(F.count("*").alias("n"), F.first("key").alias("key"), F.first("s.w").alias("w"))
+    alone = each.where("n = 1").groupBy("key").agg(F.sum("w").alias("alone"))
+    return total.join(alone, "key", "left").select("key", "total", (F.col("total") - F.coalesce("alone", F.lit(0.0))).alias("shared"))
+
+
 def _pairs(df: DataFrame) -> DataFrame:
     return df.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
@@ -239,23 +261,35 @@ def _groups(multi: DataFrame, texts: DataFrame, model, least: float) -> DataFram
         named = parts.select(F.col("node").alias("key"), F.col("component").alias("comp"))
         return multi.join(named, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
 
-    for turn in range(LEADER_ROUNDS + 1):
+    most = None
+    for turn in range(3):
         now = durable(current())
-        if turn < LEADER_ROUNDS:  # everything against one leader in each bucket; the first time the same one in all of them
-            order = F.xxhash64("key", *([F.lit(turn), F.col("bk")] if turn else []))
-            leader = now.groupBy("bk").agg(F.max(F.struct(order, "key", "comp")).alias("l")).select("bk", F.col("l.key").alias("y"), F.col("l.comp").alias("yc"))
+        if turn == 0:  # everything against one leader in each bucket, the same one in all of them
+            leader = now.groupBy("bk").agg(F.max(F.struct(F.xxhash64("key"), "key", "comp")).alias("l")).select("bk", F.col("l.key").alias("y"), F.col("l.comp").alias("yc"))
             found = _pairs(now.withColumnRenamed("key", "x").join(leader, "bk").where((F.col("comp") != F.col("yc")) & (F.col("x") != F.col("y"))))
-        else:  # the rest of different components, the largest of a bucket on one side only
+        else:  # buckets of different components
             per = now.groupBy("bk", "comp").agg(F.count("*").alias("n"))
             split = durable(per.groupBy("bk").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.count("*").alias("c")).where("c > 1").select("bk", "top"))
+            left = durable(now.join(split, "bk"))
+            if most is None:
+                most = durable(_shareable(left.select("key").distinct(), texts, model))
+            left = durable(left.join(most.where(F.col("shared") >= (least - 1e-9) * F.col("total")), "key"))
+            common = F.least("xs", "ys")  # at most
+            near = common >= (least - 1e-9) * (F.col("xt") + F.col("yt") - common)
+            x = left.select("bk", F.col("key").alias("x"), F.col("comp").alias("xc"), F.col("total").alias("xt"), F.col("shared").alias("xs"), "top")
+            y = left.select("bk", F.col("key").alias("y"), F.col("comp").alias("yc"), F.col("total").alias("yt"), F.col("shared").alias("ys"))
+        if turn == 1:  # against the one with the least of its own, which is in the middle of its variants
+            order = F.struct(F.col("shared") / F.col("total"), F.xxhash64("key"), "key")
+            leader = left.groupBy("bk").agg(F.max_by("key", order).alias("y"))
+            found = _pairs(x.join(y.join(leader, ["bk", "y"]), "bk").where((F.col("xc") != F.col("yc")) & near))
+        elif turn == 2:  # the rest, the largest of a bucket on one side only
             mine = now.groupBy("key").agg(F.collect_set("bk").alias("bks"))  # at most one for each band
-            left = now.join(split, "bk").join(mine, "key")
-            left = durable(left)
-            x = left.where("comp <> top").select("bk", F.col("key").alias("x"), F.col("comp").alias("xc"), F.col("bks").alias("xb"))
-            y = left.select("bk", F.col("key").alias("y"), F.col("comp").alias("yc"), F.col("bks").alias("yb"), "top")
+            x = x.where("xc <> top").join(mine.select(F.col("key").alias("x"), F.col("bks").alias("xb")), "x")
+            y = y.join(mine.select(F.col("key").alias("y"), F.col("bks").alias("yb")), "y").join(split, "bk")
+            x, y = durable(x.drop("top")), durable(y)
             once = (F.col("yc") == F.col("top")) | (F.col("x") < F.col("y"))
             first = F.array_min(F.array_intersect("xb", "yb")) == F.col("bk")
-            found = _pairs(x.join(y, "bk").where((F.col("xc") != F.col("yc")) & once & first))
+            found = _pairs(x.join(y, "bk").where((F.col("xc") != F.col("yc")) & near & once & first))
         if tested is not None:
             found = found.join(tested, ["a", "b"], "left_anti")
         seen = durable(_verified(found, texts, model, least))
