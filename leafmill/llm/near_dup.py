@@ -303,9 +303,9 @@ def _groups(multi: DataFrame, texts: DataFrame, model, least: float) -> DataFram
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """One row per input row: doc_id, th (hash of the text), key (of the content) and class_id.
+    """One row per input row: doc_id, th (hash of the text), key (of the content), component and class_id.
 
-    class_id is the smallest doc_id of the group: copies and all contents linked, directly or through
+    component names the group by the key of one of its contents; it is null without words.  class_id is the smallest doc_id of the group: copies and all contents linked, directly or through
     others, by a similarity of at least ``least``.  Null, empty and blank texts are alone: their class
     is their own doc_id.  Texts of fewer than five words match only if they have the same words.  Null
     doc_ids are never a class unless the whole group has none.  An empty table gives no rows.
@@ -323,7 +323,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     entries = contents.select("key", F.explode("bands").alias("bk"))
     shared = durable(entries.groupBy("bk").agg(F.count("*").alias("n")).where("n > 1").select("bk"))
     multi = durable(entries.join(shared, "bk"))
-    classes = contents.select("key", F.col("first_id").alias("class_id"))
+    classes = contents.select("key", F.col("key").alias("component"), F.col("first_id").alias("class_id"))
     if not multi.isEmpty():
         texts = stored(_candidate_texts(base, durable(multi.select("key").distinct())))
         parts = _groups(multi, texts, model, least)
@@ -331,21 +331,25 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
             named = contents.select("key", "first_id").join(parts, F.col("key") == F.col("node"), "left").withColumn("component", F.coalesce("component", "key"))
             named = durable(named)
             lowest = durable(named.groupBy("component").agg(F.min("first_id").alias("class_id")))
-            classes = named.join(lowest, "component").select("key", "class_id")
+            classes = named.join(lowest, "component").select("key", "component", "class_id")
     classes = durable(classes.withColumnRenamed("key", "k"))
     out = sketch.join(classes, F.col("key") == F.col("k"), "left")
-    return out.select("doc_id", "th", "key", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    return out.select("doc_id", "th", "key", "component", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
 def keep_first(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs``, with all their columns, without near-duplicates: the smallest doc_id of each group stays."""
+    """The rows of ``docs``, with all their columns, without near-duplicates: the smallest doc_id of each group stays.
+
+    A group is a component, whatever its ids: groups without an id, or that share one, keep a row each.
+    """
     named = durable(near_duplicates(docs, least))
-    stay = named.where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    one = stay.where("key is not null").groupBy("doc_id").agg(F.min_by("th", "key").alias("th")).unionByName(stay.where("key is null").select("doc_id", "th").distinct())
+    lowest = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key", "th")).alias("l")  # null ids last
+    stay = named.where("key is not null").groupBy("component").agg(lowest).select("l.doc_id", "l.th")
+    one = durable(stay.unionByName(named.where("key is null").select("doc_id", "th").distinct()))
     one = one.select(F.col("doc_id").alias("__d"), F.col("th").alias("__h"))
     rows = docs.withColumn("__th", F.xxhash64("text"))
     out = rows.join(one, F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("__th").eqNullSafe(F.col("__h")), "left_semi")
-    if not stay.groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+    if not named.groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         out = out.dropDuplicates(["doc_id", "__th"])
     return out.select(*[col(c) for c in docs.columns])
 

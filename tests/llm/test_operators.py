@@ -317,6 +317,14 @@ def test_groups_against_all_pairs(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({find(i) for i in range(n)}) and kept.columns == ["doc_id", "text", "more"]
 
 
+def test_groups_without_an_id_or_with_one_id_stay(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    data = [(None, a), (None, b), (None, b.upper()), (None, c), (7, c), (5, d), (5, "few words"), (9, d + " more"), (None, None)]
+    kept = near_dup.keep_first(spark.createDataFrame(data, "doc_id long, text string"))
+    got = sorted(((r["doc_id"], r["text"].lower() if r["text"] else None) for r in kept.collect()), key=str)
+    assert got == sorted([(None, a), (None, b), (7, c), (5, d), (5, "few words"), (None, None)], key=str)
+
+
 def test_similarity_and_sampling():
     rng = np.random.default_rng(6)
     words = [f"w{i}".encode() for i in range(600)]
