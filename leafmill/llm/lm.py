@@ -1,38 +1,48 @@
-"""Language-model scores from a weighted backoff automaton.
-
-Training counts every word of the training rows, then word pairs and triples.  An n-gram is
-kept if it makes up at least ``NGRAM_SHARE`` of all training tokens (and occurs twice), so
-at most 1 / NGRAM_SHARE n-grams of an order are kept whatever the size of the corpus; the
-words of kept n-grams are frequent themselves, and so are found first (``WORD_SHARE``).
-
-The kept n-grams are the states of an automaton: an arc carries the discounted log10
-probability of a word after the state's words, a failure arc leads to the state with one
-word less and carries the backoff weight.  A text is read once from left to right: each
-word takes an arc, after as many failure arcs as it needs.  Probabilities after any state
-sum to one over the vocabulary and one unknown word.
-
-Words that aren't frequent always fall back to the root.  Their exact counts come by a join
-on the word, and are added up by document; hot words are never in that join.
+"""Language-model scores from a backoff model over all word pairs and triples that occur twice.
+
+Training counts every word of the training rows, then word pairs and triples; those seen at
+least ``LEAST`` times are kept, however large the corpus and however rare or long their words.
+They are tables keyed by word numbers: frequent words (``WORD_SHARE``) are numbered by rank,
+any other has a negative 63-bit hash (no two of 10 million share one but with a chance of 1
+in 100,000).  Probabilities and backoff weights come from joins of these tables.
+
+A score is a sum over the n-grams of a text: a kept n-gram adds its discounted log10
+probability, less what its absence would have cost, plus its own backoff weight if a word
+follows.  So each order is looked up by itself, and an n-gram that isn't kept adds nothing.
+
+The frequent n-grams (``NGRAM_SHARE`` of all training tokens; at most 1 / NGRAM_SHARE of an
+order) are the states of an automaton that every task has: an arc carries the probability of
+a word after the state's words, a failure arc leads to the state with one word less and
+carries the backoff weight.  A text is read once from left to right.  What the rest of its
+n-grams adds comes by a join on the n-gram, and likewise for words that aren't frequent; hot
+ones are never in those joins.  Which n-grams to ask for is narrowed by a bit table of a fixed
+size.  Probabilities after any state sum to one over the vocabulary and one unknown word.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import stored
 
+LEAST = 2
 WORD_SHARE, NGRAM_SHARE = 5e-7, 1e-6
 MAX_FREQUENT_BYTES = 64
 ORDER, DISCOUNT = 3, 0.75
 FLUSH_WORDS, FLUSH_TOKENS = 200_000, 2_000_000
 FOLDS, HELD_OUT = 7, 2
-
+#: Bits of the table that narrows what is asked for.
+FILTER_BITS = 27
+#: In place of the first word of a pair.
+NONE = -1
 
 def _words(text: bytes | None) -> list[bytes]:
     """Lower-casing and splitting bytes touch just A-Z and the six white-space controls."""
@@ -55,111 +65,151 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
+class Numbers(dict):
+    """Number of a word: 0 is the start of a text, 1 its end, frequent words follow; any other has a negative hash."""
 
-class Levels:
-    """Kept n-grams by order: sorted keys of (number of the first words, last word).
+    def __init__(self, frequent: dict[bytes, int]) -> None:
+        super().__init__()
+        self.frequent = frequent
 
-    Word numbers: 0 is the start of a text, 1 its end, frequent words follow.
-    """
+    def __missing__(self, word: bytes) -> int:
+        n = self.frequent.get(word)
+        if n is None:
+            n = min(int.from_bytes(blake2b(word, digest_size=8).digest(), "big") - (1 << 64) >> 1, NONE - 1)
+        if len(self) > FLUSH_WORDS:
+            self.clear()
+        self[word] = n
+        return n
 
-    def __init__(self, words: dict[bytes, int]) -> None:
-        self.words, self.width = words, len(words) + 2
-        self.keys: list[np.ndarray] = []  # of orders 2, 3, ...
+    def tokens(self, words: list[bytes]) -> np.ndarray:
+        out = np.empty(len(words) + 2, np.int64)
+        out[0], out[-1] = 0, 1
+        out[1:-1] = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return out
 
-    def tokens(self, text: bytes | None) -> np.ndarray:
-        get = self.words.get
-        return np.array([0, *[get(w, -1) for w in _words(text)], 1], dtype=np.int64)
 
-    def candidates(self, tokens: np.ndarray) -> np.ndarray:
-        """Keys of the next order at all places where both shorter n-grams are kept."""
-        ends = tokens  # number of the longest kept n-gram of the last order that ends here
-        for keys in self.keys:
-            k = np.where((ends[:-1] >= 0) & (tokens[1:] >= 0), ends[:-1] * self.width + tokens[1:], -1)
-            at = np.minimum(np.searchsorted(keys, k), max(len(keys) - 1, 0))
-            here = np.where(keys[at] == k, at, -1) if len(keys) else np.full(len(k), -1)
-            ends, tokens = here, tokens[1:]
-        both = (ends[:-1] >= 0) & (tokens[1:] >= 0)
-        if self.keys:
-            both &= ends[1:] >= 0
-        return ends[:-1][both] * self.width + tokens[1:][both]
+def _mixed(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    u = np.uint64
+    x = (a.astype(u) * u(0x9E3779B97F4A7C15) + b.astype(u)) * u(0xBF58476D1CE4E5B9)
+    x = ((x ^ (x >> u(29))) + c.astype(u)) * u(0x94D049BB133111EB)
+    x = (x ^ (x >> u(32))) * u(0xD6E8FEB86659FD93)
+    return x ^ (x >> u(31))
+
 
+def _grams(t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pairs (NONE, b, c), then all triples."""
+    a = np.concatenate([np.full(len(t) - 1, NONE), t[:-2]])
+    return a, np.concatenate([t[:-1], t[1:-1]]), np.concatenate([t[1:], t[2:]])
 
-def ngram_counts(docs: DataFrame, levels) -> DataFrame:  # noqa: ANN001
-    """(key, n) of the candidates of the next order."""
+
+def ngram_counts(docs: DataFrame, frequent) -> DataFrame:  # noqa: ANN001
+    """(a, b, c, n) of all pairs and triples; ``frequent``: broadcast numbers of words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, parts, size = levels.value, [], 0
+        numbers, parts, size = Numbers(frequent.value), [], 0
 
         def flush() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.int64), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], ["key", "n"])
-
-        for b in batches:
-            for text in b.column("text").to_pylist():
-                found = model.candidates(model.tokens(text))
-                parts.append(found)
-                size += len(found)
+            a, b, c = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 3
+            _, at, n = np.unique(_mixed(a, b, c), return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(c[at]), pa.array(n.astype(np.int64))], ["a", "b", "c", "n"])
+
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                parts.append(_grams(numbers.tokens(_words(text))))
+                size += len(parts[-1][0])
                 if size > FLUSH_TOKENS:
                     yield flush()
                     parts, size = [], 0
         yield flush()
 
-    return docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(count, "a long, b long, c long, n long").groupBy("a", "b", "c").agg(F.sum("n").alias("n"))
+
+
+def _named(counts: DataFrame, frequent) -> DataFrame:  # noqa: ANN001
+    """Adds ``id``, the words' numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = Numbers(frequent.value)
+        for b in batches:
+            words = b.column("word").to_pylist()
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([numbers[w] for w in words], pa.int64())], ["word", "n", "id"])
+
+    return counts.select("word", "n").mapInArrow(run, "word binary, n long, id long")
+
+
+def _of_word(df: DataFrame, at: str, name: str, frequent: np.ndarray, rare: DataFrame | None) -> DataFrame:
+    """Adds a value of the word in column ``at``: of frequent ones from an array, of others by a join with ``rare`` (id, v)."""
+    shared = df.sparkSession.sparkContext.broadcast(frequent.astype(np.float64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            i = b.column(at).to_numpy(zero_copy_only=False)
+            v = np.where(i >= 0, shared.value[np.maximum(i, 0)], 0.0)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(v)], [*b.schema.names, name])
+
+    out = df.mapInArrow(run, StructType([*df.schema.fields, StructField(name, DoubleType())]))
+    if rare is None:
+        return out
+    # frequent words match nothing, and are dealt out evenly
+    key = F.when(F.col(at) < 0, F.col(at)).otherwise(F.xxhash64("b", "c").bitwiseAND(F.lit((1 << 63) - 1)))
+    joined = out.withColumn("__k", key).join(rare.select(F.col("id").alias("__k"), F.col("v").alias("__v")), "__k", "left")
+    return joined.select(*df.columns, F.coalesce("__v", name).alias(name))
+
+
+def _backoff(left: Column, below: Column) -> Column:
+    weight = F.when(below > 0, (1 - left) / F.greatest(1 - below, F.lit(1e-12))).otherwise(F.lit(1.0))
+    return F.log10(F.greatest(weight, F.lit(1e-12)))
 
 
 class Automaton:
-    """States: 0 the root, then one for each word number, then one for each kept pair, and so on up to ORDER - 1."""
+    """States: 0 the root, then one for each word number, then one for each frequent pair."""
 
-    def __init__(self, levels: Levels, counts: list[np.ndarray], word_n: np.ndarray, total: int, vocabulary: int, rows: int) -> None:
-        """counts: of levels.keys; word_n: by word number, the end's at 1; rows: training texts."""
-        self.words, self.width = levels.words, levels.width
-        self.word_n = word_n
+    def __init__(self, words: dict[bytes, int], word_n: np.ndarray, back: np.ndarray, pairs, triples, total: int, vocabulary: int) -> None:  # noqa: ANN001
+        """word_n, back: by word number, the end's at 1; pairs (b, c, log_p, back) and triples (a, b, c, log_p): the frequent ones."""
+        self.words, self.width, self.word_n = words, len(words) + 2, word_n
         self.log_one = -np.log10(total + vocabulary + 1)  # of an unseen word; a word seen c times adds log10(c + 1)
         self.unigram = np.log10(word_n + 1.0) + self.log_one
-        # the state that a key of an order stands for is its first state plus its place among the keys
-        first = [0, 1, 1 + self.width]
-        for k in levels.keys[:-1]:
-            first.append(first[-1] + len(k))
-        n_states = first[len(levels.keys) + 1] if levels.keys else 1 + self.width
-        self.fail, self.back = np.zeros(n_states, np.int64), np.zeros(n_states)
+        column = lambda t, c, kind=np.int64: t[c].to_numpy(kind)
+        two = column(pairs, "b") * self.width + column(pairs, "c")
+        order = np.argsort(two)
+        self.pairs = two[order]
+        a, b, c = (column(triples, x) for x in "abc")
+        # every pair of a frequent triple is frequent
+        three = np.searchsorted(self.pairs, a * self.width + b) * self.width + c
+        by = np.argsort(three)
+        self.triples = three[by]
+        # the state that a pair stands for
+        pair = 1 + self.width
+        self.fail = np.concatenate([np.zeros(pair, np.int64), 1 + self.pairs % self.width])
+        self.back = np.concatenate([np.zeros(1), back, column(pairs, "back", np.float64)[order]])
         self.arcs: dict[int, tuple[int, float]] = {}
-        context_n = word_n.astype(np.float64).copy()
-        context_n[0] = rows
-        prob = 10.0**self.unigram  # of each key of the order below, given its own first words
-        for order, (keys, n) in enumerate(zip(levels.keys, counts, strict=True), 2):
-            before, word = keys // self.width, keys % self.width
-            if order == 2:
-                lower = prob[word]
-                shorter = word  # number of the n-gram without its first word
-            else:
-                # drop the first word: (w1 w2) w3 -> (w2) w3
-                middle = levels.keys[order - 3][before] % self.width
-                if order > 3:
-                    raise ValueError("orders above 3 aren't supported")
-                shorter = np.searchsorted(levels.keys[order - 3], middle * self.width + word)
-                lower = prob[shorter]
-            p = (n - DISCOUNT) / context_n[before]
-            kept, below = np.zeros(len(context_n)), np.zeros(len(context_n))
-            np.add.at(kept, before, p)
-            np.add.at(below, before, lower)
-            # a context none of whose n-grams are kept backs off for free
-            weight = np.where(below > 0, (1 - kept) / np.maximum(1 - below, 1e-12), 1.0)
-            self.back[first[order - 1] : first[order - 1] + len(context_n)] = np.log10(np.maximum(weight, 1e-12))
-            # interpolation isn't used: an arc has the discounted probability itself
-            last = order == ORDER
-            goes = first[order - 1] + shorter if last else first[order] + np.arange(len(keys))
-            for s, w, g, q in zip((first[order - 1] + before).tolist(), word.tolist(), goes.tolist(), np.log10(p).tolist(), strict=True):
-                self.arcs[s * self.width + w] = (g, q)
-            if not last:
-                self.fail[first[order] : first[order] + len(keys)] = 1 + shorter
-            prob, context_n = p, n.astype(np.float64)
+        for i, (k, q) in enumerate(zip(self.pairs.tolist(), column(pairs, "log_p", np.float64)[order].tolist(), strict=True)):
+            self.arcs[k + self.width] = (pair + i, q)
+        goes = pair + np.searchsorted(self.pairs, b * self.width + c)[by]
+        for k, g, q in zip(self.triples.tolist(), goes.tolist(), column(triples, "log_p", np.float64)[by].tolist(), strict=True):
+            self.arcs[k + pair * self.width] = (g, q)
         # from any state straight to the root
         self.to_root = self.back.copy()
-        for s in range(1 + self.width, n_states):
-            self.to_root[s] += self.back[self.fail[s]]
+        self.to_root[pair:] += self.back[self.fail[pair:]]
         self.root = [(1 + w, q) for w, q in enumerate(self.unigram.tolist())]
         self.fail, self.back, self.to_root = self.fail.tolist(), self.back.tolist(), self.to_root.tolist()
 
+    def has(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Which of the n-grams are the automaton's own."""
+
+        def find(keys: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = np.minimum(np.searchsorted(keys, k), max(len(keys) - 1, 0))
+            return at, keys[at] == k if len(keys) else np.zeros(len(k), bool)
+
+        known = (b >= 0) & (c >= 0)
+        out = np.zeros(len(a), bool)
+        two = np.flatnonzero(known & (a == NONE))
+        out[two] = find(self.pairs, b[two] * self.width + c[two])[1]
+        three = np.flatnonzero(known & (a >= 0))
+        at, there = find(self.pairs, a[three] * self.width + b[three])
+        out[three] = there & find(self.triples, at * self.width + c[three])[1]
+        return out
+
     def read(self, words: list[int]) -> float:
         """Sum of log10 probabilities; -1 stands for a word that isn't frequent, whose own probability is left out."""
         arcs, fail, back, root, width = self.arcs, self.fail, self.back, self.root, self.width
@@ -178,25 +228,110 @@ class Automaton:
             total += arc[1]
         return total
 
+class Model:
+    """The automaton and the tables of what is not in it: ``words`` (word, n, back) of all words, ``rest`` (a, b, c, w) of n-grams."""
+
+    def __init__(self, docs: DataFrame) -> None:
+        spark = docs.sparkSession
+        self.counts = stored(word_counts(docs))
+        rows = docs.count()
+        tokens, distinct = self.counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+        self.total, self.vocabulary = total, vocabulary = tokens + rows, distinct + (rows > 0)
+        often = self.counts.where((F.col("n") >= WORD_SHARE * total) & (F.octet_length("word") <= MAX_FREQUENT_BYTES))
+        found = [(bytes(r["word"]), r["n"]) for r in often.orderBy("word").toLocalIterator()]
+        words = {w: i for i, (w, _) in enumerate(found, 2)}
+        word_n = np.array([0, rows, *[n for _, n in found]], dtype=np.int64)
+        numbers = spark.sparkContext.broadcast(words)
+        named = stored(_named(self.counts, numbers))
+        grams = stored(ngram_counts(docs, numbers).where(F.col("n") >= LEAST))
+        others = named.where("id < 0")
+        rare = None if others.isEmpty() else others.select("id", F.col("n").cast("double").alias("v"))
+
+        one = F.lit(float(1 / (total + vocabulary + 1)))
+        pairs = grams.where(F.col("a") == NONE).select("b", "c", "n")
+        context_n = word_n.copy()
+        context_n[0] = rows
+        pairs = _of_word(_of_word(pairs, "b", "nb", context_n, rare), "c", "nc", word_n, rare)
+        pairs = stored(pairs.select("b", "c", "n", ((F.col("n") - DISCOUNT) / F.col("nb")).alias("p"), ((F.col("nc") + 1) * one).alias("below")))
+        # one word before: a context none of whose n-grams are kept backs off for free
+        backs = stored(pairs.groupBy("b").agg(_backoff(F.sum("p"), F.sum("below")).alias("v")).withColumnRenamed("b", "id"))
+        back = np.zeros(len(word_n))
+        for i, v in backs.where("id >= 0").toLocalIterator():
+            back[i] = v
+        rare = None if rare is None else backs.where("id < 0")
+        # two words before
+        second = pairs.select("b", "c", F.col("p").alias("below"))
+        first = pairs.select(F.col("b").alias("a"), F.col("c").alias("b"), F.col("n").alias("before"))
+        triples = grams.where(F.col("a") != NONE).join(second, ["b", "c"]).join(first, ["a", "b"])
+        triples = stored(triples.select("a", "b", "c", "n", ((F.col("n") - DISCOUNT) / F.col("before")).alias("p"), "below"))
+        backs = stored(triples.groupBy("a", "b").agg(_backoff(F.sum("p"), F.sum("below")).alias("back")))
+        pairs = pairs.join(backs.select(F.col("a").alias("b"), F.col("b").alias("c"), "back"), ["b", "c"], "left").withColumn("back", F.coalesce("back", F.lit(0.0)))
+        pairs = stored(_of_word(pairs, "b", "before", back, rare))
+
+        mine = F.col("n") >= max(float(LEAST), NGRAM_SHARE * total)  # at most 1 / NGRAM_SHARE rows
+        mine2, mine3 = mine & (F.col("b") >= 0) & (F.col("c") >= 0), mine & (F.col("a") >= 0) & (F.col("b") >= 0) & (F.col("c") >= 0)
+        log = F.log10("p").alias("log_p")
+        self.automaton = Automaton(words, word_n, back, pairs.where(mine2).select("b", "c", log, "back").toPandas(), triples.where(mine3).select("a", "b", "c", log).toPandas(), total, vocabulary)
+        more2 = pairs.where(~mine2).select(F.lit(NONE).cast("long").alias("a"), "b", "c", (F.log10("p") - F.col("before") - F.log10("below") + F.col("back")).alias("w"))
+        more3 = triples.where(~mine3).join(backs, ["a", "b"]).select("a", "b", "c", (F.log10("p") - F.col("back") - F.log10("below")).alias("w"))
+        self.rest = stored(more2.unionByName(more3))
+        self.words = self.counts.withColumn("back", F.lit(0.0))
+        if rare is not None:
+            self.words = stored(named.join(rare, "id", "left").select("word", "n", F.coalesce("v", F.lit(0.0)).alias("back")))
+
+    def bits(self) -> np.ndarray:
+        """A bit for each n-gram of ``rest``, and some for others: 2 ** FILTER_BITS at any size."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                at = _mixed(*[b.column(x).to_numpy() for x in "abc"]) >> np.uint64(64 - FILTER_BITS)
+                bit = (np.uint64(1) << (at & np.uint64(63))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int32)), pa.array(bit)], ["slot", "bit"])
+
+        found = self.rest.select("a", "b", "c").mapInArrow(run, "slot int, bit long").groupBy("slot").agg(F.bit_or("bit").alias("bit")).toPandas()
+        out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+        out[found["slot"].to_numpy(np.int64)] = found["bit"].to_numpy(np.int64).view(np.uint64)
+        return out
+
 
 def train(docs: DataFrame) -> tuple[Automaton, DataFrame, int, int]:
     """The automaton, the table of all words (word, n), training tokens and distinct tokens (each text has one end)."""
-    spark = docs.sparkSession
-    counts = stored(word_counts(docs))
-    rows = docs.count()
-    tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    total, vocabulary = tokens + rows, distinct + (rows > 0)
-    often = counts.where((F.col("n") >= WORD_SHARE * total) & (F.octet_length("word") <= MAX_FREQUENT_BYTES))
-    found = [(bytes(r["word"]), r["n"]) for r in often.orderBy("word").toLocalIterator()]
-    levels = Levels({w: i for i, (w, _) in enumerate(found, 2)})
-    word_n = np.array([0, rows, *[n for _, n in found]], dtype=np.int64)
-    least, sums = max(2.0, NGRAM_SHARE * total), []
-    for _ in range(2, ORDER + 1):
-        kept = ngram_counts(docs, spark.sparkContext.broadcast(levels)).where(F.col("n") >= least).toPandas()  # at most 1 / NGRAM_SHARE rows
-        kept = kept.sort_values("key")
-        levels.keys.append(kept["key"].to_numpy(np.int64))
-        sums.append(kept["n"].to_numpy(np.int64))
-    return Automaton(levels, sums, word_n, total, vocabulary, rows), counts, total, vocabulary
+    m = Model(docs)
+    return m.automaton, m.counts, m.total, m.vocabulary
+
+
+def _rest_of(base: DataFrame, model: Model, shared) -> DataFrame:  # noqa: ANN001
+    """(doc_id, th, rest): what the n-grams that the automaton lacks add to the rows, by doc_id and th."""
+    bits = base.sparkSession.sparkContext.broadcast(model.bits())
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, there = shared.value, bits.value
+        numbers = Numbers(m.words)
+        def rows(batch: pa.RecordBatch, found: list) -> pa.RecordBatch:
+            at, a, b, c, times = (pa.array(np.concatenate(x)) for x in zip(*found, strict=True))
+            return pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("th").take(at), a, b, c, times], ["doc_id", "th", "a", "b", "c", "times"])
+
+        for batch in batches:
+            found, size = [], 0
+            for r, text in enumerate(batch.column("text").to_pylist()):
+                a, b, c = _grams(numbers.tokens(_words(text)))
+                k = _mixed(a, b, c)
+                at = k >> np.uint64(64 - FILTER_BITS)
+                maybe = np.flatnonzero((there[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1))
+                maybe = maybe[~m.has(a[maybe], b[maybe], c[maybe])]
+                if len(maybe):
+                    _, first, times = np.unique(k[maybe], return_index=True, return_counts=True)
+                    i = maybe[first]
+                    found.append((np.full(len(i), r), a[i], b[i], c[i], times.astype(np.int64)))
+                    size += len(i)
+                if size > FLUSH_TOKENS:
+                    yield rows(batch, found)
+                    found, size = [], 0
+            if found:
+                yield rows(batch, found)
+
+    asked = base.mapInArrow(ask, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, th long, a long, b long, c long, times long")
+    return asked.join(model.rest, ["a", "b", "c"]).groupBy("doc_id", "th").agg(F.sum(F.col("times") * F.col("w")).alias("rest"))
 
 
 def score(docs: DataFrame, learn: DataFrame) -> DataFrame:
@@ -209,7 +344,8 @@ def score(docs: DataFrame, learn: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     base = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
-    model, counts, total, vocabulary = train(learn.select(F.col("text").cast("binary").alias("text")))
+    trained = Model(learn.select(F.col("text").cast("binary").alias("text")))
+    model, total = trained.automaton, trained.total
     shared = spark.sparkContext.broadcast(model)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
@@ -245,17 +381,24 @@ def score(docs: DataFrame, learn: DataFrame) -> DataFrame:
     row = row.groupBy("doc_id", "th").agg(*[F.first(c).alias(c) for c in ("n_tokens", "n_known", "uni", "full")], F.count("*").alias("copies"))
     asked = base.mapInArrow(rare, f"doc_id {id_type}, th long, word binary, times long")
     unknown = F.lit(float(model.log_one))
-    found = asked.join(counts.hint("shuffle_hash"), "word", "left")
+    found = asked.join(trained.words.hint("shuffle_hash"), "word", "left")
     logs = F.col("times") * (F.log10(F.coalesce("n", F.lit(0)) + F.lit(1.0)) + unknown)
-    more = found.groupBy("doc_id", "th").agg(F.sum(logs).alias("rare"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(F.lit(0))).alias("rare_known"))
-    more = more.select(F.col("doc_id").alias("__d"), F.col("th").alias("__h"), "rare", "rare_known")
+    backs = F.col("times") * F.coalesce("back", F.lit(0.0))  # some word or the end follows
+    more = found.groupBy("doc_id", "th").agg(F.sum(logs).alias("rare"), F.sum(backs).alias("backs"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(F.lit(0))).alias("rare_known"))
+    more = more.select(F.col("doc_id").alias("__d"), F.col("th").alias("__h"), "rare", "backs", "rare_known")
     out = row.join(more, F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("th").eqNullSafe(F.col("__h")), "left")
+    held = F.lit(0.0)
+    if not trained.rest.isEmpty():
+        others = _rest_of(base, trained, shared).select(F.col("doc_id").alias("__e"), F.col("th").alias("__f"), "rest")
+        out = out.join(others, F.col("doc_id").eqNullSafe(F.col("__e")) & F.col("th").eqNullSafe(F.col("__f")), "left")
+        held = F.coalesce("rest", F.lit(0.0))
     # rows equal in id and text were summed together
+    whole = (F.coalesce("backs", F.lit(0.0)) + held) / F.col("copies")
     rest, seen = F.coalesce(F.col("rare") / F.col("copies"), F.lit(0.0)), F.coalesce((F.col("rare_known") / F.col("copies")).cast("long"), F.lit(0))
     out = out.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return out.select(
         "doc_id", "th", "n_tokens", (F.col("n_known") + seen).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("uni") + rest).alias("base_score"), (F.col("full") + rest).alias("score"),
+        (F.col("uni") + rest).alias("base_score"), (F.col("full") + rest + whole).alias("score"),
     )
 
 

@@ -277,6 +277,41 @@ def test_probabilities_sum_to_one(docs):
         assert math.isclose(total, 1, rel_tol=1e-6)
 
 
+@pytest.mark.parametrize("shares", [(5e-7, 1e-6), (0.02, 0.004), (0.9, 0.9)])
+def test_all_repeated_ngrams_count_whatever_is_frequent(spark, monkeypatch, shares):
+    random.seed(9)
+    vocabulary = [f"w{i}" for i in range(12)] + ["x" * 80]
+    data = [(i, " ".join(random.choices(vocabulary, weights=range(13, 0, -1), k=random.randint(0, 25)))) for i in range(40)] + [(40, "unseen " * 3 + "w1 w2"), (None, None)]
+    tokens = lambda t: ["<", *(t or "").split(), ">"]
+    one, two, three = collections.Counter(), collections.Counter(), collections.Counter()
+    for _, t in data[:30]:
+        w = tokens(t)
+        one.update(w)
+        two.update(zip(w, w[1:], strict=False))
+        three.update(zip(w, w[1:], w[2:], strict=False))
+    two, three = ({k: n for k, n in c.items() if n >= 2} for c in (two, three))
+    total, v = sum(n for w, n in one.items() if w != "<"), len(one) - 1
+    p1 = lambda c: ((one[c] if c != "<" else 0) + 1) / (total + v + 1)
+    p2 = {(b, c): (n - 0.75) / one[b] for (b, c), n in two.items()}
+    p3 = {(a, b, c): (n - 0.75) / two[a, b] for (a, b, c), n in three.items()}
+
+    def back(kept, lower):
+        return (1 - sum(kept)) / max(1 - sum(lower), 1e-12) if kept else 1.0
+
+    def p(a, b, c):
+        if (a, b, c) in p3:
+            return p3[a, b, c]
+        near = p2.get((b, c)) or p1(c) * back([q for k, q in p2.items() if k[0] == b], [p1(k[1]) for k in p2 if k[0] == b])
+        return near * back([q for k, q in p3.items() if k[:2] == (a, b)], [p2[k[1:]] for k in p3 if k[:2] == (a, b)])
+
+    want = {i: sum(math.log10(p(*x)) for x in zip([None, *w], w, w[1:], strict=False)) for i, t in data for w in [tokens(t)]}
+    for name, x in zip(("WORD_SHARE", "NGRAM_SHARE"), shares, strict=True):
+        monkeypatch.setattr(lm, name, x)
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in lm.score(df, df.where("doc_id < 30")).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
+
+
 # 10 near-duplicates
 
 
