@@ -244,6 +244,20 @@ def test_licences(spark, docs):
     assert {r["doc_id"]: r["families"] for r in license.digest(d).collect()} == want
 
 
+def test_wrapped_licences(spark, docs):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the rest), to deal"
+    bsd = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following\n# conditions are met:"
+    own = {
+        "mit": "Copyright by the authors\n\n" + mit, "bsd": bsd, "bsd,mit": f"{bsd}\n  \n{mit}\n\nend", "gpl-3": "some words before\nThis work is licensed under the GNU General\nPublic License, version 3",
+        "apache-2.0,mit": "Released under the MIT License\nLicensed under the Apache License, Version 2.0", "": "Redistribution and use in source and binary forms,\n\nwith or without modification, are permitted provided",
+    }
+    texts = list(own.values())
+    new = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"] - 10**6: r for r in license.digest(docs.select("doc_id", "text").unionByName(new)).where("doc_id >= 1000000").collect()}
+    assert [got[i]["families"] for i in range(len(texts))] == list(own)
+    assert [got[i]["n_license_lines"] for i in range(len(texts))] == [2, 3, 5, 2, 2, 0]
+
+
 # 9 language model
 
 
