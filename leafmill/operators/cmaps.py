@@ -1,10 +1,85 @@
-"""Character maps: ranges, differences and widths as joins and windows."""
+"""Character maps: encodings, ranges, differences and widths as joins and windows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import unicodedata
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Names of glyphs that no rule gives.
+GLYPHS = """
+space 0020 exclam 0021 quotedbl 0022 numbersign 0023 dollar 0024 percent 0025 ampersand 0026 quotesingle 0027 parenleft 0028 parenright 0029
+asterisk 002A plus 002B comma 002C hyphen 002D period 002E slash 002F zero 0030 one 0031 two 0032 three 0033 four 0034 five 0035 six 0036
+seven 0037 eight 0038 nine 0039 colon 003A semicolon 003B less 003C equal 003D greater 003E question 003F at 0040 bracketleft 005B
+backslash 005C bracketright 005D asciicircum 005E underscore 005F grave 0060 braceleft 007B bar 007C braceright 007D asciitilde 007E
+nbspace 00A0 exclamdown 00A1 cent 00A2 sterling 00A3 currency 00A4 yen 00A5 brokenbar 00A6 section 00A7 dieresis 00A8 copyright 00A9
+ordfeminine 00AA guillemotleft 00AB logicalnot 00AC softhyphen 00AD registered 00AE macron 00AF degree 00B0 plusminus 00B1 acute 00B4
+mu 00B5 paragraph 00B6 periodcentered 00B7 cedilla 00B8 ordmasculine 00BA guillemotright 00BB onequarter 00BC onehalf 00BD threequarters 00BE
+questiondown 00BF AE 00C6 Eth 00D0 multiply 00D7 Oslash 00D8 Thorn 00DE germandbls 00DF ae 00E6 eth 00F0 divide 00F7 oslash 00F8 thorn 00FE
+dotlessi 0131 Lslash 0141 lslash 0142 OE 0152 oe 0153 florin 0192 circumflex 02C6 caron 02C7 breve 02D8 dotaccent 02D9 ring 02DA ogonek 02DB
+tilde 02DC hungarumlaut 02DD endash 2013 emdash 2014 quoteleft 2018 quoteright 2019 quotesinglbase 201A quotedblleft 201C quotedblright 201D
+quotedblbase 201E dagger 2020 daggerdbl 2021 bullet 2022 ellipsis 2026 perthousand 2030 guilsinglleft 2039 guilsinglright 203A fraction 2044
+Euro 20AC trademark 2122 minus 2212 ff FB00 fi FB01 fl FB02 ffi FB03 ffl FB04
+"""
+#: The codes above ASCII of the standard encoding, and the two within that differ.
+STANDARD = {
+    39: "’", 96: "‘", 161: "¡", 162: "¢", 163: "£", 164: "⁄", 165: "¥", 166: "ƒ", 167: "§", 168: "¤", 169: "'", 170: "“", 171: "«", 172: "‹", 173: "›", 174: "ﬁ", 175: "ﬂ",
+    177: "–", 178: "†", 179: "‡", 180: "·", 182: "¶", 183: "•", 184: "‚", 185: "„", 186: "”", 187: "»", 188: "…", 189: "‰", 191: "¿", 193: "`", 194: "´", 195: "ˆ", 196: "˜",
+    197: "¯", 198: "˘", 199: "˙", 200: "¨", 202: "˚", 203: "¸", 205: "˝", 206: "˛", 207: "ˇ", 208: "—", 225: "Æ", 227: "ª", 232: "Ł", 233: "Ø", 234: "Œ", 235: "º", 241: "æ",
+    245: "ı", 248: "ł", 249: "ø", 250: "œ", 251: "ß",
+}
+#: How Unicode calls the accents that follow a letter in a glyph's name.
+ACCENTS = {
+    "acute": "ACUTE", "grave": "GRAVE", "circumflex": "CIRCUMFLEX", "dieresis": "DIAERESIS", "tilde": "TILDE", "ring": "RING ABOVE", "caron": "CARON", "cedilla": "CEDILLA",
+    "macron": "MACRON", "breve": "BREVE", "ogonek": "OGONEK", "dotaccent": "DOT ABOVE", "hungarumlaut": "DOUBLE ACUTE", "commaaccent": "CEDILLA",
+}
+
+
+def glyph_names() -> dict[str, str]:
+    """Glyph name to character: letters with accents and Greek letters by Unicode's names, the others from a list."""
+    parts = GLYPHS.split()
+    out = {n: chr(int(x, 16)) for n, x in zip(parts[::2], parts[1::2], strict=True)}
+
+    def add(name: str, unicode_name: str) -> None:
+        try:
+            out.setdefault(name, unicodedata.lookup(unicode_name))
+        except KeyError:
+            pass
+
+    for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ":
+        out |= {c: c, c.lower(): c.lower()}
+        for name, accent in ACCENTS.items():
+            add(c + name, f"LATIN CAPITAL LETTER {c} WITH {accent}")
+            add(c.lower() + name, f"LATIN SMALL LETTER {c} WITH {accent}")
+    for i in [*range(0x391, 0x3AA), *range(0x3B1, 0x3CA)]:
+        if (name := unicodedata.name(chr(i), "")) and "FINAL" not in name:
+            last = name.split()[-1].lower().replace("lamda", "lambda")
+            out.setdefault(last.capitalize() if "CAPITAL" in name else last, chr(i))
+    return out
+
+
+def base_encodings(spark: SparkSession) -> DataFrame:
+    """(name, table): code to text of the named encodings; a fixed, small table."""
+
+    def of(codec: str) -> dict[int, str]:
+        pairs = {i: bytes([i]).decode(codec, "ignore") for i in range(32, 256)}
+        return {i: c for i, c in pairs.items() if c}
+
+    rows = [("StandardEncoding", {i: chr(i) for i in range(32, 127)} | STANDARD), ("WinAnsiEncoding", of("cp1252")), ("MacRomanEncoding", of("mac_roman"))]
+    return spark.createDataFrame(rows, "name string, table map<int,string>")
+
+
+def glyph_text(glyphs: DataFrame) -> DataFrame:
+    """Adds ``text`` to rows with ``glyph``: by the list of names, or by the code in names like uni20AC and u1F600; unknown ones are a white square."""
+    names = glyphs.sparkSession.createDataFrame(list(glyph_names().items()), "__g string, __t string")
+    plain = F.when(F.startswith("glyph", F.lit(".")), F.col("glyph")).otherwise(F.substring_index("glyph", ".", 1))
+    d = glyphs.withColumn("__g", plain).join(F.broadcast(names), "__g", "left")
+    digits = F.regexp_extract("__g", "^(?:uni((?:[0-9A-F]{4})+)|u([0-9A-F]{4,6}))$", 1)
+    long = F.regexp_extract("__g", "^u([0-9A-F]{4,6})$", 1)
+    coded = F.when(digits != "", F.decode(F.unhex(digits), "UTF-16BE")).when(long != "", F.decode(F.unhex(F.lpad(long, 8, "0")), "UTF-32BE"))
+    return d.withColumn("text", F.coalesce("__t", coded, F.lit("□"))).drop("__g", "__t")
+
 
 def expand_ranges(ranges: DataFrame) -> DataFrame:
     """(font, code, unicode) of (font, seq, lo, hi, dst): one row per code, so that a lookup is an equi-join; the first range wins."""
@@ -19,11 +94,33 @@ def map_codes(codes: DataFrame, expanded: DataFrame, missing: int = 0x25A1) -> D
 
 
 def expand_differences(items: DataFrame) -> DataFrame:
-    """(font, code, glyph) of (font, seq, number, glyph): a number sets the code, each glyph takes it and adds one."""
+    """(font, code, glyph) of (font, seq, number, glyph): a number sets the code, each glyph takes it and adds one; the last for a code wins."""
     w = Window.partitionBy("font").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     d = items.withColumn("start", F.last("number", ignorenulls=True).over(w)).withColumn("at", F.last(F.when(F.col("number").isNotNull(), F.col("seq")), ignorenulls=True).over(w))
     d = d.where("glyph is not null and start is not null")
-    return d.select("font", (F.col("start") + F.col("seq") - F.col("at") - 1).alias("code"), "glyph")
+    d = d.select("font", (F.col("start") + F.col("seq") - F.col("at") - 1).alias("code"), "glyph", "seq")
+    return d.groupBy("font", "code").agg(F.max_by("glyph", "seq").alias("glyph"))
+
+
+def cid_spans(fonts: DataFrame) -> DataFrame:
+    """(font, first, last, width, widths) of (font, w): ``w`` is a JSON array of numbers and arrays of numbers, as composite fonts list widths."""
+    span = "struct<first:int,last:int,width:double,widths:array<double>>"
+    start = F.struct(F.array().cast("array<double>").alias("open"), F.array().cast(f"array<{span}>").alias("done"))
+
+    def step(a: Column, x: Column) -> Column:
+        first, last, number = F.get(a["open"], F.lit(0)).try_cast("int"), F.get(a["open"], F.lit(1)).try_cast("int"), x.try_cast("double")
+        listed = F.struct(first.alias("first"), F.lit(None).cast("int").alias("last"), F.lit(None).cast("double").alias("width"), F.from_json(x, "array<double>").alias("widths"))
+        ranged = F.struct(first.alias("first"), last.alias("last"), number.alias("width"), F.lit(None).cast("array<double>").alias("widths"))
+        is_list = F.startswith(x, F.lit("["))
+        none = F.array().cast("array<double>")
+        return (
+            F.when(is_list, F.struct(none.alias("open"), F.array_append(a["done"], listed.cast(span)).alias("done")))
+            .when(F.size(a["open"]) == 2, F.struct(none.alias("open"), F.array_append(a["done"], ranged.cast(span)).alias("done")))
+            .otherwise(F.struct(F.array_append(a["open"], number).alias("open"), a["done"].alias("done")))
+        )
+
+    d = fonts.select("font", F.aggregate(F.from_json("w", "array<string>"), start, step, lambda a: a["done"]).alias("spans"))
+    return d.select("font", F.explode("spans").alias("s")).select("font", "s.*")
 
 
 def expand_widths(items: DataFrame) -> DataFrame:

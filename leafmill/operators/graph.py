@@ -1,36 +1,38 @@
-"""Precedence of cross-reference sections, and walks of page trees and outlines."""
+"""Precedence of cross-reference sections, and walks of page trees."""
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..durable import stored
 
-def newest(rows: DataFrame, key: list[str], section: str) -> DataFrame:
-    """The row of the first section (the newest) for each key."""
-    w = Window.partitionBy(*key).orderBy(section)
+
+def newest(rows: DataFrame, key: list[str], *order: str) -> DataFrame:
+    """The first row by ``order`` (sections count from the newest) for each key."""
+    w = Window.partitionBy(*key).orderBy(*order)
     return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def walk(roots: DataFrame, edges: DataFrame, max_depth: int = 90) -> DataFrame:
-    """(tree, node, path, depth, carried): every node below the roots, by a recursive query.
+def walk(roots: DataFrame, edges: DataFrame, keep: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
+    """(tree, node, path, carried): every node below the roots, level by level; each level is a join, and is kept.
 
-    roots (tree, node, carried); edges (tree, parent, ordinal, child, own).  path has the ordinals from
-    the root; carried is the nearest value of ``own`` on the way down.  Deeper than ``max_depth``: cut off,
-    which also ends cycles.
+    roots (tree, node, carried); edges (tree, parent, ordinal, child, own).  path has the ordinals from the root;
+    carried is the nearest value of ``own`` on the way down.  A node that is its own ancestor is cut off there, so
+    the walk ends at any depth and for any number of trees.
     """
-    spark, tag = roots.sparkSession, uuid.uuid4().hex
-    roots.createOrReplaceTempView(f"roots_{tag}")
-    edges.createOrReplaceTempView(f"edges_{tag}")
-    return spark.sql(f"""
-        WITH RECURSIVE t(tree, node, path, depth, carried) AS (
-          SELECT tree, node, CAST(array() AS array<int>), 0, carried FROM roots_{tag}
-          UNION ALL
-          SELECT t.tree, e.child, concat(t.path, array(CAST(e.ordinal AS int))), t.depth + 1, coalesce(e.own, t.carried)
-          FROM t JOIN edges_{tag} e ON t.tree = e.tree AND t.node = e.parent WHERE t.depth < {max_depth})
-        SELECT * FROM t""")
+    edges = keep(edges.select("tree", F.col("parent").alias("node"), "ordinal", "child", "own"))
+    level = keep(roots.select("tree", "node", F.array().cast("array<int>").alias("path"), F.array("node").alias("above"), "carried"))
+    out = level
+    while True:
+        below = level.join(edges, ["tree", "node"]).where(~F.array_contains("above", F.col("child")))
+        below = below.select("tree", F.col("child").alias("node"), F.array_append("path", F.col("ordinal").cast("int")).alias("path"), F.array_append("above", F.col("child")).alias("above"), F.coalesce("own", "carried").alias("carried"))
+        level = keep(below)
+        if level.isEmpty():
+            return out.drop("above")
+        out = out.unionByName(level)
 
 
 def leaves(walked: DataFrame, edges: DataFrame) -> DataFrame:

@@ -20,6 +20,14 @@ def reading_order(elements: DataFrame, page: list[str] = PAGE) -> DataFrame:
     return e.withColumn("seq", F.row_number().over(order)).drop("__y", "__x")
 
 
+def advance(elements: DataFrame, page: list[str] = PAGE) -> DataFrame:
+    """Moves ``tx`` of an element that follows another without a move (``moved`` is false) to where that ends."""
+    own = Window.partitionBy(*page, "obj_seq").orderBy("elem_seq")
+    e = elements.withColumn("__run", F.sum(F.col("moved").cast("int")).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    before = Window.partitionBy(*page, "obj_seq", "__run").orderBy("elem_seq").rowsBetween(Window.unboundedPreceding, -1)
+    return e.withColumn("tx", F.col("tx") + F.coalesce(F.sum("width").over(before), F.lit(0.0))).drop("__run")
+
+
 def lines_and_groups(elements: DataFrame, page: list[str] = PAGE) -> DataFrame:
     """Adds ``line_id`` and ``group_id``: a step of less than the height stays on the line, of less than two in the group."""
     w = Window.partitionBy(*page).orderBy("seq")
@@ -71,8 +79,9 @@ def paragraphs(lines: DataFrame, page: list[str] = PAGE, by_chars: bool = False)
     A hyphen at the end of a line is dropped where the next joins it, else a space comes between.  By
     characters, a joined line counts the space before it.  Lists keep their lines.
     """
-    widest, lists = page_width(lines, page), list_groups(lines, page)
-    d = lines.join(widest, page).join(lists, [*page, "group_id"])
+    whole, group = Window.partitionBy(*page), Window.partitionBy(*page, "group_id")
+    d = lines.withColumn("page_width", F.max("line_width").over(whole)).withColumn("page_chars", F.max(F.char_length("line_text")).over(whole))
+    d = d.withColumn("is_list", F.bool_and(F.endswith("last_text", F.lit("."))).over(group))
     grp = [*page, "group_id"]
     if by_chars:
         # whether a line has a space before it depends on the line before: carried along the group's lines
@@ -97,7 +106,7 @@ def paragraphs(lines: DataFrame, page: list[str] = PAGE, by_chars: bool = False)
     hyphen = F.coalesce(F.endswith(F.lag("line_text").over(mine), F.lit("-")), F.lit(False))
     body = F.when(last, F.col("line_text")).otherwise(F.regexp_replace("line_text", "-$", ""))
     d = d.withColumn("piece", F.concat(F.when(first | hyphen, F.lit("")).otherwise(F.lit(" ")), body))
-    return d.groupBy(*grp, "paragraph").agg(in_order("piece", "line_id").alias("text"), F.min_by("line_x", "line_id").alias("line_x"), F.count("*").alias("n_lines"))
+    return d.groupBy(*grp, "paragraph").agg(in_order("piece", "line_id").alias("text"), F.min_by("line_x", "line_id").alias("line_x"), F.min("line_id").alias("first_line"), F.count("*").alias("n_lines"))
 
 
 def indent_levels(rows: DataFrame, page: list[str] = PAGE) -> DataFrame:
@@ -131,12 +140,17 @@ def kerned_text(tj: Column, space_width: Column) -> Column:
     return F.array_join(F.transform(tj, lambda x: F.concat(F.when(-x["adj"] >= 0.6 * space_width, F.lit(" ")).otherwise(F.lit("")), x["s"])), "")
 
 
-def kerned_width(tj: Column, widths: Column, missing: Column, scale: Column) -> Column:
-    """Sum of glyph widths less adjustments, in thousandths of the scale; a character without a width has the missing one."""
+def glyph_widths(tj: Column, widths: Column, missing: Column) -> Column:
+    """Adds ``w`` to the structs (s, adj): the sum of the characters' widths; one without a width has the missing one."""
     chars = lambda s: F.filter(F.split(s, ""), lambda c: c != "")
     one = lambda c: F.coalesce(F.try_element_at(widths, F.ascii(c)), missing)
     total = lambda s: F.aggregate(F.transform(chars(s), one), F.lit(0.0), lambda a, b: a + b)
-    return F.aggregate(F.transform(tj, lambda x: total(x["s"]) - F.coalesce(x["adj"], F.lit(0.0))), F.lit(0.0), lambda a, b: a + b) / 1000 * scale
+    return F.transform(tj, lambda x: F.struct(x["s"].alias("s"), x["adj"].alias("adj"), total(x["s"]).alias("w")))
+
+
+def kerned_width(tj: Column, scale: Column) -> Column:
+    """Sum of the widths of an array of struct(s, adj, w) less adjustments, in thousandths of the scale; null if one is unknown."""
+    return F.aggregate(tj, F.lit(0.0), lambda a, x: a + x["w"] - F.coalesce(x["adj"], F.lit(0.0))) / 1000 * scale
 
 
 def render_table(rows: Column) -> Column:

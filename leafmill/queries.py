@@ -42,16 +42,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # --- PDF files written from documents
 
 
-def _pdfs(spark: SparkSession, sf_dir: str, layout_name: str = "table", titles: bool = False, password: str | None = None) -> DataFrame:
+def _pdfs(spark: SparkSession, sf_dir: str, titles: bool = False, **how: object) -> DataFrame:
+    """(file_id, content): a file of two pages for each document; with titles, its first three lines are outline items, the first word of each below it."""
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            files = []
-            for text in b.column("text").to_pylist():
-                lines = (text or "").split("\n")
-                half = (len(lines) + 1) // 2
-                names = [x[:20] for x in lines[:3]] if titles else None
-                files.append(pdfwriter.write_pdf([lines[:half], lines[half:]], layout_name, names, password.encode() if password else None))
-            yield pa.RecordBatch.from_arrays([b.column("file_id"), pa.array(files, pa.binary())], ["file_id", "content"])
+            for i in range(0, b.num_rows, 200):
+                files, part = [], b.slice(i, 200)
+                for text in part.column("text").to_pylist():
+                    lines = (text or "").split("\n")
+                    half = (len(lines) + 1) // 2
+                    outline = [(x[:20], k % 2, x.split()[:1]) for k, x in enumerate(lines[:3])] if titles else None
+                    files.append(pdfwriter.write_pdf([lines[:half], lines[half:]], outline=outline, **how))
+                yield pa.RecordBatch.from_arrays([part.column("file_id"), pa.array(files, pa.binary())], ["file_id", "content"])
 
     return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file_id"), "text").mapInArrow(write, "file_id string, content binary")
 
@@ -75,28 +78,69 @@ def pdf_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(LINES_SQL)
 def pdf_object_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(pdf.Documents(_pdfs(spark, sf_dir, "stream")))
+    return _lines(pdf.Documents(_pdfs(spark, sf_dir, layout="stream")))
 
 
 @query(LINES_SQL)
 def pdf_repair_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(pdf.Documents(_pdfs(spark, sf_dir, "broken")))
+    return _lines(pdf.Documents(_pdfs(spark, sf_dir, layout="broken")))
 
 
 @query(LINES_SQL)
 def pdf_incremental_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(pdf.Documents(_pdfs(spark, sf_dir, "update")))
+    return _lines(pdf.Documents(_pdfs(spark, sf_dir, layout="update")))
+
+
+@query(LINES_SQL)
+def pdf_updated_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The content streams of the first section are superseded."""
+    return _lines(pdf.Documents(_pdfs(spark, sf_dir, layout="replaced")))
+
+
+@query(LINES_SQL)
+def pdf_freed_object(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of the first section is freed in the second."""
+    return _lines(pdf.Documents(_pdfs(spark, sf_dir, layout="freed")))
 
 
 @query(LINES_SQL)
 def pdf_encrypted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(pdf.Documents(_pdfs(spark, sf_dir, password="pass"), "pass"))
+    return _lines(pdf.Documents(_pdfs(spark, sf_dir, password=b"pass"), "pass"))
+
+
+@query(LINES_SQL)
+def pdf_kerned_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words are set apart by kerning only, and broken into pieces and operators without a move."""
+    return _lines(pdf.Documents(_pdfs(spark, sf_dir, style="kerned")))
+
+
+@query(LINES_SQL)
+def pdf_simple_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A font without a character map: base encoding, differences by glyph names, widths by code."""
+    return _lines(pdf.Documents(_pdfs(spark, sf_dir, font="simple", style="kerned")))
+
+
+@query("""
+WITH l AS (SELECT doc_id, i, x, CASE WHEN i <= (n + 1) // 2 THEN 0 ELSE 1 END::INT AS page_index
+  FROM (SELECT doc_id, len(string_split(text, chr(10))) AS n, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE trim(x) <> ''),
+g AS (SELECT *, sum(CASE WHEN i - p > 1 THEN 1 ELSE 0 END) OVER w AS grp, row_number() OVER w - 1 AS line_id, max(length(x)) OVER (PARTITION BY doc_id, page_index) AS pw
+  FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id, page_index ORDER BY i) AS p FROM l) WINDOW w AS (PARTITION BY doc_id, page_index ORDER BY i)),
+b AS (SELECT *, CASE WHEN lag(i) OVER q IS NULL THEN 0 WHEN bool_and(ends_with(x, '.')) OVER (PARTITION BY doc_id, page_index, grp) THEN 1 WHEN lag(length(x)) OVER q >= 0.8 * pw THEN 0 ELSE 1 END AS brk
+  FROM g WINDOW q AS (PARTITION BY doc_id, page_index, grp ORDER BY i)),
+t AS (SELECT doc_id, page_index, grp, par, min(line_id) AS seq, replace(string_agg(x, ' ' ORDER BY i), '- ', '') AS txt
+  FROM (SELECT *, sum(brk) OVER (PARTITION BY doc_id, page_index, grp ORDER BY i) AS par FROM b) GROUP BY ALL),
+h AS (SELECT doc_id, page_index, grp, min(seq) AS seq, string_agg(txt, chr(10) ORDER BY seq) AS txt FROM t GROUP BY ALL)
+SELECT doc_id, page_index, string_agg(txt, chr(10) || chr(10) ORDER BY seq) AS text FROM h GROUP BY ALL
+""")
+def pdf_page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole chain: widths, spaces, groups, lists, paragraphs."""
+    t = contents.page_texts(pdf.Documents(_pdfs(spark, sf_dir, style="kerned")).elements)
+    return t.select(F.col("file_id").cast("long").alias("doc_id"), "page_index", "text")
 
 
 @query("SELECT doc_id, 2::BIGINT AS n_pages FROM documents")
 def pdf_page_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pdf.Documents(_pdfs(spark, sf_dir)).pages
-    return p.groupBy(F.col("file_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n_pages"))
+    return pdf.Documents(_pdfs(spark, sf_dir)).page_counts.select(F.col("file_id").cast("long").alias("doc_id"), "n_pages")
 
 
 @query("SELECT doc_id, 15::INT AS size, 1::INT AS root FROM documents")
@@ -104,13 +148,48 @@ def pdf_trailer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pdf.Documents(_pdfs(spark, sf_dir)).trailers.select(F.col("file_id").cast("long").alias("doc_id"), "size", "root")
 
 
+OUTLINE_SQL = f"""
+WITH t AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1)::INT AS i FROM documents)
+SELECT doc_id, [i - 1]::INT[] AS path, 0::INT AS depth, x[:20] AS title, ((i - 1) % 2)::INT AS page_index FROM t WHERE i <= 3
+UNION ALL SELECT doc_id, [i - 1, 0]::INT[], 1::INT, regexp_extract(x, '{WORDS}'), ((i - 1) % 2)::INT FROM t WHERE i <= 3 AND regexp_matches(x, '{WORDS}')
+"""
+
+
+def _outline(docs: pdf.Documents) -> DataFrame:
+    return docs.outline.select(F.col("file_id").cast("long").alias("doc_id"), F.array_join("path", ".").alias("path"), "depth", "title", "page_index")
+
+
+@query(f"SELECT doc_id, array_to_string(path, '.') AS path, depth, title, page_index FROM ({OUTLINE_SQL})")
+def outline_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested items, followed from the catalog; the document's own title is none."""
+    return _outline(pdf.Documents(_pdfs(spark, sf_dir, titles=True)))
+
+
+@query(f"SELECT doc_id, array_to_string(path, '.') AS path, depth, title, page_index FROM ({OUTLINE_SQL})")
+def outline_encrypted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _outline(pdf.Documents(_pdfs(spark, sf_dir, titles=True, password=b"pass"), "pass"))
+
+
+@query("SELECT doc_id, 'password' AS code, 'wrong password' AS message FROM documents")
+def pdf_wrong_password(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pdf.Documents(_pdfs(spark, sf_dir, password=b"pass"), "other").errors.select(F.col("file_id").cast("long").alias("doc_id"), "code", "message")
+
+
 @query("""
-SELECT doc_id, (10000 + i - 1)::BIGINT AS item, x[:20] AS title, ((i - 1) % 2)::INT AS page_index
-FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1)::INT AS i FROM documents) WHERE i <= 3
+SELECT doc_id, obj::INT AS obj, in_use, obj_stm::INT AS obj_stm FROM documents,
+(VALUES (1, TRUE, 20000), (2, TRUE, 20000), (3, TRUE, 20000), (4, TRUE, NULL), (5, TRUE, 20000), (10, TRUE, 20000), (11, TRUE, NULL), (13, TRUE, 20000), (14, TRUE, NULL), (20000, TRUE, NULL), (20001, TRUE, NULL)) AS v(obj, in_use, obj_stm)
 """)
-def pdf_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = pdf.Documents(_pdfs(spark, sf_dir, titles=True)).outline
-    return o.select(F.col("file_id").cast("long").alias("doc_id"), F.col("item").cast("long").alias("item"), "title", "page_index")
+def xref_stream_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = pdf.Documents(_pdfs(spark, sf_dir, layout="stream")).xref
+    return x.select(F.col("file_id").cast("long").alias("doc_id"), "obj", "in_use", "obj_stm")
+
+
+@query("""
+SELECT doc_id, obj::INT AS obj, kind FROM documents, (VALUES (1, '/Catalog'), (2, '/Pages'), (3, '/Font'), (5, '/Font'), (10, '/Page'), (13, '/Page')) AS v(obj, kind)
+""")
+def objstm_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = pdf.Documents(_pdfs(spark, sf_dir, layout="stream")).objects.where("pos is null")
+    return o.select(F.col("file_id").cast("long").alias("doc_id"), "obj", F.get_json_object("value", "$.Type").alias("kind"))
 
 
 # --- filters
@@ -370,7 +449,7 @@ def tj_text_and_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = F.struct("l_linenumber", F.col("l_returnflag").alias("s"), (-F.col("l_quantity")).alias("adj"))
     d = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("tj"))
     widths = F.create_map(*[F.lit(x) for x in (65, 500.0, 78, 700.0)])
-    return d.select("l_orderkey", layout.kerned_text(F.col("tj"), F.lit(40.0)).alias("text"), F.round(layout.kerned_width(F.col("tj"), widths, F.lit(600.0), F.lit(10.0)), 6).alias("width"))
+    return d.select("l_orderkey", layout.kerned_text(F.col("tj"), F.lit(40.0)).alias("text"), F.round(layout.kerned_width(layout.glyph_widths(F.col("tj"), widths, F.lit(600.0)), F.lit(10.0)), 6).alias("width"))
 
 
 @query("SELECT o_custkey, string_agg(o_orderstatus || ' || ' || o_orderpriority, chr(10) ORDER BY o_orderkey) AS rendered FROM orders GROUP BY o_custkey")
@@ -405,27 +484,24 @@ def xref_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _geography(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    r, n, c = (table(spark, sf_dir, x) for x in ("region", "nation", "customer"))
-    node = lambda kind, c: F.concat(F.lit(kind), c.cast("string"))
-    tree = F.lit("world").alias("tree")
-    edges = r.select(tree, F.lit("w").alias("parent"), F.col("r_regionkey").cast("int").alias("ordinal"), node("r", F.col("r_regionkey")).alias("child"), F.col("r_name").alias("own"))
-    edges = edges.unionByName(n.select(tree, node("r", F.col("n_regionkey")).alias("parent"), F.col("n_nationkey").cast("int").alias("ordinal"), node("n", F.col("n_nationkey")).alias("child"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).alias("own")))
-    edges = edges.unionByName(c.select(tree, node("n", F.col("c_nationkey")).alias("parent"), F.col("c_custkey").cast("int").alias("ordinal"), node("c", F.col("c_custkey")).alias("child"), F.lit(None).cast("string").alias("own")))
-    roots = spark.createDataFrame([("world", "w", None)], "tree string, node string, carried string")
+    """A tree for each nation: its market segments, and their customers."""
+    n, c = (table(spark, sf_dir, x) for x in ("nation", "customer"))
+    c = c.withColumn("tree", F.col("c_nationkey").cast("long"))
+    segments = c.select("tree", "c_mktsegment").distinct()
+    edges = segments.select("tree", F.concat(F.lit("n"), "tree").alias("parent"), F.ascii(F.substring("c_mktsegment", 1, 1)).alias("ordinal"), F.col("c_mktsegment").alias("child"), F.when(F.col("tree") % 2 == 0, F.col("c_mktsegment")).alias("own"))
+    edges = edges.unionByName(c.select("tree", F.col("c_mktsegment").alias("parent"), F.col("c_custkey").cast("int").alias("ordinal"), F.concat(F.lit("c"), "c_custkey").alias("child"), F.lit(None).cast("string").alias("own")))
+    roots = n.select(F.col("n_nationkey").cast("long").alias("tree"), F.concat(F.lit("n"), "n_nationkey").alias("node"), F.col("n_name").alias("carried"))
     return roots, edges
 
 
 @query("""
-SELECT 'c' || c_custkey AS node, (row_number() OVER (ORDER BY r_regionkey, n_nationkey, c_custkey) - 1)::INT AS page_index, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE r_name END AS carried
-FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-UNION ALL SELECT 'x', -1, NULL WHERE FALSE
+SELECT 'c' || c_custkey AS node, (row_number() OVER (PARTITION BY c_nationkey ORDER BY ascii(c_mktsegment), c_custkey) - 1)::INT AS page_index, CASE WHEN n_nationkey % 2 = 0 THEN c_mktsegment ELSE n_name END AS carried
+FROM customer JOIN nation ON c_nationkey = n_nationkey
 """)
 def page_tree_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
     roots, edges = _geography(spark, sf_dir)
-    found = graph.leaves(graph.walk(roots, edges), edges)
-    # nations without customers and regions without nations are leaves, but no pages
-    pages = found.where(F.startswith("node", F.lit("c")))
-    return pages.select("node", (F.row_number().over(Window.partitionBy("tree").orderBy("path")) - 1).alias("page_index"), "carried")
+    # nations without customers are leaves, but no pages
+    return graph.leaves(graph.walk(roots, edges), edges).where(F.startswith("node", F.lit("c"))).select("node", "page_index", "carried")
 
 
 # --- scalars, colours, fonts and character maps
@@ -487,8 +563,8 @@ def cmap_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT l_orderkey AS font, (p + i - 2)::BIGINT AS code, ['a', 'b', 'c'][i] AS glyph
-FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p FROM lineitem GROUP BY ALL), (SELECT unnest([1, 2, 3]) AS i)
+SELECT l_orderkey AS font, (p + i - 2)::BIGINT AS code, arg_max(['a', 'b', 'c'][i], l_linenumber * 4 + i) AS glyph
+FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p FROM lineitem GROUP BY ALL), (SELECT unnest([1, 2, 3]) AS i) GROUP BY ALL
 """)
 def differences_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
@@ -514,3 +590,69 @@ def cid_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def big_endian_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     digits: Column = F.lpad(F.hex(F.col("c_custkey") % 65536), 4, "0")
     return table(spark, sf_dir, "customer").select("c_custkey", scalars.big_endian(F.unhex(digits)).alias("number"), F.lower(digits).alias("digits"))
+
+
+@query(r"""
+SELECT l_orderkey, bool_and(l_discount <> 0) AS metric, round(avg(CASE WHEN l_tax <> 0 THEN l_tax END), 9) AS missing FROM lineitem GROUP BY l_orderkey
+""")
+def measure_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page is measured by widths if every font has a missing width; that is the mean of the widths where none is given."""
+    d = table(spark, sf_dir, "lineitem").withColumn("missing", F.nullif("l_discount", F.lit(0.0)))
+    d = d.groupBy("l_orderkey").agg(F.bool_and(F.col("missing").isNotNull()).alias("metric"), F.collect_list("l_tax").alias("w"))
+    return d.select("l_orderkey", "metric", F.round(pdf.mean_width(F.col("w")), 9).alias("missing"))
+
+
+@query("""
+SELECT l_orderkey AS font, (first + i)::INT AS cid, w::DOUBLE AS width FROM (SELECT l_orderkey, l_linenumber * 100 AS first, l_quantity::INT AS w, unnest([0, 1, 2]) AS i, l_linenumber AS n FROM lineitem) WHERE n % 2 = 1
+UNION ALL SELECT l_orderkey, (first + i)::INT, (w + i)::DOUBLE FROM (SELECT l_orderkey, l_linenumber * 100 AS first, l_quantity::INT AS w, unnest([0, 1]) AS i, l_linenumber AS n FROM lineitem) WHERE n % 2 = 0
+""")
+def cid_width_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Width arrays as composite fonts write them: c [w w] and c c w in turn."""
+    first, w = (F.col("l_linenumber") * 100).cast("string"), F.col("l_quantity").cast("int")
+    listed = F.concat(first, F.lit(" ["), w.cast("string"), F.lit(" "), (w + 1).cast("string"), F.lit("]"))
+    text = F.when(F.col("l_linenumber") % 2 == 0, listed).otherwise(F.concat_ws(" ", first, (F.col("l_linenumber") * 100 + 2).cast("string"), w.cast("string")))
+    d = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("font")).agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list(text)), " "), F.lit("]")).alias("w"))
+    d = d.withColumn("w", F.replace(F.regexp_replace("w", r"([0-9\]]) (?=[0-9\[])", "$1,"), F.lit(" "), F.lit(",")))
+    return cmaps.expand_widths(cmaps.cid_spans(d))
+
+
+@query("""
+SELECT p_partkey, ['A', 'é', 'Ł', 'α', '€', '□', 'ﬁ', '©'][(p_partkey % 8 + 1)::INT] AS text FROM part
+""")
+def glyph_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(*[F.lit(x) for x in ("A", "eacute.alt", "Lslash", "alpha", "uni20AC", ".notdef", "fi", "copyright")])
+    return cmaps.glyph_text(table(spark, sf_dir, "part").select("p_partkey", F.get(names, (F.col("p_partkey") % 8).cast("int")).alias("glyph"))).select("p_partkey", "text")
+
+
+@query("""
+SELECT n_nationkey, '□' || n_name AS text FROM nation
+""")
+def tounicode_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of one and of two bytes, single and in ranges; the first is not mapped."""
+    cmap = b"2 begincodespacerange <00> <20> <2000> <FFFF> endcodespacerange 1 beginbfchar <2020> <0020> endbfchar 1 beginbfrange <2021> <207E> <0021> endbfrange"
+    shown = lambda name: [{"s": "\x01" + "".join(" " + c for c in name)}]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = ["".join(x["s"] for x in pdf.pieces(shown(n), {"cmap": cmap})) for n in b.column("n_name").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("n_nationkey"), pa.array(out)], ["n_nationkey", "text"])
+
+    return table(spark, sf_dir, "nation").select("n_nationkey", "n_name").mapInArrow(run, "n_nationkey int, text string")
+
+
+@query("""
+SELECT doc_id, kind, width, height, components, digest FROM (
+  SELECT doc_id, 'inline' AS kind, octet_length(encode(text))::INT AS width, 1::INT AS height, 1::INT AS components, md5(text) AS digest FROM documents
+  UNION ALL SELECT doc_id, 'object', octet_length(encode(text))::INT, 1::INT, 4::INT, md5(text) FROM documents)
+""")
+def image_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text as the bytes of an inline image and of one that Do draws; a form and a missing name draw none."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            files = [pdfwriter.write_images((x or "").encode()) for x in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("file_id"), pa.array(files, pa.binary())], ["file_id", "content"])
+
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file_id"), "text").mapInArrow(write, "file_id string, content binary")
+    i = pdf.Documents(files).images
+    return i.select(F.col("file_id").cast("long").alias("doc_id"), F.when(F.col("obj").isNull(), "inline").otherwise("object").alias("kind"), "width", "height", "components", F.md5("data").alias("digest"))

@@ -1,28 +1,37 @@
-"""PDF files as tables: cross-references, objects, pages, outline, fonts and text elements.
+"""PDF files as tables: cross-references, objects, pages, outline, fonts, text elements and images.
 
 ``open_files`` reads the bytes once, in Python; resolving references, precedence of sections, repair,
-tree walks and inheritance are joins, windows and recursive queries.
+tree walks, inheritance, encodings and widths are joins and windows.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from functools import cached_property, lru_cache
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..durable import durable
+from ..durable import stored
 from ..functions.codecs import decode_stream, object_key, rc4_stream
+from ..functions.scalars import text_string
+from ..operators import cmaps
 from ..operators.graph import leaves, newest, walk
 from . import pdf_bytes as B
 
 OPENED = "file_id string, kind string, section int, obj int, gen int, pos long, in_use boolean, obj_stm int, idx int, value string, raw binary, error string"
-FIELDS = [x.split()[0] for x in OPENED.split(", ")]
+#: Rows and bytes that a helper gathers before it hands them on.
+SLICE_ROWS, SLICE_BYTES = 2000, 16 << 20
+TJ = "array<struct<s:string,adj:double,w:double>>"
+REF = "struct<r:array<int>>"
+
+
+class PdfError(ValueError):
+    """What FAILFAST raises: the first error row."""
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
@@ -32,13 +41,22 @@ def read_files(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame
 
 
 def _per_row(df: DataFrame, rows: Callable[..., list[tuple]], schema: str) -> DataFrame:
-    """Rows that a helper makes of each row, by Arrow batches."""
+    """Rows that a helper makes of each row, by Arrow batches of bounded size."""
     kinds = [(f.name, to_arrow_type(f.dataType)) for f in T.StructType.fromDDL(schema)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = lambda out: pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, (_, k) in enumerate(kinds)], [n for n, _ in kinds])
         for b in batches:
-            out = [r for args in zip(*(c.to_pylist() for c in b.columns), strict=True) for r in rows(*args)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, (_, k) in enumerate(kinds)], [n for n, _ in kinds])
+            out, size = [], 0
+            for i in range(b.num_rows):
+                for r in rows(*(c[i].as_py() for c in b.columns)):
+                    out.append(r)
+                    size += sum(len(x) for x in r if isinstance(x, str | bytes))
+                    if len(out) >= SLICE_ROWS or size > SLICE_BYTES:
+                        yield make(out)
+                        out, size = [], 0
+            if out:
+                yield make(out)
 
     return df.mapInArrow(run, schema)
 
@@ -52,11 +70,14 @@ def open_files(files: DataFrame) -> DataFrame:
     def rows(file_id: str, content: bytes | None) -> list[tuple]:
         try:
             b, out = bytes(content), []
-            for s, (entries, trailer) in enumerate(B.sections(b)):
+            found = B.objects(b)
+            sections = B.sections(b) or [([], {"Root": {"r": [o, g]}}) for o, g, _, v, *_ in found[::-1] if isinstance(v, dict) and v.get("Type") == "/Catalog"][:1]
+            for s, (entries, trailer) in enumerate(sections):
                 out += [(file_id, "xref", s, o, g, p, u, m, i, None, None, None) for o, g, p, u, m, i in entries]
                 out.append((file_id, "trailer", s, None, None, None, None, None, None, json.dumps(trailer), None, None))
-            out += [(file_id, "object", None, o, g, p, None, None, None, json.dumps(v), raw, None) for o, g, p, v, raw in B.objects(b)]
-            return out
+            for o, g, p, v, at, n in found:
+                out.append((file_id, "object", None, o, g, p, None, None, None, json.dumps(v), None if at is None else b[at : at + n], None))
+            return out or [(file_id, "error", *[None] * 9, "no objects")]
         except Exception as e:  # noqa: BLE001  errors are data
             return [(file_id, "error", *[None] * 9, f"{type(e).__name__}: {e}"[:200])]
 
@@ -71,164 +92,345 @@ def _ref(c: str | Column, path: str) -> Column:
     return F.get_json_object(c, f"$.{path}.r[0]").cast("int")
 
 
+def _name(c: Column) -> Column:
+    return F.regexp_replace(c, "^/", "")
+
+
 class Documents:
     """Tables of a batch of files; each is a DataFrame, computed when used."""
 
-    def __init__(self, files: DataFrame, password: str = "", checkpoint: bool = True) -> None:
-        """checkpoint: the files are read and parsed once, here; else whenever a table is used."""
-        self.password = password.encode()
-        self.opened = durable(open_files(files)) if checkpoint else open_files(files)
+    def __init__(self, files: DataFrame, password: str = "", checkpoint: bool = True, mode: str = "PERMISSIVE") -> None:
+        """checkpoint: the files are read and parsed once, here; else whenever a table is used.
 
-    @property
+        mode: with FAILFAST the first error row is raised as a PdfError; with PERMISSIVE errors are rows of ``errors``.
+        """
+        self.password, self.keep = password.encode(), stored if checkpoint else (lambda df: df)
+        self.opened = self.keep(open_files(files))
+        if mode == "FAILFAST" and (first := self.errors.first()):
+            raise PdfError(f"{first['file_id']}: {first['code']}: {first['message']}")
+
+    @cached_property
     def xref(self) -> DataFrame:
-        """The newest entry of each object."""
+        """The newest entry of each object number, free ones included."""
         x = self.opened.where("kind = 'xref'").select("file_id", "section", "obj", "gen", "pos", "in_use", "obj_stm", "idx")
-        return newest(x, ["file_id", "obj", "gen"], "section")
+        return newest(x, ["file_id", "obj"], "section")
 
     @property
     def trailers(self) -> DataFrame:
+        """(file_id, size, root, info, prev, xref_stm, encrypt, id0) of the newest section."""
         t = newest(self.opened.where("kind = 'trailer'").select("file_id", "section", "value"), ["file_id"], "section")
-        return t.select("file_id", _get("value", "Size").cast("int").alias("size"), _ref("value", "Root").alias("root"), _get("value", "Encrypt").alias("encrypt"), F.get_json_object("value", "$.ID[0].s").alias("id0"))
-
-    @property
-    def errors(self) -> DataFrame:
-        return self.opened.where("kind = 'error'").select("file_id", "error")
+        number = lambda k: _get("value", k).try_cast("long")
+        return t.select(
+            "file_id", number("Size").cast("int").alias("size"), _ref("value", "Root").alias("root"), _ref("value", "Info").alias("info"), number("Prev").alias("prev"), number("XRefStm").alias("xref_stm"),
+            _get("value", "Encrypt").alias("encrypt"), F.get_json_object("value", "$.ID[0].s").alias("id0"),
+        )
 
-    @property
+    @cached_property
     def keys(self) -> DataFrame:
-        """(file_id, key) of the encrypted files; null where no password fits."""
+        """(file_id, key, error) of the encrypted files; key is null where no password fits, or the handler isn't supported."""
         password = self.password
 
         def rows(file_id: str, encrypt: str, id0: str | None) -> list[tuple]:
             try:
-                return [(file_id, B.file_key(json.loads(encrypt), (id0 or "").encode("latin-1"), password))]
-            except (KeyError, ValueError, TypeError):
-                return [(file_id, None)]
-
-        return _per_row(self.trailers.where("encrypt is not null").select("file_id", "encrypt", "id0"), rows, "file_id string, key binary")
-
-    @property
-    def streams(self) -> DataFrame:
-        """(file_id, obj, gen, pos, value, data): decrypted and decoded."""
-        s = self.opened.where("kind = 'object' and raw is not null").select("file_id", "obj", "gen", "pos", "value", "raw")
-        s = s.join(self.keys, "file_id", "left").withColumn("raw", F.when(F.col("key").isNull() | (_get("value", "Type") == "/XRef"), F.col("raw")).otherwise(rc4_stream(object_key(F.col("key"), F.col("obj"), F.col("gen")), F.col("raw"))))
+                key = B.file_key(json.loads(encrypt), (id0 or "").encode("latin-1"), password)
+                return [(file_id, key, None if key else "wrong password")]
+            except (KeyError, ValueError, TypeError) as e:
+                return [(file_id, None, f"unsupported encryption: {e}"[:200])]
+
+        t = self.trailers.where("encrypt is not null").select("file_id", "encrypt", "id0")
+        own = self.opened.where("kind = 'object'").groupBy("file_id", "obj").agg(F.max_by("value", "pos").alias("there"))
+        t = t.withColumn("obj", _ref(F.concat(F.lit('{"e":'), F.col("encrypt"), F.lit("}")), "e")).join(own, ["file_id", "obj"], "left")
+        out = _per_row(t.select("file_id", F.coalesce("there", "encrypt"), "id0"), rows, "file_id string, key binary, error string")
+        return self.keep(out) if self.encrypted else out
+
+    @cached_property
+    def encrypted(self) -> bool:
+        """Whether any file is."""
+        return not self.opened.where("kind = 'trailer'").where(_get("value", "Encrypt").isNotNull()).isEmpty()
+
+    def _decoded(self, wanted: DataFrame) -> DataFrame:
+        """Adds ``data`` to rows with file_id, obj, gen, pos and value: the stream, decrypted and decoded; null if that fails.
+
+        Only the wanted streams are joined to their bytes.  Files whose password doesn't fit have none.
+        """
+        raw = self.opened.where("kind = 'object' and raw is not null").select("file_id", "obj", "pos", "raw")
+        s = wanted.join(raw, ["file_id", "obj", "pos"])
+        if self.encrypted:
+            s = s.join(self.keys.withColumn("locked", F.lit(True)), "file_id", "left")
+            plain = F.col("locked").isNull() | F.coalesce(_get("value", "Type") == "/XRef", F.lit(False))
+            s = s.withColumn("raw", F.when(plain, F.col("raw")).otherwise(rc4_stream(object_key(F.col("key"), F.col("obj"), F.col("gen")), F.col("raw")))).drop("key", "error", "locked")
         one, many = _get("value", "Filter"), F.from_json(_get("value", "Filter"), "array<string>")
         names = F.when(F.startswith(one, F.lit("[")), many).when(one.isNotNull(), F.array(one)).otherwise(F.array().cast("array<string>"))
         params = _get("value", "DecodeParms")
         params = F.when(F.startswith(params, F.lit("{")), F.concat(F.lit("["), params, F.lit("]"))).otherwise(params)
-        names = F.transform(names, lambda x: F.regexp_replace(x, "^/", ""))
-        return s.select("file_id", "obj", "gen", "pos", "value", decode_stream("raw", names, params).alias("data"))
+        return s.withColumn("data", decode_stream("raw", F.transform(names, _name), params)).drop("raw")
 
-    @property
+    @cached_property
     def objects(self) -> DataFrame:
-        """(file_id, obj, gen, pos, value): what each object resolves to.
+        """(file_id, obj, gen, pos, value, is_stream): what each object number resolves to.
 
-        By its entry's position; through its object stream; or, where neither leads to it, its last occurrence in the file.
+        By its newest entry: at its position, or in its object stream; where that leads nowhere, or the file has no entry
+        for it, its last occurrence in the file.  Objects whose newest entry is free are gone, whatever the file holds.
         """
-        seen = self.opened.where("kind = 'object'").select("file_id", "obj", "gen", "pos", "value")
-        plain = self.xref.where("in_use and obj_stm is null").select("file_id", "obj", "gen", "pos").join(seen, ["file_id", "obj", "gen", "pos"])
-        packed = self.streams.where(_get("value", "Type") == "/ObjStm").select("file_id", F.col("obj").alias("obj_stm"), "value", "data")
-
-        def rows(file_id: str, stm: int, value: str, data: bytes | None) -> list[tuple]:
+        seen = self.opened.where("kind = 'object'").select("file_id", "obj", "gen", "pos", "value", F.col("raw").isNotNull().alias("is_stream"))
+        entry = self.xref.select("file_id", "obj", F.col("pos").alias("e_pos"), "in_use", F.col("obj_stm").alias("e_stm"), F.col("idx").alias("e_idx"))
+        there = seen.join(entry, ["file_id", "obj"], "left").where("coalesce(in_use, true)")
+        rank = F.when(F.col("e_stm").isNull() & (F.col("pos") == F.col("e_pos")), 0).otherwise(3)
+        columns = ["file_id", "obj", "gen", "pos", "value", "is_stream", "rank", "later"]
+        plain = there.withColumns({"rank": rank, "later": -F.col("pos")}).select(*columns)
+        found = self.keep(newest(plain, ["file_id", "obj"], "rank", "later"))
+        packed = found.where("is_stream").where(_get("value", "Type") == "/ObjStm")
+        if packed.isEmpty():
+            return found.drop("rank", "later")
+
+        def rows(file_id: str, stm: int, later: int, value: str, data: bytes | None) -> list[tuple]:
             try:
-                return [(file_id, stm, i, n, json.dumps(v)) for i, n, v in B.members(json.loads(value), bytes(data))]
+                return [(file_id, stm, later, i, n, json.dumps(v)) for i, n, v in B.members(json.loads(value), bytes(data))]
             except Exception:  # noqa: BLE001  a broken object stream has no members
                 return []
 
-        members = _per_row(packed, rows, "file_id string, obj_stm int, idx int, obj int, value string")
-        inside = self.xref.where("obj_stm is not null").select("file_id", "obj", "obj_stm", "idx").join(members, ["file_id", "obj_stm", "idx", "obj"])
-        inside = inside.select("file_id", "obj", F.lit(0).alias("gen"), F.lit(None).cast("long").alias("pos"), "value")
-        last = seen.groupBy("file_id", "obj", "gen").agg(F.max("pos").alias("pos"), F.max_by("value", "pos").alias("value"))
-        every = plain.withColumn("rank", F.lit(0)).unionByName(inside.withColumn("rank", F.lit(1))).unionByName(last.withColumn("rank", F.lit(2)))
-        return newest(every, ["file_id", "obj", "gen"], "rank").drop("rank")
-
-    @property
+        inside = _per_row(self._decoded(packed).select("file_id", "obj", "later", "value", "data"), rows, "file_id string, stm int, later long, idx int, obj int, value string")
+        inside = inside.join(entry, ["file_id", "obj"], "left").where("coalesce(in_use, true)")
+        mine = F.col("e_stm") == F.col("stm")
+        rank = F.when(mine & (F.col("e_idx") == F.col("idx")), 1).when(mine, 2).otherwise(4)
+        inside = inside.withColumns({"rank": rank, "gen": F.lit(0), "pos": F.lit(None).cast("long"), "is_stream": F.lit(False)}).select(*columns)
+        return self.keep(newest(found.unionByName(inside), ["file_id", "obj"], "rank", "later").drop("rank", "later"))
+
+    def _followed(self, df: DataFrame, column: str) -> DataFrame:
+        """A JSON column where a reference is replaced by the value that it leads to."""
+        to = self.objects.select("file_id", F.col("obj").alias("to_obj"), F.col("value").alias("to_value"))
+        r = _ref(F.concat(F.lit('{"v":'), F.col(column), F.lit("}")), "v")
+        d = df.withColumn("to_obj", r).join(to, ["file_id", "to_obj"], "left")
+        return d.withColumn(column, F.when(F.col("to_obj").isNull(), F.col(column)).otherwise(F.col("to_value"))).drop("to_obj", "to_value")
+
+    @cached_property
     def pages(self) -> DataFrame:
         """(file_id, page_index, obj, value, resources): leaves of the page tree with their own or inherited resources."""
-        o = self.objects.where("gen = 0").select("file_id", "obj", "value")
+        o = self.objects.select("file_id", "obj", "value")
         root = self.trailers.join(o.withColumnRenamed("obj", "root"), ["file_id", "root"]).select(F.col("file_id").alias("tree"), _ref("value", "Pages").alias("node"))
         top = root.join(o.select(F.col("file_id").alias("tree"), F.col("obj").alias("node"), _get("value", "Resources").alias("carried")), ["tree", "node"])
-        kids = F.from_json(_get("value", "Kids"), "array<struct<r:array<int>>>")
-        edges = o.where(_get("value", "Type") == "/Pages").select(F.col("file_id").alias("tree"), F.col("obj").alias("parent"), F.posexplode(kids).alias("ordinal", "kid"))
+        parents = self._followed(o.where(_get("value", "Type") == "/Pages").select("file_id", "obj", _get("value", "Kids").alias("kids")), "kids")
+        edges = parents.select(F.col("file_id").alias("tree"), F.col("obj").alias("parent"), F.posexplode(F.from_json("kids", f"array<{REF}>")).alias("ordinal", "kid"))
         edges = edges.select("tree", "parent", "ordinal", F.get("kid.r", F.lit(0)).alias("child"))
-        own = o.select(F.col("file_id").alias("tree"), F.col("obj").alias("child"), _get("value", "Resources").alias("own"))
-        edges = edges.join(own, ["tree", "child"])
-        found = leaves(walk(top, edges), edges).select(F.col("tree").alias("file_id"), "page_index", F.col("node").alias("obj"), F.col("carried").alias("resources"))
-        return found.join(o, ["file_id", "obj"]).where(_get("value", "Type") == "/Page")
+        own = o.select(F.col("file_id").alias("tree"), F.col("obj").alias("child"), _get("value", "Resources").alias("own"), _get("value", "Type").alias("type"))
+        edges = edges.join(own, ["tree", "child"]).where("coalesce(type, '/Page') in ('/Page', '/Pages')")
+        found = leaves(walk(top, edges, self.keep), edges).select(F.col("tree").alias("file_id"), "page_index", F.col("node").alias("obj"), F.col("carried").alias("resources"))
+        found = found.join(o, ["file_id", "obj"]).where(_get("value", "Type") == "/Page")
+        return self.keep(self._followed(found, "resources"))
+
+    @property
+    def page_counts(self) -> DataFrame:
+        """(file_id, n_pages)."""
+        return self.pages.groupBy("file_id").agg(F.count("*").alias("n_pages"))
 
     @property
     def outline(self) -> DataFrame:
-        """(file_id, item, title, page_index): page_index is -1 where the destination is no page."""
-        o = self.objects.where("gen = 0").select("file_id", "obj", "value")
+        """(file_id, path, depth, item, title, page_index): the outline in order; page_index is -1 where the destination is no page.
+
+        Items are followed from the catalog by First and Next, each once; a destination is an array, or a name in the
+        catalog's Dests.  Titles are decrypted, then read as UTF-16 if they begin with its mark.
+        """
+        o = self.objects.select("file_id", "obj", "gen", "pos", "value")
+        catalog = self.trailers.select("file_id", F.col("root").alias("obj")).join(o, ["file_id", "obj"])
+        roots = catalog.select("file_id", _ref("value", "Outlines").alias("obj")).join(o, ["file_id", "obj"]).select("file_id", _ref("value", "First").alias("first"))
+        link = F.struct("obj", _ref("value", "First").alias("first"), _ref("value", "Next").alias("next"))
         items = o.where(_get("value", "Title").isNotNull())
+        links = items.groupBy("file_id").agg(F.collect_list(link).alias("links"))
+
+        def rows(file_id: str, first: int, links: list[dict]) -> list[tuple]:
+            out, seen, todo, by = [], set(), [(first, [0])], {x["obj"]: x for x in links}
+            while todo:
+                at, path = todo.pop()
+                if at in seen or at not in by:
+                    continue
+                seen.add(at)
+                out.append((file_id, at, path))
+                todo += [(by[at]["next"], [*path[:-1], path[-1] + 1]), (by[at]["first"], [*path, 0])]
+            return out
+
+        order = _per_row(roots.join(links, "file_id").select("file_id", "first", "links"), rows, "file_id string, obj int, path array<int>")
         raw = F.encode(F.get_json_object("value", "$.Title.s"), "ISO-8859-1")
-        title = F.when(F.startswith(F.hex(raw), F.lit("FEFF")), F.decode(F.substring(raw, 3, 1 << 30), "UTF-16BE")).otherwise(F.decode(raw, "ISO-8859-1"))
-        to = F.coalesce(F.get_json_object("value", "$.Dest[0].r[0]"), F.get_json_object("value", "$.A.D[0].r[0]")).cast("int")
+        keyed = order.join(items, ["file_id", "obj"]).join(self.keys.select("file_id", "key"), "file_id", "left")
+        raw = F.when(F.col("key").isNull() | F.col("pos").isNull(), raw).otherwise(rc4_stream(object_key(F.col("key"), F.col("obj"), F.col("gen")), raw))
+        dest = F.coalesce(_get("value", "Dest"), _get("value", "A.D"))
+        d = keyed.select("file_id", "path", "obj", text_string(raw).alias("title"), dest.alias("dest"))
+        # a name leads to an array, or to a dictionary with one
+        names = self._followed(catalog.select("file_id", _get("value", "Dests").alias("dests")), "dests")
+        names = names.select("file_id", F.explode(F.from_json("dests", "map<string,string>")).alias("name", "named"))
+        names = self._followed(names, "named").select("file_id", F.concat(F.lit("/"), "name").alias("dest"), F.coalesce(_get("named", "D"), F.col("named")).alias("named"))
+        d = d.join(names, ["file_id", "dest"], "left").withColumn("dest", F.coalesce("named", "dest"))
+        to = F.get_json_object("dest", "$[0].r[0]").cast("int")
         pages = self.pages.select("file_id", F.col("obj").alias("to"), "page_index")
-        return items.select("file_id", F.col("obj").alias("item"), title.alias("title"), to.alias("to")).join(pages, ["file_id", "to"], "left").select("file_id", "item", "title", F.coalesce("page_index", F.lit(-1)).alias("page_index"))
+        d = d.withColumn("to", to).join(pages, ["file_id", "to"], "left")
+        return d.select("file_id", "path", (F.size("path") - 1).alias("depth"), F.col("obj").alias("item"), "title", F.coalesce("page_index", F.lit(-1)).alias("page_index"))
 
-    @property
+    @cached_property
+    def page_fonts(self) -> DataFrame:
+        """(file_id, page_index, font_key, font): the font's object number, or its dictionary where it stands in the resources."""
+        d = self._followed(self.pages.select("file_id", "page_index", _get("resources", "Font").alias("named")), "named")
+        d = d.select("file_id", "page_index", F.explode(F.from_json("named", "map<string,string>")).alias("font_key", "font"))
+        return d.withColumn("font", F.coalesce(F.get_json_object("font", "$.r[0]"), F.col("font")))
+
+    @cached_property
     def fonts(self) -> DataFrame:
-        """(file_id, page_index, font_key, base_font, cmap): cmap is the decoded ToUnicode stream, once per font object."""
-        kind = "map<string,struct<r:array<int>>>"
-        named = self.pages.select("file_id", "page_index", F.explode(F.from_json(_get("resources", "Font"), kind)).alias("font_key", "f")).select("file_id", "page_index", "font_key", F.get("f.r", F.lit(0)).alias("obj"))
-        o = self.objects.where("gen = 0").select("file_id", "obj", "value")
-        cmaps = self.streams.select("file_id", F.col("obj").alias("to"), F.col("data").alias("cmap"))
-        return (
-            named.join(o, ["file_id", "obj"]).withColumn("to", _ref("value", "ToUnicode")).join(cmaps, ["file_id", "to"], "left")
-            .select("file_id", "page_index", "font_key", F.regexp_replace(_get("value", "BaseFont"), "^/", "").alias("base_font"), "cmap")
-        )
+        """One row per font: file_id, font, subtype, base_font, cmap (decoded ToUnicode), codes, widths, missing, space_width, error.
 
-    @property
+        codes: code to text of a simple font, by its base encoding and differences; widths by code, in thousandths;
+        missing: the width of any other code; space_width: the least width that isn't zero, or null without widths.
+        """
+        o = self.objects
+        f = self.page_fonts.select("file_id", "font").distinct().withColumn("obj", F.col("font").try_cast("int"))
+        f = f.join(o.select("file_id", "obj", "value"), ["file_id", "obj"], "left").withColumn("value", F.coalesce("value", "font"))
+        f = f.select("file_id", "font", "value", _name(_get("value", "Subtype")).alias("subtype"), _name(_get("value", "BaseFont")).alias("base_font"), _get("value", "Encoding").alias("encoding"), F.coalesce(_get("value", "Widths"), F.lit("[]")).alias("w"), _get("value", "FontDescriptor").alias("about"), F.coalesce(F.get_json_object("value", "$.DescendantFonts[0]"), F.lit("{}")).alias("below"))
+        for c in ("encoding", "w", "about", "below"):
+            f = self._followed(f, c)
+        f = self.keep(f)
+        key = ["file_id", "font"]
+        # what codes stand for
+        simple = f.where("subtype is null or subtype <> 'Type0'")
+        base = _name(F.coalesce(_get("encoding", "BaseEncoding"), F.when(F.startswith("encoding", F.lit("/")), F.col("encoding"))))
+        listed = simple.select(*key, F.posexplode(F.from_json(_get("encoding", "Differences"), "array<string>")).alias("seq", "x"))
+        items = listed.select(F.struct(*key).alias("font"), "seq", F.expr("try_cast(x AS int)").alias("number"), F.when(F.startswith("x", F.lit("/")), _name(F.col("x"))).alias("glyph"))
+        changed = cmaps.glyph_text(cmaps.expand_differences(items)).select("font.*", "code", "text")
+        changed = changed.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("code", "text"))).alias("changed"))
+        tables = cmaps.base_encodings(o.sparkSession)
+        codes = simple.select(*key, F.coalesce(base, F.lit("StandardEncoding")).alias("name")).join(F.broadcast(tables), "name", "left").join(changed, key, "left")
+        empty = F.create_map().cast("map<int,string>")
+        codes = codes.select(*key, F.map_zip_with(F.coalesce("table", empty), F.coalesce("changed", empty), lambda _, a, b: F.coalesce(b, a)).alias("codes"))
+        # widths
+        first, each = F.coalesce(_get("value", "FirstChar").try_cast("int"), F.lit(0)), F.from_json("w", "array<double>")
+        given = simple.where("w <> '[]'").select(*key, F.map_from_arrays(F.sequence(first, first + F.size(each) - 1), each).alias("widths"), F.coalesce(F.nullif(_get("about", "MissingWidth").try_cast("double"), F.lit(0.0)), mean_width(each)).alias("missing"))
+        cid = f.where("subtype = 'Type0'").select(*key, F.coalesce(_get("below", "DW").try_cast("double"), F.lit(1000.0)).alias("missing"), _get("below", "W").alias("w"))
+        cid = self._followed(cid, "w")
+        spans = cmaps.expand_widths(cmaps.cid_spans(cid.select(F.struct(*key).alias("font"), "w"))).select("font.*", "cid", "width")
+        spans = spans.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("cid", "width"))).alias("widths"))
+        given = given.unionByName(cid.select(*key, "missing").join(spans, key, "left"), allowMissingColumns=True)
+        # ToUnicode
+        to = f.select(*key, _ref("value", "ToUnicode").alias("obj")).join(o.where("is_stream").drop("is_stream"), ["file_id", "obj"])
+        to = self._decoded(to).select(*key, F.col("data").alias("cmap"))
+        identity = F.coalesce(F.startswith("encoding", F.lit("/Identity")), F.lit(False))
+        out = f.join(to, key, "left").join(codes, key, "left").join(given, key, "left")
+        error = F.when((F.col("subtype") == "Type0") & F.col("cmap").isNull(), F.when(identity, F.lit("no character map")).otherwise(F.concat(F.lit("unsupported encoding "), F.coalesce("encoding", F.lit("none")))))
+        space = F.array_min(F.filter(F.concat(F.coalesce(F.map_values("widths"), F.array().cast("array<double>")), F.array("missing")), lambda x: x != 0))
+        return self.keep(out.select(*key, "subtype", "base_font", "cmap", "codes", "widths", "missing", space.alias("space_width"), error.alias("error")))
+
+    @cached_property
+    def contents(self) -> DataFrame:
+        """(file_id, page_index, stream_seq, obj, data): the decoded content streams of each page; data is null if it is broken."""
+        p = self._followed(self.pages.select("file_id", "page_index", _get("value", "Contents").alias("c"), F.get_json_object("value", "$.Contents.r[0]").cast("int").alias("one")), "c")
+        many = F.transform(F.from_json(F.when(F.startswith("c", F.lit("[")), F.col("c")), f"array<{REF}>"), lambda x: F.get(x["r"], F.lit(0)))
+        parts = p.select("file_id", "page_index", F.posexplode(F.coalesce(many, F.array("one"))).alias("stream_seq", "obj")).where("obj is not null")
+        wanted = parts.join(self.objects.where("is_stream").drop("is_stream"), ["file_id", "obj"])
+        return self._decoded(wanted).select("file_id", "page_index", "stream_seq", "obj", "data")
+
+    @cached_property
     def elements(self) -> DataFrame:
-        """Text elements and external objects with decoded text, by page and content stream."""
-        one = _ref("value", "Contents")
-        many = F.transform(F.from_json(_get("value", "Contents"), "array<struct<r:array<int>>>"), lambda x: F.get(x["r"], F.lit(0)))
-        parts = self.pages.select("file_id", "page_index", F.posexplode(F.when(one.isNotNull(), F.array(one)).otherwise(many)).alias("stream_seq", "obj")).where("obj is not null")
-        data = parts.join(self.streams.select("file_id", "obj", "data"), ["file_id", "obj"])
+        """Text elements, external objects and inline images by page and content stream.
+
+        tj: pieces of text, the kerning before each, and their widths in thousandths (null: unknown); text: the pieces
+        joined; metric: whether all fonts of the page have widths.  Broken streams have none, and a row in ``errors``.
+        """
+        named = self.page_fonts.join(self.fonts.drop("error", "subtype"), ["file_id", "font"])
+        font = F.struct("font_key", "base_font", "cmap", "codes", "widths", "missing", "space_width")
+        named = named.groupBy("file_id", "page_index").agg(F.collect_list(font).alias("fonts"))
+        data = self.contents.where("data is not null").join(named, ["file_id", "page_index"], "left")
 
-        def rows(file_id: str, page: int, seq: int, data: bytes | None) -> list[tuple]:
+        def rows(file_id: str, page: int, seq: int, data: bytes, fonts: list[dict] | None) -> list[tuple]:
             try:
                 found = B.content(bytes(data))
             except Exception:  # noqa: BLE001  a broken stream is an empty page
                 return []
-            return [(file_id, page, seq, k, o, e, json.dumps(items), f, s, rgb, x, y, h) for k, o, e, items, f, s, rgb, x, y, h in found]
+            known = {f["font_key"]: f | {k: dict(f[k]) if f[k] is not None else None for k in ("codes", "widths")} for f in fonts or []}
+            metric = all(f["missing"] is not None for f in known.values())
+            out = []
+            for kind, o, e, items, key, size, rgb, x, y, sx, sy, moved in found:
+                f = known.get(key, {}) if kind == "text" else {}
+                tj = pieces(items, f) if kind == "text" else None
+                more = json.dumps(items) if kind == "inline" else None
+                out.append((file_id, page, seq, kind, o, e, key, f.get("base_font"), size, rgb, x, y, sx, sy, moved, tj, metric, f.get("space_width"), more))
+            return out
 
-        schema = "file_id string, page_index int, stream_seq int, kind string, obj_seq int, elem_seq int, items string, font_key string, font_size double, rgb array<double>, tx double, ty double, scale_y double"
-        found = _per_row(data.select("file_id", "page_index", "stream_seq", "data"), rows, schema)
-        e = found.join(self.fonts, ["file_id", "page_index", "font_key"], "left")
-        return e.withColumn("text", _texts("items", "cmap")).drop("cmap")
+        schema = f"file_id string, page_index int, stream_seq int, kind string, obj_seq int, elem_seq int, font_key string, base_font string, font_size double, rgb array<double>, tx double, ty double, scale_x double, scale_y double, moved boolean, tj {TJ}, metric boolean, font_space double, inline string"
+        found = _per_row(data.select("file_id", "page_index", "stream_seq", "data", "fonts"), rows, schema)
+        return found.withColumn("text", F.array_join(F.transform("tj", lambda x: x["s"]), ""))
 
     @property
     def images(self) -> DataFrame:
-        """(file_id, obj, width, height, components, filter, n_bytes): a JPEG's bytes stay as they are."""
-        i = self.streams.where(_get("value", "Subtype") == "/Image")
-        space = _get("value", "ColorSpace")
-        parts = F.when(space == "/DeviceGray", 1).when(space == "/DeviceCMYK", 4).otherwise(3)
-        return i.select("file_id", "obj", _get("value", "Width").cast("int").alias("width"), _get("value", "Height").cast("int").alias("height"), parts.alias("components"), _get("value", "Filter").alias("filter"), F.octet_length("data").alias("n_bytes"))
-
-    def create_views(self, prefix: str = "pdf_") -> None:
-        for name in ("xref", "trailers", "objects", "pages", "outline", "fonts", "elements", "images", "errors"):
-            getattr(self, name).createOrReplaceTempView(prefix + name)
-
+        """(file_id, page_index, stream_seq, obj_seq, obj, width, height, components, filter, data): drawn by Do, or inline (obj is null).
 
-@F.pandas_udf(T.StringType())
-def _texts(items: pd.Series, cmap: pd.Series) -> pd.Series:
-    """Strings through their font's map; without one, a byte is a WinAnsi character."""
-    known: dict[bytes, tuple] = {}
+        A JPEG's bytes stay as they are, and its filter is named; forms and missing objects are no images.
+        """
+        d = self._followed(self.pages.select("file_id", "page_index", _get("resources", "XObject").alias("x")), "x")
+        named = d.select("file_id", "page_index", F.explode(F.from_json("x", f"map<string,{REF}>")).alias("font_key", "r")).select("file_id", "page_index", "font_key", F.get("r.r", F.lit(0)).alias("obj"))
+        page = ["file_id", "page_index", "stream_seq", "obj_seq"]
+        drawn = self.elements.where("kind = 'xobject'").select(*page, "font_key").join(named, ["file_id", "page_index", "font_key"])
+        drawn = drawn.join(self.objects.where("is_stream").drop("is_stream"), ["file_id", "obj"]).where(_get("value", "Subtype") == "/Image")
+        drawn = self._decoded(drawn).select(*page, "obj", "value", "data")
+        raw = F.encode(F.get_json_object("inline", "$[1].s"), "ISO-8859-1")
+        own = self.elements.where("kind = 'inline'").select(*page, F.lit(None).cast("int").alias("obj"), F.get_json_object("inline", "$[0]").alias("value"), raw.alias("data"))
+        short, long = F.col("f"), F.array(_get("value", "Filter"))
+        own = own.withColumn("f", F.when(F.startswith(_get("value", "Filter"), F.lit("[")), F.from_json(_get("value", "Filter"), "array<string>")).otherwise(F.filter(long, lambda x: x.isNotNull())))
+        own = own.withColumn("data", decode_stream("data", F.transform(short, _name), F.lit(None).cast("string"))).drop("f")
+        i = self._followed(drawn.unionByName(own).withColumn("space", _get("value", "ColorSpace")), "space")
+        profile = self._followed(i.withColumn("icc", F.when(F.get_json_object("space", "$[0]") == "/ICCBased", F.get_json_object("space", "$[1]"))), "icc")
+        kind = F.coalesce(F.get_json_object("space", "$[0]"), F.col("space"))
+        parts = F.coalesce(_get("icc", "N").try_cast("int"), F.when(kind.isin("/DeviceGray", "/CalGray", "/G", "/Indexed", "/I"), 1).when(kind.isin("/DeviceCMYK", "/CMYK"), 4).otherwise(3))
+        size = lambda k: _get("value", k).try_cast("int")
+        return profile.select(*page, "obj", size("Width").alias("width"), size("Height").alias("height"), parts.alias("components"), _get("value", "Filter").alias("filter"), "data")
 
-    def one(item: str, c: bytes | None) -> str:
-        parts = [x["s"].encode("latin-1") for x in json.loads(item) if isinstance(x, dict) and "s" in x]
-        if c is None:
-            return "".join(p.decode("cp1252", "replace") for p in parts)
-        c = bytes(c)
-        if c not in known:
-            known[c] = B.to_unicode(c)
-        return "".join(B.map_text(p, *known[c]) for p in parts)
+    @property
+    def errors(self) -> DataFrame:
+        """(file_id, code, message): files that can't be opened or decrypted, fonts without a character map, broken streams."""
+        row = lambda df, code, message: df.select("file_id", F.lit(code).alias("code"), message.cast("string").alias("message"))
+        out = row(self.opened.where("kind = 'error'"), "open", F.col("error"))
+        out = out.unionByName(row(self.keys.where("error is not null"), "password", F.col("error")))
+        locked = self.keys.where("key is null").select("file_id")
+        fonts = self.fonts.where("error is not null").join(locked, "file_id", "left_anti")
+        out = out.unionByName(row(fonts, "font", F.concat_ws(" ", "base_font", "error")))
+        bad = self.contents.where("data is null").join(locked, "file_id", "left_anti")
+        return out.unionByName(row(bad, "stream", F.concat(F.lit("object "), "obj")))
 
-    return pd.Series([one(*x) for x in zip(items, cmap, strict=True)], dtype=object)
+    def create_views(self, prefix: str = "pdf_") -> None:
+        for name in ("xref", "trailers", "objects", "pages", "page_counts", "outline", "fonts", "elements", "images", "errors"):
+            getattr(self, name).createOrReplaceTempView(prefix + name)
 
 
-def read_pdf(spark: SparkSession, path: str, password: str = "") -> Documents:
+def mean_width(widths: Column) -> Column:
+    """The mean of the widths that aren't zero."""
+    some = F.filter(widths, lambda x: x != 0)
+    return F.when(F.size(some) > 0, F.aggregate(some, F.lit(0.0), lambda a, x: a + x) / F.size(some))
+
+
+@lru_cache(maxsize=64)
+def _code_map(cmap: bytes) -> B.CodeMap:
+    return B.CodeMap(cmap)
+
+
+def pieces(items: list, font: dict) -> list[dict]:
+    """Pieces of a text operator: text by the font's maps, the kerning before it, and its width; without a font a byte is a WinAnsi character."""
+    widths, missing, codes = font.get("widths") or {}, font.get("missing"), font.get("codes")
+    out, adj = [], None
+    for x in items:
+        if isinstance(x, int | float):
+            adj = (adj or 0.0) + x
+        elif isinstance(x, dict) and "s" in x:
+            b = x["s"].encode("latin-1")
+            if font.get("cmap"):
+                found = _code_map(bytes(font["cmap"])).codes(b)
+            elif codes is not None:
+                found = [(c, codes.get(c, "□")) for c in b]
+            elif font:
+                found = [(int.from_bytes(b[i : i + 2], "big"), "□") for i in range(0, len(b), 2)]
+            else:
+                found = [(c, bytes([c]).decode("cp1252", "replace")) for c in b]
+            w = None if missing is None else float(sum(widths.get(c, missing) for c, _ in found))
+            out.append({"s": "".join(t for _, t in found), "adj": adj, "w": w})
+            adj = None
+    if adj is not None and out:
+        out.append({"s": "", "adj": adj, "w": None if missing is None else 0.0})
+    return out
+
+
+def read_pdf(spark: SparkSession, path: str, password: str = "", mode: str = "PERMISSIVE") -> Documents:
     """The tables of all PDF files below a path."""
-    return Documents(read_files(spark, path), password)
+    return Documents(read_files(spark, path), password, mode=mode)

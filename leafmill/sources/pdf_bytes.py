@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from hashlib import md5
+from math import hypot
 from typing import Any
 
 from ..functions.codecs import apply_chain, rc4
@@ -14,6 +15,7 @@ from ..functions.codecs import apply_chain, rc4
 WHITE, DELIMITERS = b" \t\r\n\f\0", b"()<>[]{}/%"
 _REGULAR = re.compile(rb"[^ \t\r\n\f\0()<>\[\]{}/%]+")
 _OBJECT = re.compile(rb"(?<!\d)(\d+)\s+(\d+)\s+obj\b")
+_SECTION = re.compile(rb"(?<!start)xref\b")
 _REFERENCE = re.compile(rb"(\d+)\s+(\d+)\s+R(?![A-Za-z])")
 _NUMBER = re.compile(rb"[+-]?(?:\d+\.?\d*|\.\d+)$")
 _ESCAPES = {110: 10, 114: 13, 116: 9, 98: 8, 102: 12}
@@ -100,22 +102,31 @@ def value(b: bytes, i: int, references: bool = True) -> tuple[Any, int]:
     return {b"true": True, b"false": False, b"null": None}.get(word, {"o": word.decode("latin-1")}), m.end()
 
 
-def objects(b: bytes) -> list[tuple[int, int, int, Any, bytes | None]]:
-    """(number, generation, position, value, stream bytes) of every object in the file, from top to bottom."""
+def object_at(b: bytes, m: re.Match) -> tuple[int, int, int, Any, int | None, int | None, int]:
+    """(number, generation, position, value, start and length of the stream, end) of the object that begins with ``m``."""
+    v, i = value(b, m.end())
+    at, start, size = skip(b, i), None, None
+    if isinstance(v, dict) and b[at : at + 6] == b"stream":
+        start = at + 6
+        start += 2 if b[start : start + 2] == b"\r\n" else 1
+        n = v.get("Length")
+        if isinstance(n, int) and b[start + n : start + n + 20].lstrip().startswith(b"endstream"):
+            end = start + n
+        else:
+            end = b.find(b"endstream", start)
+            end = len(b) if end < 0 else end
+        i, size = end, end - start
+        if not isinstance(n, int):  # the length stands elsewhere: the line end before the keyword isn't data
+            size -= len(re.search(rb"(?:\r?\n)?$", b[max(start, end - 2) : end])[0])
+    return int(m[1]), int(m[2]), m.start(), v, start, size, max(i, m.end())
+
+
+def objects(b: bytes) -> list[tuple[int, int, int, Any, int | None, int | None]]:
+    """(number, generation, position, value, start and length of the stream) of every object in the file, from top to bottom."""
     out, i = [], 0
     while m := _OBJECT.search(b, i):
-        v, i = value(b, m.end())
-        at, raw = skip(b, i), None
-        if isinstance(v, dict) and b[at : at + 6] == b"stream":
-            start = at + 6
-            start += 2 if b[start : start + 2] == b"\r\n" else 1
-            n = v.get("Length")
-            end = start + n if isinstance(n, int) and b[start + n : start + n + 20].lstrip().startswith(b"endstream") else b.find(b"endstream", start)
-            end = len(b) if end < 0 else end
-            raw = b[start:end] if isinstance(n, int) else re.sub(rb"\r?\n$", b"", b[start:end])
-            i = end
-        out.append((int(m[1]), int(m[2]), m.start(), v, raw))
-        i = max(i, m.end())
+        *found, i = object_at(b, m)
+        out.append(tuple(found))
     return out
 
 
@@ -162,7 +173,10 @@ def _stream_rows(d: dict, raw: bytes) -> list[tuple]:
 
 
 def sections(b: bytes) -> list[tuple[list[tuple], dict]]:
-    """Cross-reference sections, the newest first: rows (obj, gen, pos, in_use, obj_stm, idx) and trailer."""
+    """Cross-reference sections, the newest first: rows (obj, gen, pos, in_use, obj_stm, idx) and trailer.
+
+    Where an offset leads to no section, one that starts within a thousand bytes after it is taken.
+    """
     at = b.rfind(b"startxref")
     m = re.compile(rb"startxref\s+(\d+)").match(b, at) if at >= 0 else None
     todo, seen, out = [int(m[1])] if m else [], set(), []
@@ -172,14 +186,19 @@ def sections(b: bytes) -> list[tuple[list[tuple], dict]]:
             continue
         seen.add(i)
         i = skip(b, i)
+        if b[i : i + 4].lower() != b"xref" and not _OBJECT.match(b, i) and (near := _SECTION.search(b, i, i + 1000)):
+            i = near.start()
         if b[i : i + 4].lower() == b"xref":
             rows, trailer, _ = _table(b, i + 4)
-        elif found := [o for o in objects(b[i:])[:1] if isinstance(o[3], dict) and o[4] is not None and o[2] == 0]:
-            rows, trailer = _stream_rows(found[0][3], found[0][4]), found[0][3]
+        elif (m := _OBJECT.match(b, i)) and (found := object_at(b, m)) and isinstance(found[3], dict) and found[4] is not None:
+            rows, trailer = _stream_rows(found[3], b[found[4] : found[4] + found[5]]), found[3]
         else:
             continue
         out.append((rows, trailer))
         todo = [int(trailer[k]) for k in ("XRefStm", "Prev") if isinstance(trailer.get(k), int)] + todo
+    if not out:  # a trailer may stand without a section
+        trailers = [value(b, m.end())[0] for m in re.finditer(rb"\btrailer\b", b)]
+        out = [([], t) for t in reversed(trailers) if isinstance(t, dict) and "Root" in t][:1]
     return out
 
 
@@ -194,7 +213,9 @@ _PAD = bytes.fromhex("28BF4E5E4E758A4164004E56FFFA01082E2E00B6D0683E802F0CA9FE64
 
 
 def file_key(encrypt: dict, first_id: bytes, password: bytes) -> bytes | None:
-    """The key of the standard handler (RC4, revisions 2 and 3), by owner or user password; None: neither fits."""
+    """The key of the standard handler (RC4, revisions 2 and 3), by owner or user password; None: neither fits.  Others are an error."""
+    if encrypt.get("Filter") != "/Standard" or int(encrypt.get("V", 0)) not in (1, 2) or int(encrypt["R"]) not in (2, 3):
+        raise ValueError(f"handler {encrypt.get('Filter')} V {encrypt.get('V')} R {encrypt.get('R')}")
     r, n = int(encrypt["R"]), int(encrypt.get("Length", 40)) // 8
     o, u = (encrypt[k]["s"].encode("latin-1") for k in ("O", "U"))
     n = 5 if r == 2 else n
@@ -221,50 +242,94 @@ def file_key(encrypt: dict, first_id: bytes, password: bytes) -> bytes | None:
     return of_user(user) or of_user(password)
 
 
-def to_unicode(cmap: bytes) -> tuple[list[int], list[list]]:
-    """Widths of the codes in bytes, and [width, lo, hi, first destination as hex or list of hex]."""
-    text = cmap.decode("latin-1")
-    space = [len(lo) // 2 for part in re.findall(r"begincodespacerange(.*?)endcodespacerange", text, re.S) for lo, _ in re.findall(r"<\s*([0-9A-Fa-f]+)\s*>\s*<\s*([0-9A-Fa-f]+)\s*>", part)]
-    rows: list[list] = []
-    for part in re.findall(r"beginbfchar(.*?)endbfchar", text, re.S):
-        rows += [[len(c) // 2, int(c, 16), int(c, 16), "".join(d.split())] for c, d in re.findall(r"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f\s]*)>", part)]
-    for part in re.findall(r"beginbfrange(.*?)endbfrange", text, re.S):
-        for lo, hi, one, many in re.findall(r"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*(?:<([0-9A-Fa-f\s]*)>|\[(.*?)\])", part, re.S):
-            dst = re.findall(r"<([0-9A-Fa-f]+)>", many) if many else "".join(one.split())
-            rows.append([len(lo) // 2, int(lo, 16), int(hi, 16), dst])
-    return sorted(set(space)) or [1], rows
-
-
-def map_text(data: bytes, widths: list[int], rows: list[list]) -> str:
-    """Codes of the narrowest width that has a mapping; an unmapped one is a white square and one byte is passed over."""
-    single = {(w, lo): d for w, lo, hi, d in rows if lo == hi and isinstance(d, str)}
-    units, i = bytearray(), 0
-    while i < len(data):
-        for w in widths:
-            code = int.from_bytes(data[i : i + w], "big")
-            dst = single.get((w, code))
-            if dst is None:
-                r = next((x for x in rows if x[0] == w and x[1] <= code <= x[2]), None)
-                if r is None or i + w > len(data):
-                    continue
+class CodeMap:
+    """A font's character map: codes of one or more bytes to text."""
+
+    def __init__(self, cmap: bytes) -> None:
+        text, pair = cmap.decode("latin-1"), r"<\s*([0-9A-Fa-f]+)\s*>\s*<\s*([0-9A-Fa-f]+)\s*>"
+        parts = lambda name: re.findall(f"begin{name}(.*?)end{name}", text, re.S)
+        self.space = [(bytes.fromhex(lo), bytes.fromhex(hi)) for part in parts("codespacerange") for lo, hi in re.findall(pair, part) if len(lo) % 2 == 0 and len(lo) == len(hi)]
+        self.rows: list[tuple[int, int, int, str | list[str]]] = []
+        for part in parts("bfrange"):
+            for lo, hi, one, many in re.findall(pair + r"\s*(?:<([0-9A-Fa-f\s]*)>|\[(.*?)\])", part, re.S):
+                self.rows.append((len(lo) // 2, int(lo, 16), int(hi, 16), re.findall(r"<([0-9A-Fa-f]+)>", many) if many else "".join(one.split())))
+        #: (bytes, code) to text, or None; ranges are looked through once for a code
+        self.known: dict[tuple[int, int], str | None] = {}
+        for part in reversed(parts("bfchar")):
+            self.known |= {(len(c) // 2, int(c, 16)): _units("".join(d.split())) for c, d in re.findall(r"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f\s]*)>", part)}
+        self.sizes = sorted({len(lo) for lo, _ in self.space} | {w for w, _ in self.known} | {r[0] for r in self.rows}) or [1]
+
+    def find(self, width: int, code: int) -> str | None:
+        if (width, code) not in self.known:
+            r = next((x for x in self.rows if x[0] == width and x[1] <= code <= x[2]), None)
+            dst = None
+            if r:
                 k = code - r[1]
                 dst = (r[3][k] if k < len(r[3]) else None) if isinstance(r[3], list) else r[3][:-4] + f"{int(r[3][-4:], 16) + k & 0xFFFF:04X}"
-            if dst is not None:
-                units += bytes.fromhex(dst)
-                i += w
-                break
-        else:
-            units += b"\x25\xa1"
-            i += 1
-    return units.decode("utf-16-be", "replace")
+            self.known[width, code] = None if dst is None else _units(dst)
+        return self.known[width, code]
+
+    def has(self, code: bytes) -> bool:
+        """Whether every byte is in its range of a code space; without any, all are."""
+        return not self.space or any(len(lo) == len(code) and all(x <= c <= y for x, c, y in zip(lo, code, hi, strict=True)) for lo, hi in self.space)
+
+    def codes(self, data: bytes) -> list[tuple[int, str]]:
+        """(code, text): of the shortest in the code space that has a text; else a white square, and one byte is passed over."""
+        out, i, one = [], 0, self.sizes[-1] if len(self.sizes) == 1 else 1
+        while i < len(data):
+            for w in self.sizes:
+                code = data[i : i + w]
+                text = self.find(w, int.from_bytes(code, "big")) if len(code) == w and self.has(code) else None
+                if text is not None:
+                    out.append((int.from_bytes(code, "big"), text))
+                    i += w
+                    break
+            else:
+                out.append((int.from_bytes(data[i : i + one], "big"), "□"))
+                i += one
+        return out
+
+
+def _units(digits: str) -> str:
+    return bytes.fromhex(digits + "0" * (-len(digits) % 4)).decode("utf-16-be", "surrogatepass")
+
+
+def inline_image(data: bytes, i: int) -> tuple[dict, bytes, int]:
+    """Dictionary and bytes of the inline image after BI, and where it ends.
+
+    Unfiltered data has the length that its dictionary says; other data goes up to EI with white space on both sides.
+    """
+    d: dict[str, Any] = {}
+    while True:
+        key, i = value(data, i, references=False)
+        if not isinstance(key, str):
+            break
+        item, i = value(data, i, references=False)
+        d[_LONG_KEYS.get(key[1:], key[1:])] = item
+    i += 1  # one white space after ID
+    if "Filter" not in d:
+        mask, space = d.get("ImageMask") is True, d.get("ColorSpace")
+        parts = 1 if mask or space not in ("/DeviceRGB", "/RGB", "/DeviceCMYK", "/CMYK") else 4 if "CMYK" in str(space) else 3
+        row = (int(d.get("Width", 0)) * parts * (1 if mask else int(d.get("BitsPerComponent", 8))) + 7) // 8
+        size = row * int(d.get("Height", 0))
+        if m := re.compile(rb"\s*EI\b").match(data, i + size):
+            return d, data[i : i + size], m.end()
+    m = re.compile(rb"[\s\0]EI(?=[\s\0]|$)").search(data, i)
+    return d, data[i : m.start() if m else len(data)], m.end() if m else len(data)
+
+
+#: Abbreviations in inline images.
+_LONG_KEYS = {"BPC": "BitsPerComponent", "CS": "ColorSpace", "D": "Decode", "DP": "DecodeParms", "F": "Filter", "H": "Height", "IM": "ImageMask", "I": "Interpolate", "W": "Width"}
 
 
 def content(data: bytes) -> list[tuple]:
-    """Text elements and external objects of a content stream, in order.
+    """Text elements, external objects and inline images of a content stream, in order.
 
-    (kind, obj_seq, elem_seq, items, font, size, rgb, tx, ty, scale): items are strings (as {"s"}) and kerning numbers.
+    (kind, obj_seq, elem_seq, items, key, size, rgb, tx, ty, scale_x, scale_y, moved): items are strings (as {"s"}) and
+    kerning numbers, or an inline image's dictionary and bytes; key names the font or external object.  Where moved
+    is false, an element follows the one before it on the line.
     """
-    out, stack, args, i, obj, elem = [], [], [], 0, -1, 0
+    out, stack, args, i, obj, elem, moved = [], [], [], 0, -1, 0, True
     ident = [1.0, 0.0, 0.0, 1.0, 0.0, 0.0]
     ctm, tm, line, rgb, font, size, leading = ident, ident, ident, [-1.0] * 3, "", 0.0, 0.0
     times = lambda p, q: [p[0] * q[0] + p[1] * q[2], p[0] * q[1] + p[1] * q[3], p[2] * q[0] + p[3] * q[2], p[2] * q[1] + p[3] * q[3], p[4] * q[0] + p[5] * q[2] + q[4], p[4] * q[1] + p[5] * q[3] + q[5]]
@@ -289,26 +354,30 @@ def content(data: bytes) -> list[tuple]:
         elif op == "g" and args:
             rgb = [float(args[-1])] * 3
         elif op == "BT":
-            tm, line, obj, elem = ident, ident, obj + 1, 0
+            tm, line, obj, elem, moved = ident, ident, obj + 1, 0, True
         elif op == "Tf" and len(args) >= 2:
             font, size = args[-2][1:], float(args[-1])
         elif op == "TL" and args:
             leading = float(args[-1])
         elif op in ("Td", "TD") and len(args) >= 2:
             leading = -float(args[-1]) if op == "TD" else leading
-            tm = line = times([1, 0, 0, 1, float(args[-2]), float(args[-1])], line)
+            tm, moved = times([1, 0, 0, 1, float(args[-2]), float(args[-1])], line), True
+            line = tm
         elif op == "Tm" and len(args) >= 6:
-            tm = line = [float(x) for x in args[-6:]]
-        elif op == "T*" or op == "'":
-            tm = line = times([1, 0, 0, 1, 0, -leading], line)
+            tm, moved = [float(x) for x in args[-6:]], True
+            line = tm
+        elif op in ("T*", "'", '"'):
+            tm, moved = times([1, 0, 0, 1, 0, -leading], line), True
+            line = tm
         elif op == "Do" and args:
             obj += 1
-            out.append(("xobject", obj, 0, [], args[-1][1:], 0.0, rgb, ctm[4], ctm[5], ctm[3]))
+            out.append(("xobject", obj, 0, [], args[-1][1:], 0.0, rgb, ctm[4], ctm[5], ctm[0], ctm[3], True))
         elif op == "BI":
-            end = data.find(b"EI", i)
-            i = len(data) if end < 0 else end + 2
+            obj += 1
+            d, raw, i = inline_image(data, i)
+            out.append(("inline", obj, 0, [d, {"s": raw.decode("latin-1")}], "", 0.0, rgb, ctm[4], ctm[5], ctm[0], ctm[3], True))
         if op in ("Tj", "TJ", "'", '"') and args:
             at = times([size, 0, 0, size, 0, 0], times(tm, ctm))
-            out.append(("text", obj, elem, args[-1] if isinstance(args[-1], list) else [args[-1]], font, size, rgb, at[4], at[5], abs(at[3])))
-            elem += 1
+            out.append(("text", obj, elem, args[-1] if isinstance(args[-1], list) else [args[-1]], font, size, rgb, at[4], at[5], hypot(at[0], at[1]), hypot(at[2], at[3]), moved))
+            elem, moved = elem + 1, False
         args = []

@@ -1,4 +1,4 @@
-"""Writes small PDF files for tests and round trips: the same pages in several file layouts."""
+"""Writes small PDF files for tests and round trips: the same pages in several file layouts, fonts and styles."""
 
 from __future__ import annotations
 
@@ -9,47 +9,103 @@ from ..functions.codecs import rc4
 from ..sources.pdf_bytes import _PAD
 
 CMAP = b"/CIDInit /ProcSet findresource begin begincmap 1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfrange <0000> <FFFF> <0000> endbfrange endcmap end"
+#: Characters that the simple font has at codes of its own, by the names of their glyphs.
+DIFFERENCES = {"é": "eacute", "ä": "adieresis", "ö": "odieresis", "ü": "uni00FC", "ß": "germandbls", "ñ": "ntilde.alt"}
 
 
-def page_content(lines: list[str], size: int = 10, leading: int = 12) -> bytes:
-    """One text object per line, from top to bottom; blank lines draw nothing."""
+def _cid(text: str) -> bytes:
+    return text.encode("utf-16-be")
+
+
+def _simple(text: str) -> bytes:
+    own = {c: bytes([i]) for i, c in enumerate(DIFFERENCES, 1)}
+    return b"".join(own.get(c) or c.encode("cp1252", "replace") for c in text)
+
+
+def page_content(lines: list[str], size: int = 10, leading: int = 12, font: str = "cid", style: str = "plain") -> bytes:
+    """One text object per line, from top to bottom; blank lines draw nothing.
+
+    style kerned: words are set apart by kerning, and break into pieces and operators that follow each other.
+    """
+    hexed = lambda t: f"<{(_simple if font == 'simple' else _cid)(t).hex()}>"
+
+    def halves(word: str) -> str:
+        k = len(word) // 2
+        return f"{hexed(word[:k])} 20 {hexed(word[k:])}" if k else hexed(word)
+
     parts = []
     for i, line in enumerate(lines):
-        if line.strip():
-            parts.append(f"BT /F1 {size} Tf 1 0 0 1 50 {-leading * i} Tm <{line.encode('utf-16-be').hex()}> Tj ET\n")
+        if not line.strip():
+            continue
+        show = f"{hexed(line)} Tj"
+        if style == "kerned":
+            words = line.split()
+            k, last = len(words) // 2, len(words[-1]) // 2
+            show = f"[{' -600 '.join(map(halves, words[:k]))}] TJ [{'-600 ' if k else ''}{' -600 '.join(map(halves, words[k:-1]))}] TJ " if len(words) > 1 else ""
+            show = show.replace("[-600 ] TJ ", "").replace("[] TJ ", "")
+            show += f"[{'-600 ' if len(words) > 1 else ''}{hexed(words[-1][:last] or words[-1])}] TJ" + (f" {hexed(words[-1][last:])} Tj" if last else "")
+        parts.append(f"BT /F1 {size} Tf 1 0 0 1 50 {-leading * i} Tm {show} ET\n")
     return "".join(parts).encode()
 
 
-def write_pdf(pages: list[list[str]], layout: str = "table", titles: list[str] | None = None, password: bytes | None = None) -> bytes:
-    """layout: table (classic cross-references), stream (with object streams), broken (offsets wrong), update (a second section)."""
+def write_pdf(
+    pages: list[list[str]], layout: str = "table", titles: list[str] | None = None, password: bytes | None = None, font: str = "cid", style: str = "plain", outline: list[tuple[str, int, list[str]]] | None = None
+) -> bytes:
+    """layout: table (classic cross-references), stream (with object streams), broken (offsets wrong); with a second section:
+    update (a new page tree), replaced (new content streams), freed (a page is taken away).
+
+    titles: outline items, of the pages in turn; outline: (title, page, titles below it) instead.
+    """
+
     def ref(n: int) -> str:
         return f"{n} 0 R"
 
     first_id, key = b"0123456789abcdef", None
-    kids = [10 + 3 * i for i in range(len(pages))]
-    objects: dict[int, bytes] = {
-        1: f"<</Type/Catalog/Pages 2 0 R{'/Outlines 6 0 R' if titles else ''}>>".encode(),
-        2: f"<</Type/Pages/Count {len(pages)}/Kids[{' '.join(map(ref, kids))}]/Resources<</Font<</F1 3 0 R>>>>>>".encode(),
-        3: b"<</Type/Font/Subtype/Type0/BaseFont/Helvetica/Encoding/Identity-H/ToUnicode 4 0 R/DescendantFonts[5 0 R]>>",
-        5: b"<</Type/Font/Subtype/CIDFontType2/BaseFont/Helvetica/DW 500>>",
-    }
-    streams: dict[int, bytes] = {4: CMAP}
-    for n, lines in zip(kids, pages, strict=True):
-        objects[n] = f"<</Type/Page/Parent 2 0 R/Contents {n + 1} 0 R>>".encode()
-        streams[n + 1] = page_content(lines)
-    for i, title in enumerate(titles or []):
-        n = 10_000 + i
-        after = f"/Next {n + 1} 0 R" if i + 1 < len(titles or []) else ""
-        text = ("﻿" + title).encode("utf-16-be").hex()
-        objects[n] = f"<</Title<{text}>/Parent 6 0 R/Dest[{kids[i % len(kids)]} 0 R/Fit]{after}>>".encode()
-    if titles:
-        objects[6] = f"<</Type/Outlines/First 10000 0 R/Last {10_000 + len(titles) - 1} 0 R>>".encode()
     trailer = f"/Root 1 0 R/ID[<{first_id.hex()}><{first_id.hex()}>]"
     if password is not None:
         okey = md5((password + _PAD)[:32]).digest()[:5]
         o = rc4(okey, (password + _PAD)[:32])
         key = md5((password + _PAD)[:32] + o + (0xFFFFFFFC).to_bytes(4, "little") + first_id).digest()[:5]
         trailer += f"/Encrypt<</Filter/Standard/V 1/R 2/O<{o.hex()}>/U<{rc4(key, _PAD).hex()}>/P -4>>"
+
+    def secret(n: int, data: bytes) -> bytes:
+        return data if key is None else rc4(md5(key + n.to_bytes(3, "little") + b"\0\0").digest()[:10], data)
+
+    if outline is None:
+        outline = [(t, i % len(pages), []) for i, t in enumerate(titles or [])]
+    kids = [10 + 3 * i for i in range(len(pages))]
+    gone = [8] if layout == "freed" else []
+    objects: dict[int, bytes] = {
+        1: f"<</Type/Catalog/Pages 2 0 R{'/Outlines 6 0 R' if outline else ''}>>".encode(),
+        2: f"<</Type/Pages/Count {len(pages)}/Kids[{' '.join(map(ref, kids + gone))}]/Resources<</Font<</F1 3 0 R>>>>>>".encode(),
+    }
+    streams: dict[int, bytes] = {4: CMAP}
+    if font == "simple":
+        names = " ".join(f"/{g}" for g in DIFFERENCES.values())
+        objects[3] = f"<</Type/Font/Subtype/TrueType/BaseFont/Georgia/FirstChar 0/LastChar 255/Widths[{' '.join(['500'] * 256)}]/Encoding<</BaseEncoding/WinAnsiEncoding/Differences[1 {names}]>>>>".encode()
+    else:
+        objects[3] = b"<</Type/Font/Subtype/Type0/BaseFont/Helvetica/Encoding/Identity-H/ToUnicode 4 0 R/DescendantFonts[5 0 R]>>"
+        objects[5] = b"<</Type/Font/Subtype/CIDFontType2/BaseFont/Helvetica/DW 500/W[1 [500 500] 32 64 500]>>"
+    for n, lines in zip(kids, pages, strict=True):
+        objects[n] = f"<</Type/Page/Parent 2 0 R/Contents {n + 1} 0 R>>".encode()
+        streams[n + 1] = page_content(lines, font=font, style=style)
+    if gone:
+        objects[8], streams[9] = b"<</Type/Page/Parent 2 0 R/Contents 9 0 R>>", page_content(["GONE"])
+
+    def item(n: int, title: str, parent: int, page: int, more: str) -> None:
+        text = secret(n, ("﻿" + title).encode("utf-16-be")).hex()
+        objects[n] = f"<</Title<{text}>/Parent {parent} 0 R/Dest[{kids[page]} 0 R/Fit]{more}>>".encode()
+
+    for i, (title, page, below) in enumerate(outline):
+        n, child = 10_000 + 100 * i, [10_000 + 100 * i + k for k in range(1, len(below) + 1)]
+        after = f"/Next {n + 100} 0 R" if i + 1 < len(outline) else ""
+        item(n, title, 6, page, after + (f"/First {child[0]} 0 R/Last {child[-1]} 0 R" if child else ""))
+        for k, (m, t) in enumerate(zip(child, below, strict=True)):
+            item(m, t, n, page, f"/Next {m + 1} 0 R" if k + 1 < len(child) else "")
+    if outline:
+        objects[6] = f"<</Type/Outlines/First 10000 0 R/Last {10_000 + 100 * (len(outline) - 1)} 0 R>>".encode()
+        objects[7] = b"<</Title(title of the document)/Producer(x)>>"
+        trailer += "/Info 7 0 R"
     out, at = bytearray(b"%PDF-1.5\n%\xe2\xe3\xcf\xd3\n"), {}
 
     def put(n: int, body: bytes) -> None:
@@ -58,12 +114,12 @@ def write_pdf(pages: list[list[str]], layout: str = "table", titles: list[str] |
 
     def stream(n: int, data: bytes, more: bytes = b"") -> bytes:
         data = zlib.compress(data)
-        if key is not None and more != b"/Type/XRef":
-            data = rc4(md5(key + n.to_bytes(3, "little") + b"\0\0").digest()[:10], data)
+        if more != b"/Type/XRef":
+            data = secret(n, data)
         return b"<</Filter/FlateDecode/Length %d%s>>\nstream\n%s\nendstream" % (len(data), more, data)
 
     for n, data in streams.items():
-        put(n, stream(n, data))
+        put(n, stream(n, page_content(["OLD"]) if layout == "replaced" and n != 4 else data))
     if layout == "stream":
         body, head = b"", []
         for n, v in objects.items():
@@ -83,9 +139,11 @@ def write_pdf(pages: list[list[str]], layout: str = "table", titles: list[str] |
     for n, v in (objects | old).items():
         put(n, v)
 
-    def section(numbers: list[int], more: str) -> None:
+    def section(numbers: list[int], more: str, free: list[int] = ()) -> None:
         start_at = len(out)
         out.extend(b"xref\n0 1\n0000000000 65535 f \n")
+        for n in free:
+            out.extend(f"{n} 1\n0000000000 00001 f \n".encode())
         for n in numbers:
             shift = 7 if layout == "broken" else 0
             out.extend(f"{n} 1\n{at[n] + shift:010d} 00000 n \n".encode())
@@ -93,7 +151,25 @@ def write_pdf(pages: list[list[str]], layout: str = "table", titles: list[str] |
 
     first = len(out)
     section(sorted(at), "")
-    if old:
+    if layout == "replaced":
+        for n in kids:
+            put(n + 1, stream(n + 1, streams[n + 1]))
+        section([n + 1 for n in kids], f"/Prev {first}")
+    elif gone:
+        section([], f"/Prev {first}", [8, 9])
+    elif old:
         put(2, objects[2])
         section([2], f"/Prev {first}")
     return bytes(out)
+
+
+def write_images(data: bytes) -> bytes:
+    """One page that draws the bytes as an inline image and as an external object, and a form and a missing object."""
+    content = b"q 10 0 0 10 5 5 cm BI /W %d /H 1 /BPC 8 /CS /G ID %s EI Q /I1 Do /F9 Do /None Do" % (len(data), data)
+    bodies = {
+        1: b"<</Type/Catalog/Pages 2 0 R>>", 2: b"<</Type/Pages/Count 1/Kids[3 0 R]/Resources 6 0 R>>", 3: b"<</Type/Page/Parent 2 0 R/Contents[4 0 R null]>>",
+        4: b"<</Length %d>>\nstream\n%s\nendstream" % (len(content), content),
+        5: b"<</Subtype/Image/Width %d/Height 1/ColorSpace[/ICCBased 8 0 R]/Length %d>>\nstream\n%s\nendstream" % (len(data), len(data), data),
+        6: b"<</XObject 7 0 R>>", 7: b"<</I1 5 0 R/F9 9 0 R>>", 8: b"<</N 4/Length 0>>\nstream\n\nendstream", 9: b"<</Subtype/Form/Length 0>>\nstream\n\nendstream",
+    }
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % x for x in bodies.items()) + b"trailer\n<</Root 1 0 R>>\n"

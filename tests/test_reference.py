@@ -11,15 +11,17 @@ from pyspark.sql import functions as F
 
 from leafmill import queries as q
 from leafmill.functions import codecs
-from leafmill.operators import layout
-from leafmill.plans.contents import page_lines, page_texts
+from leafmill.operators import graph, layout
+from leafmill.plans.contents import page_lines, page_spans, page_texts
 from leafmill.sources import pdf_bytes
-from leafmill.sources.pdf import Documents, read_pdf
+from leafmill.sources.pdf import Documents, PdfError, read_pdf
 from leafmill.testing.pdfwriter import write_pdf
 
 from .conftest import SF
 
-SLOW = {"pdf_object_streams", "pdf_repair_scan", "pdf_incremental_update", "pdf_encrypted", "pdf_outline"}  # covered by test_layouts
+SLOW = {
+    "pdf_object_streams", "pdf_repair_scan", "pdf_incremental_update", "pdf_encrypted", "pdf_updated_stream", "pdf_freed_object", "pdf_simple_encoding", "pdf_text_lines", "outline_encrypted",
+}  # fmt: skip  covered by test_layouts
 
 
 def test_known_values():
@@ -63,28 +65,94 @@ def test_values():
 
 def test_to_unicode():
     cmap = b"1 begincodespacerange <00> <20> <2000> <FFFF> endcodespacerange 1 beginbfchar <11> <0041> endbfchar 2 beginbfrange <2023> <2025> <0061> <2030> <2031> [<00660066> <0067>] endbfrange"
-    widths, rows = pdf_bytes.to_unicode(cmap)
-    assert pdf_bytes.map_text(bytes.fromhex("0111202420302031"), widths, rows) == "□AbffG".replace("G", "g")
+    m = pdf_bytes.CodeMap(cmap)
+    assert [t for _, t in m.codes(bytes.fromhex("0111202420302031"))] == ["□", "A", "b", "ff", "g"]
+    assert m.codes(b"\x20") == [(32, "□")] and pdf_bytes.CodeMap(b"").codes(b"ab") == [(97, "□"), (98, "□")]
+
+
+PAGES = [["Hello (World) é", "second line", "", "after gap"], ["üñ äöß x-", "x"]]
+WANT = ["Hello (World) é second line\n\nafter gap", "üñ äöß xx"]
 
 
 def test_layouts(spark, tmp_path):
-    pages = [["Hello (World) é", "second line", "", "after gap"], ["üñ 漢字", "x"]]
-    made = {x: write_pdf(pages, x, ["One", "Zwö"]) for x in ("table", "stream", "broken", "update")} | {"enc": write_pdf(pages, password=b"secret"), "junk": b"no pdf"}
+    """Every file layout, font and style gives the same pages; titles come in order, with the page they lead to."""
+    layouts = ("table", "stream", "broken", "update", "replaced", "freed")
+    outline = [("One", 0, ["below", "and below"]), ("Zwö", 1, [])]
+    made = {x: write_pdf(PAGES, x, outline=outline, style=y) for x, y in zip(layouts, ["plain", "kerned"] * 3, strict=True)}
+    made |= {"enc": write_pdf(PAGES, password=b"secret", outline=outline), "simple": write_pdf(PAGES, font="simple", style="kerned"), "junk": b"no pdf"}
+    made["other"] = write_pdf(PAGES, password=b"another")
     for name, b in made.items():
         (tmp_path / f"{name}.pdf").write_bytes(b)
     d = read_pdf(spark, str(tmp_path), "secret")
     name = F.regexp_extract("file_id", r"([a-z]+)\.pdf$", 1)
     got = {(r["n"], r["page_index"]): r["text"] for r in page_texts(d.elements).withColumn("n", name).collect()}
-    want = ["Hello (World) é\nsecond line\n\nafter gap", "üñ 漢字\nx"]
-    assert got == {(n, i): t for n in made if n != "junk" for i, t in enumerate(want)}
-    titles = sorted((r["n"], r["title"], r["page_index"]) for r in d.outline.withColumn("n", name).collect())
-    assert titles == sorted((n, t, i) for n in ("table", "stream", "broken", "update") for i, t in enumerate(["One", "Zwö"]))
+    assert got == {(n, i): t for n in made if n not in ("junk", "other") for i, t in enumerate(WANT)}
+    titles = sorted((r["n"], r["path"], r["title"], r["page_index"]) for r in d.outline.withColumn("n", name).collect())
+    tree = [([0], "One", 0), ([0, 0], "below", 0), ([0, 1], "and below", 0), ([1], "Zwö", 1)]
+    assert titles == sorted((n, *t) for n in (*layouts, "enc") for t in tree)
+    errors = {(r["n"], r["code"], r["message"]) for r in d.errors.withColumn("n", name).collect()}
+    assert errors == {("junk", "open", "no objects"), ("other", "password", "wrong password")}
+    with pytest.raises(PdfError, match="password|open"):
+        read_pdf(spark, str(tmp_path), "secret", mode="FAILFAST")
+    spans = page_spans(d.elements).withColumn("n", name).where("n = 'simple' and page_index = 1").orderBy("line_id").collect()
+    assert [(r["text"], r["family"]) for r in spans] == [("üñ äöß x-", "serif"), ("x", "serif")]
+
+
+def one_page(content: bytes, font: bytes = b"<</Type/Font/Subtype/Type1/BaseFont/Arial/FirstChar 32/Widths[250 500 500]/FontDescriptor<</MissingWidth 500>>/Encoding/WinAnsiEncoding>>", more: bytes = b"") -> bytes:
+    bodies = {
+        1: b"<</Type/Catalog/Pages 2 0 R>>", 2: b"<</Type/Pages/Kids[3 0 R 2 0 R]/Resources<</Font 7 0 R>>>>", 3: b"<</Type/Page/Contents 4 0 R>>",
+        4: b"<</Length %d>>\nstream\n%s\nendstream" % (len(content), content), 5: font, 7: b"<</F 5 0 R>>",
+    }
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % x for x in bodies.items()) + more + b"trailer\n<</Root 1 0 R>>\n"
+
+
+def test_text_operators(spark):
+    cases = {
+        "pieces": (b"BT /F 10 Tf (Hel) Tj (lo) Tj ET", "Hello"),
+        "kerning": (b"BT /F 10 Tf [(two)-400(words)-20(!)] TJ ET", "two words!"),
+        "moved": (b"BT /F 10 Tf (a) Tj 30 0 Td (b) Tj ET", "a b"),
+        "near": (b"BT /F 10 Tf (a) Tj 5 0 Td (b) Tj ET", "ab"),
+        "quotes": (b"BT /F 10 Tf 12 TL (a) Tj (b) ' 1 2 (c) \" ET", "a\nb\nc"),
+        "leading": (b"BT /F 10 Tf (a) Tj 0 -12 TD (b) Tj T* (c) Tj ET", "a\nb\nc"),
+        "state": (b"q 2 0 0 2 0 0 cm BT /F 10 Tf (a) Tj ET Q BT /F 10 Tf 0 -15 Td (b) Tj ET", "a\nb"),
+        "inline": (b"BI /W 4 /H 1 /BPC 8 /CS /G ID a EI EI BT /F 10 Tf (after) Tj ET", "after"),
+    }
+    f = spark.createDataFrame([(k, bytearray(one_page(c))) for k, (c, _) in cases.items()], "file_id string, content binary")
+    got: dict = {}
+    for r in page_lines(Documents(f).elements).orderBy("file_id", "line_id").collect():
+        got.setdefault(r["file_id"], []).append(r["line_text"])
+    assert {k: "\n".join(v) for k, v in got.items()} == {k: t for k, (_, t) in cases.items()}
+
+
+def test_fonts_without_widths_or_maps(spark):
+    plain = one_page(b"BT /F 10 Tf [(ab)-200(cd)-200(ef)-30(g)] TJ ET", b"<</Type/Font/Subtype/Type1/BaseFont/Times-Bold>>")
+    composite = one_page(b"BT /F 10 Tf (ab) Tj ET", b"<</Type/Font/Subtype/Type0/BaseFont/X/Encoding/UniJIS-H/DescendantFonts[<</DW 700>>]>>")
+    d = Documents(spark.createDataFrame([("plain", bytearray(plain)), ("cid", bytearray(composite))], "file_id string, content binary"))
+    assert {r["file_id"]: r["line_text"] for r in page_lines(d.elements).collect()} == {"plain": "ab cd efg", "cid": "□"}
+    fonts = {r["file_id"]: (r["missing"], r["space_width"], r["error"]) for r in d.fonts.collect()}
+    assert fonts == {"plain": (None, None, None), "cid": (700.0, 700.0, "unsupported encoding /UniJIS-H")}
+    assert {r["metric"] for r in d.elements.where("file_id = 'plain'").collect()} == {False}
+
+
+def test_broken_stream_is_an_error_row(spark):
+    bad = one_page(b"BT /F 10 Tf (x) Tj ET").replace(b"<</Length 21>>", b"<</Length 21/Filter/ASCII85Decode>>")
+    d = Documents(spark.createDataFrame([("a", bytearray(bad))], "file_id string, content binary"))
+    assert [(r["code"], r["message"]) for r in d.errors.collect()] == [("stream", "object 4")] and page_lines(d.elements).count() == 0
+
+
+def test_deep_trees_and_cycles(spark):
+    chain = [("t", i, 0, i + 1, None) for i in range(12)] + [("t", 12, 0, 3, None), ("t", 12, 1, 99, "own")]
+    edges = spark.createDataFrame(chain, "tree string, parent int, ordinal int, child int, own string")
+    roots = spark.createDataFrame([("t", 0, "top")], "tree string, node int, carried string")
+    got = graph.leaves(graph.walk(roots, edges), edges).collect()
+    assert [(r["node"], r["page_index"], r["carried"], len(r["path"])) for r in got] == [(99, 0, "own", 13)]
 
 
 def test_images(spark):
-    b = b"%PDF-1.4\n9 0 obj\n<</Subtype/Image/Width 2/Height 3/ColorSpace/DeviceCMYK/Filter/DCTDecode/Length 4>>\nstream\nabcd\nendstream\nendobj\n"
-    got = Documents(spark.createDataFrame([("a", bytearray(b))], "file_id string, content binary")).images.collect()
-    assert [tuple(r) for r in got] == [("a", 9, 2, 3, 4, "/DCTDecode", 4)]
+    from leafmill.testing.pdfwriter import write_images
+
+    got = Documents(spark.createDataFrame([("a", bytearray(write_images(b"ab EI cd")))], "file_id string, content binary")).images.orderBy("obj_seq").collect()
+    assert [(r["obj"], r["width"], r["height"], r["components"], bytes(r["data"])) for r in got] == [(None, 8, 1, 1, b"ab EI cd"), (5, 8, 1, 4, b"ab EI cd")]
 
 
 def test_tables_with_gaps_and_other_lines(spark):
@@ -99,7 +167,7 @@ def test_tables_with_gaps_and_other_lines(spark):
 
 def test_broken_input_is_data(spark):
     d = Documents(spark.createDataFrame([("null", None), ("empty", bytearray())], "file_id string, content binary"))
-    assert [r["file_id"] for r in d.errors.collect()] == ["null"]
+    assert sorted((r["file_id"], r["code"]) for r in d.errors.collect()) == [("empty", "open"), ("null", "open")]
     assert page_lines(d.elements).count() == 0
     assert Documents(d.opened.sparkSession.createDataFrame([], "file_id string, content binary")).pages.count() == 0
 
