@@ -1,6 +1,8 @@
-"""BPE encoding through tables of distinct words, and decoding through a table of pieces.
+"""BPE encoding through a table of distinct words, and decoding through a table of pieces.
 
-1. Words: each text is split at special tokens and then by the tokenizer's own pattern.
+1. Words: Spark splits each text at special tokens and white space, by built-in functions: a word
+   is a run of anything but white space with the space before it, or white space that goes to
+   no word.  The tokenizer's own pattern never matches across the ends of such words.
 2. The distinct words of all texts are counted; each that makes up at least ``FREQUENT`` of
    all words is encoded once.  There are at most 1 / FREQUENT of them, each of at most
    ``MAX_FREQUENT_BYTES``, so their table can go to every task.
@@ -8,8 +10,8 @@
    (``TASK_WORDS`` at most at a time).
 4. Ids come back to each text position by position.
 
-Joining the rarer words by a shuffle instead, and the texts with what it finds, is more
-work than encoding them again in another task: see the README for figures.
+Joining the rarer words by a shuffle instead, and the texts with what it finds, needs more disk
+than the texts have: see the README for figures.
 
 Decoding looks each id up in the table of pieces, which is as large as the vocabulary.
 """
@@ -17,25 +19,25 @@ Decoding looks each id up in the table of pieces, which is as large as the vocab
 from __future__ import annotations
 
 import json
+import os
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 
 FREQUENT = 1e-6
 MAX_FREQUENT_BYTES = 64
-#: Distinct words that a task counts before it passes the counts on.
-FLUSH_WORDS = 150_000
 #: Rarer words that a task remembers; then it starts afresh.
 TASK_WORDS = 200_000
 ROWS = 500
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The code points with the Unicode property White_Space.
+SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WORD = f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 
 
 def default_tokenizer() -> str:
@@ -46,6 +48,7 @@ def default_tokenizer() -> str:
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):  # noqa: ANN202
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel ones
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
@@ -55,9 +58,16 @@ def _tokenizer(path: str):  # noqa: ANN202
 
 
 @lru_cache(maxsize=2)
-def _special(path: str) -> dict[str, int]:
+def special_tokens(path: str) -> tuple[str, ...]:
+    """Special tokens of a byte-level tokenizer whose words can be encoded one by one; any other file is an error."""
     with open(path, encoding="utf-8") as f:
-        return {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
+        d = json.load(f)
+    pre, decoder = d.get("pre_tokenizer") or {}, d.get("decoder") or {}
+    plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    flags = any(x.get(k) for x in d["added_tokens"] for k in ("lstrip", "rstrip", "single_word", "normalized"))
+    if not plain or d.get("normalizer") or decoder.get("type") != "ByteLevel" or d["model"].get("type") != "BPE" or flags:
+        raise ValueError(f"{path}: only byte-level BPE without normaliser, prefix space or flags of added tokens is supported")
+    return tuple(sorted((x["content"] for x in d["added_tokens"]), key=len, reverse=True))
 
 
 def _byte_names() -> dict[int, str]:
@@ -66,21 +76,27 @@ def _byte_names() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
 
 
-def _split(path: str, pattern: str = PATTERN):  # noqa: ANN202
-    """A function from text to its words; special tokens are words of their own."""
-    import regex
+def words_of(text: Column, marks: tuple[str, ...]) -> Column:
+    """The words of a text, by built-in functions; special tokens are words of their own."""
+    text = F.coalesce(text, F.lit(""))
+    out = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    if marks:
+        mark = "|".join("".join(c if c.isalnum() else f"\\{c}" for c in m) for m in marks)
+        other = f"(?:(?!{mark})[^{SPACES}])"
+        marked = f"{mark}| ?{other}+|[{SPACES}]+(?!{other})|[{SPACES}]+"
+        out = F.when(text.rlike(mark), F.regexp_extract_all(text, F.lit(marked), F.lit(0))).otherwise(out)
+    return out
 
-    find = regex.compile(pattern).findall
-    # the same words where all characters are ASCII, found faster
-    plain = re.compile(pattern.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9").replace(" ?A-Za-z+", " ?[A-Za-z]+").replace(" ?0-9+", " ?[0-9]+"), re.ASCII).findall
-    marks = _special(path)
-    cut = re.compile("(" + "|".join(map(re.escape, sorted(marks, key=len, reverse=True))) + ")").split if marks else None
+
+def _split(path: str) -> Callable[[str], list[str]]:
+    """The same from a text in a task."""
+    find, marks = re.compile(WORD).findall, special_tokens(path)
+    cut = re.compile("(" + "|".join(map(re.escape, marks)) + ")").split if marks else None
 
     def words(text: str) -> list[str]:
-        each = plain if text.isascii() else find
         if cut is None or not any(m in text for m in marks):
-            return each(text)
-        return [w for i, part in enumerate(cut(text)) for w in ([part] if i % 2 else each(part))]
+            return find(text)
+        return [w for i, part in enumerate(cut(text)) for w in ([part] if i % 2 else find(part))]
 
     return words
 
@@ -92,31 +108,14 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(i, ROWS)
 
 
-def _texts(batch: pa.RecordBatch) -> list[str]:
-    return [x or "" for x in batch.column("text").to_pylist()]
-
-
 def distinct_words(docs: DataFrame, path: str) -> DataFrame:
-    """(word, n): counts are summed within tasks before they are shuffled."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen = _split(path), Counter()
-        flush = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-        for b in _slices(batches):
-            for text in _texts(b):
-                seen.update(words(text))
-                if len(seen) > FLUSH_WORDS:
-                    yield flush()
-                    seen.clear()
-        yield flush()
-
-    return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    """(word, n) of all texts; counts are summed within tasks before they are shuffled."""
+    return docs.select(F.explode(words_of(F.col("text"), special_tokens(path))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def _ids(words: list[str], path: str) -> list[str]:
-    """The ids of each word: decimal, joined by commas.  The merges are those of the tokenizer's model."""
-    merge, special, name = _tokenizer(path).model.tokenize, _special(path), _byte_names().__getitem__
-    return [str(special[w]) if w in special else ",".join([str(t.id) for t in merge("".join(map(name, w.encode())))]) for w in words]
+    """The ids of each word: decimal, joined by commas."""
+    return [",".join(map(str, e.ids)) for e in _tokenizer(path).encode_batch_fast(words, add_special_tokens=False)]
 
 
 def encode_words(table: DataFrame, path: str) -> DataFrame:
@@ -140,8 +139,8 @@ def _encoder(docs: DataFrame, path: str) -> Callable[[Iterator[pa.RecordBatch]],
         words, shared, own = _split(path), frequent.value, {}
         for b in _slices(batches):
             n, texts = [], []
-            for text in _texts(b):
-                ws = words(text)
+            for text in b.column("text").to_pylist():
+                ws = words(text or "")
                 found = list(map(shared.get, ws))
                 if None in found:
                     rest = [i for i, x in enumerate(found) if x is None]
@@ -165,8 +164,9 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids): one row per input row; ids are decimal, joined by commas.
 
     The ids are those of the tokenizers library with add_special_tokens=False.  Null and empty
-    texts have none (an empty string).  Repeated rows each give a row; an empty table gives none.
-    Columns other than doc_id and text are ignored.
+    texts have none (an empty string).  Very long texts and words are encoded whole.  Repeated rows
+    each give a row; an empty table gives none.  Columns other than doc_id and text are ignored.
+    A tokenizer whose words can't be encoded one by one is an error.
     """
     run = _encoder(docs, path or default_tokenizer())
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids string")
@@ -175,8 +175,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 @lru_cache(maxsize=2)
 def _pieces(path: str) -> dict[str, bytes]:
     """Decimal id to bytes: the printable stand-ins of a byte-level vocabulary, undone."""
-    shown = {c: b for b, c in _byte_names().items()}
-    special = _special(path)
+    shown, special = {c: b for b, c in _byte_names().items()}, set(special_tokens(path))
     vocab = _tokenizer(path).get_vocab(with_added_tokens=True)
     return {str(i): p.encode() if p in special else bytes(shown[c] for c in p) for p, i in vocab.items()}
 
