@@ -66,3 +66,33 @@ def font_family(base_font: Column) -> Column:
     bold, italic = n.rlike("bold|black|heavy"), n.rlike("italic|oblique")
     style = F.when(bold & italic, "-bold-italic").when(bold, "-bold").when(italic, "-italic").otherwise("")
     return F.concat(family, style)
+
+
+def encode_parentheses(text: Column) -> Column:
+    """Parentheses as octal escapes, so that a string can stand between parentheses."""
+    return F.replace(F.replace(text, F.lit("("), F.lit("\\050")), F.lit(")"), F.lit("\\051"))
+
+
+def octal(number: Column) -> Column:
+    return F.conv(number.cast("string"), 10, 8)
+
+
+def from_octal(digits: Column) -> Column:
+    return F.conv(digits, 8, 10).cast("long")
+
+
+def number(text: Column) -> Column:
+    """Null where the text is no number."""
+    return F.btrim(text).try_cast("double")
+
+
+def symbol_code(code: Column) -> Column:
+    """Symbolic fonts have their glyphs at F000 and above."""
+    return code + 0xF000
+
+
+def in_codespace(code: Column, low: Column, high: Column) -> Column:
+    """Whether a code (binary) is as long as the range's ends, and each byte lies between theirs."""
+    byte = lambda b, i: F.substring(F.hex(b), 2 * i + 1, F.lit(2))
+    inside = F.forall(F.sequence(F.lit(0), F.octet_length(low) - 1), lambda i: byte(code, i).between(byte(low, i), byte(high, i)))
+    return (F.octet_length(code) == F.octet_length(low)) & inside

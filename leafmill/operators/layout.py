@@ -20,6 +20,13 @@ def reading_order(elements: DataFrame, page: list[str] = PAGE) -> DataFrame:
     return e.withColumn("seq", F.row_number().over(order)).drop("__y", "__x")
 
 
+def text_runs(elements: DataFrame, page: list[str] = PAGE) -> DataFrame:
+    """Adds ``run`` to elements of all kinds: how many images and external objects come before, in reading order; text between two is one run."""
+    order = Window.partitionBy(*page).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    e = reading_order(elements, page)
+    return e.withColumn("run", F.sum((F.col("kind") != "text").cast("int")).over(order)).drop("seq")
+
+
 def advance(elements: DataFrame, page: list[str] = PAGE) -> DataFrame:
     """Moves ``tx`` of an element that follows another without a move (``moved`` is false) to where that ends."""
     own = Window.partitionBy(*page, "obj_seq").orderBy("elem_seq")

@@ -19,7 +19,8 @@ def measured(elements: DataFrame, page: list[str] = L.PAGE) -> DataFrame:
 
     A font without widths has the commonest backward kerning of the page as its space.
     """
-    e = elements.where("kind = 'text'").repartition(*page)
+    e = elements.where("kind = 'text'")
+    e = e if "run" in page else e.repartition(*page)  # runs are dealt out by their page already
     adj = F.filter(F.transform("tj", lambda x: x["adj"]), lambda a: a < 0)
     of_font = Window.partitionBy(*page, "font_key")
     # the mode of the page's kerning: values of a page by font, in order
@@ -51,10 +52,12 @@ def page_lines(elements: DataFrame, page: list[str] = L.PAGE) -> DataFrame:
 
 
 def page_parts(elements: DataFrame, page: list[str] = L.PAGE) -> DataFrame:
-    """(page, seq, kind, group_id, indent, text, rows): paragraphs and tables of each page in order, blank lines left out.
+    """(page, run, seq, kind, group_id, indent, text, rows): paragraphs and tables of each page in order, blank lines left out.
 
-    Whether a line is full is measured by widths if all fonts of the page have them, else in characters.
+    Text between images is laid out by itself, run by run.  Whether a line is full is measured by widths if all fonts
+    of the page have them, else in characters.
     """
+    elements, page = L.text_runs(elements.repartition(*page), page), [*page, "run"]
     e = page_elements(elements, page)
     lines = L.line_texts(e.where("table_id is null"), page)
     known = e.groupBy(*page).agg(F.bool_and("metric").alias("metric"))
@@ -71,7 +74,7 @@ def page_parts(elements: DataFrame, page: list[str] = L.PAGE) -> DataFrame:
 def page_texts(elements: DataFrame, page: list[str] = L.PAGE) -> DataFrame:
     """One text per page: paragraphs and tables joined by line feeds, groups by an empty line."""
     joined = lambda order, value, sep: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]), sep)
-    groups = page_parts(elements, page).groupBy(*page, "group_id").agg(joined("seq", "text", "\n").alias("t"), F.min("seq").alias("first"))
+    groups = page_parts(elements, page).groupBy(*page, "run", "group_id").agg(joined("seq", "text", "\n").alias("t"), F.struct("run", F.min("seq")).alias("first"))
     return groups.groupBy(*page).agg(joined("first", "t", "\n\n").alias("text"))
 
 

@@ -656,3 +656,38 @@ def image_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file_id"), "text").mapInArrow(write, "file_id string, content binary")
     i = pdf.Documents(files).images
     return i.select(F.col("file_id").cast("long").alias("doc_id"), F.when(F.col("obj").isNull(), "inline").otherwise("object").alias("kind"), "width", "height", "components", F.md5("data").alias("digest"))
+
+
+@query("SELECT c_custkey, to_base(c_custkey, 8) AS digits, c_custkey::BIGINT AS number FROM customer")
+def octal_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digits = scalars.octal(F.col("c_custkey"))
+    return table(spark, sf_dir, "customer").select("c_custkey", digits.alias("digits"), scalars.from_octal(digits).alias("number"))
+
+
+@query(r"SELECT doc_id, md5(replace(replace('(' || text || ')', '(', '\050'), ')', '\051')) AS digest FROM documents")
+def encode_parentheses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(scalars.encode_parentheses(F.concat(F.lit("("), "text", F.lit(")")))).alias("digest"))
+
+
+@query("SELECT doc_id, md5(trim(' ' || chr(13) || chr(10) || text || chr(10) || ' ', ' ' || chr(10) || chr(13))) AS digest FROM documents")
+def trim_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(scalars.trim_ends(F.concat(F.lit(" \r\n"), "text", F.lit("\n ")))).alias("digest"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 <> 0 THEN p_partkey + 0.5::DOUBLE END AS number FROM part")
+def safe_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.when(F.col("p_partkey") % 3 == 0, F.lit("x")).otherwise(F.lit(" ")), "p_partkey", F.lit(".5"))
+    return table(spark, sf_dir, "part").select("p_partkey", scalars.number(text).alias("number"))
+
+
+@query("SELECT n_nationkey, 61440 + ascii(n_name) AS unicode FROM nation")
+def symbol_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").select("n_nationkey", scalars.symbol_code(F.ascii("n_name")).alias("unicode"))
+
+
+@query("""
+SELECT c_custkey, c_custkey % 65536 // 256 BETWEEN 1 AND 3 AND c_custkey % 256 BETWEEN 32 AND 126 AS inside FROM customer
+""")
+def codespace_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = F.unhex(F.lpad(F.hex(F.col("c_custkey") % 65536), 4, "0"))
+    return table(spark, sf_dir, "customer").select("c_custkey", scalars.in_codespace(code, F.unhex(F.lit("0120")), F.unhex(F.lit("037E"))).alias("inside"))

@@ -124,6 +124,13 @@ def test_text_operators(spark):
     assert {k: "\n".join(v) for k, v in got.items()} == {k: t for k, (_, t) in cases.items()}
 
 
+def test_images_part_the_text(spark):
+    line = b"BT /F 10 Tf 1 0 0 1 0 %d Tm (%s) Tj ET "
+    text = line % (0, b"a full line") + line % (-12, b"and one more") + b"q 5 0 0 5 0 -18 cm BI /W 1 /H 1 /CS /G /BPC 8 ID x EI Q " + line % (-24, b"below")
+    both = spark.createDataFrame([("a", bytearray(one_page(text)))], "file_id string, content binary")
+    assert [r["text"] for r in page_texts(Documents(both).elements).collect()] == ["a full line and one more\n\nbelow"]
+
+
 def test_fonts_without_widths_or_maps(spark):
     plain = one_page(b"BT /F 10 Tf [(ab)-200(cd)-200(ef)-30(g)] TJ ET", b"<</Type/Font/Subtype/Type1/BaseFont/Times-Bold>>")
     composite = one_page(b"BT /F 10 Tf (ab) Tj ET", b"<</Type/Font/Subtype/Type0/BaseFont/X/Encoding/UniJIS-H/DescendantFonts[<</DW 700>>]>>")
