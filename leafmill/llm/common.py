@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..durable import Scratch, durable, stored  # noqa: F401  for the operators
+
 #: White space as the contracts define it: space and the controls 0x09-0x0D.
 WS_CHARS = " \t\n\x0b\x0c\r"
 WS_RUN = r"[\x20\x09-\x0D]+"
@@ -56,16 +56,12 @@ def hash128(c: Column) -> list[Column]:
     return [F.xxhash64(c).alias("h1"), F.xxhash64(F.lit(0x5EED), c).alias("h2")]
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a checkpoint in the folder that the cluster names.
-
-    Only where ``spark.checkpoint.dir`` is unset (tests, a laptop) is a temporary folder used.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+def fresh(taken: Iterable[str], base: str) -> str:
+    """A column name that ``taken`` doesn't have, whatever its case."""
+    have, n = {x.lower() for x in taken}, 0
+    while (name := f"{base}_{n}").lower() in have:
+        n += 1
+    return name
 
 
 def broadcast_if_small(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
@@ -73,23 +69,6 @@ def broadcast_if_small(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFr
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Writes a table to the shared checkpoint folder and reads it back; columnar, so smaller than a checkpoint.
-
-    The files go when this process ends, or with the folder.
-    """
-    spark = df.sparkSession
-    durable(spark.range(0)) if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty() else None
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    path = f"{top}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # noqa: BLE001  the session has ended
-        pass
+def tasks_for(rows: int, each: int = 50_000) -> int:
+    """For ``coalesce``: so many tasks that each has ``each`` rows; few rows then don't make a file for every pair of partitions."""
+    return max(1, -(-rows // each))

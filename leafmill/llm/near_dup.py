@@ -1,10 +1,12 @@
 """Near-duplicate groups by consistent weighted sampling.
 
-1. Texts equal up to case of A-Z and white space collapse to one content key.
+1. Texts equal up to case of A-Z and white space collapse to one content.
 2. A content is a set of 5-word shingles weighted by term frequency times inverse document
-   frequency.  A shingle's inverse document frequency is the mean of its words'; words in
-   fewer than ``FREQUENT`` of all (document, word) pairs count as if they were just that
-   frequent, so at most 1 / FREQUENT words need to be known to a task.
+   frequency.  A shingle's inverse document frequency is the mean of its words', each counted
+   over all documents.  Words are counted by a 64-bit hash.  Frequent words (at least ``FREQUENT``
+   of all (document, word) pairs, so at most 1 / FREQUENT of them) are known to every task; the
+   counts of a content's other words come to it by a join.  A bit table of a fixed size tells most
+   words of one document apart, which need no join.
 3. Improved consistent weighted sampling draws 36 samples of each content; two contents agree
    in a sample with the probability of their weighted Jaccard similarity.  Samples are
    banded by threes: contents of similarity 0.8 share none of the 12 bands with a chance
@@ -15,6 +17,7 @@
    bucket that it shares, unless a bound rules it out: a content can have no more in common
    with another than the weight of those of its shingles that any other such content has.
    So no link between candidates is lost, and many variants of one text make few pairs.
+   Large buckets are dealt out by blocks of contents, so that no task has a whole one.
 5. Candidates are verified by their exact weighted Jaccard similarity; groups are the
    connected components of the links.
 """
@@ -22,47 +25,45 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from .common import col, durable, stored
+from .common import Scratch, col, fresh, tasks_for
 from .components import connected_components
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 3
-FREQUENT = 2e-6
-MAX_FREQUENT_BYTES = 64
+FREQUENT = 2e-7
 FLUSH_WORDS = 200_000
+#: Bits of the table of words that two documents have.
+FILTER_BITS = 27
+#: Contents of a bucket that a task compares with as many others, or with a leader.
+BLOCK, LEADER_BLOCK = 1_000, 50_000
 
 _U = np.uint64
-#: Variates of consistent weighted sampling come from tables of this many entries, by hash.
-TABLE_BITS = 16
-#: Bytes hashed at a time.
-PIECE = 1 << 20
+#: Variates of consistent weighted sampling come from tables of this many entries, by hash; weights are sampled by
+#: their logarithm in steps of 1 / STEPS, from LEAST_LEVEL on: e ** 30 is more than a text's words times any frequency.
+TABLE_BITS, STEPS, LEAST_LEVEL, LEVELS = 13, 16, -32, 512
 
 
 @lru_cache(maxsize=1)
 def _tables() -> dict[str, np.ndarray]:
     rng = np.random.default_rng(20240229)
     u = np.maximum(rng.random((5, 1 << TABLE_BITS)), 1e-12)
-    r = -np.log(u[0] * u[1])
-    odd = lambda n: rng.integers(0, 1 << 63, n, dtype=_U) * _U(2) + _U(1)
-    base = odd(1)[0]
-    powers = np.cumprod(np.concatenate([np.ones(1, _U), np.full(PIECE, base)]), dtype=_U)
-    inverse = pow(int(base), -1, 1 << 64)
-    return {
-        "r": r.astype(np.float32), "per_r": (1 / r).astype(np.float32), "beta": u[4].astype(np.float32), "ln_c": np.log(-np.log(u[2] * u[3])).astype(np.float32),
-        "byte": odd(256), "power": powers, "inverse": np.cumprod(np.concatenate([np.ones(1, _U), np.full(PIECE, _U(inverse))]), dtype=_U),
-        "place": odd(SHINGLE), "sample": odd(BANDS * ROWS),
-    }
+    r, beta = -np.log(u[0] * u[1]), u[4]
+    step = np.floor((np.arange(LEVELS)[:, None] + LEAST_LEVEL) / STEPS / r + beta)
+    rank = np.log(-np.log(u[2] * u[3])) - r * (step - beta + 1)
+    odd = lambda n, kind, top: rng.integers(0, top, n, dtype=kind) * kind(2) + kind(1)
+    return {"rank": rank.astype(np.float32).ravel(), "r": r, "beta": beta, "place": odd(SHINGLE, _U, 1 << 63), "sample": odd(BANDS * ROWS, np.uint32, 1 << 31)[:, None]}
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -71,39 +72,74 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit polynomial hashes of the words, by prefix sums over pieces of the text."""
-    t, out, i = _tables(), [], 0
-    while i < len(words):
-        n, size = 0, 0
-        while i + n < len(words) and size + len(words[i + n]) + 1 <= PIECE:
-            size += len(words[i + n]) + 1
-            n += 1
-        if n == 0:  # one word longer than a piece
-            out.append(np.frombuffer(blake2b(words[i], digest_size=8).digest(), dtype=_U))
-            i += 1
-            continue
-        a = np.frombuffer(b" ".join(words[i : i + n]) + b" ", dtype=np.uint8)
-        sums = np.concatenate([np.zeros(1, _U), np.cumsum(t["byte"][a] * t["power"][: len(a)], dtype=_U)])
-        ends = np.flatnonzero(a == 32)
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        out.append(_mix((sums[ends] - sums[starts]) * t["inverse"][starts]))
-        i += n
-    return np.concatenate(out) if out else np.zeros(0, _U)
-
-
-def weighted_shingles(words: list[bytes], idf: dict[bytes, float], top: float) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the shingles and their weights; a text of fewer than five words is one shingle."""
-    t, wh = _tables(), word_hashes(words)
-    iw = np.fromiter((idf.get(w, top) for w in words), dtype=np.float64, count=len(words))
+def word_hashes(words: Iterable[bytes], n: int) -> np.ndarray:
+    return np.fromiter(map(xxh64_intdigest, words), _U, n).view(np.int64)
+
+
+def _at(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the hashes are in sorted keys, and whether."""
+    at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
+    return at, keys[at] == h if len(keys) else np.zeros(len(h), bool)
+
+
+class Words:
+    """Hashes of the frequent words in order, with their document frequencies; and bits of others that two documents have."""
+
+    def __init__(self, n_docs: int, often: tuple[np.ndarray, np.ndarray], bits: np.ndarray) -> None:
+        order = often[0].argsort()
+        self.n_docs, self.hash, self.n, self.bits = n_docs, often[0][order], often[1][order], bits
+
+    def asked(self, h: np.ndarray) -> np.ndarray:
+        """Which words' frequencies must be looked up."""
+        slot = h.view(_U) >> _U(64 - FILTER_BITS)
+        return ~_at(self.hash, h)[1] & ((self.bits[slot >> _U(6)] >> (slot & _U(63))) & _U(1)).astype(bool)
+
+    def idf(self, h: np.ndarray, rare: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Inverse document frequencies; ``rare``: hashes and frequencies that were looked up; any other word is in one document."""
+        n = np.ones(len(h))
+        for keys, each in ((self.hash, self.n), rare):
+            at, there = _at(keys, h)
+            n[there] = each[at[there]]
+        return np.log1p(self.n_docs / n)
+
+
+class Vocabulary(dict):
+    """Places of words in ``hash`` and ``idf``."""
+
+    def __init__(self, words: Words) -> None:
+        super().__init__()
+        self.words = words
+        self.hash, self.idf = np.zeros(1 << 12, _U), np.zeros(1 << 12)
+
+    def of_content(self, packed: bytes, rare: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Shingles of a content and their weights."""
+        words = zstandard.ZstdDecompressor().decompress(packed).split(b" ")
+        if len(self) > FLUSH_WORDS:
+            self.clear()
+        if new := [w for w in set(words) if w not in self]:
+            n, k = len(self), len(new)
+            if n + k > len(self.hash):
+                self.hash, self.idf = np.concatenate([self.hash, np.zeros(n + k, _U)]), np.concatenate([self.idf, np.zeros(n + k)])
+            h = word_hashes(new, k)
+            self.hash[n : n + k], self.idf[n : n + k] = h.view(_U), self.words.idf(h, rare)
+            self.update(zip(new, range(n, n + k), strict=True))
+        return weighted_shingles(np.fromiter(map(self.__getitem__, words), np.int64, len(words)), self)
+
+
+def weighted_shingles(words: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the shingles of words (by place) and their weights; a text of fewer than five words is one shingle."""
+    place, wh, iw = _tables()["place"], vocabulary.hash[words], vocabulary.idf[words]
     k = min(SHINGLE, len(words))
     m = len(words) - k + 1
     h, weight = np.full(m, _U(k), _U), np.zeros(m)
     for j in range(k):
-        h = h + wh[j : j + m] * t["place"][j]
+        h = h + wh[j : j + m] * place[j]
         weight = weight + iw[j : j + m]
-    h, first, n = np.unique(_mix(h), return_index=True, return_counts=True)
-    return h, n * (weight[first] / k)
+    h = _mix(h)
+    order = h.argsort()
+    h = h[order]
+    at = np.flatnonzero(np.concatenate([np.ones(1, bool), h[1:] != h[:-1]]))
+    return h[at], np.diff(at, append=m) * (weight[order[at]] / k)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -117,23 +153,23 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def bands(h: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Hashes of the bands: each sample is the (shingle, quantised log weight) of least rank."""
+    """Hashes of the bands: each sample is the (shingle, quantised log weight) of least rank; of equal ones the first shingle's."""
     t, k = _tables(), BANDS * ROWS
-    best, shingle, level = np.full(k, np.inf, np.float32), np.zeros(k, _U), np.zeros(k, np.int64)
-    ln_w = np.log(weight).astype(np.float32)
+    best, shingle, step = np.full(k, np.inf, np.float32), np.zeros(k, _U), np.zeros(k, np.int64)
+    level = (np.rint(np.log(weight) * STEPS) - LEAST_LEVEL).astype(np.uint32) << np.uint32(TABLE_BITS)
+    row = np.arange(k)
     for i in range(0, len(h), 4096):
-        part, lw = h[i : i + 4096], ln_w[i : i + 4096]
-        at = ((part[None, :] * t["sample"][:, None]) >> _U(64 - TABLE_BITS)).astype(np.int64)
-        r, beta = t["r"][at], t["beta"][at]
-        step = np.floor(lw[None, :] * t["per_r"][at] + beta)
-        rank = t["ln_c"][at] - r * (step - beta + np.float32(1))
+        part = h[i : i + 4096]
+        at = (((part >> _U(32)).astype(np.uint32)[None, :] * t["sample"] >> np.uint32(32 - TABLE_BITS)) + level[i : i + 4096]).astype(np.intp)
+        rank = t["rank"].take(at)
         least = rank.argmin(axis=1)
-        row = np.arange(k)
         better = rank[row, least] < best
         best = np.where(better, rank[row, least], best)
         shingle = np.where(better, part[least], shingle)
-        level = np.where(better, step[row, least].astype(np.int64), level)
-    sample = _mix(shingle + level.astype(_U) * _U(0x9E3779B97F4A7C15)).reshape(BANDS, ROWS)
+        entry = at[row, least] & ((1 << TABLE_BITS) - 1)
+        found = np.floor(((at[row, least] >> TABLE_BITS) + LEAST_LEVEL) / STEPS / t["r"][entry] + t["beta"][entry]).astype(np.int64)
+        step = np.where(better, found, step)
+    sample = _mix(shingle + step.astype(_U) * _U(0x9E3779B97F4A7C15)).reshape(BANDS, ROWS)
     out = np.arange(1, BANDS + 1, dtype=_U)
     for j in range(ROWS):
         out = _mix(out * _U(0x9E3779B97F4A7C15) + sample[:, j])
@@ -146,211 +182,277 @@ def _words(text: bytes | None) -> list[bytes]:
 
 
 def document_frequencies(docs: DataFrame) -> DataFrame:
-    """(word, n): in how many rows of ``docs`` (binary ``text``) each word is; longer ones than MAX_FREQUENT_BYTES are left out."""
+    """(h, n): in how many rows of ``docs`` (binary ``text``) each word is, by its hash."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[bytes] = Counter()
-        flush = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array(word_hashes(seen, len(seen))), pa.array(list(seen.values()), pa.int64())], ["h", "n"])
         for b in batches:
             for text in b.column("text").to_pylist():
-                seen.update({w for w in _words(text) if len(w) <= MAX_FREQUENT_BYTES})
+                seen.update(set(_words(text)))
                 if len(seen) > FLUSH_WORDS:
                     yield flush()
                     seen.clear()
         yield flush()
 
-    return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def known_words(counts: DataFrame, n_docs: int) -> Words:
+    """What every task knows; of a size that doesn't depend on the corpus: 1 / FREQUENT words and 2 ** FILTER_BITS bits."""
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    often = counts.where(F.col("n") >= FREQUENT * total).toArrow()
+    slot = F.shiftrightunsigned("h", 64 - FILTER_BITS)
+    rest = counts.where((F.col("n") < FREQUENT * total) & (F.col("n") > 1)).select(F.shiftright(slot, 6).alias("slot"), F.expr("1L").alias("one"), slot.bitwiseAND(F.lit(63)).cast("int").alias("by"))
+    found = rest.select("slot", F.call_function("shiftleft", "one", "by").alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bit")).toArrow()
+    bits = np.zeros(1 << (FILTER_BITS - 6), _U)
+    bits[found["slot"].to_numpy()] = found["bit"].to_numpy().view(_U)
+    return Words(n_docs, (often["h"].to_numpy(), often["n"].to_numpy()), bits)
 
 
-def _sketch(docs: DataFrame, model) -> DataFrame:  # noqa: ANN001
-    """(doc_id, th, key, bands): key is null for texts without words."""
+def _read(docs: DataFrame, shared) -> DataFrame:  # noqa: ANN001
+    """(doc_id, th, key, packed, rare): key is null for texts without words; one row of a content in each batch has it packed, with the words to look up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, top = model.value
+        pack, known, asked = zstandard.ZstdCompressor(level=1).compress, shared.value, {}
         for b in batches:
-            known: dict[bytes, np.ndarray] = {}
-            keys, found = [], []
+            done: set[bytes] = set()
+            keys, packed, rare = [], [], []
             for text in b.column("text").to_pylist():
                 words = _words(text)
-                key = blake2b(b" ".join(words), digest_size=16).digest() if words else None
+                joined = b" ".join(words)
+                key = blake2b(joined, digest_size=16).digest() if words else None
+                first = key is not None and key not in done
+                done.add(key)
                 keys.append(key and key.hex())
-                if key and key not in known:
-                    known[key] = bands(*weighted_shingles(words, idf, top))
-                found.append(known[key] if key else None)
+                packed.append(pack(joined) if first else None)
+                if not first:
+                    rare.append(None)
+                    continue
+                distinct = set(words)
+                if new := [w for w in distinct if w not in asked]:
+                    if len(asked) > FLUSH_WORDS:
+                        asked.clear()
+                        new = list(distinct)
+                    h = word_hashes(new, len(new))
+                    asked.update(zip(new, np.where(known.asked(h), h, 0).tolist(), strict=True))
+                rare.append([h for h in map(asked.__getitem__, distinct) if h])
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("th"), pa.array(keys, pa.string()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "th", "key", "bands"]
+                [b.column("doc_id"), b.column("th"), pa.array(keys, pa.string()), pa.array(packed, pa.binary()), pa.array(rare, pa.list_(pa.int64()))], ["doc_id", "th", "key", "packed", "rare"]
             )
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, key string, bands array<long>")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, key string, packed binary, rare array<long>")
 
 
-def _candidate_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, packed) for the wanted keys: compressed words, shuffled once."""
+def _rows(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple]:
+    """packed, and the looked-up words (sorted) and frequencies of each content."""
+    none = np.zeros(0, np.int64)
+    for p, h, n in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+        yield p, (np.array(h), np.array(n)) if h else (none, none)
+
+
+def _sketch(contents: DataFrame, shared) -> DataFrame:  # noqa: ANN001
+    """(no, bk): the bands of each content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1).compress
+        v = Vocabulary(shared.value)
         for b in batches:
-            rows = {}
-            for text in b.column("text").to_pylist():
-                if words := _words(text):
-                    joined = b" ".join(words)
-                    key = blake2b(joined, digest_size=16).digest().hex()
-                    if key not in rows:
-                        rows[key] = pack(joined)
-            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.string()), pa.array(list(rows.values()), pa.binary())], ["key", "packed"])
+            found = [bands(*v.of_content(*x)) for x in _rows(b, "packed", "words", "counts")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("no").to_numpy(), BANDS)), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], ["no", "bk"])
 
-    packed = docs.select("text").mapInArrow(run, "key string, packed binary")
-    return packed.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("packed").alias("packed"))
+    return contents.select("no", "packed", "words", "counts").mapInArrow(run, "no long, bk long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, model, least: float) -> DataFrame:  # noqa: ANN001
+def _verified(pairs: DataFrame, texts: DataFrame, shared, least: float) -> DataFrame:  # noqa: ANN001
     """(a, b, similar) for each pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, top = model.value
-        unpack = zstandard.ZstdDecompressor().decompress
-        for b in batches:
-            last, known, out = None, {}, []
-            for x, y, p, q in zip(*(b.column(c).to_pylist() for c in ("a", "b", "pa", "pb")), strict=True):
+        v = Vocabulary(shared.value)
+        known: dict[int, tuple] = {}
+        for batch in batches:
+            last, out = None, []
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            for x, y, p, q in zip(a, b, _rows(batch, "pa", "wa", "ca"), _rows(batch, "pb", "wb", "cb"), strict=True):
                 if x != last:
-                    last, left = x, weighted_shingles(unpack(p).split(b" "), idf, top)
+                    last, left = x, v.of_content(*p)
                 if y not in known:
                     if len(known) >= 64:
                         known.clear()
-                    known[y] = weighted_shingles(unpack(q).split(b" "), idf, top)
+                    known[y] = v.of_content(*q)
                 out.append(similarity(left, known[y]) >= least)
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(out, pa.bool_())], ["a", "b", "similar"])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.bool_())], ["a", "b", "similar"])
 
-    with_a = pairs.join(texts.select(F.col("key").alias("a"), F.col("packed").alias("pa")), "a")
-    both = with_a.join(texts.select(F.col("key").alias("b"), F.col("packed").alias("pb")), "b").select("a", "b", "pa", "pb")
-    return both.mapInArrow(run, "a string, b string, similar boolean")
+    side = lambda s: texts.select(F.col("no").alias(s), F.col("packed").alias(f"p{s}"), F.col("words").alias(f"w{s}"), F.col("counts").alias(f"c{s}"))
+    # neither texts nor pairs are bounded: the same plan for any number of them
+    both = pairs.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b").select("a", "b", "pa", "wa", "ca", "pb", "wb", "cb")
+    return both.mapInArrow(run, "a long, b long, similar boolean")
 
 
-def _shareable(wanted: DataFrame, texts: DataFrame, model) -> DataFrame:  # noqa: ANN001
-    """(key, total, shared): the weight of a content, and that of its shingles which other wanted contents have too."""
+def _shareable(wanted: DataFrame, texts: DataFrame, shared, box: Scratch) -> DataFrame:  # noqa: ANN001
+    """(no, total, shared): the weight of a content, and that of its shingles which other wanted contents have too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, top = model.value
-        unpack = zstandard.ZstdDecompressor().decompress
+        v = Vocabulary(shared.value)
         for b in batches:
-            for key, p in zip(b.column("key").to_pylist(), b.column("packed").to_pylist(), strict=True):
-                h, weight = weighted_shingles(unpack(p).split(b" "), idf, top)
+            for no, x in zip(b.column("no").to_pylist(), _rows(b, "packed", "words", "counts"), strict=True):
+                h, weight = v.of_content(*x)
                 for i in range(0, len(h), 65536):  # long texts in pieces
                     part = slice(i, i + 65536)
-                    rows = [pa.array([key]), pa.array([h[part].view(np.int64).tolist()]), pa.array([weight[part].tolist()])]
-                    yield pa.RecordBatch.from_arrays(rows, ["key", "h", "w"])
+                    rows = [pa.array([no]), pa.array([h[part].view(np.int64).tolist()]), pa.array([weight[part].tolist()])]
+                    yield pa.RecordBatch.from_arrays(rows, ["no", "h", "w"])
 
-    found = durable(texts.join(wanted, "key", "left_semi").mapInArrow(run, "key string, h array<long>, w array<double>"))
-    total = found.groupBy("key").agg(F.sum(F.aggregate("w", F.lit(0.0), lambda a, x: a + x)).alias("total"))
-    each = found.select("key", F.explode(F.arrays_zip("h", "w")).alias("s")).groupBy("s.h").agg(F.count("*").alias("n"), F.first("key").alias("key"), F.first("s.w").alias("w"))
-    alone = each.where("n = 1").groupBy("key").agg(F.sum("w").alias("alone"))
-    return total.join(alone, "key", "left").select("key", "total", (F.col("total") - F.coalesce("alone", F.lit(0.0))).alias("shared"))
+    found = box.put(texts.join(wanted, "no", "left_semi").mapInArrow(run, "no long, h array<long>, w array<double>"))
+    total = found.groupBy("no").agg(F.sum(F.aggregate("w", F.lit(0.0), lambda a, x: a + x)).alias("total"))
+    each = found.select("no", F.explode(F.arrays_zip("h", "w")).alias("s")).groupBy("s.h").agg(F.count("*").alias("n"), F.max("no").alias("no"), F.max("s.w").alias("w"))
+    alone = each.where("n = 1").groupBy("no").agg(F.sum("w").alias("alone"))
+    out = box.put(total.join(alone, "no", "left").select("no", "total", (F.col("total") - F.coalesce("alone", F.lit(0.0))).alias("shared")))
+    box.drop(found)
+    return out
 
 
 def _pairs(df: DataFrame) -> DataFrame:
     return df.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _groups(multi: DataFrame, texts: DataFrame, model, least: float) -> DataFrame:  # noqa: ANN001
-    """(node, component) of all contents with a link; ``multi`` (bk, key): buckets of two or more."""
-    links = tested = parts = None
+def _salt(no: str, n: str | Column, block: int) -> Column:
+    """A content's block of its bucket of n."""
+    return F.pmod(F.xxhash64(no), F.ceil((F.col(n) if isinstance(n, str) else n) / block)).cast("int")
 
-    def current() -> DataFrame:
-        if parts is None:
-            return multi.withColumn("comp", F.col("key"))
-        named = parts.select(F.col("node").alias("key"), F.col("component").alias("comp"))
-        return multi.join(named, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
 
-    most = None
+def _each(n: str, block: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.ceil(F.col(n) / block).cast("int") - 1))
+
+
+def _groups(multi: DataFrame, texts: DataFrame, shared, least: float, box: Scratch) -> DataFrame | None:  # noqa: ANN001
+    """(node, component) of all contents with a link; ``multi`` (bk, no, n): buckets of n contents, two or more."""
+    rows = multi.count()
+    few = tasks_for(rows)
+    links = tested = parts = most = None
+    far = (F.col("comp") != F.col("yc")) & (F.col("no") != F.col("y"))
     for turn in range(3):
-        now = durable(current())
-        if turn == 0:  # everything against one leader in each bucket, the same one in all of them
-            leader = now.groupBy("bk").agg(F.max(F.struct(F.xxhash64("key"), "key", "comp")).alias("l")).select("bk", F.col("l.key").alias("y"), F.col("l.comp").alias("yc"))
-            found = _pairs(now.withColumnRenamed("key", "x").join(leader, "bk").where((F.col("comp") != F.col("yc")) & (F.col("x") != F.col("y"))))
-        else:  # buckets of different components
-            per = now.groupBy("bk", "comp").agg(F.count("*").alias("n"))
-            split = durable(per.groupBy("bk").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.count("*").alias("c")).where("c > 1").select("bk", "top"))
-            left = durable(now.join(split, "bk"))
+        if parts is None:
+            now = multi.withColumn("comp", F.col("no"))
+        else:
+            named = parts.select(F.col("node").alias("no"), F.col("component").alias("comp"))
+            now = box.put(multi.join(named, "no", "left").withColumn("comp", F.coalesce("comp", "no")).coalesce(few))
+        made = [] if now is multi else [now]
+        if turn > 0:  # buckets of different components
+            per = now.groupBy("bk", "comp").agg(F.count("*").alias("k")).coalesce(few)
+            split = per.groupBy("bk").agg(F.max_by("comp", F.struct("k", "comp")).alias("top"), F.count("*").alias("c")).where("c > 1").select("bk", "top")
+            split = box.put(split.coalesce(few))
+            left = box.put(now.join(split, "bk").coalesce(few))
             if most is None:
-                most = durable(_shareable(left.select("key").distinct(), texts, model))
-            left = durable(left.join(most.where(F.col("shared") >= (least - 1e-9) * F.col("total")), "key"))
-            common = F.least("xs", "ys")  # at most
-            near = common >= (least - 1e-9) * (F.col("xt") + F.col("yt") - common)
-            x = left.select("bk", F.col("key").alias("x"), F.col("comp").alias("xc"), F.col("total").alias("xt"), F.col("shared").alias("xs"), "top")
-            y = left.select("bk", F.col("key").alias("y"), F.col("comp").alias("yc"), F.col("total").alias("yt"), F.col("shared").alias("ys"))
-        if turn == 1:  # against the one with the least of its own, which is in the middle of its variants
-            order = F.struct(F.col("shared") / F.col("total"), F.xxhash64("key"), "key")
-            leader = left.groupBy("bk").agg(F.max_by("key", order).alias("y"))
-            found = _pairs(x.join(y.join(leader, ["bk", "y"]), "bk").where((F.col("xc") != F.col("yc")) & near))
-        elif turn == 2:  # the rest, the largest of a bucket on one side only
-            mine = now.groupBy("key").agg(F.collect_set("bk").alias("bks"))  # at most one for each band
-            x = x.where("xc <> top").join(mine.select(F.col("key").alias("x"), F.col("bks").alias("xb")), "x")
-            y = y.join(mine.select(F.col("key").alias("y"), F.col("bks").alias("yb")), "y").join(split, "bk")
-            x, y = durable(x.drop("top")), durable(y)
-            once = (F.col("yc") == F.col("top")) | (F.col("x") < F.col("y"))
+                most = _shareable(left.select("no").distinct(), texts, shared, box)
+            here = box.put(left.join(most.where(F.col("shared") >= (least - 1e-9) * F.col("total")), "no").coalesce(few))
+            common = F.least("shared", "ys")  # at most
+            near = common >= (least - 1e-9) * (F.col("total") + F.col("yt") - common)
+            made += [split, left, here]
+        if turn < 2:
+            # any, the same one in all buckets; then the one with the least of its own, which is in the middle of its variants
+            order = F.xxhash64("no") if turn == 0 else F.struct(F.col("shared") / F.col("total"), F.xxhash64("no"))
+            kept = ["no", "comp"] if turn == 0 else ["no", "comp", "total", "shared"]
+            leader = (now if turn == 0 else here).groupBy("bk").agg(F.max_by(F.struct(*kept), F.struct(order, "no")).alias("l"), F.max("n").alias("n"))
+            names = dict(zip(kept, ["y", "yc", "yt", "ys"], strict=False))
+            leader = leader.select("bk", *[F.col(f"l.{k}").alias(v) for k, v in names.items()], _each("n", LEADER_BLOCK).alias("s"))
+            leader = box.put(leader.coalesce(few))
+            made.append(leader)
+            member = (now if turn == 0 else here).withColumn("s", _salt("no", "n", LEADER_BLOCK))
+            met = member.join(leader, ["bk", "s"]).where(far if turn == 0 else far & near)
+        else:  # the rest, the largest of a bucket on one side only; each block with each
+            mine = left.groupBy("no").agg(F.array_sort(F.collect_set("bk")).alias("bks"))  # at most one for each band
+            here2 = box.put(here.join(mine, "no").coalesce(few))
+            x = here2.where("comp <> top").select("bk", "no", "comp", "total", "shared", F.col("bks").alias("xb"), _salt("no", "n", BLOCK).alias("s"), _each("n", BLOCK).alias("t"))
+            y = here2.select("bk", F.col("no").alias("y"), F.col("comp").alias("yc"), F.col("total").alias("yt"), F.col("shared").alias("ys"), F.col("bks").alias("yb"), "top", _salt("no", "n", BLOCK).alias("t"), _each("n", BLOCK).alias("s"))
+            once = (F.col("yc") == F.col("top")) | (F.col("no") < F.col("y"))
             first = F.array_min(F.array_intersect("xb", "yb")) == F.col("bk")
-            found = _pairs(x.join(y, "bk").where((F.col("xc") != F.col("yc")) & near & once & first))
+            met = x.join(y, ["bk", "s", "t"]).where(far & near & once & first)
+            made.append(here2)
+        found = _pairs(met.withColumnRenamed("no", "x").coalesce(few)).coalesce(few)
         if tested is not None:
-            found = found.join(tested, ["a", "b"], "left_anti")
-        seen = durable(_verified(found, texts, model, least))
+            found = found.join(tested, ["a", "b"], "left_anti").coalesce(few)
+        found = box.put(found)
+        seen = box.put(_verified(found, texts, shared, least))
+        box.drop(found, *made)
         more = seen.where("similar").select("a", "b")
         tested = seen.select("a", "b") if tested is None else tested.unionByName(seen.select("a", "b"))
         if more.isEmpty():
             continue  # other leaders, or the rest, may still match
         links = more if links is None else links.unionByName(more)
-        parts = durable(connected_components(links, "a", "b"))
+        inner = Scratch(multi.sparkSession)
+        before, parts = parts, box.put(connected_components(links, "a", "b", box=inner).coalesce(few))
+        inner.drop()
+        box.drop(before) if before is not None else None
     return parts
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One row per input row: doc_id, th (hash of the text), key (of the content), component and class_id.
 
-    component names the group by the key of one of its contents; it is null without words.  class_id is the smallest doc_id of the group: copies and all contents linked, directly or through
-    others, by a similarity of at least ``least``.  Null, empty and blank texts are alone: their class
-    is their own doc_id.  Texts of fewer than five words match only if they have the same words.  Null
-    doc_ids are never a class unless the whole group has none.  An empty table gives no rows.
+    component names the group by a number; it is null without words.  class_id is the smallest doc_id of the group:
+    copies and all contents linked, directly or through others, by a similarity of at least ``least``.  Null, empty
+    and blank texts are alone: their class is their own doc_id.  Texts of fewer than five words match only if they
+    have the same words.  Very long texts are compared whole.  Rows equal in id and text get a row each.  Null
+    doc_ids are never a class unless the whole group has none.  An empty table gives no rows.  Columns other than
+    doc_id and text are ignored.
     """
+    box = Scratch(docs.sparkSession)
     base = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
-    counts = stored(document_frequencies(base))
-    n_docs, total = docs.count(), counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    floor = max(1.0, FREQUENT * total)
-    common = counts.where(F.col("n") >= floor)  # at most 1 / FREQUENT rows
-    idf = {bytes(r["word"]): float(np.log1p(n_docs / r["n"])) for r in common.toLocalIterator()}
-    model = docs.sparkSession.sparkContext.broadcast((idf, float(np.log1p(n_docs / floor))))
-
-    sketch = durable(_sketch(base, model))
-    contents = durable(sketch.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")))
-    entries = contents.select("key", F.explode("bands").alias("bk"))
-    shared = durable(entries.groupBy("bk").agg(F.count("*").alias("n")).where("n > 1").select("bk"))
-    multi = durable(entries.join(shared, "bk"))
-    classes = contents.select("key", F.col("key").alias("component"), F.col("first_id").alias("class_id"))
+    counts = box.put(document_frequencies(base))
+    shared = docs.sparkSession.sparkContext.broadcast(known_words(counts, docs.count()))
+
+    read = box.put(_read(base, shared))
+    members = box.put(read.select("doc_id", "th", "key"))
+    # all three by key, so the texts are shuffled once
+    named = read.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first_id"))
+    packed = read.where("packed is not null").groupBy("key").agg(F.first("packed").alias("packed"))
+    asked = read.where("packed is not null").select("key", F.explode("rare").alias("h")).join(counts.where("n > 1"), "h")
+    words = asked.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("h", "n"))).alias("r"))
+    full = packed.join(named, "key").join(words, "key", "left").withColumn("no", F.monotonically_increasing_id())  # written once, so numbers stay
+    full = box.put(full.select("no", "key", "first_id", "packed", F.col("r.h").alias("words"), F.col("r.n").alias("counts")))
+    contents = full.select("no", "key", "first_id")
+    box.drop(counts, read)
+
+    entries = box.put(_sketch(full, shared))
+    several = box.put(entries.groupBy("bk").agg(F.count("*").alias("n")).where("n > 1"))
+    multi = box.put(entries.join(several, "bk"))
+    box.drop(entries, several)
+    classes = contents.select("key", F.col("no").alias("component"), F.col("first_id").alias("class_id"))
     if not multi.isEmpty():
-        texts = stored(_candidate_texts(base, durable(multi.select("key").distinct())))
-        parts = _groups(multi, texts, model, least)
+        texts = box.put(full.drop("key", "first_id").join(multi.select("no").distinct().hint("merge"), "no", "left_semi"))
+        parts = _groups(multi, texts, shared, least, box)
+        box.drop(texts)
         if parts is not None:
-            named = contents.select("key", "first_id").join(parts, F.col("key") == F.col("node"), "left").withColumn("component", F.coalesce("component", "key"))
-            named = durable(named)
-            lowest = durable(named.groupBy("component").agg(F.min("first_id").alias("class_id")))
-            classes = named.join(lowest, "component").select("key", "component", "class_id")
-    classes = durable(classes.withColumnRenamed("key", "k"))
-    out = sketch.join(classes, F.col("key") == F.col("k"), "left")
+            joined = contents.select("key", "no", "first_id").join(parts, F.col("no") == F.col("node"), "left")
+            joined = box.put(joined.select("key", F.coalesce("component", "no").alias("component"), "first_id"))
+            lowest = box.put(joined.groupBy("component").agg(F.min("first_id").alias("class_id")))
+            classes = box.put(joined.join(lowest, "component").select("key", "component", "class_id"))
+            box.drop(joined, lowest, parts, full)
+    box.drop(multi)
+    classes = classes.withColumnRenamed("key", "k")
+    out = members.join(classes, F.col("key") == F.col("k"), "left")
     return out.select("doc_id", "th", "key", "component", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
 def keep_first(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs``, with all their columns, without near-duplicates: the smallest doc_id of each group stays.
 
-    A group is a component, whatever its ids: groups without an id, or that share one, keep a row each.
+    A group is a component, whatever its ids: groups without an id, or that share one, keep a row each.  Null, empty
+    and blank texts all stay, but rows equal in id and text once.  Of several rows with the smallest id any one of the
+    smallest text key stays.  Very long texts are compared whole.  An empty table stays empty; columns may have any
+    names besides doc_id and text.
     """
-    named = durable(near_duplicates(docs, least))
+    box = Scratch(docs.sparkSession)
+    named = box.put(near_duplicates(docs, least))
     lowest = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key", "th")).alias("l")  # null ids last
     stay = named.where("key is not null").groupBy("component").agg(lowest).select("l.doc_id", "l.th")
-    one = durable(stay.unionByName(named.where("key is null").select("doc_id", "th").distinct()))
-    one = one.select(F.col("doc_id").alias("__d"), F.col("th").alias("__h"))
-    rows = docs.withColumn("__th", F.xxhash64("text"))
-    out = rows.join(one, F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("__th").eqNullSafe(F.col("__h")), "left_semi")
+    d, h = fresh(docs.columns, "kept_id"), fresh(docs.columns, "kept_hash")
+    one = box.put(stay.unionByName(named.where("key is null").select("doc_id", "th").distinct()).select(F.col("doc_id").alias(d), F.col("th").alias(h)))
+    own = fresh(docs.columns, "text_hash")
+    rows = docs.withColumn(own, F.xxhash64("text"))
+    out = rows.join(one, F.col("doc_id").eqNullSafe(F.col(d)) & F.col(own).eqNullSafe(F.col(h)), "left_semi")
     if not named.groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id", "__th"])
+        out = out.dropDuplicates(["doc_id", own])
+    box.drop(named)
     return out.select(*[col(c) for c in docs.columns])
 
 
