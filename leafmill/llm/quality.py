@@ -1,29 +1,24 @@
 """Quality rules: distance of a document's histograms from those of its language.
 
 Two histograms are taken of each text: character classes, and the common words of
-its language.  The references are the sums of the same histograms over all
+its language, which are the ``N_WORDS`` most frequent ones of all its documents (a null
+language has its own).  The references are the sums of the same histograms over all
 documents of that language (counts are whole numbers, so they don't depend on the
 order of summing).  A text whose Jensen-Shannon distance from its reference is too
 large is rejected; too short texts are judged by the base rules only.
 
-Everything is a built-in function over the row at hand; the only shuffle is that of
-the partial sums by language.
+Everything is a built-in function over the row at hand; the only shuffles are those of
+the word counts and partial sums by language, summed within tasks first.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, broadcast_if_small, col, durable, words
+from .common import LOWER, broadcast_if_small, col, durable, fresh, words
 
-#: Frequent function words by language.
-COMMON_WORDS = {
-    "de": ["der", "die", "und", "das", "den", "von", "zu", "mit", "ist", "nicht"],
-    "en": ["the", "of", "and", "to", "in", "a", "is", "that", "for", "on"],
-    "es": ["de", "la", "que", "el", "en", "y", "los", "del", "se", "un"],
-    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "une", "que"],
-}
+#: Common words of a language: the most frequent ones of its documents.
 N_WORDS = 10
 #: Character classes: each pattern matches what is not of the class.
 CLASSES = [("upper", r"\P{Lu}+"), ("digit", r"[^0-9]+"), ("punct", r"[^.,;:!?'\"()-]+"), ("symbol", r"[^#*$%&|<>]+")]
@@ -54,17 +49,28 @@ def _repeated_words(h: Column, few: Column) -> Column:
     return F.when(F.size(few) == 0, F.lit(0)).otherwise(F.aggregate(at, start, step, lambda a: a["n"]))
 
 
+def common_words(docs: DataFrame) -> DataFrame:
+    """(l_lang, listed): the most frequent words of each language; of equally frequent ones the first by code point."""
+    counts = docs.select("lang", F.explode(words(F.col("text"))).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n"))
+    # a task passes on no more than N_WORDS rows of a language
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))
+    top = counts.withColumn("k", rank).where(F.col("k") <= N_WORDS)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("k", "w"))), lambda x: F.xxhash64(x["w"]))
+    return top.groupBy("lang").agg(listed.alias("listed")).withColumnRenamed("lang", "l_lang")
+
+
 def features(docs: DataFrame) -> DataFrame:
     """(doc_id, th, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class counts, word counts)."""
     text = F.coalesce(F.col("text"), F.lit(""))
+    listed = broadcast_if_small(durable(common_words(docs)))
     d = docs.select("doc_id", "lang", text.alias("text"), F.xxhash64("text").alias("th"), words(F.col("text")).alias("w"))
+    d = d.join(listed, F.col("lang").eqNullSafe(F.col("l_lang")), "left")
     n = F.size("w")
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    listed = F.coalesce(*[F.when(F.col("lang") == k, F.array(*[F.xxhash64(F.lit(x)) for x in v])) for k, v in COMMON_WORDS.items()], F.array().cast("array<bigint>"))
     d = d.select(
         "doc_id", "th", "lang", n.cast("long").alias("n_words"), F.char_length("text").cast("long").alias("n_all"),
         F.char_length(F.array_join("w", "")).cast("long").alias("word_chars"), F.translate("text", PLAIN, "").alias("special"),
-        lines.alias("lines"), listed.alias("listed"), F.transform("w", lambda x: F.xxhash64(x)).alias("wh"),
+        lines.alias("lines"), "listed", F.transform("w", lambda x: F.xxhash64(x)).alias("wh"),
     )
     # 64-bit hashes of windows within one text: two different ones meet with a chance of n * n / 2 ** 65
     two = F.zip_with("wh", F.slice("wh", 2, F.size("wh")), lambda a, b: F.xxhash64(a, b))
@@ -107,7 +113,7 @@ def judge(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, th (hash of the text), the base counts, base_failed, distances and kept.
 
     Words are runs of anything but white space.  Null and empty texts have no word and fail.  A null
-    language, or one without listed words, is judged by its character classes alone.  The references
+    language counts as one of its own.  The references
     of a language come from its documents that pass the base rules; without any, nothing is rejected
     by distance.  Repeated rows each give a row; an empty table gives none.
     """
@@ -135,10 +141,14 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns."""
-    bad = judge(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__d"), F.col("th").alias("__h")).distinct()
-    rows = docs.withColumn("__th", F.xxhash64("text"))
-    out = rows.join(bad, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__h")), "left_anti")
+    """The rows of ``docs`` that the rules keep, with all their columns, whatever their names.
+
+    Null, empty and short texts go; very long ones are judged whole.  Rows equal in id and text stay or go together.
+    An empty table stays empty.
+    """
+    d, h, own = (fresh(docs.columns, x) for x in ("bad_id", "bad_hash", "text_hash"))
+    bad = judge(docs).where(~F.col("kept")).select(F.col("doc_id").alias(d), F.col("th").alias(h)).distinct()
+    out = docs.withColumn(own, F.xxhash64("text")).join(bad, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(own) == F.col(h)), "left_anti")
     return out.select(*[col(c) for c in docs.columns])
 
 
@@ -150,7 +160,6 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def _oracle() -> str:
     ws = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
-    listed = " ".join(f"WHEN lang = '{k}' THEN [{', '.join(repr(x) for x in v)}]" for k, v in COMMON_WORDS.items())
     plogp = lambda p, q: f"(CASE WHEN {p} > 0 THEN {p} * log2(2 * ({p}) / (({p}) + ({q}))) ELSE 0.0 END)"
 
     def js(a: list[str], b: list[str]) -> str:
@@ -162,11 +171,15 @@ def _oracle() -> str:
     hits, r_hits = [f"w{i}" for i in range(N_WORDS)], [f"r_w{i}" for i in range(N_WORDS)]
     bins = BINS
     return rf"""
-WITH d AS (
+WITH e AS (
   SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text,
-         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
-         CASE {listed} ELSE []::VARCHAR[] END AS listed
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
   FROM documents),
+top AS (
+  SELECT lang AS l_lang, list(x ORDER BY k) AS listed
+  FROM (SELECT lang, x, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, x) AS k FROM (SELECT lang, unnest(w) AS x FROM e) GROUP BY lang, x)
+  WHERE k <= {N_WORDS} GROUP BY lang),
+d AS (SELECT e.*, listed FROM e LEFT JOIN top ON e.lang IS NOT DISTINCT FROM top.l_lang),
 win AS (
   SELECT rid, i, w[i] || chr(1) || w[i + 1] || chr(1) || w[i + 2] AS t
   FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 1, 1))) AS i FROM d WHERE len(w) >= 3)),
