@@ -1,13 +1,15 @@
 """Language identification with a string kernel.
 
 The kernel of two texts counts the character n-grams of 2, 3 and 4 letters that both hold
-(presence, not frequency), normalised by the sizes of their n-gram sets.  A Nystroem map
+(presence, not frequency), normalised by the sizes of their n-gram sets.  n-grams are told apart
+by 64-bit hashes, so sets of long texts don't fill up; what a text shares with the landmarks is
+found among the n-grams that those hold.  A Nystroem map
 over a few landmark texts turns it into features, on which one-versus-rest kernel ridge
 regression is solved on the driver.  Training reads a bounded sample of labelled rows
 (``MAX_TRAIN``, ``MAX_LANDMARKS``), drawn by hash evenly over the languages.
 
-Scoring is a batch of matrix products: presence rows times landmark columns, and the kernel
-values times the regression weights.  The whole text of every row is read.
+Scoring is a batch of matrix products: presence rows (of the landmarks' n-grams) times landmark
+columns, and the kernel values times the regression weights.  The whole text of every row is read.
 """
 
 from __future__ import annotations
@@ -23,8 +25,9 @@ from pyspark.sql import functions as F
 MAX_TRAIN, MAX_LANDMARKS = 1200, 96
 #: Languages that can be told apart; more are an error.
 MAX_LANGUAGES = 300
-NGRAMS, BUCKET_BITS, RIDGE = (2, 3, 4), 13, 1e-2
-BATCH = 256
+NGRAMS, RIDGE = (2, 3, 4), 1e-2
+#: Texts that are scored in one product; how steeply scores follow the regression's values, which are about -1 to 1.
+BATCH, STEEP = 128, 4
 FOLDS, HELD_OUT = 4, 2
 _GAPS = re.compile(r"[\W\d_]+")
 
@@ -33,42 +36,34 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
-def presence(text: str, out: np.ndarray) -> None:
-    """Sets ``out`` (zeros) to 1 at the buckets of the n-grams: lower-cased letters, with one space for all between them."""
-    a = np.frombuffer((" " + _GAPS.sub(" ", text.lower()).strip() + " ").encode("utf-32-le"), dtype=np.uint32)
+def ngrams(text: str) -> np.ndarray:
+    """Sorted hashes of the distinct n-grams: lower-cased letters, with one space for all between them."""
+    a = np.frombuffer((" " + _GAPS.sub(" ", text.lower()).strip() + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    found = []
     for n in NGRAMS:
         if len(a) < n:
             break
-        h = np.full(len(a) - n + 1, np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF), dtype=np.uint32)
+        h = np.full(len(a) - n + 1, n, np.uint64)
         for i in range(n):
-            h = (h ^ a[i : len(a) - n + 1 + i]) * np.uint32(0x85EBCA6B)
-            h ^= h >> np.uint32(15)
-        out[h >> np.uint32(32 - BUCKET_BITS)] = 1
-
-
-def rows(texts: list[str]) -> np.ndarray:
-    p = np.zeros((len(texts), 1 << BUCKET_BITS), dtype=np.float32)
-    for i, t in enumerate(texts):
-        presence(t, p[i])
-    return normalised(p)
-
-
-def normalised(p: np.ndarray) -> np.ndarray:
-    return p / np.sqrt(np.maximum(p.sum(axis=1, keepdims=True), 1))
+            h = (h ^ a[i : len(a) - n + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        found.append(h)
+    return np.unique(np.concatenate(found)).view(np.int64)
 
 
 class Model:
-    """Landmark columns, weights by language and the languages in order."""
+    """The landmarks' n-grams and columns, weights by language and the languages in order."""
 
-    def __init__(self, x: np.ndarray, langs: list[str]) -> None:
-        """x: normalised presence rows of the training texts."""
+    def __init__(self, sets: list[np.ndarray], langs: list[str]) -> None:
+        """sets: n-grams of the training texts."""
         self.langs = sorted(set(langs))
         by = {k: [i for i, v in enumerate(langs) if v == k] for k in self.langs}
         share = max(1, MAX_LANDMARKS // max(1, len(self.langs)))
         marks = [i for k in self.langs for i in by[k][:share]]
-        self.landmarks = np.ascontiguousarray(x[marks].T)
-        k_xm, k_mm = x @ self.landmarks, x[marks] @ self.landmarks
-        value, vector = np.linalg.eigh(k_mm.astype(np.float64))
+        self.grams = np.unique(np.concatenate([sets[i] for i in marks]))
+        self.landmarks = self.rows([sets[i] for i in marks]).T / np.sqrt([max(1, len(sets[i])) for i in marks]).astype(np.float32)
+        k_xm = self.kernel(sets)
+        value, vector = np.linalg.eigh(k_xm[marks].astype(np.float64))
         keep = value > 1e-6 * max(value.max(initial=0.0), 1e-12)
         root = vector[:, keep] / np.sqrt(value[keep])
         f = k_xm @ root
@@ -78,10 +73,27 @@ class Model:
         left = f.T @ (f * w[:, None]) + RIDGE * np.eye(f.shape[1]) / max(1, f.shape[1])
         self.weights = (root @ np.linalg.solve(left, f.T @ (y * w[:, None]))).astype(np.float32)
 
+    def rows(self, sets: list[np.ndarray]) -> np.ndarray:
+        """Presence of the landmarks' n-grams."""
+        p = np.zeros((len(sets), len(self.grams)), dtype=np.float32)
+        for i, h in enumerate(sets):
+            at = np.minimum(np.searchsorted(self.grams, h), len(self.grams) - 1)
+            p[i, at[self.grams[at] == h]] = 1
+        return p
+
+    def kernel(self, sets: list[np.ndarray]) -> np.ndarray:
+        """Values with the landmarks, in batches."""
+        parts = [self.rows(sets[i : i + BATCH]) @ self.landmarks for i in range(0, len(sets), BATCH)]
+        return np.concatenate(parts) / np.sqrt([max(1, len(h)) for h in sets]).astype(np.float32)[:, None]
+
+    def values(self, texts: list[str]) -> np.ndarray:
+        """Regression values by text and language."""
+        return self.kernel([ngrams(t) for t in texts]) @ self.weights
+
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         """Languages and scores: the softmax of the regression values."""
-        value = (rows(texts) @ self.landmarks) @ self.weights
-        e = np.exp(4 * (value - value.max(axis=1, keepdims=True)))
+        value = self.values(texts)
+        e = np.exp(STEEP * (value - value.max(axis=1, keepdims=True)))
         best = value.argmax(axis=1)
         return [self.langs[i] for i in best], (e[np.arange(len(best)), best] / e.sum(axis=1)).astype(float).tolist()
 
@@ -98,30 +110,29 @@ def train(labelled: DataFrame, max_train: int = MAX_TRAIN) -> Model | None:
     # a hash below the language's own threshold; about a quarter more than needed, so that each has enough
     share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 1.25 * each / r["n"]))) for r in counts])
     draw = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = d.where(draw <= share).select("text", "lang", draw.alias("draw")).limit(2 * max_train + 8 * len(counts))
+    sample = d.where(draw <= share).select("text", "lang", draw.alias("draw"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = np.zeros((b.num_rows, 1 << BUCKET_BITS), dtype=np.uint8)
-            for i, t in enumerate(b.column("text").to_pylist()):
-                presence(t, p[i])
-            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("draw"), pa.array([x.tobytes() for x in np.packbits(p, axis=1)], pa.binary())], ["lang", "draw", "bits"])
+            found = [ngrams(t).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("draw"), pa.array(found, pa.binary())], ["lang", "draw", "grams"])
 
-    # what reaches the driver is a set of n-gram buckets for each row of the sample, not its text
+    # what reaches the driver is the set of n-grams of each row of the sample, not its text; the smallest hashes, so reruns agree
+    drawn = sample.mapInArrow(sets, "lang string, draw double, grams binary").orderBy("draw", "grams").limit(2 * max_train + 8 * len(counts))
     found: dict[str, list[bytes]] = {}
-    for r in sorted(sample.mapInArrow(sets, "lang string, draw double, bits binary").collect(), key=lambda r: (r["draw"], bytes(r["bits"]))):
+    for r in drawn.collect():
         own = found.setdefault(r["lang"], [])
-        if len(own) < each and bytes(r["bits"]) not in own:
-            own.append(bytes(r["bits"]))
-    bits = np.array([np.frombuffer(x, dtype=np.uint8) for k in sorted(found) for x in found[k]])
-    return Model(normalised(np.unpackbits(bits, axis=1).astype(np.float32)), [k for k in sorted(found) for _ in found[k]])
+        if len(own) < each and bytes(r["grams"]) not in own:
+            own.append(bytes(r["grams"]))
+    return Model([np.frombuffer(x, np.int64) for k in sorted(found) for x in found[k]], [k for k in sorted(found) for _ in found[k]])
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """One row per input row: doc_id, lang_pred and score (0 to 1).
 
     A null text, or one without a letter, is ``und`` with score 0; so is everything without a model.
-    Repeated rows each give a row; an empty table gives none.
+    Very long texts are read whole.  Of languages with equal values the first by name is taken.
+    Repeated rows each give a row; an empty table gives none.  Other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
