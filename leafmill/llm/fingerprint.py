@@ -86,7 +86,8 @@ def _name(a: np.ndarray) -> str:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, n_chars (code points) and fingerprint (base64 of up to 128 32-bit hashes).
 
-    Null texts count as empty and have an empty fingerprint; equal texts have equal ones.
+    Null texts count as empty and have an empty fingerprint; equal texts have equal ones.  Very long texts are parsed
+    whole.  Repeated rows each give a row; an empty table gives none.  Other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +134,8 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     The next document is the one that follows by (doc_id, text), nulls first, and the first one after the
     last; a single document follows itself.  Null texts count as empty: the edited text of an empty one is
-    empty, and two empty fingerprints are alike (1.0).  An empty table gives no rows.
+    empty, and two empty fingerprints are alike (1.0).  Repeated rows follow each other; very long texts are parsed
+    whole.  An empty table gives no rows.  Columns other than doc_id and text are ignored.
     """
     spark = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType.simpleString()

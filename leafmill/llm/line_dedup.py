@@ -12,10 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, col, durable, hash128, strip_ws
+from .common import ascii_lower, col, durable, fresh, hash128, strip_ws
 
 MIN_KEY_CHARS = 20
 MIN_DOCS = 3
+#: Columns that are added.
+NEW = ["lines_kept", "n_lines", "n_dropped"]
 
 
 def line_key(line: Column) -> Column:
@@ -49,30 +51,35 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_KEY_CHARS, min_docs: int =
     shared = durable(shared)  # a plain scan on this side lets AQE split a skewed key on the other
     drop = refs.join(shared, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     gone = drop.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
-    gone = gone.select(F.col("doc_id").alias("__d"), F.col("th").alias("__h"), F.col("gone").alias("__gone"))
-
-    rows = docs.drop("lines_kept", "n_lines", "n_dropped").withColumn("__th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    out = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__h")), "left")
-    out = out.withColumn("__lines", F.split(F.coalesce("text", F.lit("")), "\n", -1))
-    cuts = F.concat(F.array(F.lit(-1)), F.col("__gone"), F.array(F.size("__lines")))
-    out = out.withColumn("__cuts", F.when(F.col("__gone").isNotNull(), cuts))
+    rows = docs.drop(*NEW)
+    d, h, g, own, lines, at = (fresh([*docs.columns, *NEW], x) for x in ("gone_id", "gone_hash", "gone_at", "text_hash", "text_lines", "cuts"))
+    gone = gone.select(F.col("doc_id").alias(d), F.col("th").alias(h), F.col("gone").alias(g))
+    out = rows.withColumn(own, F.xxhash64(F.coalesce("text", F.lit(""))))
+    out = out.join(gone, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(own) == F.col(h)), "left")
+    out = out.withColumn(lines, F.split(F.coalesce("text", F.lit("")), "\n", -1))
+    out = out.withColumn(at, F.when(F.col(g).isNotNull(), F.concat(F.array(F.lit(-1)), F.col(g), F.array(F.size(lines)))))
     parts = F.transform(
-        F.sequence(F.lit(0), F.size("__cuts") - 2),
-        lambda i: F.slice(F.col("__lines"), F.get("__cuts", i) + 2, F.get("__cuts", i + 1) - F.get("__cuts", i) - 1),
+        F.sequence(F.lit(0), F.size(at) - 2),
+        lambda i: F.slice(F.col(lines), F.get(at, i) + 2, F.get(at, i + 1) - F.get(at, i) - 1),
     )
-    kept = F.when(F.col("__cuts").isNull(), F.col("__lines")).otherwise(F.flatten(parts))
+    kept = F.when(F.col(at).isNull(), F.col(lines)).otherwise(F.flatten(parts))
     return out.select(
-        *[col(c) for c in rows.columns if c != "__th"], kept.alias("lines_kept"),
-        F.size("__lines").cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_dropped"),
+        *[col(c) for c in rows.columns], kept.alias("lines_kept"), F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size(g), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 
 def drop_shared_lines(docs: DataFrame, min_chars: int = MIN_KEY_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """The input with its text rewritten (and ``n_chars``, where it has that column)."""
-    out = dedup_lines(docs, min_chars, min_docs).withColumn("text", F.when(F.col("text").isNotNull(), F.array_join("lines_kept", "\n")))
+    """The input with its text rewritten (and ``n_chars``, where it has that column), whatever its other columns are called.
+
+    A null text stays null, an empty one empty; very long texts and lines are read whole.  Repeated rows are treated
+    alike, all their lines with the same key too.  An empty table stays empty.
+    """
+    short = docs.select("doc_id", "text", *[F.struct(*[col(c) for c in docs.columns]).alias("row")])
+    out = dedup_lines(short, min_chars, min_docs).withColumn("text", F.when(F.col("text").isNotNull(), F.array_join("lines_kept", "\n")))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[col(c) for c in docs.columns])
+        new["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def digest(docs: DataFrame) -> DataFrame:

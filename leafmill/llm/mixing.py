@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, durable, words
+from .common import col, durable, fresh, words
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -109,11 +109,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = MA
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = MAX_REPEATS) -> DataFrame:
-    """The rows that the mix takes, each as often as it takes them, with all their columns."""
-    plan = mix(docs, weights, repeats).where("copies > 0").select(F.col("doc_id").alias("__d"), F.col("th").alias("__h"), F.col("copies").alias("__n")).distinct()
-    rows = docs.withColumn("__th", F.xxhash64("text"))
-    out = rows.join(plan, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__h")))
-    return out.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(*[col(c) for c in docs.columns])
+    """The rows that the mix takes, each as often as it takes them, with all their columns, whatever their names.
+
+    Null, empty and blank texts are never taken; very long ones count whole.  A null source is a source.  Rows equal in
+    id and text are taken alike.  An empty table stays empty.
+    """
+    d, h, n, own, i = (fresh(docs.columns, x) for x in ("mix_id", "mix_hash", "mix_copies", "text_hash", "mix_copy"))
+    plan = mix(docs, weights, repeats).where("copies > 0").select(F.col("doc_id").alias(d), F.col("th").alias(h), F.col("copies").alias(n)).distinct()
+    out = docs.withColumn(own, F.xxhash64("text")).join(plan, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(own) == F.col(h)))
+    return out.withColumn(i, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*[col(c) for c in docs.columns])
 
 
 def digest(docs: DataFrame) -> DataFrame:
