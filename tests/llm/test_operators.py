@@ -82,6 +82,35 @@ def test_language_is_learned(docs):
     assert all(h == (zlib.crc32(str(i).encode()) % 4 == 2) for i, h in zip(got.doc_id, got.held_out, strict=True))
 
 
+def test_values_are_those_of_exact_kernel_ridge_regression():
+    """With every training text a landmark, the Nystroem map is exact: values equal the dual solution in plain numpy."""
+    random.seed(11)
+    texts = ["".join(random.choices("abcde fgh" if i % 2 else "aeiou xyz", k=random.randint(20, 200))) for i in range(24)]
+    langs = ["l1" if i % 2 else "l2" for i in range(20)] + ["l3"] * 4
+    gaps = lambda t: " " + re.sub(r"[\W\d_]+", " ", t.lower()).strip() + " "
+    sets = lambda t: {gaps(t)[i : i + n] for n in (2, 3, 4) for i in range(len(gaps(t)) - n + 1)}
+    kernel = lambda a, b: np.array([[len(x & y) / math.sqrt(len(x) * len(y)) for y in map(sets, b)] for x in map(sets, a)])
+    assert all(len(lang_id.ngrams(t)) == len(sets(t)) for t in texts)
+    model = lang_id.Model([lang_id.ngrams(t) for t in texts], langs)
+    k, w = kernel(texts, texts), np.array([1 / langs.count(x) for x in langs])
+    y = np.where(np.array(langs)[:, None] == np.array(model.langs)[None, :], 1.0, -1.0)
+    dual = np.linalg.solve(k + lang_id.RIDGE / np.linalg.matrix_rank(k, 1e-5) * np.diag(1 / w), y)
+    new = ["abc def gh a", "xyz ae io u", "12 Äb c!", "a" * 5000 + " b " * 900]
+    assert np.allclose(model.values(new), kernel(new, texts) @ dual, atol=2e-3)
+    names, scores = model.predict(new)
+    assert [model.langs[i] for i in (kernel(new, texts) @ dual).argmax(axis=1)] == names and all(0 <= x <= 1 for x in scores)
+
+
+def test_long_texts_are_told_apart(spark, docs):
+    """Texts of 100,000 characters, of all a language's documents, are still of that language."""
+    d = docs.where("lang is not null and text is not null")
+    model = lang_id.train(d)
+    long = {r["lang"]: r["t"] for r in d.groupBy("lang").agg(F.array_join(F.collect_list("text"), "\n").alias("t")).collect()}
+    for lang, t in long.items():
+        t = (t * (100_000 // len(t) + 1))[:100_000]
+        assert model.predict([t])[0] == [lang]
+
+
 def test_no_letter_is_undetermined(spark):
     d = spark.createDataFrame([(1, None, "en"), (2, "12 .", "en"), (3, "hello there", "en"), (5, "bonjour", "fr")], "doc_id long, text string, lang string")
     assert {r["doc_id"]: r["lang_pred"] for r in lang_id.predict(d, lang_id.train(d)).collect()} == {1: "und", 2: "und", 3: "en", 5: "fr"}
@@ -203,6 +232,27 @@ def test_encoding_is_the_librarys(spark, docs, edge):
     assert rows(bpe.digest(d)) == sorted(want, key=str)
 
 
+def test_words_are_encoded_one_by_one(spark, tmp_path):
+    """Random texts of all kinds of white space: the words of Spark and of a task are the same, and their ids the library's."""
+    import json
+
+    path = bpe.default_tokenizer()
+    t, split, marks = bpe._tokenizer(path), bpe._split(path), bpe.special_tokens(path)
+    alphabet = [*" \n\t\r\x0b\x0c\x1c\x1f\x85\xa0\u1680\u2000\u200a\u200b\u2028\u2029\u202f\u205f\u3000\ufeff", *"ab'st1.2é漢😀", "<|endoftext|>", " ", "  ", "'ll"]
+    random.seed(3)
+    texts = ["".join(random.choices(alphabet, k=random.randint(0, 14))) for _ in range(3000)]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", bpe.words_of(F.col("text"), marks).alias("w")).collect()
+    for r in got:
+        words = split(texts[r["i"]])
+        assert r["w"] == words and "".join(words) == texts[r["i"]]
+        assert ",".join(bpe._ids(words, path)) == ",".join(map(str, t.encode(texts[r["i"]], add_special_tokens=False).ids))
+    other = json.loads(open(path, encoding="utf-8").read())
+    other["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "t.json").write_text(json.dumps(other))
+    with pytest.raises(ValueError, match="supported"):
+        bpe.special_tokens(str(tmp_path / "t.json"))
+
+
 # 7 fingerprints
 
 
@@ -221,6 +271,37 @@ def test_fingerprints_against_a_loop(spark, docs, edge):
     assert rows(fingerprint.fingerprints(d), "doc_id", "fingerprint") == rows(fingerprint.digest(d), "doc_id", "fingerprint")
 
 
+def lempel_ziv(text):
+    """The phrase set, parsed independently: the longest known prefix and one more character, again and again."""
+    phrases, i = set(), 0
+    while i < len(text):
+        n = 1
+        while i + n <= len(text) and text[i : i + n] in phrases:
+            n += 1
+        if i + n > len(text):
+            break
+        phrases.add(text[i : i + n])
+        i += n
+    return phrases
+
+
+def test_phrases_are_those_of_an_independent_parse(docs):
+    texts = [r["text"] or "" for r in docs.limit(25).collect()] + ["", "a", "aaaaaaaa", "abababababab", "é😀é😀é"]
+    for t in texts:
+        seen = set()
+        fingerprint.phrase_ends(t, seen, "", 0)
+        want = lempel_ziv(t)
+        assert seen == want
+        hashes = fingerprint.phrase_hashes(t, fingerprint.phrase_ends(t, set(), "", 0)[0])
+        assert len(set(hashes.tolist())) == len(want)
+        small = sorted({h >> 32 for h in hashes.tolist()})[: fingerprint.SIZE]
+        assert fingerprint.fingerprint(t).tolist() == small
+    # likeness: the share of both sketches among the smallest of their union, against the definition
+    a, b = (set(fingerprint.fingerprint(t).tolist()) for t in texts[:2])
+    union = set(sorted(a | b)[: fingerprint.SIZE])
+    assert math.isclose(fingerprint.likeness(*map(fingerprint.fingerprint, texts[:2])), len(union & a & b) / len(union))
+
+
 def test_likeness_follows_the_phrase_sets(docs):
     texts = [r["text"] for r in docs.limit(30).collect()]
     off = []
@@ -258,6 +339,31 @@ def test_wrapped_licences(spark, docs):
     assert [got[i]["n_license_lines"] for i in range(len(texts))] == [2, 3, 5, 2, 2, 0]
 
 
+def test_near_families_are_told_apart(spark, docs):
+    """Headers that differ in a word or two, wrapped and in other words than in training: precision and recall by family."""
+    import textwrap
+
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    notices = {
+        "gpl-2": gpl.format("General Public", 2), "gpl-3": gpl.format("General Public", 3), "agpl-3": gpl.format("Affero General Public", 3),
+        "lgpl": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License",
+        "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice appears in all copies.",
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
+        "unlicense": "This is free and unencumbered software released into the public domain.", "cc-by": "Licensed under CC BY 4.0", "cc-by-nc": "Licensed under CC BY-NC 4.0", "cc-by-sa": "Licensed under CC BY-SA 4.0",
+    }
+    random.seed(4)
+    rows_, want = [], {}
+    for k in range(4):
+        for family, text in notices.items():
+            around = random.choices("quite some other words stand around the notice in any such file".split(), k=20)
+            body = textwrap.fill(" ".join(around[: 5 * k]) + " " + text + " " + " ".join(around[5 * k :]), random.choice([50, 72, 79]), break_on_hyphens=False)
+            rows_.append((10**6 + len(rows_), ("\n".join(f"# {x}" for x in body.split("\n")) if k % 2 else body).upper() if k == 3 else body))
+            want[rows_[-1][0]] = family
+    got = {r["doc_id"]: r["families"] for r in license.digest(docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows_, "doc_id long, text string"))).where("doc_id >= 1000000").collect()}
+    right = sum(got[i] == f for i, f in want.items())
+    assert right >= 0.95 * len(want), {i: (got[i], f) for i, f in want.items() if got[i] != f}
+
+
 # 9 language model
 
 
@@ -329,26 +435,18 @@ def test_all_repeated_ngrams_count_whatever_is_frequent(spark, monkeypatch, shar
 # 10 near-duplicates
 
 
-def test_groups_against_all_pairs(spark):
-    random.seed(5)
-    vocabulary = [f"v{i}" for i in range(400)]
-    data = []
-    for g in range(25):
-        base = random.choices(vocabulary, k=random.randint(40, 200))
-        for _ in range(random.randint(1, 8)):
-            w = list(base)
-            for _ in range(random.randint(0, 3)):
-                w[random.randrange(len(w))] = random.choice(vocabulary)
-            data.append((len(data), " ".join(w)))
-    data += [(len(data) + i, data[i][1].upper().replace(" ", "  ")) for i in range(6)]
-    d = spark.createDataFrame(data, "doc_id long, text string")
+def plain_groups(data, least=0.8):
+    """All pairs, in plain Python: shingles as tuples, weights from word counts over all rows."""
+    split = lambda t: t.lower().split() if t else []
     n, df = len(data), collections.Counter()
-    split = lambda t: t.encode().lower().split()
     for _, t in data:
         df.update(set(split(t)))
-    idf = {w: float(np.log1p(n / x)) for w, x in df.items()}
-    sets = [near_dup.weighted_shingles(split(t), idf, float(np.log1p(n))) for _, t in data]
-    parent = list(range(n))
+    idf = {w: math.log1p(n / x) for w, x in df.items()}
+    sets, parent = [], list(range(n))
+    for _, t in data:
+        w = split(t)
+        grams = [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))]
+        sets.append({g: c * sum(idf[x] for x in g) / len(g) for g, c in collections.Counter(grams).items() if g})
 
     def find(x):
         while parent[x] != x:
@@ -357,13 +455,54 @@ def test_groups_against_all_pairs(spark):
 
     for i in range(n):
         for j in range(i):
-            if near_dup.similarity(sets[i], sets[j]) >= 0.8:
+            p, q = sets[i], sets[j]
+            same = sum(min(p[g], q[g]) for g in p.keys() & q.keys())
+            if p and q and same / (sum(p.values()) + sum(q.values()) - same) >= least:
                 a, b = find(i), find(j)
                 parent[max(a, b)] = min(a, b)
+    return {d: data[find(i)][0] for i, (d, _) in enumerate(data)}
+
+
+@pytest.mark.parametrize("frequent", [near_dup.FREQUENT, 1.0])
+def test_groups_against_all_pairs(spark, monkeypatch, frequent):
+    """Whatever share of the words is broadcast, the groups are the same."""
+    monkeypatch.setattr(near_dup, "FREQUENT", frequent)
+    random.seed(5)
+    vocabulary = [f"v{i}" for i in range(400)] + ["long" * 30 + str(i) for i in range(9)]
+    data = []
+    for _ in range(25):
+        base = random.choices(vocabulary, k=random.randint(40, 200))
+        for _ in range(random.randint(1, 8)):
+            w = list(base)
+            for _ in range(random.randint(0, 3)):
+                w[random.randrange(len(w))] = random.choice(vocabulary)
+            data.append((len(data), " ".join(w)))
+    data += [(len(data) + i, data[i][1].upper().replace(" ", "  ")) for i in range(6)]
+    d = spark.createDataFrame(data, "doc_id long, text string")
+    want = plain_groups(data)
     got = {r["doc_id"]: r["class_id"] for r in near_dup.digest(d).collect()}
-    assert got == {i: find(i) for i in range(n)}
-    kept = near_dup.keep_first(d.withColumn("more", F.lit(1)))
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({find(i) for i in range(n)}) and kept.columns == ["doc_id", "text", "more"]
+    assert got == want
+    if frequent == near_dup.FREQUENT:
+        kept = near_dup.keep_first(d.withColumns({"more": F.lit(1), "__th": F.lit("mine"), "KEPT_ID_0": F.lit(2)}))
+        assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values())) and kept.columns == ["doc_id", "text", "more", "__th", "KEPT_ID_0"]
+        assert {r["__th"] for r in kept.collect()} == {"mine"}
+
+
+def test_many_variants_of_one_text(spark, monkeypatch):
+    """A bucket larger than a block: groups against all pairs."""
+    monkeypatch.setattr(near_dup, "BLOCK", 7)
+    monkeypatch.setattr(near_dup, "LEADER_BLOCK", 11)
+    random.seed(8)
+    vocabulary = [f"v{i}" for i in range(300)]
+    base = random.choices(vocabulary, k=90)
+    data = []
+    for i in range(140):
+        w = list(base)
+        for _ in range(i % 12):
+            w[random.randrange(len(w))] = random.choice(vocabulary)
+        data.append((i, " ".join(w)))
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.digest(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == plain_groups(data)
 
 
 def test_groups_without_an_id_or_with_one_id_stay(spark):
@@ -374,16 +513,26 @@ def test_groups_without_an_id_or_with_one_id_stay(spark):
     assert got == sorted([(None, a), (None, b), (7, c), (5, d), (5, "few words"), (None, None)], key=str)
 
 
+def content_sets(n: dict[bytes, int], n_docs: int):
+    import zstandard
+
+    often = near_dup.word_hashes(n, len(n)), np.array(list(n.values()))
+    v = near_dup.Vocabulary(near_dup.Words(n_docs, often, np.zeros(1 << (near_dup.FILTER_BITS - 6), np.uint64)))
+    none = np.zeros(0, np.int64)
+    return lambda words: v.of_content(zstandard.compress(b" ".join(words)), (none, none))
+
+
 def test_similarity_and_sampling():
     rng = np.random.default_rng(6)
     words = [f"w{i}".encode() for i in range(600)]
+    sets = content_sets({w: 1 for w in words}, 600)
     a = [words[i] for i in rng.integers(0, 600, 400)]
     agree, exact = [], []
     for cut in (0, 8, 20, 60):
         b = list(a)
         for i in rng.integers(0, 400, cut):
             b[i] = words[int(rng.integers(0, 600))]
-        x, y = near_dup.weighted_shingles(a, {}, 1.0), near_dup.weighted_shingles(b, {}, 1.0)
+        x, y = sets(a), sets(b)
         count = lambda s: collections.Counter(tuple(s[i : i + 5]) for i in range(len(s) - 4))
         p, q = count(a), count(b)
         assert math.isclose(near_dup.similarity(x, y), sum((p & q).values()) / sum((p | q).values()))
@@ -392,11 +541,41 @@ def test_similarity_and_sampling():
     assert agree[0] == 1 and agree == sorted(agree, reverse=True) and exact[-1] < 0.6
 
 
-def test_word_hashes_of_long_words_and_texts():
-    many = [b"a", b"bb", b"a" * 10, "é".encode()] * 300_000
-    h = near_dup.word_hashes(many)
-    assert len(h) == len(many) and len(set(h.tolist())) == 4 and (h[:4] == near_dup.word_hashes(many[:4])).all()
-    assert len(near_dup.word_hashes([b"x", b"y" * (near_dup.PIECE + 5), b"x"])) == 3
+def test_samples_agree_as_often_as_texts_are_similar():
+    """Over many pairs, the share of equal bands follows the similarity to the third power."""
+    rng = np.random.default_rng(9)
+    sets = content_sets({b"w%d" % i: 1 + i for i in range(500)}, 500)
+    for cut, pairs in ((4, 150), (12, 150)):
+        agree, exact = [], []
+        for _ in range(pairs):
+            a = rng.integers(0, 500, 150)
+            b = a.copy()
+            b[rng.integers(0, 150, cut)] = rng.integers(0, 500, cut)
+            x, y = (sets([b"w%d" % i for i in s]) for s in (a, b))
+            exact.append(near_dup.similarity(x, y) ** near_dup.ROWS)
+            agree.append((near_dup.bands(*x) == near_dup.bands(*y)).mean())
+        assert abs(np.mean(agree) - np.mean(exact)) < 0.04
+
+
+# columns of any name
+
+
+CLASHES = ("__d", "__h", "__n", "__i", "__th", "__gone", "__lines", "__cuts", "text_hash_0", "gone_id_0", "bad_id_0", "mix_copy_0", "kept_id_0", "words", "key", "a.b")
+
+
+@pytest.mark.parametrize("stage", [quality.keep_good, line_dedup.drop_shared_lines, near_dup.keep_first, mixing.mixed])
+def test_stages_keep_columns_of_any_name(spark, edge, stage):
+    """Each stage on edge rows: the rows and columns that it gives without the clashing ones, and their values untouched."""
+    long = spark.createDataFrame([(20 + i, " ".join(f"{w}{j}" for j in range(60)), "en", "a", 9) for i, w in enumerate(("alpha", "beta"))], DOCS)
+    d = edge.unionByName(long)
+    plain = stage(d)
+    own = stage(d.select("*", *[F.lit(c).alias(c) for c in CLASHES]))
+    assert plain.columns == d.columns and own.columns == [*d.columns, *CLASHES]
+    got = own.collect()
+    assert all(tuple(r)[len(d.columns) :] == CLASHES for r in got)
+    assert sorted((tuple(r)[: len(d.columns)] for r in got), key=str) == rows(plain)
+    assert {r["doc_id"] for r in got} >= {20, 21}
+    assert stage(d.limit(0)).count() == 0
 
 
 # shared
@@ -407,6 +586,45 @@ def test_words(spark, edge):
     assert all(r["w"] == WS.findall(r["text"] or "") for r in got)
 
 
+# 3 addresses
+
+
+def test_aliases_of_hubs_and_chains(spark):
+    """A redirect table with a hub of thousands, long chains and cycles, against a search in plain Python."""
+    random.seed(12)
+    edges = [(f"http://hub.org/{i}", "https://hub.org/0?x#f") for i in range(3000)]
+    edges += [(f"http://chain{k}.org/{i}", f"http://chain{k}.org/{i + 1}") for k in range(6) for i in range(120)]
+    edges += [("http://chain0.org/120", "http://bad.net/x"), ("http://chain1.org/60", "http://chain2.org/7"), ("http://chain2.org/120", "http://A.NET/"), ("http://c.org/a", "http://c.org/b"), ("http://c.org/b", "http://c.org/a"), ("no address", "http://c.org/a")]
+    pages = [(i, random.choice(edges)[0], None) for i in range(400)] + [(1000, "http://chain1.org/fr/x", "<link rel=canonical href='/60'>"), (1001, None, None), (1002, "no address", "x"), (1003, "http://org.org/fr/" + "y" * 50_000, "<p>" * 50_000)]
+    d = spark.createDataFrame([(*p, "mine") for p in pages], "page_id long, url string, html string, component string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(d, edges=spark.createDataFrame(edges, "src string, dst string")).collect()}
+
+    def node(u):
+        rest = u.partition("://")[2].partition("#")[0]
+        m = re.match(r"([^/?]*)(.*)", rest, re.S)
+        return m[1].lower() + m[2]
+
+    parent: dict = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in [*edges, ("http://chain1.org/fr/x", "http://chain1.org/60")]:
+        if "://" in a and "://" in b:
+            x, y = find(node(a)), find(node(b))
+            parent[max(x, y)] = min(x, y)
+    is_net = lambda n: re.match(r"[^/?]*", n)[0].split(".")[-1] == "net"
+    bad = {find(n) for n in list(parent) if is_net(n)}
+    for i, u, _ in pages:
+        allowed = bool(u and re.match(r"http://[^/]*org/fr/", u))
+        want = "allow" if not u or "://" not in u or allowed else "block" if node(u) in parent and find(node(u)) in bad or is_net(node(u)) else "allow"
+        assert got[i] == want, (i, u)
+    assert {"block", "allow"} <= set(got.values())
+
+
 # the pipeline
 
 
@@ -430,3 +648,37 @@ def test_pipeline_stage_by_stage(spark, docs):
     want = sorted((r["doc_id"], ",".join(map(str, t.encode(r["text"], add_special_tokens=False).ids))) for r in mix.collect())
     assert sorted((r["doc_id"], r["token_ids"]) for r in stages["byte-level BPE"](spark, mix, SF).collect()) == want
     assert pipeline.run(spark, SF).count() == mix.count()
+
+
+def test_pipeline_on_edge_rows(spark, edge, monkeypatch, tmp_path):
+    """All stages in turn on nulls, empties, repeats, ties and long texts, with further columns, against plain Python; and on no rows."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    from tokenizers import Tokenizer
+
+    prose = lambda w, n: " ".join(f"{w}{j}" for j in range(n))
+    shared = "a line that very many documents hold"
+    data = [(20, prose("a", 60) + "\n" + shared, "en", "x", 1), (21, prose("b", 60) + "\n" + shared, "en", None, 1), (22, prose("b", 60).upper(), "en", "x", 1), (23, prose("b", 60) + " " + shared, "en", "x", 1)]
+    data += [(24, prose("c", 70) + "\n" + shared, None, "y", 1), (24, prose("c", 70) + "\n" + shared, None, "y", 1), (None, prose("d", 80), "en", "y", 1), (None, prose("e", 80), "en", "y", 1), (25, prose("f", 30_000), "en", "y", 1)]
+    monkeypatch.setattr(quality, "MAX_CLASS_DISTANCE", 1.0)
+    monkeypatch.setattr(quality, "MAX_WORD_DISTANCE", 1.0)
+    d = edge.unionByName(spark.createDataFrame(data, DOCS)).select("*", F.lit("mine").alias("__th"))
+    stages = dict(pipeline.STAGES)
+    good = common.stored(stages["quality rules"](spark, d, ""))
+    text = {i: t for i, t, *_ in data}
+    assert sorted((r["doc_id"] or 0 for r in good.collect())) == sorted(x[0] or 0 for x in data)
+    lines = common.stored(stages["line dedup"](spark, good, ""))
+    # 20 and 21 lose the shared line, of which 24 is the keeper; within 23 it is no line
+    got = collections.Counter(r["text"] for r in lines.collect())
+    assert got == collections.Counter([t.removesuffix("\n" + shared) if i in (20, 21) else t for i, t, *_ in data])
+    once = common.stored(stages["near-duplicates"](spark, lines, ""))
+    # 22 is 21 in capitals, 23 has a few words more; 24 is there twice; two rows without an id stay
+    assert sorted((r["doc_id"] or 0, r["__th"]) for r in once.collect()) == [(i, "mine") for i in (0, 0, 20, 21, 24, 25)]
+    assert once.where("doc_id = 21").first()["n_chars"] == len(text[21].removesuffix("\n" + shared))
+    mix = common.stored(stages["source mixing"](spark, once, ""))
+    size = {(r["doc_id"], r["source"]): len(r["text"].split()) for r in once.collect() if r["doc_id"]}
+    assert {r["doc_id"] for r in mix.collect()} <= {r["doc_id"] for r in once.collect()} and sum(size.values()) > 0
+    t = Tokenizer.from_file(bpe.default_tokenizer())
+    want = sorted((str(r["doc_id"]), ",".join(map(str, t.encode(r["text"], add_special_tokens=False).ids))) for r in mix.collect())
+    assert sorted((str(r["doc_id"]), r["token_ids"]) for r in stages["byte-level BPE"](spark, mix, "").collect()) == want
+    spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
