@@ -59,11 +59,12 @@ TABLE_BITS, STEPS, LEAST_LEVEL, LEVELS = 13, 16, -32, 512
 def _tables() -> dict[str, np.ndarray]:
     rng = np.random.default_rng(20240229)
     u = np.maximum(rng.random((5, 1 << TABLE_BITS)), 1e-12)
-    r, beta = -np.log(u[0] * u[1]), u[4]
-    step = np.floor((np.arange(LEVELS)[:, None] + LEAST_LEVEL) / STEPS / r + beta)
-    rank = np.log(-np.log(u[2] * u[3])) - r * (step - beta + 1)
+    r, beta, ln_c = -np.log(u[0] * u[1]), u[4], np.log(-np.log(u[2] * u[3]))
+    rank = np.empty((LEVELS, 1 << TABLE_BITS), np.float32)
+    for i in range(LEVELS):  # row by row, so that it takes no more memory than it keeps
+        rank[i] = ln_c - r * (np.floor((i + LEAST_LEVEL) / STEPS / r + beta) - beta + 1)
     odd = lambda n, kind, top: rng.integers(0, top, n, dtype=kind) * kind(2) + kind(1)
-    return {"rank": rank.astype(np.float32).ravel(), "r": r, "beta": beta, "place": odd(SHINGLE, _U, 1 << 63), "sample": odd(BANDS * ROWS, np.uint32, 1 << 31)[:, None]}
+    return {"rank": rank.ravel(), "r": r, "beta": beta, "place": odd(SHINGLE, _U, 1 << 63), "sample": odd(BANDS * ROWS, np.uint32, 1 << 31)[:, None]}
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
