@@ -341,6 +341,9 @@ def _groups(multi: DataFrame, texts: DataFrame, shared, least: float, box: Scrat
             per = now.groupBy("bk", "comp").agg(F.count("*").alias("k")).coalesce(few)
             split = per.groupBy("bk").agg(F.max_by("comp", F.struct("k", "comp")).alias("top"), F.count("*").alias("c")).where("c > 1").select("bk", "top")
             split = box.put(split.coalesce(few))
+            if split.isEmpty():  # all contents of each bucket are linked
+                box.drop(split, *made)
+                break
             left = box.put(now.join(split, "bk").coalesce(few))
             if most is None:
                 most = _shareable(left.select("no").distinct(), texts, shared, box)
