@@ -42,7 +42,7 @@ from .components import connected_components
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 3
-FREQUENT = 2e-7
+FREQUENT = 5e-7
 FLUSH_WORDS = 200_000
 #: Bits of the table of words that two documents have.
 FILTER_BITS = 27
