@@ -4,7 +4,9 @@ Training counts every word of the training rows, then word pairs and triples; th
 least ``LEAST`` times are kept, however large the corpus and however rare or long their words.
 They are tables keyed by word numbers: frequent words (``WORD_SHARE``) are numbered by rank,
 any other has a negative 63-bit hash (no two of 10 million share one but with a chance of 1
-in 100,000).  Probabilities and backoff weights come from joins of these tables.
+in 100,000).  What can't be kept is not counted at all: pairs of a word seen once, triples of a
+pair seen once.  Bit tables of a fixed size tell that; where they are full they only tell less.
+Probabilities and backoff weights come from joins of these tables.
 
 A score is a sum over the n-grams of a text: a kept n-gram adds its discounted log10
 probability, less what its absence would have cost, plus its own backoff weight if a word
@@ -14,35 +16,38 @@ The frequent n-grams (``NGRAM_SHARE`` of all training tokens; at most 1 / NGRAM_
 order) are the states of an automaton that every task has: an arc carries the probability of
 a word after the state's words, a failure arc leads to the state with one word less and
 carries the backoff weight.  A text is read once from left to right.  What the rest of its
-n-grams adds comes by a join on the n-gram, and likewise for words that aren't frequent; hot
-ones are never in those joins.  Which n-grams to ask for is narrowed by a bit table of a fixed
-size.  Probabilities after any state sum to one over the vocabulary and one unknown word.
+n-grams and its rarer words add comes by one join on their hashes; hot ones are never in it.
+Probabilities after any state sum to one over the vocabulary and one unknown word.
 """
 
 from __future__ import annotations
 
+import gc
 from collections import Counter
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from xxhash import xxh64_intdigest
 
-from .common import stored
+from .common import Scratch
 
 LEAST = 2
 WORD_SHARE, NGRAM_SHARE = 5e-7, 1e-6
 MAX_FREQUENT_BYTES = 64
-ORDER, DISCOUNT = 3, 0.75
+DISCOUNT = 0.75
 FLUSH_WORDS, FLUSH_TOKENS = 200_000, 2_000_000
 FOLDS, HELD_OUT = 7, 2
-#: Bits of the table that narrows what is asked for.
+#: Bits of the tables that narrow what is counted and asked for.
 FILTER_BITS = 27
-#: In place of the first word of a pair.
-NONE = -1
+#: In place of the first word of a pair; of a word that no kept n-gram holds; beyond these are hashes.
+NONE, NEVER = -1, -2
+#: Kinds of rows that a text gives: something to look up, or a sum that is known already.
+ASKED, N_TOKENS, N_KNOWN, BASE, SCORE = range(5)
+
 
 def _words(text: bytes | None) -> list[bytes]:
     """Lower-casing and splitting bytes touch just A-Z and the six white-space controls."""
@@ -65,17 +70,25 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
+def word_hash(word: bytes) -> int:
+    """Negative, and below NEVER."""
+    return min((xxh64_intdigest(word) >> 1) - (1 << 63), NEVER - 1)
+
+
 class Numbers(dict):
-    """Number of a word: 0 is the start of a text, 1 its end, frequent words follow; any other has a negative hash."""
+    """Number of a word: 0 is the start of a text, 1 its end, frequent words follow; any other has a negative hash, or NEVER."""
 
-    def __init__(self, frequent: dict[bytes, int]) -> None:
+    def __init__(self, frequent: dict[bytes, int], twice: np.ndarray) -> None:
+        """twice: bits of the hashes of words that occur twice."""
         super().__init__()
-        self.frequent = frequent
+        self.frequent, self.twice = frequent, twice
 
     def __missing__(self, word: bytes) -> int:
         n = self.frequent.get(word)
         if n is None:
-            n = min(int.from_bytes(blake2b(word, digest_size=8).digest(), "big") - (1 << 64) >> 1, NONE - 1)
+            n = word_hash(word)
+            at = (n & (1 << 64) - 1) >> (63 - FILTER_BITS) & (1 << FILTER_BITS) - 1
+            n = n if int(self.twice[at >> 6]) >> (at & 63) & 1 else NEVER
         if len(self) > FLUSH_WORDS:
             self.clear()
         self[word] = n
@@ -88,6 +101,31 @@ class Numbers(dict):
         return out
 
 
+def _place(k: np.ndarray) -> np.ndarray:
+    """The bit of a key: its highest bits, without the sign."""
+    return k.astype(np.uint64) >> np.uint64(63 - FILTER_BITS) & np.uint64((1 << FILTER_BITS) - 1)
+
+
+def _bits(keys: DataFrame, column: str = "k") -> np.ndarray:
+    """A bit for each key (long): 2 ** FILTER_BITS bits at any number of keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = _place(b.column(column).to_numpy())
+            bit = (np.uint64(1) << (at & np.uint64(63))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int32)), pa.array(bit)], ["slot", "bit"])
+
+    found = keys.select(column).mapInArrow(run, "slot int, bit long").groupBy("slot").agg(F.bit_or("bit").alias("bit")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    out[found["slot"].to_numpy()] = found["bit"].to_numpy().view(np.uint64)
+    return out
+
+
+def _has(bits: np.ndarray, k: np.ndarray) -> np.ndarray:
+    at = _place(k)
+    return (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def _mixed(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     u = np.uint64
     x = (a.astype(u) * u(0x9E3779B97F4A7C15) + b.astype(u)) * u(0xBF58476D1CE4E5B9)
@@ -96,17 +134,28 @@ def _mixed(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     return x ^ (x >> u(31))
 
 
-def _grams(t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All pairs (NONE, b, c), then all triples."""
-    a = np.concatenate([np.full(len(t) - 1, NONE), t[:-2]])
-    return a, np.concatenate([t[:-1], t[1:-1]]), np.concatenate([t[1:], t[2:]])
+def _pairs(t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(NONE, b, c) without words that no kept pair holds."""
+    b, c = t[:-1], t[1:]
+    ok = (b != NEVER) & (c != NEVER)
+    b, c = b[ok], c[ok]
+    return np.full(len(b), NONE), b, c
 
 
-def ngram_counts(docs: DataFrame, frequent) -> DataFrame:  # noqa: ANN001
-    """(a, b, c, n) of all pairs and triples; ``frequent``: broadcast numbers of words."""
+def _triples(t: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, c) of pairs that may be kept, by their bits."""
+    b, c = t[:-1], t[1:]
+    kept = (b != NEVER) & (c != NEVER) & _has(pairs, _mixed(np.full(len(b), NONE), b, c))
+    at = np.flatnonzero(kept[:-1] & kept[1:])
+    return t[at], t[at + 1], t[at + 2]
+
+
+def ngram_counts(docs: DataFrame, shared, order: int) -> DataFrame:  # noqa: ANN001
+    """(a, b, c, n) of the pairs (a is NONE) or triples that occur LEAST times; ``shared``: numbers of words, their bits, those of pairs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, parts, size = Numbers(frequent.value), [], 0
+        frequent, twice, kept = shared.value
+        numbers, parts, size = Numbers(frequent, twice), [], 0
 
         def flush() -> pa.RecordBatch:
             a, b, c = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 3
@@ -115,45 +164,38 @@ def ngram_counts(docs: DataFrame, frequent) -> DataFrame:  # noqa: ANN001
 
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                parts.append(_grams(numbers.tokens(_words(text))))
+                t = numbers.tokens(_words(text))
+                parts.append(_pairs(t) if order == 2 else _triples(t, kept))
                 size += len(parts[-1][0])
                 if size > FLUSH_TOKENS:
                     yield flush()
                     parts, size = [], 0
         yield flush()
 
-    return docs.select("text").mapInArrow(count, "a long, b long, c long, n long").groupBy("a", "b", "c").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(count, "a long, b long, c long, n long").groupBy("a", "b", "c").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
 
 
-def _named(counts: DataFrame, frequent) -> DataFrame:  # noqa: ANN001
-    """Adds ``id``, the words' numbers."""
+def _named(counts: DataFrame) -> DataFrame:
+    """(n, id) of words by their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = Numbers(frequent.value)
         for b in batches:
-            words = b.column("word").to_pylist()
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([numbers[w] for w in words], pa.int64())], ["word", "n", "id"])
+            yield pa.RecordBatch.from_arrays([b.column("n"), pa.array(list(map(word_hash, b.column("word").to_pylist())), pa.int64())], ["n", "id"])
 
-    return counts.select("word", "n").mapInArrow(run, "word binary, n long, id long")
+    return counts.select("word", "n").mapInArrow(run, "n long, id long")
 
 
-def _of_word(df: DataFrame, at: str, name: str, frequent: np.ndarray, rare: DataFrame | None) -> DataFrame:
-    """Adds a value of the word in column ``at``: of frequent ones from an array, of others by a join with ``rare`` (id, v)."""
+def _of_word(df: DataFrame, at: str, name: str, frequent: np.ndarray, rare: DataFrame) -> DataFrame:
+    """Adds a value of the word in column ``at``: of frequent ones from an array, of others by a join with ``rare`` (id, v); only the latter are shuffled."""
     shared = df.sparkSession.sparkContext.broadcast(frequent.astype(np.float64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            i = b.column(at).to_numpy(zero_copy_only=False)
-            v = np.where(i >= 0, shared.value[np.maximum(i, 0)], 0.0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(v)], [*b.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value[b.column(at).to_numpy()])], [*b.schema.names, name])
 
-    out = df.mapInArrow(run, StructType([*df.schema.fields, StructField(name, DoubleType())]))
-    if rare is None:
-        return out
-    # frequent words match nothing, and are dealt out evenly
-    key = F.when(F.col(at) < 0, F.col(at)).otherwise(F.xxhash64("b", "c").bitwiseAND(F.lit((1 << 63) - 1)))
-    joined = out.withColumn("__k", key).join(rare.select(F.col("id").alias("__k"), F.col("v").alias("__v")), "__k", "left")
-    return joined.select(*df.columns, F.coalesce("__v", name).alias(name))
+    own = df.where(F.col(at) >= 0).mapInArrow(run, StructType([*df.schema.fields, StructField(name, DoubleType())]))
+    others = df.where(F.col(at) < 0).join(rare.select(F.col("id").alias(at), F.col("v").alias(name)), at, "left")
+    return own.unionByName(others.select(*df.columns, F.coalesce(name, F.lit(0.0)).alias(name)))
 
 
 def _backoff(left: Column, below: Column) -> Column:
@@ -229,177 +271,151 @@ class Automaton:
         return total
 
 class Model:
-    """The automaton and the tables of what is not in it: ``words`` (word, n, back) of all words, ``rest`` (a, b, c, w) of n-grams."""
+    """The automaton, and ``rest`` (k, base, w): what rarer words and n-grams add to the base and the score, by their keys."""
 
     def __init__(self, docs: DataFrame) -> None:
         spark = docs.sparkSession
-        self.counts = stored(word_counts(docs))
+        self.box = box = Scratch(spark)
+        share = spark.sparkContext.broadcast
+        self.counts = box.put(word_counts(docs))
         rows = docs.count()
         tokens, distinct = self.counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
         self.total, self.vocabulary = total, vocabulary = tokens + rows, distinct + (rows > 0)
-        often = self.counts.where((F.col("n") >= WORD_SHARE * total) & (F.octet_length("word") <= MAX_FREQUENT_BYTES))
-        found = [(bytes(r["word"]), r["n"]) for r in often.orderBy("word").toLocalIterator()]
+        frequent = (F.col("n") >= WORD_SHARE * total) & (F.octet_length("word") <= MAX_FREQUENT_BYTES)
+        found = [(bytes(r["word"]), r["n"]) for r in self.counts.where(frequent).orderBy("word").toLocalIterator()]
         words = {w: i for i, (w, _) in enumerate(found, 2)}
         word_n = np.array([0, rows, *[n for _, n in found]], dtype=np.int64)
-        numbers = spark.sparkContext.broadcast(words)
-        named = stored(_named(self.counts, numbers))
-        grams = stored(ngram_counts(docs, numbers).where(F.col("n") >= LEAST))
-        others = named.where("id < 0")
-        rare = None if others.isEmpty() else others.select("id", F.col("n").cast("double").alias("v"))
+        others = box.put(_named(self.counts.where(~frequent)))
+        self.twice = _bits(others.where(F.col("n") >= LEAST), "id")
+        grams = box.put(ngram_counts(docs, share((words, self.twice, None)), 2))
+        _freed(spark)
 
+        rare = others.where(F.col("n") >= LEAST).select("id", F.col("n").cast("double").alias("v"))
         one = F.lit(float(1 / (total + vocabulary + 1)))
-        pairs = grams.where(F.col("a") == NONE).select("b", "c", "n")
         context_n = word_n.copy()
         context_n[0] = rows
-        pairs = _of_word(_of_word(pairs, "b", "nb", context_n, rare), "c", "nc", word_n, rare)
-        pairs = stored(pairs.select("b", "c", "n", ((F.col("n") - DISCOUNT) / F.col("nb")).alias("p"), ((F.col("nc") + 1) * one).alias("below")))
+        pairs = _of_word(_of_word(grams.select("b", "c", "n"), "b", "nb", context_n, rare), "c", "nc", word_n, rare)
+        pairs = box.put(pairs.select("b", "c", "n", ((F.col("n") - DISCOUNT) / F.col("nb")).alias("p"), ((F.col("nc") + 1) * one).alias("below")))
+        pair_bits = _bits(_keyed(pairs.select(F.lit(NONE).cast("long").alias("a"), "b", "c")))
         # one word before: a context none of whose n-grams are kept backs off for free
-        backs = stored(pairs.groupBy("b").agg(_backoff(F.sum("p"), F.sum("below")).alias("v")).withColumnRenamed("b", "id"))
+        first_backs = box.put(pairs.groupBy("b").agg(_backoff(F.sum("p"), F.sum("below")).alias("v")).withColumnRenamed("b", "id"))
         back = np.zeros(len(word_n))
-        for i, v in backs.where("id >= 0").toLocalIterator():
+        for i, v in first_backs.where("id >= 0").toLocalIterator():
             back[i] = v
-        rare = None if rare is None else backs.where("id < 0")
+        rare_backs = first_backs.where("id < 0")
         # two words before
+        found3 = box.put(ngram_counts(docs, share((words, self.twice, pair_bits)), 3))
+        _freed(spark)
         second = pairs.select("b", "c", F.col("p").alias("below"))
         first = pairs.select(F.col("b").alias("a"), F.col("c").alias("b"), F.col("n").alias("before"))
-        triples = grams.where(F.col("a") != NONE).join(second, ["b", "c"]).join(first, ["a", "b"])
-        triples = stored(triples.select("a", "b", "c", "n", ((F.col("n") - DISCOUNT) / F.col("before")).alias("p"), "below"))
-        backs = stored(triples.groupBy("a", "b").agg(_backoff(F.sum("p"), F.sum("below")).alias("back")))
-        pairs = pairs.join(backs.select(F.col("a").alias("b"), F.col("b").alias("c"), "back"), ["b", "c"], "left").withColumn("back", F.coalesce("back", F.lit(0.0)))
-        pairs = stored(_of_word(pairs, "b", "before", back, rare))
+        triples = found3.join(second, ["b", "c"]).join(first, ["a", "b"])
+        triples = box.put(triples.select("a", "b", "c", "n", ((F.col("n") - DISCOUNT) / F.col("before")).alias("p"), "below"))
+        box.drop(grams, found3)
+        backs = box.put(triples.groupBy("a", "b").agg(_backoff(F.sum("p"), F.sum("below")).alias("back")))
+        after = pairs.join(backs.select(F.col("a").alias("b"), F.col("b").alias("c"), "back"), ["b", "c"], "left").withColumn("back", F.coalesce("back", F.lit(0.0)))
+        after = box.put(_of_word(after, "b", "before", back, rare_backs))
+        box.drop(pairs)
 
         mine = F.col("n") >= max(float(LEAST), NGRAM_SHARE * total)  # at most 1 / NGRAM_SHARE rows
         mine2, mine3 = mine & (F.col("b") >= 0) & (F.col("c") >= 0), mine & (F.col("a") >= 0) & (F.col("b") >= 0) & (F.col("c") >= 0)
         log = F.log10("p").alias("log_p")
-        self.automaton = Automaton(words, word_n, back, pairs.where(mine2).select("b", "c", log, "back").toPandas(), triples.where(mine3).select("a", "b", "c", log).toPandas(), total, vocabulary)
-        more2 = pairs.where(~mine2).select(F.lit(NONE).cast("long").alias("a"), "b", "c", (F.log10("p") - F.col("before") - F.log10("below") + F.col("back")).alias("w"))
+        self.automaton = Automaton(words, word_n, back, after.where(mine2).select("b", "c", log, "back").toPandas(), triples.where(mine3).select("a", "b", "c", log).toPandas(), total, vocabulary)
+        more2 = after.where(~mine2).select(F.lit(NONE).cast("long").alias("a"), "b", "c", (F.log10("p") - F.col("before") - F.log10("below") + F.col("back")).alias("w"))
         more3 = triples.where(~mine3).join(backs, ["a", "b"]).select("a", "b", "c", (F.log10("p") - F.col("back") - F.log10("below")).alias("w"))
-        self.rest = stored(more2.unionByName(more3))
-        self.words = self.counts.withColumn("back", F.lit(0.0))
-        if rare is not None:
-            self.words = stored(named.join(rare, "id", "left").select("word", "n", F.coalesce("v", F.lit(0.0)).alias("back")))
-
-    def bits(self) -> np.ndarray:
-        """A bit for each n-gram of ``rest``, and some for others: 2 ** FILTER_BITS at any size."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                at = _mixed(*[b.column(x).to_numpy() for x in "abc"]) >> np.uint64(64 - FILTER_BITS)
-                bit = (np.uint64(1) << (at & np.uint64(63))).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int32)), pa.array(bit)], ["slot", "bit"])
-
-        found = self.rest.select("a", "b", "c").mapInArrow(run, "slot int, bit long").groupBy("slot").agg(F.bit_or("bit").alias("bit")).toPandas()
-        out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-        out[found["slot"].to_numpy(np.int64)] = found["bit"].to_numpy(np.int64).view(np.uint64)
-        return out
+        logs = F.log10(F.col("n") + F.lit(1.0))
+        own = others.join(rare_backs.withColumnRenamed("v", "back"), "id", "left").select(F.col("id").alias("k"), logs.alias("base"), (logs + F.coalesce("back", F.lit(0.0))).alias("w"))
+        more = _keyed(more2.unionByName(more3), "w").select("k", F.lit(0.0).alias("base"), "w")
+        self.rest = box.put(own.unionByName(more))
+        box.drop(after, triples, backs, first_backs, others)
+        self.bits = _bits(self.rest)
+        _freed(spark)
 
 
-def train(docs: DataFrame) -> tuple[Automaton, DataFrame, int, int]:
-    """The automaton, the table of all words (word, n), training tokens and distinct tokens (each text has one end)."""
-    m = Model(docs)
-    return m.automaton, m.counts, m.total, m.vocabulary
+def _freed(spark) -> None:  # noqa: ANN001
+    """Lets Spark's cleaner drop the shuffle files of what is written already."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
-def _rest_of(base: DataFrame, model: Model, shared) -> DataFrame:  # noqa: ANN001
-    """(doc_id, th, rest): what the n-grams that the automaton lacks add to the rows, by doc_id and th."""
-    bits = base.sparkSession.sparkContext.broadcast(model.bits())
+def _keyed(grams: DataFrame, *more: str) -> DataFrame:
+    """(k, ...): the key of each n-gram (a, b, c)."""
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, there = shared.value, bits.value
-        numbers = Numbers(m.words)
-        def rows(batch: pa.RecordBatch, found: list) -> pa.RecordBatch:
-            at, a, b, c, times = (pa.array(np.concatenate(x)) for x in zip(*found, strict=True))
-            return pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("th").take(at), a, b, c, times], ["doc_id", "th", "a", "b", "c", "times"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k = _mixed(*[b.column(x).to_numpy() for x in "abc"]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(k), *[b.column(x) for x in more]], ["k", *more])
 
-        for batch in batches:
-            found, size = [], 0
-            for r, text in enumerate(batch.column("text").to_pylist()):
-                a, b, c = _grams(numbers.tokens(_words(text)))
-                k = _mixed(a, b, c)
-                at = k >> np.uint64(64 - FILTER_BITS)
-                maybe = np.flatnonzero((there[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1))
-                maybe = maybe[~m.has(a[maybe], b[maybe], c[maybe])]
-                if len(maybe):
-                    _, first, times = np.unique(k[maybe], return_index=True, return_counts=True)
-                    i = maybe[first]
-                    found.append((np.full(len(i), r), a[i], b[i], c[i], times.astype(np.int64)))
-                    size += len(i)
-                if size > FLUSH_TOKENS:
-                    yield rows(batch, found)
-                    found, size = [], 0
-            if found:
-                yield rows(batch, found)
+    return grams.select("a", "b", "c", *more).mapInArrow(run, StructType([StructField("k", LongType()), *[grams.schema[x] for x in more]]))
 
-    asked = base.mapInArrow(ask, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, th long, a long, b long, c long, times long")
-    return asked.join(model.rest, ["a", "b", "c"]).groupBy("doc_id", "th").agg(F.sum(F.col("times") * F.col("w")).alias("rest"))
+
+def train(docs: DataFrame) -> tuple[Automaton, DataFrame, int, int]:
+    """The automaton, the table of all words (word, n), training tokens and distinct tokens (each text has one end)."""
+    m = Model(docs)
+    return m.automaton, m.counts, m.total, m.vocabulary
 
 
 def score(docs: DataFrame, learn: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, th, n_tokens, n_known, train_tokens, base_score and score.
 
     Tokens are runs of anything but white space, A-Z lower-cased, and one end.  A null or empty text
-    is just its end.  base_score is the add-one unigram score, score the automaton's; both are log10.
-    Without training rows every token has probability one (log10 of 1 / 1).  Rows equal in id and text
-    score alike; an empty table gives no rows.
+    is just its end; very long texts are read whole.  base_score is the add-one unigram score, score the
+    automaton's; both are log10.  Without training rows every token has probability one (log10 of 1 / 1).
+    Rows equal in id and text score alike; an empty table gives no rows.
     """
-    spark = docs.sparkSession
     base = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
     trained = Model(learn.select(F.col("text").cast("binary").alias("text")))
-    model, total = trained.automaton, trained.total
-    shared = spark.sparkContext.broadcast(model)
+    total, unknown = trained.total, trained.automaton.log_one
+    shared = docs.sparkSession.sparkContext.broadcast((trained.automaton, trained.twice, trained.bits))
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        get, unigram, word_n = m.words.get, m.unigram, m.word_n
-        for b in batches:
-            n, known, uni, full = [], [], [], []
-            for text in b.column("text").to_pylist():
-                ids = [get(w, -1) for w in _words(text)]
+        m, twice, bits = shared.value
+        numbers, get = Numbers(m.words, twice), m.words.get
+
+        def rows(batch: pa.RecordBatch, found: list) -> pa.RecordBatch:
+            at, k, kind, v = (np.concatenate(x) for x in zip(*found, strict=True))
+            at = pa.array(at)
+            return pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("th").take(at), pa.array(k), pa.array(kind), pa.array(v)], ["doc_id", "th", "k", "kind", "v"])
+
+        for batch in batches:
+            found, size, ths = [], 0, batch.column("th").to_numpy()
+            for r, text in enumerate(batch.column("text").to_pylist()):
+                words = _words(text)
+                ids = [get(w, -1) for w in words]
                 ids.append(1)
                 own = np.array([i for i in ids if i >= 0], dtype=np.int64)
-                n.append(len(ids))
-                known.append(int((word_n[own] > 0).sum()))
-                uni.append(float(unigram[own].sum()))
-                full.append(m.read(ids))
-            columns = [b.column("doc_id"), b.column("th"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(uni, pa.float64()), pa.array(full, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "n_tokens", "n_known", "uni", "full"])
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value.words
-        for b in batches:
-            ids, ths, words, n = [], [], [], []
-            for i, th, text in zip(b.column("doc_id").to_pylist(), b.column("th").to_pylist(), b.column("text").to_pylist(), strict=True):
-                for w, c in Counter([w for w in _words(text) if w not in known]).items():
-                    ids.append(i)
-                    ths.append(th)
-                    words.append(w)
-                    n.append(c)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, b.column("doc_id").type), pa.array(ths, pa.int64()), pa.array(words, pa.binary()), pa.array(n, pa.int64())], ["doc_id", "th", "word", "times"])
-
-    row = base.mapInArrow(read, f"doc_id {id_type}, th long, n_tokens long, n_known long, uni double, full double")
-    row = row.groupBy("doc_id", "th").agg(*[F.first(c).alias(c) for c in ("n_tokens", "n_known", "uni", "full")], F.count("*").alias("copies"))
-    asked = base.mapInArrow(rare, f"doc_id {id_type}, th long, word binary, times long")
-    unknown = F.lit(float(model.log_one))
-    found = asked.join(trained.words.hint("shuffle_hash"), "word", "left")
-    logs = F.col("times") * (F.log10(F.coalesce("n", F.lit(0)) + F.lit(1.0)) + unknown)
-    backs = F.col("times") * F.coalesce("back", F.lit(0.0))  # some word or the end follows
-    more = found.groupBy("doc_id", "th").agg(F.sum(logs).alias("rare"), F.sum(backs).alias("backs"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(F.lit(0))).alias("rare_known"))
-    more = more.select(F.col("doc_id").alias("__d"), F.col("th").alias("__h"), "rare", "backs", "rare_known")
-    out = row.join(more, F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("th").eqNullSafe(F.col("__h")), "left")
-    held = F.lit(0.0)
-    if not trained.rest.isEmpty():
-        others = _rest_of(base, trained, shared).select(F.col("doc_id").alias("__e"), F.col("th").alias("__f"), "rest")
-        out = out.join(others, F.col("doc_id").eqNullSafe(F.col("__e")) & F.col("th").eqNullSafe(F.col("__f")), "left")
-        held = F.coalesce("rest", F.lit(0.0))
+                rare = [word_hash(w) for w, i in zip(words, ids, strict=False) if i < 0]
+                base = float(m.unigram[own].sum()) + len(rare) * unknown
+                sums = np.array([len(ids), (m.word_n[own] > 0).sum(), base, m.read(ids) + len(rare) * unknown])
+                t = numbers.tokens(words)
+                a, b, c = (np.concatenate(x) for x in zip(_pairs(t), (t[:-2], t[1:-1], t[2:]), strict=True))
+                k = _mixed(a, b, c)
+                maybe = np.flatnonzero(_has(bits, k.view(np.int64)) & (a != NEVER) & (b != NEVER) & (c != NEVER))
+                k = k[maybe[~m.has(a[maybe], b[maybe], c[maybe])]].view(np.int64)
+                asked = np.array(rare, np.int64)
+                k, times = np.unique(np.concatenate([k, asked[_has(bits, asked)]]), return_counts=True)
+                # sums have a key that no n-gram has, so that they are dealt out like the rest
+                found.append((np.full(len(k) + 4, r), np.concatenate([k, np.full(4, ths[r])]), np.repeat(np.array([ASKED, N_TOKENS, N_KNOWN, BASE, SCORE], np.int32), [len(k), 1, 1, 1, 1]), np.concatenate([times, sums])))
+                size += len(k) + 4
+                if size > FLUSH_TOKENS:
+                    yield rows(batch, found)
+                    found, size = [], 0
+            if found:
+                yield rows(batch, found)
+
+    asked = base.mapInArrow(read, f"doc_id {id_type}, th long, k long, kind int, v double")
+    met = asked.join(trained.rest.hint("shuffle_hash"), "k", "left")
+    is_ = lambda kind: F.col("kind") == kind
+    add = lambda kind, c: F.sum(F.when(is_(kind), F.col("v")).when(is_(ASKED), F.col("v") * F.coalesce(c, F.lit(0.0))))
+    known = F.when(F.col("base") > 0, F.lit(1.0)).otherwise(F.lit(0.0))  # words, not n-grams
+    copies = F.count(F.when(is_(SCORE), F.lit(1)))
+    out = met.groupBy("doc_id", "th").agg(
+        copies.alias("copies"), F.sum(F.when(is_(N_TOKENS), F.col("v"))).alias("n_tokens"), add(N_KNOWN, known).alias("n_known"), add(BASE, F.col("base")).alias("base"), add(SCORE, F.col("w")).alias("score")
+    )
     # rows equal in id and text were summed together
-    whole = (F.coalesce("backs", F.lit(0.0)) + held) / F.col("copies")
-    rest, seen = F.coalesce(F.col("rare") / F.col("copies"), F.lit(0.0)), F.coalesce((F.col("rare_known") / F.col("copies")).cast("long"), F.lit(0))
-    out = out.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return out.select(
-        "doc_id", "th", "n_tokens", (F.col("n_known") + seen).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("uni") + rest).alias("base_score"), (F.col("full") + rest + whole).alias("score"),
-    )
+    each = out.select("doc_id", "th", *[(F.col(c) / F.col("copies")).alias(c) for c in ("n_tokens", "n_known", "base", "score")], F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    whole = lambda c: F.round(c).cast("long").alias(c)
+    return each.select("doc_id", "th", whole("n_tokens"), whole("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
 
 
 def held_out(doc_id: Column) -> Column:
