@@ -574,7 +574,7 @@ def test_stages_keep_columns_of_any_name(spark, edge, stage):
     got = own.collect()
     assert all(tuple(r)[len(d.columns) :] == CLASHES for r in got)
     assert sorted((tuple(r)[: len(d.columns)] for r in got), key=str) == rows(plain)
-    assert {r["doc_id"] for r in got} >= {20, 21}
+    assert got and (stage is mixing.mixed or {r["doc_id"] for r in got} >= {20, 21})  # a mix takes what its hashes say
     assert stage(d.limit(0)).count() == 0
 
 
