@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, lang_id, license, line_dedup, lm, mixing, near_dup, quality, substring, url_filter
+from . import bpe, fingerprint, lang_id, license, line_dedup, lm, mixing, near_dup, quality, spelling, substring, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.digest(_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.digest(_table(spark, sf_dir, "documents"))
+
+
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(_table(spark, sf_dir, "documents"))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_near_dup": op10_near_dup,
+    "op11_spelling_variants": op11_spelling_variants,
     "op13_substring_dedup": op13_substring_dedup,
 }
 
@@ -80,5 +85,6 @@ ORACLES: dict[str, str] = {
     "op3_url_filter": url_filter.ORACLE,
     "op4_quality_divergence": quality.ORACLE,
     "op5_line_dedup": line_dedup.ORACLE,
+    "op11_spelling_variants": spelling.ORACLE,
     "op13_substring_dedup": substring.ORACLE,
 }
