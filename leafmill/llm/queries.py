@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, lang_id, license, line_dedup, lm, mixing, near_dup, quality, spelling, substring, url_filter
+from . import bpe, fingerprint, importance, lang_id, license, line_dedup, lm, mixing, near_dup, quality, spelling, substring, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.digest(_table(spark, sf_dir, "documents"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(_table(spark, sf_dir, "documents"))
 
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_near_dup": op10_near_dup,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_importance_resampling": op12_importance_resampling,
     "op13_substring_dedup": op13_substring_dedup,
 }
 
@@ -86,5 +91,6 @@ ORACLES: dict[str, str] = {
     "op4_quality_divergence": quality.ORACLE,
     "op5_line_dedup": line_dedup.ORACLE,
     "op11_spelling_variants": spelling.ORACLE,
+    "op12_importance_resampling": importance.ORACLE,
     "op13_substring_dedup": substring.ORACLE,
 }
