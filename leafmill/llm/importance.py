@@ -102,8 +102,11 @@ def encoded(rows: DataFrame, words: DataFrame, known, box: Scratch) -> DataFrame
                 part = b.slice(i, SLICE)
                 out = []
                 for packed, theirs in zip(part.column("ids").to_pylist(), part.column("theirs").to_pylist(), strict=True):
-                    ids = np.frombuffer(packed, np.int64)
-                    out.append(np.where(ids < 0, np.array(theirs, np.int64)[np.minimum(~ids, len(theirs) - 1)], ids).tobytes() if theirs else packed)
+                    ids = np.frombuffer(packed, np.int64).copy()
+                    if theirs:
+                        rare = ids < 0
+                        ids[rare] = np.array(theirs, np.int64)[~ids[rare]]
+                    out.append(ids.tobytes())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names[:4]), pa.array(out, pa.binary())], names[:5])
 
     both = first.drop("rare").join(rest, "row", "left")

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql import types as T
 from xxhash import xxh3_128_digest, xxh64_intdigest
 
 from .common import Scratch, col, fresh
@@ -233,7 +233,9 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     keyed = docs.select("*", *[c.alias(n) for c, n in zip(_key(), (i, th), strict=True)])
     both = keyed.join(spans.select(F.col("id").alias(i), F.col("th").alias(th), F.col("starts").alias(starts)), [i, th], "left").drop(i, th)
     own = [c if c not in ("n_words", "n_removed") else fresh(docs.columns, c) for c in docs.columns]
-    schema = ", ".join([*(f"`{n.replace('`', '``')}` {'string' if c == 'text' else docs.schema[c].dataType.simpleString()}" for n, c in zip(own, docs.columns, strict=True)), "n_words long", "n_removed long"])
+    names = [f"c{k}" for k in range(len(own))]  # helpers of batches don't take every name
+    kinds = [T.StringType() if c == "text" else docs.schema[c].dataType for c in docs.columns]
+    schema = T.StructType([T.StructField(n, k) for n, k in zip([*names, "n_words", "n_removed"], [*kinds, T.LongType(), T.LongType()], strict=True)])
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,11 +255,11 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     n_removed.append(n_words[-1] - len(words))
                     texts.append(b" ".join(words).decode())
                 columns = [part.column(k) for k in range(len(own))]
-                columns[at] = pa.array(texts, kind)
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], [*own, "n_words", "n_removed"])
+                columns[at] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], schema.names)
 
-    kind = to_arrow_type(docs.schema["text"].dataType)
-    return both.select(*[col(c) for c in docs.columns], starts).mapInArrow(run, schema)
+    columns = [col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)]
+    return both.select(*columns, starts).mapInArrow(run, schema).toDF(*own, "n_words", "n_removed")
 
 
 def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
