@@ -13,18 +13,29 @@ PAGE = ["file_id", "page_index", "stream_seq"]
 
 
 def reading_order(elements: DataFrame, page: list[str] = PAGE) -> DataFrame:
-    """Adds ``seq``: objects from top to bottom, then left to right, by their first element; elements of an object stay in order."""
+    """Adds ``seq``: objects from top to bottom, then left to right, by their first element; elements of an object stay in order.
+
+    Where ``tables.text_columns`` has found columns, a block of them stands where its top is, and is read column by column.
+    """
     own = Window.partitionBy(*page, "obj_seq").orderBy("elem_seq")
-    e = elements.withColumn("__y", F.first("ty").over(own)).withColumn("__x", F.first("tx").over(own))
-    order = Window.partitionBy(*page).orderBy(F.desc("__y"), "__x", "obj_seq", "elem_seq")
-    return e.withColumn("seq", F.row_number().over(order)).drop("__y", "__x")
+    e = elements.withColumn("__y", F.first("ty").over(own)).withColumn("__x", F.first("tx").over(own)).withColumn("__top", F.col("__y"))
+    by = [F.desc("__y"), "__x", "obj_seq", "elem_seq"]
+    if "block" in elements.columns:
+        top = F.max("__y").over(Window.partitionBy(*page, "block"))
+        e = e.withColumn("__top", F.when(F.col("block").isNull(), F.col("__y")).otherwise(top))
+        by = [F.desc("__top"), F.asc_nulls_first("block"), "block_column", *by]
+    return e.withColumn("seq", F.row_number().over(Window.partitionBy(*page).orderBy(*by))).drop("__y", "__x", "__top")
 
 
 def text_runs(elements: DataFrame, page: list[str] = PAGE) -> DataFrame:
-    """Adds ``run`` to elements of all kinds: how many images and external objects come before, in reading order; text between two is one run."""
-    order = Window.partitionBy(*page).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    """Adds ``run`` to elements of all kinds, in reading order: text between two images or external objects is one run, and so is a text column."""
+    order = Window.partitionBy(*page).orderBy("seq")
     e = reading_order(elements, page)
-    return e.withColumn("run", F.sum((F.col("kind") != "text").cast("int")).over(order)).drop("seq")
+    turn = F.col("kind") != "text"
+    if "block" in elements.columns:
+        turn = turn | ~(F.lag("block", 1).over(order).eqNullSafe(F.col("block")) & F.lag("block_column", 1).over(order).eqNullSafe(F.col("block_column")))
+    e = e.withColumn("__turn", turn.cast("int"))
+    return e.withColumn("run", F.sum("__turn").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("seq", "__turn")
 
 
 def advance(elements: DataFrame, page: list[str] = PAGE) -> DataFrame:
@@ -80,34 +91,32 @@ def list_groups(lines: DataFrame, page: list[str] = PAGE) -> DataFrame:
     return lines.groupBy(*page, "group_id").agg(F.bool_and(F.endswith("last_text", F.lit("."))).alias("is_list"))
 
 
-def paragraphs(lines: DataFrame, page: list[str] = PAGE, by_chars: bool = False) -> DataFrame:
+def paragraphs(lines: DataFrame, page: list[str] = PAGE, by_chars: bool | Column = False) -> DataFrame:
     """(page, group_id, paragraph, text, line_x): a line joins the one before if that fills 0.8 of the page's width.
 
     A hyphen at the end of a line is dropped where the next joins it, else a space comes between.  By
-    characters, a joined line counts the space before it.  Lists keep their lines.
+    characters (a column may say so for each page), a joined line counts the space before it.  Lists keep their lines.
     """
     whole, group = Window.partitionBy(*page), Window.partitionBy(*page, "group_id")
-    d = lines.withColumn("page_width", F.max("line_width").over(whole)).withColumn("page_chars", F.max(F.char_length("line_text")).over(whole))
+    d = lines.withColumn("by_chars", by_chars if isinstance(by_chars, Column) else F.lit(by_chars))
+    d = d.withColumn("page_width", F.max("line_width").over(whole)).withColumn("page_chars", F.max(F.char_length("line_text")).over(whole))
     d = d.withColumn("is_list", F.bool_and(F.endswith("last_text", F.lit("."))).over(group))
     grp = [*page, "group_id"]
-    if by_chars:
-        # whether a line has a space before it depends on the line before: carried along the group's lines
-        start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("last"), F.lit(False).alias("hyphen"), F.array().cast("array<int>").alias("ids"))
-
-        def step(a: Column, x: Column) -> Column:
-            joins = (F.size(a["ids"]) > 0) & ~x["is_list"] & (a["last"] >= 0.8 * x["page_chars"])
-            length = F.char_length(x["line_text"]) + (joins & ~a["hyphen"]).cast("int")
-            n = a["n"] + (~joins & (F.size(a["ids"]) > 0)).cast("int")
-            return F.struct(n.alias("n"), length.alias("last"), F.endswith(x["line_text"], F.lit("-")).alias("hyphen"), F.concat(a["ids"], F.array(n)).alias("ids"))
-
-        row = F.struct("line_id", "line_text", "line_x", "is_list", "page_chars")
-        g = d.groupBy(*grp).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-        g = g.withColumn("ids", F.aggregate("rows", start, step, lambda a: a["ids"]))
-        d = g.select(*grp, F.explode(F.arrays_zip("rows", "ids")).alias("z")).select(*grp, "z.rows.*", F.col("z.ids").alias("paragraph"))
-    else:
-        w = Window.partitionBy(*grp).orderBy("line_id")
-        starts = F.col("is_list") | ~F.coalesce(F.lag("line_width").over(w) >= 0.8 * F.col("page_width"), F.lit(False))
-        d = d.withColumn("__s", (starts & F.lag("line_id").over(w).isNotNull()).cast("int")).withColumn("paragraph", F.sum("__s").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # whether a line has a space before it depends on the line before: carried along the group's lines
+    start = F.struct(F.lit(0).alias("n"), F.lit(False).alias("full"), F.lit(False).alias("hyphen"), F.array().cast("array<int>").alias("ids"))
+
+    def step(a: Column, x: Column) -> Column:
+        some = F.size(a["ids"]) > 0
+        joins = some & ~x["is_list"] & a["full"]
+        length = F.char_length(x["line_text"]) + (joins & ~a["hyphen"]).cast("int")
+        full = F.when(x["by_chars"], length >= 0.8 * x["page_chars"]).otherwise(F.coalesce(x["line_width"] >= 0.8 * x["page_width"], F.lit(False)))
+        n = a["n"] + (~joins & some).cast("int")
+        return F.struct(n.alias("n"), full.alias("full"), F.endswith(x["line_text"], F.lit("-")).alias("hyphen"), F.concat(a["ids"], F.array(n)).alias("ids"))
+
+    row = F.struct("line_id", "line_text", "line_x", "line_width", "is_list", "page_chars", "page_width", "by_chars")
+    g = d.groupBy(*grp).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    g = g.withColumn("ids", F.aggregate("rows", start, step, lambda a: a["ids"]))
+    d = g.select(*grp, F.explode(F.arrays_zip("rows", "ids")).alias("z")).select(*grp, "z.rows.*", F.col("z.ids").alias("paragraph"))
     mine = Window.partitionBy(*grp, "paragraph").orderBy("line_id")
     first, last = F.lag("line_id").over(mine).isNull(), F.lead("line_id").over(mine).isNull()
     hyphen = F.coalesce(F.endswith(F.lag("line_text").over(mine), F.lit("-")), F.lit(False))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..durable import stored
 from ..functions import scalars
 from ..operators import layout as L
 from ..operators import tables
@@ -47,22 +48,24 @@ def page_elements(elements: DataFrame, page: list[str] = L.PAGE) -> DataFrame:
 
 def page_lines(elements: DataFrame, page: list[str] = L.PAGE) -> DataFrame:
     """(page, group_id, line_id, line_text, ...): lines of each page from top to bottom, those of tables included."""
-    e = L.lines_and_groups(L.reading_order(measured(elements, page), page), page)
+    e = tables.text_columns(measured(elements, page), page)
+    e = L.lines_and_groups(L.reading_order(e, page), page)
     return L.line_texts(L.insert_spaces(e, page), page)
 
 
 def page_parts(elements: DataFrame, page: list[str] = L.PAGE) -> DataFrame:
     """(page, run, seq, kind, group_id, indent, text, rows): paragraphs and tables of each page in order, blank lines left out.
 
-    Text between images is laid out by itself, run by run.  Whether a line is full is measured by widths if all fonts
-    of the page have them, else in characters.
+    Text between images, and each text column, is laid out by itself, run by run.  Whether a line is full is measured
+    by widths if all fonts of the page have them, else in characters.  The elements with their lines, groups and tables
+    are written once; text and tables are made from that.
     """
-    elements, page = L.text_runs(elements.repartition(*page), page), [*page, "run"]
-    e = page_elements(elements, page)
-    lines = L.line_texts(e.where("table_id is null"), page)
-    known = e.groupBy(*page).agg(F.bool_and("metric").alias("metric"))
-    lines = lines.join(known, page)
-    made = L.paragraphs(lines.where("metric"), page).unionByName(L.paragraphs(lines.where("not metric"), page, by_chars=True))
+    elements, page = L.text_runs(tables.text_columns(elements.repartition(*page), page), page), [*page, "run"]
+    e = stored(page_elements(elements, page).withColumn("metric", F.bool_and("metric").over(Window.partitionBy(*page))))
+    e = e.repartition(*page[:-1])
+    by_line = [*page, "group_id", "line_id"]
+    chars = e.where("table_id is null").groupBy(*by_line).agg(L.in_order("text", "seq").alias("line_text"), F.min_by("tx", "seq").alias("line_x"), F.sum("width").alias("line_width"), F.max_by("text", "seq").alias("last_text"), (~F.bool_and("metric")).alias("chars"))
+    made = L.paragraphs(chars.where(F.trim("line_text") != ""), page, F.col("chars"))
     texts = L.indent_levels(made, page).select(*page, F.col("first_line").alias("seq"), F.lit("text").alias("kind"), "group_id", "indent", scalars.collapse_spaces(F.col("text")).alias("text"), F.lit(None).cast("array<array<string>>").alias("rows"))
     t = e.where("table_id is not null")
     where = t.groupBy(*page, "table_id").agg(F.min("line_id").alias("seq"), F.min("group_id").alias("group_id"))

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 from functools import cached_property, lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -75,7 +75,9 @@ def open_files(files: DataFrame) -> DataFrame:
             for s, (entries, trailer) in enumerate(sections):
                 out += [(file_id, "xref", s, o, g, p, u, m, i, None, None, None) for o, g, p, u, m, i in entries]
                 out.append((file_id, "trailer", s, None, None, None, None, None, None, json.dumps(trailer), None, None))
+            by_number = {o: v for o, _, _, v, *_ in found}
             for o, g, p, v, at, n in found:
+                v = v if at is None else B.with_parameters(v, by_number)
                 out.append((file_id, "object", None, o, g, p, None, None, None, json.dumps(v), None if at is None else b[at : at + n], None))
             return out or [(file_id, "error", *[None] * 9, "no objects")]
         except Exception as e:  # noqa: BLE001  errors are data
@@ -105,7 +107,9 @@ class Documents:
         mode: with FAILFAST the first error row is raised as a PdfError; with PERMISSIVE errors are rows of ``errors``.
         """
         self.password, self.keep = password.encode(), stored if checkpoint else (lambda df: df)
-        self.opened = self.keep(open_files(files))
+        self.broken_streams: DataFrame | None = None
+        self._observed: list[tuple[str, Observation]] = []
+        self.opened = self.keep(self._counted("open", open_files(files)))
         if mode == "FAILFAST" and (first := self.errors.first()):
             raise PdfError(f"{first['file_id']}: {first['code']}: {first['message']}")
 
@@ -170,11 +174,13 @@ class Documents:
         """(file_id, obj, gen, pos, value, is_stream): what each object number resolves to.
 
         By its newest entry: at its position, or in its object stream; where that leads nowhere, or the file has no entry
-        for it, its last occurrence in the file.  Objects whose newest entry is free are gone, whatever the file holds.
+        for it, its last occurrence in the file.  An object is gone if its newest entry is free and of a later generation;
+        an entry that is free without one is taken for a fault of the file.
         """
         seen = self.opened.where("kind = 'object'").select("file_id", "obj", "gen", "pos", "value", F.col("raw").isNotNull().alias("is_stream"))
-        entry = self.xref.select("file_id", "obj", F.col("pos").alias("e_pos"), "in_use", F.col("obj_stm").alias("e_stm"), F.col("idx").alias("e_idx"))
-        there = seen.join(entry, ["file_id", "obj"], "left").where("coalesce(in_use, true)")
+        entry = self.xref.select("file_id", "obj", F.col("pos").alias("e_pos"), "in_use", F.col("gen").alias("e_gen"), F.col("obj_stm").alias("e_stm"), F.col("idx").alias("e_idx"))
+        live = F.coalesce(F.col("in_use") | (F.col("e_gen") <= F.col("gen")), F.lit(True))
+        there = seen.join(entry, ["file_id", "obj"], "left").where(live)
         rank = F.when(F.col("e_stm").isNull() & (F.col("pos") == F.col("e_pos")), 0).otherwise(3)
         columns = ["file_id", "obj", "gen", "pos", "value", "is_stream", "rank", "later"]
         plain = there.withColumns({"rank": rank, "later": -F.col("pos")}).select(*columns)
@@ -186,11 +192,13 @@ class Documents:
         def rows(file_id: str, stm: int, later: int, value: str, data: bytes | None) -> list[tuple]:
             try:
                 return [(file_id, stm, later, i, n, json.dumps(v)) for i, n, v in B.members(json.loads(value), bytes(data))]
-            except Exception:  # noqa: BLE001  a broken object stream has no members
-                return []
+            except Exception as e:  # noqa: BLE001  errors are data
+                return [(file_id, stm, later, None, None, f"{type(e).__name__}: {e}"[:200])]
 
         inside = _per_row(self._decoded(packed).select("file_id", "obj", "later", "value", "data"), rows, "file_id string, stm int, later long, idx int, obj int, value string")
-        inside = inside.join(entry, ["file_id", "obj"], "left").where("coalesce(in_use, true)")
+        inside = self.keep(inside)
+        self.broken_streams = inside.where("obj is null").select("file_id", F.col("stm").alias("obj"), F.col("value").alias("message"))
+        inside = inside.where("obj is not null").withColumn("gen", F.lit(0)).join(entry, ["file_id", "obj"], "left").where(live)
         mine = F.col("e_stm") == F.col("stm")
         rank = F.when(mine & (F.col("e_idx") == F.col("idx")), 1).when(mine, 2).otherwise(4)
         inside = inside.withColumns({"rank": rank, "gen": F.lit(0), "pos": F.lit(None).cast("long"), "is_stream": F.lit(False)}).select(*columns)
@@ -209,13 +217,16 @@ class Documents:
         o = self.objects.select("file_id", "obj", "value")
         root = self.trailers.join(o.withColumnRenamed("obj", "root"), ["file_id", "root"]).select(F.col("file_id").alias("tree"), _ref("value", "Pages").alias("node"))
         top = root.join(o.select(F.col("file_id").alias("tree"), F.col("obj").alias("node"), _get("value", "Resources").alias("carried")), ["tree", "node"])
-        parents = self._followed(o.where(_get("value", "Type") == "/Pages").select("file_id", "obj", _get("value", "Kids").alias("kids")), "kids")
+        # a node without a type is one of the tree if it has children, else a page
+        parents = self._followed(o.where(F.coalesce(_get("value", "Type"), F.lit("/Pages")) == "/Pages").where(_get("value", "Kids").isNotNull()).select("file_id", "obj", _get("value", "Kids").alias("kids")), "kids")
         edges = parents.select(F.col("file_id").alias("tree"), F.col("obj").alias("parent"), F.posexplode(F.from_json("kids", f"array<{REF}>")).alias("ordinal", "kid"))
         edges = edges.select("tree", "parent", "ordinal", F.get("kid.r", F.lit(0)).alias("child"))
         own = o.select(F.col("file_id").alias("tree"), F.col("obj").alias("child"), _get("value", "Resources").alias("own"), _get("value", "Type").alias("type"))
+        freed = self.xref.where("not in_use").select(F.col("file_id").alias("tree"), F.col("obj").alias("child"))  # these are null on purpose
+        self.lost_children = edges.where("child is not null").join(own.unionByName(freed, allowMissingColumns=True), ["tree", "child"], "left_anti").select(F.col("tree").alias("file_id"), "child")
         edges = edges.join(own, ["tree", "child"]).where("coalesce(type, '/Page') in ('/Page', '/Pages')")
         found = leaves(walk(top, edges, self.keep), edges).select(F.col("tree").alias("file_id"), "page_index", F.col("node").alias("obj"), F.col("carried").alias("resources"))
-        found = found.join(o, ["file_id", "obj"]).where(_get("value", "Type") == "/Page")
+        found = found.join(o, ["file_id", "obj"]).where((F.coalesce(_get("value", "Type"), F.lit("/Page")) == "/Page") & _get("value", "Kids").isNull())
         return self.keep(self._followed(found, "resources"))
 
     @property
@@ -293,10 +304,16 @@ class Documents:
         items = listed.select(F.struct(*key).alias("font"), "seq", F.expr("try_cast(x AS int)").alias("number"), F.when(F.startswith("x", F.lit("/")), _name(F.col("x"))).alias("glyph"))
         changed = cmaps.glyph_text(cmaps.expand_differences(items)).select("font.*", "code", "text")
         changed = changed.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("code", "text"))).alias("changed"))
+        # of least rank: differences, the named encoding, that of a symbolic font by its name, the standard one
         tables = cmaps.base_encodings(o.sparkSession)
-        codes = simple.select(*key, F.coalesce(base, F.lit("StandardEncoding")).alias("name")).join(F.broadcast(tables), "name", "left").join(changed, key, "left")
+        symbolic = F.coalesce(_get("about", "Flags").try_cast("int").bitwiseAND(F.lit(4)) != 0, F.col("about").isNull())
+        own = cmaps.own_encoding(F.coalesce("base_font", F.lit("")), symbolic)
+        under = tables.select(F.col("name").alias("own"), F.col("table").alias("under"))
+        codes = simple.select(*key, base.alias("name"), own.alias("own")).withColumn("own", F.coalesce("own", F.when(F.col("name").isNull(), "StandardEncoding")))
+        codes = codes.join(F.broadcast(tables), "name", "left").join(F.broadcast(under), "own", "left").join(changed, key, "left")
         empty = F.create_map().cast("map<int,string>")
-        codes = codes.select(*key, F.map_zip_with(F.coalesce("table", empty), F.coalesce("changed", empty), lambda _, a, b: F.coalesce(b, a)).alias("codes"))
+        over = lambda a, b: F.map_zip_with(F.coalesce(a, empty), F.coalesce(b, empty), lambda _, x, y: F.coalesce(y, x))
+        codes = codes.select(*key, over(over("under", "table"), "changed").alias("codes"))
         # widths
         first, each = F.coalesce(_get("value", "FirstChar").try_cast("int"), F.lit(0)), F.from_json("w", "array<double>")
         given = simple.where("w <> '[]'").select(*key, F.map_from_arrays(F.sequence(first, first + F.size(each) - 1), each).alias("widths"), F.coalesce(F.nullif(_get("about", "MissingWidth").try_cast("double"), F.lit(0.0)), mean_width(each)).alias("missing"))
@@ -314,45 +331,62 @@ class Documents:
         space = F.array_min(F.filter(F.concat(F.coalesce(F.map_values("widths"), F.array().cast("array<double>")), F.array("missing")), lambda x: x != 0))
         return self.keep(out.select(*key, "subtype", "base_font", "cmap", "codes", "widths", "missing", space.alias("space_width"), error.alias("error")))
 
+    @property
+    def content_refs(self) -> DataFrame:
+        """(file_id, page_index, stream_seq, obj): what each page's Contents name, in order; nulls in an array are passed over."""
+        p = self._followed(self.pages.select("file_id", "page_index", _get("value", "Contents").alias("c"), F.get_json_object("value", "$.Contents.r[0]").cast("int").alias("one")), "c")
+        many = F.transform(F.from_json(F.when(F.startswith("c", F.lit("[")), F.col("c")), f"array<{REF}>"), lambda x: F.get(x["r"], F.lit(0)))
+        return p.select("file_id", "page_index", F.posexplode(F.coalesce(many, F.array("one"))).alias("stream_seq", "obj")).where("obj is not null")
+
     @cached_property
     def contents(self) -> DataFrame:
         """(file_id, page_index, stream_seq, obj, data): the decoded content streams of each page; data is null if it is broken."""
-        p = self._followed(self.pages.select("file_id", "page_index", _get("value", "Contents").alias("c"), F.get_json_object("value", "$.Contents.r[0]").cast("int").alias("one")), "c")
-        many = F.transform(F.from_json(F.when(F.startswith("c", F.lit("[")), F.col("c")), f"array<{REF}>"), lambda x: F.get(x["r"], F.lit(0)))
-        parts = p.select("file_id", "page_index", F.posexplode(F.coalesce(many, F.array("one"))).alias("stream_seq", "obj")).where("obj is not null")
-        wanted = parts.join(self.objects.where("is_stream").drop("is_stream"), ["file_id", "obj"])
+        wanted = self.content_refs.join(self.objects.where("is_stream").drop("is_stream"), ["file_id", "obj"])
         return self._decoded(wanted).select("file_id", "page_index", "stream_seq", "obj", "data")
 
     @cached_property
-    def elements(self) -> DataFrame:
-        """Text elements, external objects and inline images by page and content stream.
+    def parsed(self) -> DataFrame:
+        """What ``elements`` has, and a row of kind "error" for each operator that can't be read.
 
-        tj: pieces of text, the kerning before each, and their widths in thousandths (null: unknown); text: the pieces
-        joined; metric: whether all fonts of the page have widths.  Broken streams have none, and a row in ``errors``.
+        Fonts and content streams are dealt out by file, the fonts first, so that each font is sent and read once for a
+        file, however many pages use it.
         """
-        named = self.page_fonts.join(self.fonts.drop("error", "subtype"), ["file_id", "font"])
-        font = F.struct("font_key", "base_font", "cmap", "codes", "widths", "missing", "space_width")
-        named = named.groupBy("file_id", "page_index").agg(F.collect_list(font).alias("fonts"))
-        data = self.contents.where("data is not null").join(named, ["file_id", "page_index"], "left")
-
-        def rows(file_id: str, page: int, seq: int, data: bytes, fonts: list[dict] | None) -> list[tuple]:
-            try:
-                found = B.content(bytes(data))
-            except Exception:  # noqa: BLE001  a broken stream is an empty page
+        font = F.struct("base_font", "cmap", "codes", "widths", "missing", "space_width")
+        data = self.contents.where("data is not null").select("file_id", "page_index", "stream_seq", "data")
+        named = self.page_fonts.groupBy("file_id", "page_index").agg(F.map_from_entries(F.collect_list(F.struct("font_key", "font"))).alias("names"))
+        streams = data.join(named, ["file_id", "page_index"], "left").withColumn("order", F.lit(1))
+        both = self.fonts.select("file_id", F.col("font").alias("id"), font.alias("font"), F.lit(0).alias("order")).unionByName(streams, allowMissingColumns=True)
+        both = both.repartition("file_id").sortWithinPartitions("file_id", "order")
+        held: dict = {"file": None, "fonts": {}}
+
+        def rows(file_id: str, own: str | None, font: dict | None, page: int, seq: int, data: bytes | None, names: list | None) -> list[tuple]:
+            if held["file"] != file_id:
+                held["file"], held["fonts"] = file_id, {}
+            if data is None:
+                held["fonts"][own] = font | {k: dict(font[k]) if font[k] is not None else None for k in ("codes", "widths")}
                 return []
-            known = {f["font_key"]: f | {k: dict(f[k]) if f[k] is not None else None for k in ("codes", "widths")} for f in fonts or []}
-            metric = all(f["missing"] is not None for f in known.values())
+            found = B.content(bytes(data))
+            known = {key: held["fonts"].get(x, {}) for key, x in names or []}
+            metric = all(f.get("missing") is not None for f in known.values())
             out = []
             for kind, o, e, items, key, size, rgb, x, y, sx, sy, moved in found:
                 f = known.get(key, {}) if kind == "text" else {}
                 tj = pieces(items, f) if kind == "text" else None
-                more = json.dumps(items) if kind == "inline" else None
+                more = json.dumps(items) if kind == "inline" else items if kind == "error" else None
                 out.append((file_id, page, seq, kind, o, e, key, f.get("base_font"), size, rgb, x, y, sx, sy, moved, tj, metric, f.get("space_width"), more))
             return out
 
         schema = f"file_id string, page_index int, stream_seq int, kind string, obj_seq int, elem_seq int, font_key string, base_font string, font_size double, rgb array<double>, tx double, ty double, scale_x double, scale_y double, moved boolean, tj {TJ}, metric boolean, font_space double, inline string"
-        found = _per_row(data.select("file_id", "page_index", "stream_seq", "data", "fonts"), rows, schema)
-        return found.withColumn("text", F.array_join(F.transform("tj", lambda x: x["s"]), ""))
+        return self.keep(self._counted("parse", _per_row(both.select("file_id", "id", "font", "page_index", "stream_seq", "data", "names"), rows, schema)))
+
+    @property
+    def elements(self) -> DataFrame:
+        """Text elements, external objects and inline images by page and content stream; content is parsed once.
+
+        tj: pieces of text, the kerning before each, and their widths in thousandths (null: unknown); text: the pieces
+        joined; metric: whether all fonts of the page have widths.  Broken streams have none, and a row in ``errors``.
+        """
+        return self.parsed.where("kind <> 'error'").withColumn("text", F.array_join(F.transform("tj", lambda x: x["s"]), ""))
 
     @property
     def images(self) -> DataFrame:
@@ -380,15 +414,52 @@ class Documents:
 
     @property
     def errors(self) -> DataFrame:
-        """(file_id, code, message): files that can't be opened or decrypted, fonts without a character map, broken streams."""
+        """(file_id, code, message): everything that is lost on the way from files to elements.
+
+        open: no objects, or unreadable; password: none fits, or the handler isn't supported; tree: no catalog, no page
+        tree, no pages, or a child that the file doesn't hold; objects: a broken object stream; font: no character map;
+        contents: a page without content, or whose stream is missing; stream: it doesn't decode; operator: wrong operands.
+        Of files without a key only the password is reported.
+        """
         row = lambda df, code, message: df.select("file_id", F.lit(code).alias("code"), message.cast("string").alias("message"))
         out = row(self.opened.where("kind = 'error'"), "open", F.col("error"))
         out = out.unionByName(row(self.keys.where("error is not null"), "password", F.col("error")))
-        locked = self.keys.where("key is null").select("file_id")
-        fonts = self.fonts.where("error is not null").join(locked, "file_id", "left_anti")
-        out = out.unionByName(row(fonts, "font", F.concat_ws(" ", "base_font", "error")))
-        bad = self.contents.where("data is null").join(locked, "file_id", "left_anti")
-        return out.unionByName(row(bad, "stream", F.concat(F.lit("object "), "obj")))
+        o = self.objects.select("file_id", F.col("obj").alias("root"), F.col("value").alias("catalog"))
+        roots = self.trailers.select("file_id", "root").join(o, ["file_id", "root"], "left")
+        node = roots.withColumn("obj", _ref("catalog", "Pages")).join(o.select("file_id", F.col("root").alias("obj"), F.col("catalog").alias("top")), ["file_id", "obj"], "left")
+        node = node.join(self.page_counts, "file_id", "left")
+        lost = F.when(F.col("catalog").isNull(), "no catalog").when(F.col("top").isNull(), "no page tree").when(F.col("n_pages").isNull(), "no pages")
+        found = row(node.where(lost.isNotNull()), "tree", lost)
+        _ = self.pages  # finds them
+        found = found.unionByName(row(self.lost_children, "tree", F.concat(F.lit("object "), "child", F.lit(" is missing"))))
+        if self.broken_streams is not None:
+            found = found.unionByName(row(self.broken_streams, "objects", F.concat(F.lit("object "), "obj", F.lit(": "), "message")))
+        found = found.unionByName(row(self.fonts.where("error is not null"), "font", F.concat_ws(" ", "base_font", "error")))
+        page = F.concat(F.lit("page "), "page_index")
+        none = self.pages.join(self.content_refs.select("file_id", "page_index").distinct(), ["file_id", "page_index"], "left_anti")
+        found = found.unionByName(row(none, "contents", F.concat(page, F.lit(": none"))))
+        gone = self.content_refs.join(self.objects.where("is_stream").select("file_id", "obj"), ["file_id", "obj"], "left_anti")
+        found = found.unionByName(row(gone, "contents", F.concat(page, F.lit(": object "), "obj", F.lit(" is missing"))))
+        found = found.unionByName(row(self.contents.where("data is null"), "stream", F.concat(F.lit("object "), "obj")))
+        found = found.unionByName(row(self.parsed.where("kind = 'error'"), "operator", F.concat(page, F.lit(": "), "inline")))
+        return out.unionByName(found.join(self.keys.where("key is null").select("file_id"), "file_id", "left_anti"))
+
+    @property
+    def counters(self) -> DataFrame:
+        """(stage, what, n): files, objects, streams, elements and errors that the stages which have run so far have made."""
+        rows = [(stage, k, int(v or 0)) for stage, o in self._observed for k, v in o.get.items()]
+        return self.opened.sparkSession.createDataFrame(rows, "stage string, what string, n long")
+
+    def _counted(self, stage: str, df: DataFrame) -> DataFrame:
+        """Observes a stage's rows as they are written; without checkpoints there is nothing to observe."""
+        if self.keep is not stored:
+            return df
+        seen = Observation()
+        self._observed.append((stage, seen))
+        count = lambda name, kind: F.count_if(F.col("kind") == kind).alias(name)
+        if stage == "open":
+            return df.observe(seen, F.approx_count_distinct("file_id").alias("files"), count("objects", "object"), F.count("raw").alias("streams"), F.sum(F.octet_length("raw")).alias("stream_bytes"), count("entries", "xref"), count("errors", "error"))
+        return df.observe(seen, count("texts", "text"), count("external", "xobject"), count("inline", "inline"), count("errors", "error"))
 
     def create_views(self, prefix: str = "pdf_") -> None:
         for name in ("xref", "trailers", "objects", "pages", "page_counts", "outline", "fonts", "elements", "images", "errors"):

@@ -15,6 +15,7 @@ from ..functions.codecs import apply_chain, rc4
 WHITE, DELIMITERS = b" \t\r\n\f\0", b"()<>[]{}/%"
 _REGULAR = re.compile(rb"[^ \t\r\n\f\0()<>\[\]{}/%]+")
 _OBJECT = re.compile(rb"(?<!\d)(\d+)\s+(\d+)\s+obj\b")
+_INTEGER = re.compile(rb"(?<!\d)(\d+)\s+\d+\s+obj\s+(\d+)\s+endobj")
 _SECTION = re.compile(rb"(?<!start)xref\b")
 _REFERENCE = re.compile(rb"(\d+)\s+(\d+)\s+R(?![A-Za-z])")
 _NUMBER = re.compile(rb"[+-]?(?:\d+\.?\d*|\.\d+)$")
@@ -102,14 +103,20 @@ def value(b: bytes, i: int, references: bool = True) -> tuple[Any, int]:
     return {b"true": True, b"false": False, b"null": None}.get(word, {"o": word.decode("latin-1")}), m.end()
 
 
-def object_at(b: bytes, m: re.Match) -> tuple[int, int, int, Any, int | None, int | None, int]:
-    """(number, generation, position, value, start and length of the stream, end) of the object that begins with ``m``."""
+def integers(b: bytes) -> dict[int, int]:
+    """Objects that are a whole number; the last of each number counts."""
+    return {int(m[1]): int(m[2]) for m in _INTEGER.finditer(b)}
+
+
+def object_at(b: bytes, m: re.Match, numbers: dict[int, int]) -> tuple[int, int, int, Any, int | None, int | None, int]:
+    """(number, generation, position, value, start and length of the stream, end) of the object that begins with ``m``; ``numbers``: what a stream's length may refer to."""
     v, i = value(b, m.end())
     at, start, size = skip(b, i), None, None
     if isinstance(v, dict) and b[at : at + 6] == b"stream":
         start = at + 6
         start += 2 if b[start : start + 2] == b"\r\n" else 1
         n = v.get("Length")
+        n = numbers.get(n["r"][0]) if isinstance(n, dict) and "r" in n else n
         if isinstance(n, int) and b[start + n : start + n + 20].lstrip().startswith(b"endstream"):
             end = start + n
         else:
@@ -123,13 +130,24 @@ def object_at(b: bytes, m: re.Match) -> tuple[int, int, int, Any, int | None, in
 
 def objects(b: bytes) -> list[tuple[int, int, int, Any, int | None, int | None]]:
     """(number, generation, position, value, start and length of the stream) of every object in the file, from top to bottom."""
-    out, i = [], 0
+    out, i, numbers = [], 0, integers(b)
     while m := _OBJECT.search(b, i):
-        *found, i = object_at(b, m)
+        *found, i = object_at(b, m, numbers)
         out.append(tuple(found))
     return out
 
 
+def with_parameters(value: Any, by_number: dict[int, Any]) -> Any:
+    """A stream's dictionary with its filters and their parameters in place of references to them."""
+
+    def at(x: Any) -> Any:
+        if isinstance(x, dict) and "r" in x:
+            return by_number.get(x["r"][0], x)
+        return [at(y) for y in x] if isinstance(x, list) else x
+
+    return value | {k: at(at(value[k])) for k in ("Filter", "DecodeParms") if k in value}
+
+
 def stream_data(dictionary: dict, raw: bytes) -> bytes:
     names, params = filters_of(dictionary)
     return apply_chain(raw, names, params)
@@ -150,6 +168,8 @@ def _table(b: bytes, i: int) -> tuple[list[tuple], dict, int]:
             e = re.compile(rb"\s*(\d{10})\s(\d{5})\s([nf])").match(b, i)
             if not e:
                 break
+            if first == 1 and k == 0 and not rows and e[0].split() == [b"0000000000", b"65535", b"f"]:
+                first = 0  # the head of the free entries is number 0, whatever the producer says
             rows.append((first + k, int(e[2]), int(e[1]), e[3] == b"n", None, None))
             i = e.end()
     i = skip(b, i)
@@ -190,7 +210,7 @@ def sections(b: bytes) -> list[tuple[list[tuple], dict]]:
             i = near.start()
         if b[i : i + 4].lower() == b"xref":
             rows, trailer, _ = _table(b, i + 4)
-        elif (m := _OBJECT.match(b, i)) and (found := object_at(b, m)) and isinstance(found[3], dict) and found[4] is not None:
+        elif (m := _OBJECT.match(b, i)) and (found := object_at(b, m, {})) and isinstance(found[3], dict) and found[4] is not None:
             rows, trailer = _stream_rows(found[3], b[found[4] : found[4] + found[5]]), found[3]
         else:
             continue
@@ -327,7 +347,8 @@ def content(data: bytes) -> list[tuple]:
 
     (kind, obj_seq, elem_seq, items, key, size, rgb, tx, ty, scale_x, scale_y, moved): items are strings (as {"s"}) and
     kerning numbers, or an inline image's dictionary and bytes; key names the font or external object.  Where moved
-    is false, an element follows the one before it on the line.
+    is false, an element follows the one before it on the line.  An operator whose operands are wrong gives an "error"
+    with a message for its items.
     """
     out, stack, args, i, obj, elem, moved = [], [], [], 0, -1, 0, True
     ident = [1.0, 0.0, 0.0, 1.0, 0.0, 0.0]
@@ -341,43 +362,46 @@ def content(data: bytes) -> list[tuple]:
         op = v["o"]
         if not op:
             return out
-        if op == "q":
-            stack.append((ctm, rgb, font, size))
-        elif op == "Q":
-            ctm, rgb, font, size = stack.pop() if stack else (ident, [-1.0] * 3, font, size)
-        elif op == "cm" and len(args) >= 6:
-            ctm = times(args[-6:], ctm)
-        elif op == "rg" and len(args) >= 3:
-            rgb = [float(x) for x in args[-3:]]
-        elif op == "k" and len(args) >= 4:
-            rgb = [(1 - x) * (1 - args[-1]) for x in args[-4:-1]]
-        elif op == "g" and args:
-            rgb = [float(args[-1])] * 3
-        elif op == "BT":
-            tm, line, obj, elem, moved = ident, ident, obj + 1, 0, True
-        elif op == "Tf" and len(args) >= 2:
-            font, size = args[-2][1:], float(args[-1])
-        elif op == "TL" and args:
-            leading = float(args[-1])
-        elif op in ("Td", "TD") and len(args) >= 2:
-            leading = -float(args[-1]) if op == "TD" else leading
-            tm, moved = times([1, 0, 0, 1, float(args[-2]), float(args[-1])], line), True
-            line = tm
-        elif op == "Tm" and len(args) >= 6:
-            tm, moved = [float(x) for x in args[-6:]], True
-            line = tm
-        elif op in ("T*", "'", '"'):
-            tm, moved = times([1, 0, 0, 1, 0, -leading], line), True
-            line = tm
-        elif op == "Do" and args:
-            obj += 1
-            out.append(("xobject", obj, 0, [], args[-1][1:], 0.0, rgb, ctm[4], ctm[5], ctm[0], ctm[3], True))
-        elif op == "BI":
-            obj += 1
-            d, raw, i = inline_image(data, i)
-            out.append(("inline", obj, 0, [d, {"s": raw.decode("latin-1")}], "", 0.0, rgb, ctm[4], ctm[5], ctm[0], ctm[3], True))
-        if op in ("Tj", "TJ", "'", '"') and args:
-            at = times([size, 0, 0, size, 0, 0], times(tm, ctm))
-            out.append(("text", obj, elem, args[-1] if isinstance(args[-1], list) else [args[-1]], font, size, rgb, at[4], at[5], hypot(at[0], at[1]), hypot(at[2], at[3]), moved))
-            elem, moved = elem + 1, False
+        try:
+            if op == "q":
+                stack.append((ctm, rgb, font, size))
+            elif op == "Q":
+                ctm, rgb, font, size = stack.pop() if stack else (ident, [-1.0] * 3, font, size)
+            elif op == "cm" and len(args) >= 6:
+                ctm = times([float(x) for x in args[-6:]], ctm)
+            elif op == "rg" and len(args) >= 3:
+                rgb = [float(x) for x in args[-3:]]
+            elif op == "k" and len(args) >= 4:
+                rgb = [(1 - x) * (1 - args[-1]) for x in args[-4:-1]]
+            elif op == "g" and args:
+                rgb = [float(args[-1])] * 3
+            elif op == "BT":
+                tm, line, obj, elem, moved = ident, ident, obj + 1, 0, True
+            elif op == "Tf" and len(args) >= 2:
+                size, font = float(args[-1]), args[-2][1:]
+            elif op == "TL" and args:
+                leading = float(args[-1])
+            elif op in ("Td", "TD") and len(args) >= 2:
+                leading = -float(args[-1]) if op == "TD" else leading
+                tm, moved = times([1, 0, 0, 1, float(args[-2]), float(args[-1])], line), True
+                line = tm
+            elif op == "Tm" and len(args) >= 6:
+                tm, moved = [float(x) for x in args[-6:]], True
+                line = tm
+            elif op in ("T*", "'", '"'):
+                tm, moved = times([1, 0, 0, 1, 0, -leading], line), True
+                line = tm
+            elif op == "Do" and args:
+                obj += 1
+                out.append(("xobject", obj, 0, [], args[-1][1:], 0.0, rgb, ctm[4], ctm[5], ctm[0], ctm[3], True))
+            elif op == "BI":
+                obj += 1
+                d, raw, i = inline_image(data, i)
+                out.append(("inline", obj, 0, [d, {"s": raw.decode("latin-1")}], "", 0.0, rgb, ctm[4], ctm[5], ctm[0], ctm[3], True))
+            if op in ("Tj", "TJ", "'", '"') and args:
+                at = times([size, 0, 0, size, 0, 0], times(tm, ctm))
+                out.append(("text", obj, elem, args[-1] if isinstance(args[-1], list) else [args[-1]], font, size, rgb, at[4], at[5], hypot(at[0], at[1]), hypot(at[2], at[3]), moved))
+                elem, moved = elem + 1, False
+        except (AttributeError, KeyError, TypeError, ValueError) as e:  # the operator is left out, the rest is read
+            out.append(("error", obj, elem, f"{op}: {type(e).__name__}: {e}"[:200], "", 0.0, rgb, 0.0, 0.0, 0.0, 0.0, True))
         args = []
