@@ -72,9 +72,13 @@ def counted(docs: DataFrame) -> DataFrame:
     return each.where(F.length("word") >= LEAST_LENGTH).groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _padded(word: bytes) -> bytes:
+    return b"\x01" * (Q - 1) + word + b"\x02" * (Q - 1)
+
+
 def grams(word: bytes) -> list[bytes]:
     """The grams of a word in order, both ends padded by bytes that no word has."""
-    padded = b"\x01" * (Q - 1) + word + b"\x02" * (Q - 1)
+    padded = _padded(word)
     return [padded[i : i + Q] for i in range(len(padded) - Q + 1)]
 
 
@@ -140,32 +144,40 @@ class GramIndex:
     def __init__(self) -> None:
         self.postings: defaultdict[tuple[bytes, int], list[tuple[int, int]]] = defaultdict(list)
         self.words: list[bytes] = []
+        self.padded: list[bytes] = []
 
     def add(self, word: bytes) -> None:
         for p, g in enumerate(grams(word)):
             self.postings[g, len(word)].append((len(self.words), p))
         self.words.append(word)
+        self.padded.append(_padded(word))
 
     def near(self, word: bytes) -> Iterator[int]:
         """Numbers of the words one edit away that are longer by a letter, or as long and later in the alphabet."""
-        own = list(enumerate(grams(word)))
+        own, get = list(enumerate(grams(word))), self.postings.get
         for size in (len(word), len(word) + 1):
+            found = sorted([(p, g, get((g, size), ())) for p, g in own], key=_posting_length)
             least = size - 1  # common grams
-            found = sorted(((p, g, self.postings.get((g, size), ())) for p, g in own), key=lambda x: len(x[2]))
             short = len(own) - least + 1
-            counts: Counter[int] = Counter()
-            for no, _ in merge(*([x for x in there if -2 < x[1] - p < 2] for p, _, there in found[:short] if there)):
-                counts[no] += 1
-            for no, n in counts.items():
-                other = self.words[no]
-                if (size > len(word) or word < other) and n + sum(_has(other, g, p) for p, g, _ in found[short:]) >= least and one_edit(word, other):
+            lists = [x for p, _, there in found[:short] if there and (x := [no for no, at in there if -2 < at - p < 2])]
+            if not lists:
+                continue
+            for no, n in Counter(merge(*lists) if len(lists) > 1 else lists[0]).items():
+                if size == len(word) and word >= self.words[no]:
+                    continue
+                lacking = n + len(found) - short - least  # so many of the longer postings may be without it
+                padded = self.padded[no]
+                for p, g, _ in found[short:]:
+                    if lacking < 0:
+                        break
+                    if padded.find(g, p - 1 if p else 0, p + 1 + Q) < 0:
+                        lacking -= 1
+                if lacking >= 0 and one_edit(word, self.words[no]):
                     yield no
 
 
-def _has(word: bytes, gram: bytes, p: int) -> bool:
-    """Whether a word has a gram at a position or next to it."""
-    padded = b"\x01" * (Q - 1) + word + b"\x02" * (Q - 1)
-    return padded.find(gram, max(p - 1, 0), p + 1 + Q) >= 0
+def _posting_length(x: tuple) -> int:
+    return len(x[2])
 
 
 def _first_common(a: bytes, b: bytes) -> bytes:
