@@ -10,7 +10,7 @@
    to one task: its windows are dealt out each by its own hash and their smallest ids counted there.
 4. The windows with a smaller id come back to their documents as spans of words.
 
-Words are compared by 64-bit hashes; two windows would be confused only if all their words collided in order.
+Anchors are 64-bit hashes, which may collide without harm; segments have 128-bit keys; the indexes compare words themselves.
 """
 
 from __future__ import annotations
@@ -112,57 +112,62 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _segments(docs: DataFrame, length: int) -> DataFrame:
-    """(key, anchor, id, th, start, words) of rows (id, th, text, runs); a task gives the words of a key once in a while."""
+    """(key, anchor, id, th, start, n, words) of rows (id, th, text, runs); a task gives the words of a key once in a while."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, given = _Hashes(), set()
+        given: set[bytes] = set()
         for rows in _slices(batches, "id", "th", "text", "runs"):
             out = []
             for i, th, text, runs in rows:
-                words = hashes.of_text(text)
+                words = text.split()
                 for r in runs:
-                    own = words[r["start"] : r["start"] + r["n"] + length - 1].tobytes()
+                    own = b" ".join(words[r["start"] : r["start"] + r["n"] + length - 1])
                     key = xxh3_128_digest(own)
-                    out.append((key, r["anchor"], i, th, r["start"], None if key in given else own))
+                    out.append((key, r["anchor"], i, th, r["start"], r["n"], None if key in given else own))
                     given.add(key)
             if len(given) > KNOWN:
                 given.clear()
-            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            columns = list(zip(*out, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "anchor", "id", "th", "start", "words"])
+            columns = list(zip(*out, strict=True)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.binary(), *[pa.int64()] * 5, pa.binary()], strict=True)], names)
 
-    return docs.mapInArrow(run, "key binary, anchor long, id long, th long, start long, words binary")
+    names = ["key", "anchor", "id", "th", "start", "n", "words"]
+    return docs.mapInArrow(run, "key binary, anchor long, id long, th long, start long, n long, words binary")
 
 
-def _searched(segments: DataFrame, length: int) -> DataFrame:
+def _searched(rows: DataFrame, length: int) -> DataFrame:
     """(key, start, least): per segment the windows that a smaller id than its largest has, and the smallest id.
 
-    ``segments`` (key, anchor, words, lo, hi) come with all of an anchor in one task, one anchor after another.
+    ``rows`` (key, anchor, words, lo, hi) come with all of an anchor in one task, key by key: some with the words of a
+    segment, one with its ids.
     """
 
-    def found(rows: list[tuple]) -> pa.RecordBatch:
-        words = [np.frombuffer(x[2], np.int64) for x in rows]
+    def found(held: list[list]) -> pa.RecordBatch:
+        names: dict[bytes, int] = {}
+        words = [np.array([names.setdefault(w, len(names)) for w in x[2].split(b" ")], np.int64) for x in held]
         sizes, flat = np.array([len(x) for x in words]), np.concatenate(words)
-        index = FMIndex(flat, sizes, np.array([x[3] for x in rows], np.int64), length)
+        index = FMIndex(flat, sizes, np.array([x[3] for x in held], np.int64), length)
         least = index.search(flat, sizes, LAST)
-        owner = np.repeat(np.arange(len(rows)), sizes)
-        hit = np.flatnonzero(least < np.array([x[4] for x in rows], np.int64)[owner])
+        owner = np.repeat(np.arange(len(held)), sizes)
+        hit = np.flatnonzero(least < np.array([x[4] for x in held], np.int64)[owner])
         starts = hit - (sizes.cumsum() - sizes)[owner[hit]]
-        return pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in owner[hit]], pa.binary()), pa.array(starts), pa.array(least[hit])], ["key", "start", "least"])
+        return pa.RecordBatch.from_arrays([pa.array([held[i][0] for i in owner[hit]], pa.binary()), pa.array(starts), pa.array(least[hit])], ["key", "start", "least"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for rows in _slices(batches, "key", "anchor", "words", "lo", "hi"):
-            for x in rows:
+        for part in _slices(batches, "key", "anchor", "words", "lo", "hi"):
+            for x in part:
+                if held and held[-1][0] == x[0]:
+                    held[-1] = [a if a is not None else b for a, b in zip(held[-1], x, strict=True)]
+                    continue
                 if size >= SHARD_WORDS and x[1] != held[-1][1]:
                     yield found(held)
                     held, size = [], 0
-                held.append(x)
-                size += len(x[2]) // 8
+                held.append(list(x))
+                size += length + RUN // 2
         if held:
             yield found(held)
 
-    return segments.mapInArrow(run, "key binary, start long, least long")
+    return rows.mapInArrow(run, "key binary, start long, least long")
 
 
 def _windows(segments: DataFrame, length: int) -> DataFrame:
@@ -170,7 +175,8 @@ def _windows(segments: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _slices(batches, "key", "words", "lo", "hi"):
-            out = [(key, i // 8, xxh3_128_digest(words[i : i + 8 * length]), lo, hi) for key, words, lo, hi in rows for i in range(0, len(words) - 8 * length + 1, 8)]
+            split = [(key, words.split(b" "), lo, hi) for key, words, lo, hi in rows]
+            out = [(key, i, xxh3_128_digest(b" ".join(words[i : i + length])), lo, hi) for key, words, lo, hi in split for i in range(len(words) - length + 1)]
             kinds = [pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["key", "start", "window", "lo", "hi"])
 
@@ -193,22 +199,22 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     # of rows equal in id and text one is enough
     there = box.put(_segments(base.join(runs, ["id", "th"]), length))
     box.drop(anchors)
-    words = there.where("words is not null").groupBy("key").agg(F.first("words").alias("words"))
-    seen = there.groupBy("key").agg(F.first("anchor").alias("anchor"), F.min("id").alias("lo"), F.max("id").alias("hi"))
-    distinct = box.put(words.join(seen, "key"))
-    size = F.sum(F.octet_length("words") / 8)
-    by_anchor = distinct.groupBy("anchor").agg(size.alias("size"))
-    big = box.put(by_anchor.where(F.col("size") > BIG_ANCHOR))
-    total = distinct.agg(F.coalesce(size, F.lit(0))).first()[0]
-    tasks = max(1, -(-int(total) // SHARD_WORDS))
-    shards = distinct.join(big, "anchor", "left_anti").repartition(tasks, "anchor").sortWithinPartitions("anchor")
-    hits = _searched(shards.select("key", "anchor", "words", "lo", "hi"), length)
+    seen = box.put(there.groupBy("key").agg(F.first("anchor").alias("anchor"), F.first("n").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")))
+    size = F.sum(F.col("n") + length - 1)
+    big = box.put(seen.groupBy("anchor").agg(size.alias("size")).where(F.col("size") > BIG_ANCHOR))
+    total = seen.agg(F.coalesce(size, F.lit(0))).first()[0]
+    none = F.lit(None).cast("long")
+    given = there.where("words is not null").select("key", "anchor", "words", none.alias("lo"), none.alias("hi"))
+    known = seen.select("key", "anchor", F.lit(None).cast("binary").alias("words"), "lo", "hi")
+    shards = given.unionByName(known).join(big, "anchor", "left_anti").repartition(max(1, -(-int(total) // SHARD_WORDS)), "anchor").sortWithinPartitions("anchor", "key")
+    hits = _searched(shards, length)
     if not big.isEmpty():
-        each = box.put(_windows(distinct.join(big, "anchor", "left_semi"), length))
+        words = given.join(big, "anchor", "left_semi").groupBy("key").agg(F.first("words").alias("words"))
+        each = box.put(_windows(words.join(seen, "key"), length))
         lowest = each.groupBy("window").agg(F.min("lo").alias("least"))
         hits = hits.unionByName(each.join(lowest, "window").where("least < hi").select("key", "start", "least"))
     hits = box.put(hits.groupBy("key").agg(F.collect_list(F.struct("start", "least")).alias("found")))
-    box.drop(distinct)
+    box.drop(seen)
     mine = there.select("key", "id", "th", F.col("start").alias("first")).join(hits, "key")
     starts = F.transform(F.filter("found", lambda x: x["least"] < F.col("id")), lambda x: x["start"] + F.col("first"))
     each = mine.select("id", "th", starts.alias("s")).where("size(s) > 0")
