@@ -3,10 +3,11 @@
 1. Words of documents and targets are counted; each distinct word gets an integer id.  Frequent words (``SHARE`` of
    all occurrences, so at most 1 / SHARE of them) are numbered by rank and known to every task; rarer ones are
    numbered in the table and come to their rows by one join.
-2. Texts become sequences of ids, and n-grams tuples of ids.  Tuples are counted over both collections.
+2. Texts become sequences of ids, and n-grams tuples of ids.  Tuples are counted over both collections; single ids have
+   the counts of their words.
 3. The bytes of each distinct tuple are put together from the words once, by a join, and hashed into a bucket.
 4. Buckets' counts give gains, a table of fixed size.  Counts are joined back: frequent tuples by a table of at most
-   1 / SHARE rows, the rest by a join of a row's tuples.
+   1 / SHARE rows, the rest by a join of a row's tuples.  Where tuples are single ids both joins are one.
 5. Log weights plus Gumbel noise rank the documents; ranks come from a sort by ranges.
 """
 
@@ -42,34 +43,88 @@ def _slices(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[list[t
             yield list(zip(*(part.column(c).to_pylist() for c in columns), strict=True))
 
 
+def _by_side(keys, total: tuple[Counter, Counter]) -> list[pa.Array]:  # noqa: ANN001
+    return [pa.array([c[k] for k in keys], pa.int64()) for c in total]
+
+
 def counted_words(texts: DataFrame) -> DataFrame:
-    """(word, n) over all texts (binary ``text``)."""
+    """(word, s, t): how often each word is in documents and in targets; ``texts`` has target and text (binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter[bytes] = Counter()
-        flush = lambda: pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
-        for rows in _slices(batches, "text"):
-            for (text,) in rows:
-                total.update(split(text))
-            if len(total) > KNOWN:
+        total: tuple[Counter, Counter] = Counter(), Counter()
+
+        def flush() -> pa.RecordBatch:
+            keys = list(total[0].keys() | total[1].keys())
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *_by_side(keys, total)], ["word", "s", "t"])
+
+        for rows in _slices(batches, "target", "text"):
+            for target, text in rows:
+                total[target].update(split(text))
+            if len(total[0]) + len(total[1]) > KNOWN:
                 yield flush()
-                total.clear()
+                total[0].clear(), total[1].clear()
         yield flush()
 
-    return texts.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.select("target", "text").mapInArrow(run, "word binary, s long, t long").groupBy("word").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
 
 
 def dictionary(words: DataFrame, box: Scratch) -> tuple[DataFrame, dict[bytes, int]]:
-    """(word, id) of all words, and the ids of the frequent ones, which are the smallest."""
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    often = (F.col("n") >= SHARE * total) & (F.octet_length("word") <= MAX_KNOWN_BYTES)
-    found = words.where(often).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    """(word, id, s, t) of all words, and the ids of the frequent ones, which are the smallest."""
+    n = F.col("s") + F.col("t")
+    total = words.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    often = (n >= SHARE * total) & (F.octet_length("word") <= MAX_KNOWN_BYTES)
+    found = words.where(often).withColumn("n", n).toArrow().sort_by([("n", "descending"), ("word", "ascending")]).drop_columns("n")
     known = {w: i for i, w in enumerate(found["word"].to_pylist())}
-    named = words.sparkSession.createDataFrame(pa.table({"word": found["word"], "id": pa.array(range(len(known)), pa.int64())}))
-    rest = words.where(~often).select("word", (F.monotonically_increasing_id() + len(known)).alias("id"))
+    named = words.sparkSession.createDataFrame(found.append_column("id", pa.array(range(len(known)), pa.int64())))
+    rest = words.where(~often).withColumn("id", F.monotonically_increasing_id() + len(known))
     return box.put(named.unionByName(rest)), known
 
 
+def gains_of(counts: DataFrame, buckets: int) -> DataFrame:
+    """``counts`` (bucket, s, t, ...) with the ``gain`` of each row's bucket; there are at most ``buckets`` of them."""
+    held = counts.groupBy("bucket").agg(F.sum("s").alias("bs"), F.sum("t").alias("bt"))
+    s, t = counts.agg(F.coalesce(F.sum("s"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
+    d = lambda c: (c if isinstance(c, Column) else F.lit(c)).cast("double")
+    gain = F.floor(1000 * F.ln(d(F.col("bt") + 1) * d(s + buckets) / (d(F.col("bs") + 1) * d(t + buckets))))
+    return counts.join(F.broadcast(held.select("bucket", gain.alias("gain"))), "bucket")
+
+
+def word_weights(rows: DataFrame, words: DataFrame, known: dict[bytes, int], buckets: int, box: Scratch) -> DataFrame:
+    """(row, doc_id, th, n_words, n_features, weight) where tuples are single ids: their counts are those of the dictionary.
+
+    A text's frequent words are ids of the table that every task has, with their gains; its rarer ones are joined.
+    """
+    gains = box.put(gains_of(words.withColumn("bucket", F.crc32("word") % buckets), buckets).select("word", "id", "gain"))
+    often = gains.where(F.col("id") < len(known)).select("id", "gain").toArrow().sort_by("id")
+    shared = words.sparkSession.sparkContext.broadcast((known, often["gain"].to_numpy()))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, gain = shared.value
+        for b in batches:
+            for i in range(0, b.num_rows, SLICE):
+                part = b.slice(i, SLICE)
+                n_words, sums, many, rare, times = [], [], [0], [], []
+                for text in part.column("text").to_pylist():
+                    found = split(text)
+                    ids = np.fromiter((of.get(w, -1) for w in found), np.int64, len(found))
+                    n_words.append(len(found))
+                    sums.append(int(gain[ids[ids >= 0]].sum()) if len(ids) else 0)
+                    own = Counter(found[k] for k in np.flatnonzero(ids < 0))
+                    rare += own.keys()
+                    times += own.values()
+                    many.append(len(rare))
+                rest = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], ["word", "n"])
+                columns = [*(part.column(c) for c in ("row", "doc_id", "th")), pa.array(n_words, pa.int64()), pa.array(sums, pa.int64()), pa.ListArray.from_arrays(pa.array(many, pa.int32()), rest)]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "th", "n_words", "weight", "rest"])
+
+    first = box.put(rows.where("not target").select("row", "doc_id", "th", "text").mapInArrow(run, f"row long, doc_id {kind}, th long, n_words long, weight long, rest array<struct<word: binary, n: long>>"))
+    asked = first.select("row", F.explode("rest").alias("x")).select("row", F.col("x.word").alias("word"), F.col("x.n").alias("n"))
+    rest = asked.join(gains, "word").groupBy("row").agg(F.sum(F.col("n") * F.col("gain")).alias("more"))
+    weight = (F.col("weight") + F.coalesce("more", F.lit(0))).alias("weight")
+    return first.drop("rest").join(rest, "row", "left").select("row", "doc_id", "th", "n_words", F.col("n_words").alias("n_features"), weight)
+
+
 def encoded(rows: DataFrame, words: DataFrame, known, box: Scratch) -> DataFrame:  # noqa: ANN001
     """``rows`` (row, target, doc_id, th, text) with ids instead of text: all words of a row as packed 64-bit integers."""
 
@@ -139,8 +194,8 @@ def counted_tuples(coded: DataFrame, order: int) -> DataFrame:
         total: tuple[Counter, Counter] = Counter(), Counter()
 
         def flush() -> pa.RecordBatch:
-            keys = list(total[0] | total[1])
-            return pa.RecordBatch.from_arrays([_lists(keys), *(pa.array([c[k] for k in keys], pa.int64()) for c in total)], ["tuple", "s", "t"])
+            keys = list(total[0].keys() | total[1].keys())
+            return pa.RecordBatch.from_arrays([_lists(keys), *_by_side(keys, total)], ["tuple", "s", "t"])
 
         for rows in _slices(batches, "target", "ids"):
             for target, ids in rows:
@@ -153,22 +208,26 @@ def counted_tuples(coded: DataFrame, order: int) -> DataFrame:
     return coded.select("target", "ids").mapInArrow(run, "tuple array<long>, s long, t long").groupBy("tuple").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
 
 
-def bucketed(counts: DataFrame, words: DataFrame, order: int, buckets: int) -> DataFrame:
+def bucketed(counts: DataFrame, words: DataFrame, buckets: int) -> DataFrame:
     """``counts`` with the bucket of each tuple: the CRC-32 of its words, put together by a join."""
     each = counts.select("tuple", F.posexplode("tuple").alias("i", "id")).join(words, "id")
-    if order == 1:
-        spelt = each.select("tuple", "word")
-    else:
-        parts = F.array_sort(F.collect_list(F.struct("i", F.hex("word").alias("word"))))
-        spelt = each.groupBy("tuple").agg(F.unhex(F.array_join(F.transform(parts, lambda x: x["word"]), "20")).alias("word"))
+    parts = F.array_sort(F.collect_list(F.struct("i", F.hex("word").alias("word"))))
+    spelt = each.groupBy("tuple").agg(F.unhex(F.array_join(F.transform(parts, lambda x: x["word"]), "20")).alias("word"))
     return counts.join(spelt.select("tuple", (F.crc32("word") % buckets).alias("bucket")), "tuple")
 
 
-def weighted(coded: DataFrame, gains: DataFrame, known, order: int, box: Scratch) -> DataFrame:  # noqa: ANN001
-    """(row, n_words, n_features, weight) of the documents; ``gains`` (tuple, gain) are all tuples', ``known`` the frequent ones'."""
+def tuple_weights(rows: DataFrame, words: DataFrame, known: dict[bytes, int], order: int, buckets: int, box: Scratch) -> DataFrame:
+    """(row, doc_id, th, n_words, n_features, weight) where tuples have one to ``order`` ids: texts become sequences of ids first."""
+    words, context = words.select("word", "id"), words.sparkSession.sparkContext
+    coded = encoded(rows.select("row", "target", "doc_id", "th", "text"), words, context.broadcast(known), box)
+    counts = box.put(bucketed(counted_tuples(coded, order), words, buckets))
+    gains = box.put(gains_of(counts, buckets).select("tuple", "s", "gain"))
+    box.drop(counts)
+    often = gains.where(F.col("s") >= max(1, SHARE * (gains.agg(F.sum("s")).first()[0] or 0))).toArrow()
+    shared = context.broadcast(dict(zip((np.array(x, np.int64).tobytes() for x in often["tuple"].to_pylist()), often["gain"].to_pylist(), strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = known.value
+        of = shared.value
         for rows in _slices(batches, "row", "ids"):
             out, rest, many = [], [], [0]
             for row, ids in rows:
@@ -188,8 +247,9 @@ def weighted(coded: DataFrame, gains: DataFrame, known, order: int, box: Scratch
 
     first = box.put(coded.where("not target").select("row", "ids").mapInArrow(run, "row long, n_words long, n_features long, weight long, rest array<struct<tuple: array<long>, n: long>>"))
     asked = first.select("row", F.explode("rest").alias("x")).select("row", F.col("x.tuple").alias("tuple"), F.col("x.n").alias("k"))
-    rest = asked.join(gains, "tuple").groupBy("row").agg(F.sum(F.col("k") * F.col("gain")).alias("more"))
-    return first.drop("rest").join(rest, "row", "left").select("row", "n_words", "n_features", (F.col("weight") + F.coalesce("more", F.lit(0))).alias("weight"))
+    rest = asked.join(gains.select("tuple", "gain"), "tuple").groupBy("row").agg(F.sum(F.col("k") * F.col("gain")).alias("more"))
+    weights = first.drop("rest").join(rest, "row", "left").select("row", "n_words", "n_features", (F.col("weight") + F.coalesce("more", F.lit(0))).alias("weight"))
+    return coded.where("not target").select("row", "doc_id", "th").join(weights, "row")
 
 
 def ranked(scored: DataFrame, eligible: Column, percent: int, box: Scratch) -> DataFrame:
@@ -220,28 +280,17 @@ def resampled(docs: DataFrame, targets: DataFrame, order: int = ORDER, buckets:
     score either comes first.  Repeated rows count as often as they are there.  Empty tables give no rows, or gains
     without targets.  Other columns are ignored.
     """
-    box, spark = Scratch(docs.sparkSession), docs.sparkSession
+    box = Scratch(docs.sparkSession)
     one = lambda df, target, *ids: df.select(F.lit(target).alias("target"), *ids, F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
     kind = docs.schema["doc_id"].dataType
     rows = one(docs, False, "doc_id").unionByName(one(targets, True, F.lit(None).cast(kind).alias("doc_id"))).withColumn("row", F.monotonically_increasing_id())
     counts = box.put(counted_words(rows))
     words, known = dictionary(counts, box)
     box.drop(counts)
-    coded = encoded(rows.select("row", "target", "doc_id", "th", "text"), words, spark.sparkContext.broadcast(known), box)
-    counts = box.put(bucketed(counted_tuples(coded, order), words, order, buckets))
-    box.drop(words)
-    held = counts.groupBy("bucket").agg(F.sum("s").alias("bs"), F.sum("t").alias("bt"))
-    s, t = counts.agg(F.coalesce(F.sum("s"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
-    d = lambda c: (c if isinstance(c, Column) else F.lit(c)).cast("double")
-    gain = F.floor(1000 * F.ln(d(F.col("bt") + 1) * d(s + buckets) / (d(F.col("bs") + 1) * d(t + buckets))))
-    gains = box.put(counts.join(F.broadcast(held.select("bucket", gain.alias("gain"))), "bucket").select("tuple", "s", "gain"))
-    box.drop(counts)
-    often = gains.where(F.col("s") >= max(1, SHARE * s)).toArrow()
-    shared = spark.sparkContext.broadcast(dict(zip((np.array(x, np.int64).tobytes() for x in often["tuple"].to_pylist()), often["gain"].to_pylist(), strict=True)))
-    weights = weighted(coded, gains.select("tuple", "gain"), shared, order, box)
+    weights = word_weights(rows, words, known, buckets, box) if order == 1 else tuple_weights(rows, words, known, order, buckets, box)
     h = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256), 1, 8), 16, 10).cast("double")
     noise = F.floor(-1000 * F.ln(-F.ln((h + 0.5) / 4294967296)))
-    scored = coded.where("not target").select("row", "doc_id", "th").join(weights, "row").withColumn("score", F.col("weight") + noise)
+    scored = weights.withColumn("score", F.col("weight") + noise)
     return ranked(scored, F.col("n_words") >= least_words, percent, box).select("doc_id", "th", "n_features", "weight", "score", "rank")
 
 
