@@ -36,7 +36,7 @@ from xxhash import xxh64_intdigest
 from .common import Scratch
 
 LEAST = 2
-WORD_SHARE, NGRAM_SHARE = 5e-7, 1e-6
+WORD_SHARE, NGRAM_SHARE = 5e-7, 2.5e-7
 MAX_FREQUENT_BYTES = 64
 DISCOUNT = 0.75
 FLUSH_WORDS, FLUSH_TOKENS = 200_000, 2_000_000
@@ -204,71 +204,59 @@ def _backoff(left: Column, below: Column) -> Column:
 
 
 class Automaton:
-    """States: 0 the root, then one for each word number, then one for each frequent pair."""
+    """States: the root, one for each word number, and one for each frequent pair; arcs are sorted keys, looked up for a whole text at once."""
 
-    def __init__(self, words: dict[bytes, int], word_n: np.ndarray, back: np.ndarray, pairs, triples, total: int, vocabulary: int) -> None:  # noqa: ANN001
+    def __init__(self, words: dict[bytes, int], word_n: np.ndarray, back: np.ndarray, pairs: pa.Table, triples: pa.Table, total: int, vocabulary: int) -> None:
         """word_n, back: by word number, the end's at 1; pairs (b, c, log_p, back) and triples (a, b, c, log_p): the frequent ones."""
-        self.words, self.width, self.word_n = words, len(words) + 2, word_n
+        self.words, self.width, self.word_n, self.back = words, len(words) + 2, word_n, back
         self.log_one = -np.log10(total + vocabulary + 1)  # of an unseen word; a word seen c times adds log10(c + 1)
         self.unigram = np.log10(word_n + 1.0) + self.log_one
-        column = lambda t, c, kind=np.int64: t[c].to_numpy(kind)
-        two = column(pairs, "b") * self.width + column(pairs, "c")
+        two = pairs["b"].to_numpy() * self.width + pairs["c"].to_numpy()
         order = np.argsort(two)
-        self.pairs = two[order]
-        a, b, c = (column(triples, x) for x in "abc")
+        self.pairs, self.pair_p, self.pair_back = two[order], pairs["log_p"].to_numpy()[order], pairs["back"].to_numpy()[order]
         # every pair of a frequent triple is frequent
-        three = np.searchsorted(self.pairs, a * self.width + b) * self.width + c
-        by = np.argsort(three)
-        self.triples = three[by]
-        # the state that a pair stands for
-        pair = 1 + self.width
-        self.fail = np.concatenate([np.zeros(pair, np.int64), 1 + self.pairs % self.width])
-        self.back = np.concatenate([np.zeros(1), back, column(pairs, "back", np.float64)[order]])
-        self.arcs: dict[int, tuple[int, float]] = {}
-        for i, (k, q) in enumerate(zip(self.pairs.tolist(), column(pairs, "log_p", np.float64)[order].tolist(), strict=True)):
-            self.arcs[k + self.width] = (pair + i, q)
-        goes = pair + np.searchsorted(self.pairs, b * self.width + c)[by]
-        for k, g, q in zip(self.triples.tolist(), goes.tolist(), column(triples, "log_p", np.float64)[by].tolist(), strict=True):
-            self.arcs[k + pair * self.width] = (g, q)
-        # from any state straight to the root
-        self.to_root = self.back.copy()
-        self.to_root[pair:] += self.back[self.fail[pair:]]
-        self.root = [(1 + w, q) for w, q in enumerate(self.unigram.tolist())]
-        self.fail, self.back, self.to_root = self.fail.tolist(), self.back.tolist(), self.to_root.tolist()
+        three = np.searchsorted(self.pairs, triples["a"].to_numpy() * self.width + triples["b"].to_numpy()) * self.width + triples["c"].to_numpy()
+        order = np.argsort(three)
+        self.triples, self.triple_p = three[order], triples["log_p"].to_numpy()[order]
+
+    @staticmethod
+    def _find(keys: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Where each key is, or -1."""
+        at = np.minimum(np.searchsorted(keys, k), max(len(keys) - 1, 0))
+        return np.where(keys[at] == k, at, -1) if len(keys) else np.full(len(k), -1)
 
     def has(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
         """Which of the n-grams are the automaton's own."""
-
-        def find(keys: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            at = np.minimum(np.searchsorted(keys, k), max(len(keys) - 1, 0))
-            return at, keys[at] == k if len(keys) else np.zeros(len(k), bool)
-
         known = (b >= 0) & (c >= 0)
         out = np.zeros(len(a), bool)
         two = np.flatnonzero(known & (a == NONE))
-        out[two] = find(self.pairs, b[two] * self.width + c[two])[1]
+        out[two] = self._find(self.pairs, b[two] * self.width + c[two]) >= 0
         three = np.flatnonzero(known & (a >= 0))
-        at, there = find(self.pairs, a[three] * self.width + b[three])
-        out[three] = there & find(self.triples, at * self.width + c[three])[1]
+        at = self._find(self.pairs, a[three] * self.width + b[three])
+        out[three] = (at >= 0) & (self._find(self.triples, at * self.width + c[three]) >= 0)
         return out
 
-    def read(self, words: list[int]) -> float:
-        """Sum of log10 probabilities; -1 stands for a word that isn't frequent, whose own probability is left out."""
-        arcs, fail, back, root, width = self.arcs, self.fail, self.back, self.root, self.width
-        state, total = 1, 0.0  # after the start
-        for w in words:
-            if w < 0:
-                total += self.to_root[state]
-                state = 0
-                continue
-            arc = arcs.get(state * width + w) if state else root[w]
-            while arc is None:
-                total += back[state]
-                state = fail[state]
-                arc = arcs.get(state * width + w) if state else root[w]
-            state = arc[0]
-            total += arc[1]
-        return total
+    def read(self, words: np.ndarray) -> float:
+        """Sum of log10 probabilities; -1 stands for a word that isn't frequent, whose own probability is left out.
+
+        From left to right: after a word the state is its pair's with the word before, else its own, else the root.  Each
+        word takes an arc from there, or passes failure arcs, which add their weights, until a state has one.
+        """
+        w = np.concatenate([np.zeros(1, np.int64), words])  # after the start
+        before, c = w[:-1], w[1:]
+        pair = np.full(len(c), -1)
+        both = np.flatnonzero((before >= 0) & (c >= 0))
+        pair[both] = self._find(self.pairs, before[both] * self.width + c[both])
+        state = np.concatenate([np.full(1, -1), pair[:-1]])  # of the pair that ends before the word; else -1
+        triple = np.full(len(c), -1)
+        at = np.flatnonzero((state >= 0) & (c >= 0))
+        triple[at] = self._find(self.triples, state[at] * self.width + c[at])
+        some = lambda i, values: np.where(i >= 0, values[np.maximum(i, 0)] if len(values) else 0.0, 0.0)
+        fails = triple < 0  # past the pair's state
+        falls = fails & (pair < 0)  # past the word's state, to the root
+        total = some(triple, self.triple_p) + np.where(fails, some(state, self.pair_back) + some(pair, self.pair_p), 0.0)
+        return float((total + np.where(falls, some(before, self.back) + some(c, self.unigram), 0.0)).sum())
+
 
 class Model:
     """The automaton, and ``rest`` (k, base, w): what rarer words and n-grams add to the base and the score, by their keys."""
@@ -319,7 +307,7 @@ class Model:
         mine = F.col("n") >= max(float(LEAST), NGRAM_SHARE * total)  # at most 1 / NGRAM_SHARE rows
         mine2, mine3 = mine & (F.col("b") >= 0) & (F.col("c") >= 0), mine & (F.col("a") >= 0) & (F.col("b") >= 0) & (F.col("c") >= 0)
         log = F.log10("p").alias("log_p")
-        self.automaton = Automaton(words, word_n, back, after.where(mine2).select("b", "c", log, "back").toPandas(), triples.where(mine3).select("a", "b", "c", log).toPandas(), total, vocabulary)
+        self.automaton = Automaton(words, word_n, back, after.where(mine2).select("b", "c", log, "back").toArrow(), triples.where(mine3).select("a", "b", "c", log).toArrow(), total, vocabulary)
         more2 = after.where(~mine2).select(F.lit(NONE).cast("long").alias("a"), "b", "c", (F.log10("p") - F.col("before") - F.log10("below") + F.col("back")).alias("w"))
         more3 = triples.where(~mine3).join(backs, ["a", "b"]).select("a", "b", "c", (F.log10("p") - F.col("back") - F.log10("below")).alias("w"))
         logs = F.log10(F.col("n") + F.lit(1.0))
@@ -386,7 +374,7 @@ def score(docs: DataFrame, learn: DataFrame) -> DataFrame:
                 own = np.array([i for i in ids if i >= 0], dtype=np.int64)
                 rare = [word_hash(w) for w, i in zip(words, ids, strict=False) if i < 0]
                 base = float(m.unigram[own].sum()) + len(rare) * unknown
-                sums = np.array([len(ids), (m.word_n[own] > 0).sum(), base, m.read(ids) + len(rare) * unknown])
+                sums = np.array([len(ids), (m.word_n[own] > 0).sum(), base, m.read(np.array(ids, np.int64)) + len(rare) * unknown])
                 t = numbers.tokens(words)
                 a, b, c = (np.concatenate(x) for x in zip(_pairs(t), (t[:-2], t[1:-1], t[2:]), strict=True))
                 k = _mixed(a, b, c)
@@ -404,7 +392,7 @@ def score(docs: DataFrame, learn: DataFrame) -> DataFrame:
                 yield rows(batch, found)
 
     asked = base.mapInArrow(read, f"doc_id {id_type}, th long, k long, kind int, v double")
-    met = asked.join(trained.rest.hint("shuffle_hash"), "k", "left")
+    met = asked.join(trained.rest.hint("merge"), "k", "left")
     is_ = lambda kind: F.col("kind") == kind
     add = lambda kind, c: F.sum(F.when(is_(kind), F.col("v")).when(is_(ASKED), F.col("v") * F.coalesce(c, F.lit(0.0))))
     known = F.when(F.col("base") > 0, F.lit(1.0)).otherwise(F.lit(0.0))  # words, not n-grams

@@ -387,13 +387,11 @@ def test_scores_against_a_loop(spark, docs, edge):
 def test_probabilities_sum_to_one(docs):
     m, counts, _, _ = lm.train(docs.select(F.col("text").cast("binary").alias("text")))
     rest = sum(r["n"] + 1 for r in counts.collect() if bytes(r["word"]) not in m.words) + 1
-    for state in [1, 2, 3, *range(1 + m.width, len(m.fail), max(1, len(m.fail) // 5))]:
-        total = rest * 10 ** (m.to_root[state] + m.log_one)
-        for w in range(1, m.width):
-            s, p = state, 0.0
-            while (arc := m.arcs.get(s * m.width + w) if s else m.root[w]) is None:
-                s, p = m.fail[s], p + m.back[s]
-            total += 10 ** (p + arc[1])
+    pairs = m.pairs[:: max(1, len(m.pairs) // 5)]
+    for before in [[], [2], [-1], [3, 4], [-1, 5], *([int(k // m.width), int(k % m.width)] for k in pairs if k >= m.width)]:
+        own = m.read(np.array(before, np.int64))
+        total = rest * 10 ** (m.read(np.array([*before, -1])) - own + m.log_one)
+        total += sum(10 ** (m.read(np.array([*before, w])) - own) for w in range(1, m.width))
         assert math.isclose(total, 1, rel_tol=1e-6)
 
 
