@@ -54,11 +54,20 @@ def _inflate(b: bytes, wbits: int) -> bytes:
 
 
 def flate(b: bytes) -> bytes:
-    """Inflates what follows the two header bytes; if that gives nothing, the longest output from any header found later."""
+    """Inflates what follows the two header bytes; if that gives nothing, the longest output from any header found later.
+
+    Data from which nothing comes, though it isn't an empty stream, is an error.
+    """
     if out := _inflate(b[2:], -15):
         return out
     starts = [i for i in range(len(b) - 1) if b[i] == 0x78 and b[i + 1] in (0x01, 0x5E, 0x9C, 0xDA)]
-    return max((_inflate(b[i + 2 :], -15) for i in starts), key=len, default=b"")
+    out = max((_inflate(b[i + 2 :], -15) for i in starts), key=len, default=b"")
+    if not out and b.strip():
+        try:
+            zlib.decompress(b)
+        except zlib.error as e:
+            raise ValueError(f"nothing can be inflated: {e}") from e
+    return out
 
 
 def lzw(b: bytes, early: int = 1) -> bytes:

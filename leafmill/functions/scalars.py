@@ -52,22 +52,6 @@ def text_string(b: Column) -> Column:
     return F.when(F.startswith(F.hex(b), F.lit("FEFF")), F.decode(F.substring(b, 3, 2**30), "UTF-16BE")).otherwise(F.decode(b, "ISO-8859-1"))
 
 
-def font_family(base_font: Column) -> Column:
-    """Family and style of a font by parts of its name; the first rule that fits."""
-    n = F.lower(base_font)
-    family = (
-        F.when(n.rlike("courier|mono|consol|typewriter"), "monospace")
-        .when(n.rlike("arial|helvetica|verdana|tahoma|calibri|sans|gothic"), "sans-serif")
-        .when(n.rlike("times|georgia|garamond|palatino|bookman|serif|roman|century|cambria"), "serif")
-        .when(n.rlike("symbol|dingbat|wingding"), "symbol")
-        .when(n.rlike("script|cursive|chancery|hand"), "cursive")
-        .otherwise("sans-serif")
-    )
-    bold, italic = n.rlike("bold|black|heavy"), n.rlike("italic|oblique")
-    style = F.when(bold & italic, "-bold-italic").when(bold, "-bold").when(italic, "-italic").otherwise("")
-    return F.concat(family, style)
-
-
 def encode_parentheses(text: Column) -> Column:
     """Parentheses as octal escapes, so that a string can stand between parentheses."""
     return F.replace(F.replace(text, F.lit("("), F.lit("\\050")), F.lit(")"), F.lit("\\051"))

@@ -59,9 +59,10 @@ def lines_and_groups(elements: DataFrame, page: list[str] = PAGE) -> DataFrame:
 def insert_spaces(elements: DataFrame, page: list[str] = PAGE) -> DataFrame:
     """Prefixes ``text`` with a space where the gap to the element before on its line is at least half a space.
 
-    Without a known width there is always a space; none if either side has one, or is empty.
+    Without a known width there is always a space; none if either side has one, or is empty.  Cells of a table (``column``)
+    are apart already.
     """
-    w = Window.partitionBy(*page, "line_id").orderBy("seq")
+    w = Window.partitionBy(*page, "line_id", *(["column"] if "column" in elements.columns else [])).orderBy("seq")
     before, end = F.lag("text").over(w), F.lag(F.col("tx") + F.col("width")).over(w)
     gap = F.coalesce(F.col("tx") - end >= F.col("space_width") / 2, F.lit(True))
     apart = before.isNotNull() & (before != "") & (F.col("text") != "") & ~F.endswith(before, F.lit(" ")) & ~F.startswith("text", F.lit(" ")) & gap

@@ -22,8 +22,8 @@ _GAP = "array<struct<i:int,l:double,r:double,sp:double>>"
 def divide_columns(elements: DataFrame, page: list[str] = PAGE, wide: float = WIDE) -> DataFrame:
     """Adds ``column`` (of its cell, from 0) and ``table_id`` (null outside tables) to elements with seq and line_id.
 
-    A table is a run of lines with a divider each; a line that begins right of a divider above is one of them, and
-    begins with blank cells.  Without a space width there is no divider.
+    A table is a run of lines with a divider each; lines below that begin right of one of its dividers, or leave it free,
+    are of it too, and have blank cells.  Without a space width there is no divider.
     """
     own = [c for c in elements.columns if c not in page and c != "line_id"]
     lines = elements.groupBy(*page, "line_id").agg(F.array_sort(F.collect_list(F.struct("seq", *[c for c in own if c != "seq"]))).alias("els"))
@@ -37,17 +37,25 @@ def divide_columns(elements: DataFrame, page: list[str] = PAGE, wide: float = WI
     some = lambda c: F.coalesce(c, F.array().cast(_GAP))
     # the hole is measured by the space of the lower line
     met = lambda g: F.exists(some(F.col("above")), lambda h: common(g, h) > wide * g["sp"]) | F.exists(some(F.col("below")), lambda h: common(g, h) > wide * h["sp"])
-    lines = lines.withColumn("dividers", F.filter("gaps", met)).withColumn("over", next_to("dividers", F.lag))
+    lines = lines.withColumn("dividers", F.filter("gaps", met))
+    # lines without a divider belong to the table above if they begin right of one of its dividers, or leave it free
+    has, upto = F.size("dividers") > 0, w.rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.withColumn("over", some(F.last(F.when(has, F.col("dividers")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))))
     first = F.get("els", F.lit(0))
-    begun = F.exists(some(F.col("over")), lambda h: first["tx"] - h["l"] > wide * first["space_width"])
-    lines = lines.withColumn("inside", (F.size("dividers") > 0) | F.coalesce(begun, F.lit(False)))
+    begun = F.exists("over", lambda h: first["tx"] - h["l"] > wide * first["space_width"])
+    free = F.exists("gaps", lambda g: F.exists("over", lambda h: common(g, h) > wide * g["sp"]))
+    lines = lines.withColumn("follows", F.coalesce(begun, F.lit(False)) | F.coalesce(free, F.lit(False)))
+    lines = lines.withColumn("breaks", F.sum((~has & ~F.col("follows")).cast("int")).over(upto))
+    since = F.last(F.when(has, F.col("breaks")), ignorenulls=True).over(upto)
+    lines = lines.withColumn("inside", has | (F.col("follows") & F.coalesce(since == F.col("breaks"), F.lit(False))))
     starts = (F.col("inside") & ~F.coalesce(next_to("inside", F.lag), F.lit(False))).cast("int")
     lines = lines.withColumn("starts", starts)
     lines = lines.withColumn("table_id", F.when(F.col("inside"), F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1))
     of_table = F.array_sort(F.flatten(F.collect_list(F.transform("dividers", lambda g: F.struct(g["r"].alias("r"), g["l"].alias("l")))).over(Window.partitionBy(*page, "table_id"))))
     lines = lines.withColumn("places", F.when(F.col("inside"), boundaries(of_table)))
-    # a cell begins after each divider of its line; its first element tells its column
-    begins = F.concat(F.array(F.lit(0)), F.transform("dividers", lambda g: g["i"]))
+    # a cell begins after each gap of its line that has a boundary; its first element tells its column
+    parting = F.filter("gaps", lambda g: F.exists("places", lambda p: (g["l"] < p) & (p <= g["r"])))
+    begins = F.concat(F.array(F.lit(0)), F.transform(parting, lambda g: g["i"]))
     cell = lambda i: F.get("els", F.array_max(F.filter(begins, lambda b: b <= i)))["tx"]
     column = lambda i: F.when(F.col("inside"), F.size(F.filter("places", lambda p: p <= cell(i)))).otherwise(F.lit(0)).cast("long")
     numbered = F.transform("els", lambda e, i: F.struct(e.alias("e"), column(i).alias("column")))

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..durable import stored
 from ..functions import scalars
+from ..operators import fonts, tables
 from ..operators import layout as L
-from ..operators import tables
 
 
 def measured(elements: DataFrame, page: list[str] = L.PAGE) -> DataFrame:
@@ -87,4 +87,4 @@ def page_spans(elements: DataFrame, page: list[str] = L.PAGE) -> DataFrame:
     families = e.groupBy(*page, "font_key").agg(F.first("base_font", ignorenulls=True).alias("base_font"))
     spans = L.merge_styles(e, page).join(families, [*page, "font_key"], "left")
     colour = scalars.to_255(scalars.darken_bright(F.col("rgb")))
-    return spans.select(*page, "line_id", "seq", "text", scalars.font_family(F.coalesce("base_font", F.lit(""))).alias("family"), colour.alias("rgb"))
+    return spans.select(*page, "line_id", "seq", "text", fonts.typeface(fonts.font_name(F.coalesce("base_font", F.lit("")))).alias("family"), colour.alias("rgb"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import codecs, scalars
-from .operators import cmaps, graph, layout, tables
+from .operators import cmaps, fonts, graph, layout, tables
 from .plans import contents
 from .sources import pdf
 from .testing import pdfwriter
@@ -108,6 +108,79 @@ def pdf_encrypted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(pdf.Documents(_pdfs(spark, sf_dir, password=b"pass"), "pass"))
 
 
+@query(LINES_SQL)
+def pdf_indirect_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length, filter and parameters of streams are objects of their own; a stream holds the keyword that ends one."""
+    return _lines(pdf.Documents(_pdfs(spark, sf_dir, layout="indirect")))
+
+
+@query(LINES_SQL)
+def pdf_untyped_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A nested page tree whose nodes have no type."""
+    return _lines(pdf.Documents(_pdfs(spark, sf_dir, layout="untyped")))
+
+
+@query(LINES_SQL)
+def pdf_table_from_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of objects starts at 1, so every entry is one off."""
+    return _lines(pdf.Documents(_pdfs(spark, sf_dir, layout="one")))
+
+
+@query("""
+SELECT doc_id, page_index, code, message FROM (
+  SELECT doc_id, unnest([0, 1])::INT AS page_index, ['contents', 'contents', 'operator', 'operator', 'tree', 'open'] AS codes, doc_id % 6 AS k, text FROM documents),
+LATERAL (SELECT CASE k WHEN 0 THEN 'contents' WHEN 1 THEN 'contents' WHEN 2 THEN 'operator' WHEN 3 THEN 'tree' WHEN 4 THEN 'open' END AS code,
+  unnest(CASE k WHEN 0 THEN ['page ' || page_index || ': none'] WHEN 1 THEN ['page ' || page_index || ': object 99999 is missing']
+    WHEN 2 THEN ['page ' || page_index || ': Tf', 'page ' || page_index || ': Td'] WHEN 3 THEN CASE page_index WHEN 0 THEN ['no page tree'] ELSE [] END WHEN 4 THEN CASE page_index WHEN 0 THEN ['no objects'] ELSE [] END ELSE [] END) AS message)
+""")
+def pdf_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with a fault each, by document: pages without content or with a missing one, wrong operands, no page tree, no objects, none."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 200):
+                part, files = b.slice(i, 200), []
+                for k, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    lines = (text or "").split("\n")
+                    half = (len(lines) + 1) // 2
+                    layout = ["nocontents", "lost", "operand", "notree", "junk", "table"][k % 6]
+                    file = pdfwriter.write_pdf([lines[:half], lines[half:]], layout=layout)
+                    files.append({"junk": b"%PDF-1.4 " + file[:0], "notree": file.replace(b"/Pages 2 0 R", b"/Pages 9 0 R")}.get(layout, file))
+                ids = pa.array([str(k) for k in part.column("doc_id").to_pylist()])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(files, pa.binary())], ["file_id", "content"])
+
+    e = pdf.Documents(d.mapInArrow(write, "file_id string, content binary")).errors
+    page = F.coalesce(F.regexp_extract("message", "^page ([0-9]+)", 1).try_cast("int"), F.lit(0))
+    return e.select(F.col("file_id").cast("long").alias("doc_id"), page.alias("page_index"), "code", F.when(F.col("code") == "operator", F.regexp_extract("message", "^page [0-9]+: [A-Za-z]+", 0)).otherwise(F.col("message")).alias("message"))
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, i, x FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+s AS (SELECT doc_id, 1::INT AS i, string_agg(x, chr(10) ORDER BY i) AS x FROM l WHERE trim(x) <> '' GROUP BY ALL)
+SELECT doc_id, md5(translate(regexp_replace(x, '[^ -~\n]', ' ', 'g'),
+ '"$''*-@ABCDEFGHIJKLMNOPQRSTUVWXYZ\^`abcdefghijklmnopqrstuvwxyz~',
+ '∀∃∋∗−≅ΑΒΧΔΕΦΓΗΙϑΚΛΜΝΟΠΘΡΣΤΥςΩΞΨΖ∴⊥' || chr(63717) || 'αβχδεφγηιϕκλμνοπθρστυϖωξψζ∼')) AS digest FROM s
+""")
+def pdf_symbol_font(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in the codes of the Symbol font, which has an encoding of its own."""
+    d = pdf.Documents(_pdfs(spark, sf_dir, font="symbol"))
+    lines = d.elements.groupBy(F.col("file_id").cast("long").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("page_index", "obj_seq", "text"))).alias("t"))
+    return lines.select("doc_id", F.md5(F.array_join(F.transform("t", lambda x: x["text"]), "\n")).alias("digest"))
+
+
+@query("""
+WITH l AS (SELECT doc_id, i, x, CASE WHEN i <= (n + 1) // 2 THEN 0 ELSE 1 END::INT AS page_index
+  FROM (SELECT doc_id, len(string_split(text, chr(10))) AS n, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE trim(x) <> '')
+SELECT doc_id, page_index, (row_number() OVER (PARTITION BY doc_id, page_index ORDER BY i) - 1)::BIGINT AS place, x AS line_text FROM l
+""")
+def pdf_two_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A heading and two columns of text side by side are read one column after the other."""
+    lines = contents.page_lines(pdf.Documents(_pdfs(spark, sf_dir, style="columns")).elements)
+    place = F.row_number().over(Window.partitionBy("file_id", "page_index").orderBy("line_id")) - 1
+    return lines.select(F.col("file_id").cast("long").alias("doc_id"), "page_index", place.cast("long").alias("place"), "line_text")
+
+
 @query(LINES_SQL)
 def pdf_kerned_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words are set apart by kerning only, and broken into pieces and operators without a move."""
@@ -474,6 +547,29 @@ def table_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("o_custkey", layout.render_table(F.col("rows")).alias("rendered"))
 
 
+@query("""
+WITH w AS (SELECT o_custkey, o_orderkey, [CASE WHEN o_orderkey % 3 <> 1 THEN o_orderstatus END, CASE WHEN o_orderkey % 5 <> 2 THEN o_orderpriority END, CASE WHEN o_orderkey % 3 <> 2 THEN o_orderkey::VARCHAR END] AS c FROM orders),
+n AS (SELECT DISTINCT o_custkey FROM w WHERE c[1] IS NOT NULL AND c[2] IS NOT NULL AND c[3] IS NOT NULL)
+SELECT o_custkey, string_agg(array_to_string(list_transform(c, lambda x: coalesce(x, ' ')), ' || '), chr(10) ORDER BY o_orderkey) AS rendered
+FROM (SELECT 0 AS o_orderkey, o_custkey, ['status', 'priority', 'key'] AS c FROM n UNION ALL SELECT 1, o_custkey, ['s', 'p', 'k'] FROM n UNION ALL SELECT o_orderkey + 2, o_custkey, c FROM w SEMI JOIN n USING (o_custkey) WHERE c[3] IS NOT NULL AND (c[1] IS NOT NULL OR c[2] IS NOT NULL))
+GROUP BY o_custkey
+""")
+def table_blank_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of orders under a heading of two lines; some skip their first or their middle cell."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", (F.col("o_orderkey") + 2).alias("row"), F.when(F.col("o_orderkey") % 3 != 1, F.col("o_orderstatus")).alias("a"), F.when(F.col("o_orderkey") % 5 != 2, F.col("o_orderpriority")).alias("b"), F.when(F.col("o_orderkey") % 3 != 2, F.col("o_orderkey").cast("string")).alias("c"))
+    full = F.col("a").isNotNull() & F.col("b").isNotNull() & F.col("c").isNotNull()
+    some = o.where(full).select("o_custkey").distinct()
+    kept = o.join(some, "o_custkey", "left_semi").where("c is not null and (a is not null or b is not null)")
+    heads = some.select("o_custkey", F.inline(F.array(*[F.struct(F.lit(i).cast("long").alias("row"), *[F.lit(x).alias(n) for n, x in zip("abc", words, strict=True)]) for i, words in enumerate((("status", "priority", "key"), ("s", "p", "k")))])))
+    rows = kept.unionByName(heads).withColumn("obj_seq", F.row_number().over(Window.partitionBy("o_custkey").orderBy("row")))
+    cell = lambda i, n: F.struct(F.lit(i).alias("elem_seq"), F.lit(200.0 * i).alias("tx"), F.col(n).alias("text"))
+    e = rows.select("o_custkey", "obj_seq", F.inline(F.filter(F.array(*[cell(i, n) for i, n in enumerate("abc")]), lambda x: x["text"].isNotNull())))
+    e = e.withColumns({"ty": F.col("obj_seq") * -12.0, "width": F.char_length("text") * 5.0, "scale_y": F.lit(10.0), "space_width": F.lit(5.0)})
+    key = ["o_custkey"]
+    found = tables.table_rows(tables.divide_columns(layout.lines_and_groups(layout.reading_order(e, key), key), key), key)
+    return found.select("o_custkey", layout.render_table(F.col("rows")).alias("rendered"))
+
+
 # --- trees and precedence
 
 
@@ -539,16 +635,13 @@ def affine_product(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT p_partkey, CASE
-  WHEN regexp_matches(n, 'courier|mono|consol|typewriter') THEN 'monospace' WHEN regexp_matches(n, 'arial|helvetica|verdana|tahoma|calibri|sans|gothic') THEN 'sans-serif'
-  WHEN regexp_matches(n, 'times|georgia|garamond|palatino|bookman|serif|roman|century|cambria') THEN 'serif' WHEN regexp_matches(n, 'symbol|dingbat|wingding') THEN 'symbol'
-  WHEN regexp_matches(n, 'script|cursive|chancery|hand') THEN 'cursive' ELSE 'sans-serif' END
-  || CASE WHEN regexp_matches(n, 'bold|black|heavy') AND regexp_matches(n, 'italic|oblique') THEN '-bold-italic' WHEN regexp_matches(n, 'bold|black|heavy') THEN '-bold' WHEN regexp_matches(n, 'italic|oblique') THEN '-italic' ELSE '' END AS family
-FROM (SELECT p_partkey, lower(['Times-Roman', 'Helvetica-Bold', 'CourierNew', 'ABCDEF+Georgia-BoldItalic', 'ZapfDingbats', 'Unknown'][(p_partkey % 6 + 1)::INT]) AS n FROM part)
+SELECT p_partkey, font, face FROM part JOIN (VALUES (0, 'ARIAL', 'sans-serif'), (1, 'COURIER_BOLD_ITALIC', 'serif-monospace'), (2, 'TIMES_ITALIC', 'serif-italic'), (3, 'TIMES_NEW_ROMAN', 'serif'), (4, 'HELVETICA_BOLD', 'sans-serif-bold'), (5, 'SYMBOL', 'sans-serif'), (6, 'DEFAULT', 'sans-serif'), (7, 'ITC_STONE_SERIF', 'serif'), (8, 'SANS_SERIF_BOLD', 'sans-serif-bold'), (9, 'MONOSPACE', 'monospace'), (10, 'ZAPFDINGBATS', 'sans-serif'), (11, 'DEFAULT_ITALIC', 'sans-serif-italic'), (12, 'CURSIVE', 'cursive'), (13, 'CASUAL', 'casual'), (14, 'DEFAULT', 'sans-serif'), (15, 'SERIF_BOLD_ITALIC', 'serif-bold-italic')) AS v(i, font, face) ON p_partkey % 16 = i
 """)
 def font_family(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = F.array(*[F.lit(x) for x in ("Times-Roman", "Helvetica-Bold", "CourierNew", "ABCDEF+Georgia-BoldItalic", "ZapfDingbats", "Unknown")])
-    return table(spark, sf_dir, "part").select("p_partkey", scalars.font_family(F.get(names, (F.col("p_partkey") % 6).cast("int"))).alias("family"))
+    """Names of fonts in files, their font by the rules, and the typeface where its fallbacks end; the SQL has the expected ones."""
+    names = F.array(*[F.lit(x) for x in ("ArialMT", "Courier-BoldOblique", "ABCDEF+Times-Italic", "TimesNewRomanPS-BoldMT", "HELVETICA-bold", "Symbol", "SymbolMT", "ITCStoneSerif", "MS Sans Serif Bold", "DejaVuSansMono", "Zapf-Dingbats", "Garamond-Italic", "BrushCursive", "Casual-Bold", "", "LiberationSerif-BoldItalic")])
+    font = fonts.font_name(F.get(names, (F.col("p_partkey") % 16).cast("int")))
+    return table(spark, sf_dir, "part").select("p_partkey", font.alias("font"), fonts.typeface(font).alias("face"))
 
 
 @query("""

@@ -22,18 +22,37 @@ def _simple(text: str) -> bytes:
     return b"".join(own.get(c) or c.encode("cp1252", "replace") for c in text)
 
 
+def _symbol(text: str) -> bytes:
+    return bytes(ord(c) if " " <= c <= "~" else 0x20 for c in text)
+
+
 def page_content(lines: list[str], size: int = 10, leading: int = 12, font: str = "cid", style: str = "plain") -> bytes:
     """One text object per line, from top to bottom; blank lines draw nothing.
 
-    style kerned: words are set apart by kerning, and break into pieces and operators that follow each other.
+    style kerned: words are set apart by kerning, and break into pieces and operators that follow each other; columns: the
+    first line is a heading, the others stand in two text objects side by side; cells: words of a line in columns, "-" leaves
+    its cell blank.
     """
-    hexed = lambda t: f"<{(_simple if font == 'simple' else _cid)(t).hex()}>"
+    hexed = lambda t: f"<{ {'simple': _simple, 'symbol': _symbol}.get(font, _cid)(t).hex()}>"
 
     def halves(word: str) -> str:
         k = len(word) // 2
         return f"{hexed(word[:k])} 20 {hexed(word[k:])}" if k else hexed(word)
 
     parts = []
+    if style == "columns":
+        lines = [x for x in lines if x.strip()]
+        right = 100 + max((len(x) * size for x in lines), default=0)
+        half = max(3, (len(lines) + 2) // 2)
+        for x, y, some in ((50, 0, lines[:1]), (50, -30, lines[1:half]), (right, -30, lines[half:])):
+            shown = f" 0 {-leading} Td ".join(f"{hexed(line)} Tj" for line in some)
+            parts.append(f"BT /F1 {size} Tf 1 0 0 1 {x} {y} Tm {shown} ET\n" if some else "")
+        return "".join(parts).encode()
+    if style == "cells":  # words of a line in columns; the word "-" leaves its cell blank
+        wide = 60 + max((len(w) * size for x in lines for w in x.split()), default=0)
+        for i, line in enumerate(lines):
+            parts += [f"BT /F1 {size} Tf 1 0 0 1 {50 + wide * k} {-leading * i} Tm {hexed(w)} Tj ET\n" for k, w in enumerate(line.split()) if w != "-"]
+        return "".join(parts).encode()
     for i, line in enumerate(lines):
         if not line.strip():
             continue
@@ -52,7 +71,12 @@ def write_pdf(
     pages: list[list[str]], layout: str = "table", titles: list[str] | None = None, password: bytes | None = None, font: str = "cid", style: str = "plain", outline: list[tuple[str, int, list[str]]] | None = None
 ) -> bytes:
     """layout: table (classic cross-references), stream (with object streams), broken (offsets wrong); with a second section:
-    update (a new page tree), replaced (new content streams), freed (a page is taken away).
+    update (a new page tree), replaced (new content streams), freed (a page is taken away).  Odd ones: indirect (length,
+    filter and parameters of content streams by reference, and every second stream plain, with the keyword that ends one
+    in it), untyped (a nested page tree whose nodes have no type), one (a table that starts at 1 instead of 0).  Faulty
+    ones, by page: nocontents (none), lost (it names a missing object), operand (a wrong one before the text).
+
+    font symbol: text is in the codes of the Symbol font.
 
     titles: outline items, of the pages in turn; outline: (title, page, titles below it) instead.
     """
@@ -86,9 +110,19 @@ def write_pdf(
     else:
         objects[3] = b"<</Type/Font/Subtype/Type0/BaseFont/Helvetica/Encoding/Identity-H/ToUnicode 4 0 R/DescendantFonts[5 0 R]>>"
         objects[5] = b"<</Type/Font/Subtype/CIDFontType2/BaseFont/Helvetica/DW 500/W[1 [500 500] 32 64 500]>>"
+    if font == "symbol":
+        objects[3] = f"<</Type/Font/Subtype/Type1/BaseFont/ABCDEF+Symbol/FirstChar 0/LastChar 255/Widths[{' '.join(['500'] * 256)}]/FontDescriptor 5 0 R>>".encode()
+        objects[5] = b"<</Type/FontDescriptor/FontName/ABCDEF+Symbol/Flags 4>>"
+    kind = "" if layout == "untyped" else "/Type/Page"
     for n, lines in zip(kids, pages, strict=True):
-        objects[n] = f"<</Type/Page/Parent 2 0 R/Contents {n + 1} 0 R>>".encode()
-        streams[n + 1] = page_content(lines, font=font, style=style)
+        content = {"nocontents": "", "lost": "/Contents 99999 0 R"}.get(layout, f"/Contents {n + 1} 0 R")
+        objects[n] = f"<<{kind}/Parent 2 0 R{content}>>".encode()
+        streams[n + 1] = (b"/F1 (x) Tf /a /b Td\n" if layout == "operand" else b"") + page_content(lines, font=font, style=style)
+    if layout == "untyped":
+        nodes = [30_000 + i for i in range(len(kids))]  # one above each page, and one above them
+        objects |= {n: f"<</Count 1/Kids[{k} 0 R]>>".encode() for n, k in zip(nodes, kids, strict=True)}
+        objects[29_999] = f"<</Kids[{' '.join(map(ref, nodes))}]>>".encode()
+        objects[2] = f"<</Count {len(pages)}/Kids[29999 0 R]/Resources<</Font<</F1 3 0 R>>>>>>".encode()
     if gone:
         objects[8], streams[9] = b"<</Type/Page/Parent 2 0 R/Contents 9 0 R>>", page_content(["GONE"])
 
@@ -118,7 +152,15 @@ def write_pdf(
             data = secret(n, data)
         return b"<</Filter/FlateDecode/Length %d%s>>\nstream\n%s\nendstream" % (len(data), more, data)
 
+    if layout == "indirect":
+        objects |= {30_000: b"/FlateDecode", 30_001: b"<</Predictor 1>>"}
     for n, data in streams.items():
+        if layout == "indirect" and n != 4:
+            plain = n % 2 == 0
+            data = b"% endstream endobj 1 0 obj\n" + data if plain else zlib.compress(data)
+            objects[40_000 + n] = b"%d" % len(data)
+            put(n, b"<</Length %d 0 R%s>>\nstream\n%s\nendstream" % (40_000 + n, b"" if plain else b"/Filter 30000 0 R/DecodeParms 30001 0 R", data))
+            continue
         put(n, stream(n, page_content(["OLD"]) if layout == "replaced" and n != 4 else data))
     if layout == "stream":
         body, head = b"", []
@@ -141,7 +183,12 @@ def write_pdf(
 
     def section(numbers: list[int], more: str, free: list[int] = ()) -> None:
         start_at = len(out)
-        out.extend(b"xref\n0 1\n0000000000 65535 f \n")
+        if layout == "one":
+            out.extend(f"xref\n1 {max(numbers) + 1}\n0000000000 65535 f \n".encode())
+            out.extend("".join(f"{at.get(n, 0):010d} 00000 {'n' if n in at else 'f'} \n" for n in range(1, max(numbers) + 1)).encode())
+            numbers = []
+        else:
+            out.extend(b"xref\n0 1\n0000000000 65535 f \n")
         for n in free:
             out.extend(f"{n} 1\n0000000000 00001 f \n".encode())
         for n in numbers:
