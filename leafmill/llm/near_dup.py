@@ -53,6 +53,8 @@ _U = np.uint64
 #: Variates of consistent weighted sampling come from tables of this many entries, by hash; weights are sampled by
 #: their logarithm in steps of 1 / STEPS, from LEAST_LEVEL on: e ** 30 is more than a text's words times any frequency.
 TABLE_BITS, STEPS, LEAST_LEVEL, LEVELS = 13, 16, -32, 512
+#: Shingles that are sampled at once, so that all their samples stay in the processor's cache; rows that are Python objects at once.
+CHUNK, SLICE = 1024, 256
 
 
 @lru_cache(maxsize=1)
@@ -67,6 +69,13 @@ def _tables() -> dict[str, np.ndarray]:
     return {"rank": rank.ravel(), "r": r, "beta": beta, "place": odd(SHINGLE, _U, 1 << 63), "sample": odd(BANDS * ROWS, np.uint32, 1 << 31)[:, None]}
 
 
+@lru_cache(maxsize=1)
+def _buffers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Room for a chunk's table slots, places and ranks, used again for each."""
+    shape = (BANDS * ROWS, CHUNK)
+    return np.empty(shape, np.uint32), np.empty(shape, np.intp), np.empty(shape, np.float32)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
@@ -155,21 +164,23 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 def bands(h: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Hashes of the bands: each sample is the (shingle, quantised log weight) of least rank; of equal ones the first shingle's."""
-    t, k = _tables(), BANDS * ROWS
-    best, shingle, step = np.full(k, np.inf, np.float32), np.zeros(k, _U), np.zeros(k, np.int64)
+    t, k, held = _tables(), BANDS * ROWS, _buffers()
+    best, where, cell = np.full(k, np.inf, np.float32), np.zeros(k, np.int64), np.zeros(k, np.int64)
     level = (np.rint(np.log(weight) * STEPS) - LEAST_LEVEL).astype(np.uint32) << np.uint32(TABLE_BITS)
-    row = np.arange(k)
-    for i in range(0, len(h), 4096):
-        part = h[i : i + 4096]
-        at = (((part >> _U(32)).astype(np.uint32)[None, :] * t["sample"] >> np.uint32(32 - TABLE_BITS)) + level[i : i + 4096]).astype(np.intp)
-        rank = t["rank"].take(at)
+    high, row = (h >> _U(32)).astype(np.uint32), np.arange(k)
+    for i in range(0, len(h), CHUNK):
+        n = min(CHUNK, len(h) - i)
+        slot, at, rank = (x[:, :n] for x in held)
+        np.multiply(high[i : i + n], t["sample"], out=slot)
+        np.right_shift(slot, np.uint32(32 - TABLE_BITS), out=slot)
+        np.add(slot, level[i : i + n], out=at, casting="unsafe")
+        np.take(t["rank"], at, out=rank, mode="clip")
         least = rank.argmin(axis=1)
-        better = rank[row, least] < best
-        best = np.where(better, rank[row, least], best)
-        shingle = np.where(better, part[least], shingle)
-        entry = at[row, least] & ((1 << TABLE_BITS) - 1)
-        found = np.floor(((at[row, least] >> TABLE_BITS) + LEAST_LEVEL) / STEPS / t["r"][entry] + t["beta"][entry]).astype(np.int64)
-        step = np.where(better, found, step)
+        found = rank[row, least]
+        better = found < best
+        best, where, cell = np.where(better, found, best), np.where(better, i + least, where), np.where(better, at[row, least], cell)
+    shingle, entry = h[where], cell & ((1 << TABLE_BITS) - 1)
+    step = np.floor(((cell >> TABLE_BITS) + LEAST_LEVEL) / STEPS / t["r"][entry] + t["beta"][entry]).astype(np.int64)
     sample = _mix(shingle + step.astype(_U) * _U(0x9E3779B97F4A7C15)).reshape(BANDS, ROWS)
     out = np.arange(1, BANDS + 1, dtype=_U)
     for j in range(ROWS):
@@ -177,6 +188,11 @@ def bands(h: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A few rows of a batch at a time, so that only they are Python objects."""
+    return (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE))
+
+
 def _words(text: bytes | None) -> list[bytes]:
     """Lower-casing and splitting bytes touch just A-Z and the six white-space controls."""
     return text.lower().split() if text else []
@@ -188,7 +204,7 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[bytes] = Counter()
         flush = lambda: pa.RecordBatch.from_arrays([pa.array(word_hashes(seen, len(seen))), pa.array(list(seen.values()), pa.int64())], ["h", "n"])
-        for b in batches:
+        for b in _sliced(batches):
             for text in b.column("text").to_pylist():
                 seen.update(set(_words(text)))
                 if len(seen) > FLUSH_WORDS:
@@ -212,12 +228,14 @@ def known_words(counts: DataFrame, n_docs: int) -> Words:
 
 
 def _read(docs: DataFrame, shared) -> DataFrame:  # noqa: ANN001
-    """(doc_id, th, key, packed, rare): key is null for texts without words; one row of a content in each batch has it packed, with the words to look up."""
+    """(doc_id, th, key, packed, rare): key is null for texts without words; one row of a content in a task has it packed, or a few, with the words to look up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack, known, asked = zstandard.ZstdCompressor(level=1).compress, shared.value, {}
-        for b in batches:
-            done: set[bytes] = set()
+        done: set[bytes | None] = set()
+        for b in _sliced(batches):
+            if len(done) > FLUSH_WORDS:
+                done.clear()
             keys, packed, rare = [], [], []
             for text in b.column("text").to_pylist():
                 words = _words(text)
@@ -257,7 +275,7 @@ def _sketch(contents: DataFrame, shared) -> DataFrame:  # noqa: ANN001
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vocabulary(shared.value)
-        for b in batches:
+        for b in _sliced(batches):
             found = [bands(*v.of_content(*x)) for x in _rows(b, "packed", "words", "counts")]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("no").to_numpy(), BANDS)), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], ["no", "bk"])
 
@@ -270,8 +288,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, shared, least: float) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vocabulary(shared.value)
         known: dict[int, tuple] = {}
-        for batch in batches:
-            last, out = None, []
+        last = None
+        for batch in _sliced(batches):
+            out = []
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             for x, y, p, q in zip(a, b, _rows(batch, "pa", "wa", "ca"), _rows(batch, "pb", "wb", "cb"), strict=True):
                 if x != last:
@@ -294,7 +313,7 @@ def _shareable(wanted: DataFrame, texts: DataFrame, shared, box: Scratch) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vocabulary(shared.value)
-        for b in batches:
+        for b in _sliced(batches):
             for no, x in zip(b.column("no").to_pylist(), _rows(b, "packed", "words", "counts"), strict=True):
                 h, weight = v.of_content(*x)
                 for i in range(0, len(h), 65536):  # long texts in pieces
