@@ -275,7 +275,9 @@ class Model:
         word_n = np.array([0, rows, *[n for _, n in found]], dtype=np.int64)
         others = box.put(_named(self.counts.where(~frequent)))
         self.twice = _bits(others.where(F.col("n") >= LEAST), "id")
-        grams = box.put(ngram_counts(docs, share((words, self.twice, None)), 2))
+        known = share((words, self.twice, None))
+        grams = box.put(ngram_counts(docs, known, 2))
+        known.destroy()  # each executor has it on its disk
         _freed(spark)
 
         rare = others.where(F.col("n") >= LEAST).select("id", F.col("n").cast("double").alias("v"))
@@ -292,7 +294,9 @@ class Model:
             back[i] = v
         rare_backs = first_backs.where("id < 0")
         # two words before
-        found3 = box.put(ngram_counts(docs, share((words, self.twice, pair_bits)), 3))
+        known = share((words, self.twice, pair_bits))
+        found3 = box.put(ngram_counts(docs, known, 3))
+        known.destroy()
         _freed(spark)
         second = pairs.select("b", "c", F.col("p").alias("below"))
         first = pairs.select(F.col("b").alias("a"), F.col("c").alias("b"), F.col("n").alias("before"))
