@@ -15,6 +15,7 @@ columns, and the kernel values times the regression weights.  The whole text of
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 MAX_TRAIN, MAX_LANDMARKS = 1200, 96
 #: Languages that can be told apart; more are an error.
 MAX_LANGUAGES = 300
@@ -51,24 +54,46 @@ def ngrams(text: str) -> np.ndarray:
     return np.unique(np.concatenate(found)).view(np.int64)
 
 
+def landmark_places(langs: list[str]) -> list[int]:
+    """The first rows of each language, as many of each."""
+    share, seen, out = max(1, MAX_LANDMARKS // max(1, len(set(langs)))), Counter(), []
+    for i in sorted(range(len(langs)), key=lambda i: (langs[i], i)):
+        seen[langs[i]] += 1
+        if seen[langs[i]] <= share:
+            out.append(i)
+    return out
+
+
 class Model:
     """The landmarks' n-grams and columns, weights by language and the languages in order."""
 
     def __init__(self, sets: list[np.ndarray], langs: list[str]) -> None:
         """sets: n-grams of the training texts."""
+        marks = landmark_places(langs)
+        self.set_landmarks([sets[i] for i in marks])
+        self.fit(self.kernel(sets), langs, marks)
+
+    @classmethod
+    def of_landmarks(cls, sets: list[np.ndarray]) -> Model:
+        """A model that has kernel values, but isn't fitted."""
+        out = cls.__new__(cls)
+        out.set_landmarks(sets)
+        return out
+
+    def set_landmarks(self, sets: list[np.ndarray]) -> None:
+        self.grams = np.unique(np.concatenate(sets))
+        self.landmarks = self.rows(sets).T / np.sqrt([max(1, len(x)) for x in sets]).astype(np.float32)
+
+    def fit(self, k_xm: np.ndarray, langs: list[str], marks: list[int]) -> None:
+        """Weights from the training texts' kernel values with the landmarks, which are those at ``marks``."""
         self.langs = sorted(set(langs))
-        by = {k: [i for i, v in enumerate(langs) if v == k] for k in self.langs}
-        share = max(1, MAX_LANDMARKS // max(1, len(self.langs)))
-        marks = [i for k in self.langs for i in by[k][:share]]
-        self.grams = np.unique(np.concatenate([sets[i] for i in marks]))
-        self.landmarks = self.rows([sets[i] for i in marks]).T / np.sqrt([max(1, len(sets[i])) for i in marks]).astype(np.float32)
-        k_xm = self.kernel(sets)
         value, vector = np.linalg.eigh(k_xm[marks].astype(np.float64))
         keep = value > 1e-6 * max(value.max(initial=0.0), 1e-12)
         root = vector[:, keep] / np.sqrt(value[keep])
         f = k_xm @ root
         # each language weighs the same, however many rows it has
-        w = np.array([1 / len(by[k]) for k in langs])
+        many = {k: langs.count(k) for k in self.langs}
+        w = np.array([1 / many[k] for k in langs])
         y = np.where(np.array(langs)[:, None] == np.array(self.langs)[None, :], 1.0, -1.0)
         left = f.T @ (f * w[:, None]) + RIDGE * np.eye(f.shape[1]) / max(1, f.shape[1])
         self.weights = (root @ np.linalg.solve(left, f.T @ (y * w[:, None]))).astype(np.float32)
@@ -101,30 +126,55 @@ class Model:
 def train(labelled: DataFrame, max_train: int = MAX_TRAIN) -> Model | None:
     """From (doc_id, text, lang); null languages and texts without a letter are left out.  None without any row."""
     d = labelled.select("doc_id", "text", "lang").where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}"))
-    counts = d.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    # rows are told apart by id and text, so neither null nor shared ids keep or lose a language as a whole; equal ones count once
+    d = d.select("lang", "text", F.xxhash64(F.lit(17), "doc_id", "text").alias("draw"))
+    counts = d.groupBy("lang").agg(F.approx_count_distinct("draw", 0.02).alias("n")).limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
         return None
     each = max(4, max_train // len(counts))
-    # a hash below the language's own threshold; about a quarter more than needed, so that each has enough
-    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 1.25 * each / r["n"]))) for r in counts])
-    draw = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = d.where(draw <= share).select("text", "lang", draw.alias("draw"))
+    # a hash below the language's own threshold; a few more than needed, so that each has enough
+    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, (1.25 * each + 8) / max(1, r["n"])))) for r in counts])
+    part = F.pmod(F.col("draw"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = d.where(part <= share).groupBy("lang", "draw").agg(F.first("text").alias("text"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [ngrams(t).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("draw"), pa.array(found, pa.binary())], ["lang", "draw", "grams"])
-
-    # what reaches the driver is the set of n-grams of each row of the sample, not its text; the smallest hashes, so reruns agree
-    drawn = sample.mapInArrow(sets, "lang string, draw double, grams binary").orderBy("draw", "grams").limit(2 * max_train + 8 * len(counts))
-    found: dict[str, list[bytes]] = {}
-    for r in drawn.collect():
-        own = found.setdefault(r["lang"], [])
-        if len(own) < each and bytes(r["grams"]) not in own:
-            own.append(bytes(r["grams"]))
-    return Model([np.frombuffer(x, np.int64) for k in sorted(found) for x in found[k]], [k for k in sorted(found) for _ in found[k]])
+            for i in range(0, b.num_rows, BATCH):
+                rows = b.slice(i, BATCH)
+                found = [ngrams(t).tobytes() for t in rows.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([rows.column("lang"), rows.column("draw"), pa.array(found, pa.binary())], ["lang", "draw", "grams"])
+
+    box = Scratch(labelled.sparkSession)
+    drawn = box.put(sample.mapInArrow(sets, "lang string, draw long, grams binary").withColumn("same", F.xxhash64("lang", "grams")))
+    # the driver gets a few numbers of each row, the n-grams of the landmarks, and the others' values with them
+    by_hash = sorted((r["lang"], r["draw"] % (1 << 30), r["draw"], r["same"]) for r in drawn.select("lang", "draw", "same").collect())
+    chosen: dict[str, dict[int, int]] = {}
+    for lang, _, draw, same in by_hash:
+        own = chosen.setdefault(lang, {})
+        if len(own) < each:
+            own.setdefault(same, draw)
+    langs = [k for k in sorted(chosen) for _ in chosen[k]]
+    draws = [x for k in sorted(chosen) for x in chosen[k].values()]
+    marks = landmark_places(langs)
+    of = lambda draws: drawn.where(F.col("draw").isin(draws)).select("lang", "draw", "grams")
+    own = {(r["lang"], r["draw"]): np.frombuffer(bytes(r["grams"]), np.int64) for r in of([draws[i] for i in marks]).toLocalIterator()}
+    model = Model.of_landmarks([own[langs[i], draws[i]] for i in marks])
+    shared = labelled.sparkSession.sparkContext.broadcast(model)
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, BATCH):
+                rows = b.slice(i, BATCH)
+                k = shared.value.kernel([np.frombuffer(x, np.int64) for x in rows.column("grams").to_pylist()])
+                yield pa.RecordBatch.from_arrays([rows.column("lang"), rows.column("draw"), pa.array(list(k), pa.list_(pa.float32()))], ["lang", "draw", "k"])
+
+    k_of = {(r["lang"], r["draw"]): r["k"] for r in of(draws).mapInArrow(values, "lang string, draw long, k array<float>").collect()}
+    model.fit(np.array([k_of[x] for x in zip(langs, draws, strict=True)], np.float32), langs, marks)
+    shared.destroy()
+    box.drop()
+    return model
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:

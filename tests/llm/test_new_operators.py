@@ -12,8 +12,9 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from leafmill.llm import importance, spelling, substring
+from leafmill.llm import importance, lang_id, spelling, substring
 from leafmill.llm import queries as Q
 from leafmill.llm.fm_index import FMIndex
 
@@ -212,3 +213,14 @@ def test_resampling_of_ties_and_empty_tables(spark):
     out = importance.resampled(some, empty).toPandas()
     assert sorted(out["rank"].dropna()) == [1, 2, 3, 4] and out["score"].nunique() == 1
     assert pd.isna(importance.resampled(some.limit(3), some).toPandas()["rank"]).all()
+
+
+# ---- language identification: what the training sample keeps
+
+
+@pytest.mark.parametrize("same_id", [None, 7])
+def test_no_language_is_lost_by_its_ids(spark, same_id):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("lang", "text")
+    rows = docs.withColumn("doc_id", F.lit(same_id).cast("long")).unionByName(spark.createDataFrame([(9, "xx", "zulu qqq zzz")] * 400, "doc_id long, lang string, text string"))
+    model = lang_id.train(rows, max_train=60)
+    assert model.langs == sorted({r["lang"] for r in docs.where("lang is not null").select("lang").distinct().collect()} | {"xx"})
