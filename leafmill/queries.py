@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import codecs, scalars
+from .functions import codecs, scalars, udtf
 from .operators import cmaps, fonts, graph, layout, tables
 from .plans import contents
 from .sources import pdf
@@ -42,8 +42,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # --- PDF files written from documents
 
 
-def _pdfs(spark: SparkSession, sf_dir: str, titles: bool = False, **how: object) -> DataFrame:
-    """(file_id, content): a file of two pages for each document; with titles, its first three lines are outline items, the first word of each below it."""
+def _pdfs(spark: SparkSession, sf_dir: str, titles: bool = False, pages: bool = False, **how: object) -> DataFrame:
+    """(file_id, content): a file of two pages for each document; with titles, its first three lines are outline items, the first word of each below it.
+
+    pages: one to four pages instead, by the length of the text.
+    """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -53,7 +56,9 @@ def _pdfs(spark: SparkSession, sf_dir: str, titles: bool = False, **how: object)
                     lines = (text or "").split("\n")
                     half = (len(lines) + 1) // 2
                     outline = [(x[:20], k % 2, x.split()[:1]) for k, x in enumerate(lines[:3])] if titles else None
-                    files.append(pdfwriter.write_pdf([lines[:half], lines[half:]], outline=outline, **how))
+                    n = 1 + len(text or "") % 4
+                    cut = [lines[k::n] for k in range(n)] if pages else [lines[:half], lines[half:]]
+                    files.append(pdfwriter.write_pdf(cut, outline=outline, **how))
                 yield pa.RecordBatch.from_arrays([part.column("file_id"), pa.array(files, pa.binary())], ["file_id", "content"])
 
     return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file_id"), "text").mapInArrow(write, "file_id string, content binary")
@@ -211,14 +216,32 @@ def pdf_page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(F.col("file_id").cast("long").alias("doc_id"), "page_index", "text")
 
 
-@query("SELECT doc_id, 2::BIGINT AS n_pages FROM documents")
+@query("SELECT doc_id, (1 + length(text) % 4)::BIGINT AS n_pages FROM documents")
 def pdf_page_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pdf.Documents(_pdfs(spark, sf_dir)).page_counts.select(F.col("file_id").cast("long").alias("doc_id"), "n_pages")
+    """Files of one to four pages, by the length of the text."""
+    return pdf.Documents(_pdfs(spark, sf_dir, pages=True)).page_counts.select(F.col("file_id").cast("long").alias("doc_id"), "n_pages")
 
 
-@query("SELECT doc_id, 15::INT AS size, 1::INT AS root FROM documents")
+@query("SELECT doc_id, (12 + 3 * (length(text) % 4))::INT AS size, 1::INT AS root FROM documents")
 def pdf_trailer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pdf.Documents(_pdfs(spark, sf_dir)).trailers.select(F.col("file_id").cast("long").alias("doc_id"), "size", "root")
+    return pdf.Documents(_pdfs(spark, sf_dir, pages=True)).trailers.select(F.col("file_id").cast("long").alias("doc_id"), "size", "root")
+
+
+@query("""
+SELECT doc_id, count(*) FILTER (trim(x) <> '') AS n_elements, coalesce(sum(2 * length(x)) FILTER (trim(x) <> ''), 0)::BIGINT AS n_bytes
+FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents) GROUP BY doc_id HAVING count(*) FILTER (trim(x) <> '') > 0
+""")
+def pdf_sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From files to text elements in one SQL statement with table functions; codes have two bytes."""
+    udtf.register(spark)
+    return spark.sql(
+        """
+        SELECT CAST(o.file_id AS LONG) AS doc_id, count(*) AS n_elements, sum(aggregate(e.pieces, 0L, (a, x) -> a + length(x))) AS n_bytes
+        FROM {files} f, LATERAL pdf_open(f.file_id, f.content) o, LATERAL pdf_content(pdf_decode(o.value, o.raw)) e
+        WHERE o.kind = 'object' AND o.raw IS NOT NULL AND o.obj >= 10 AND e.kind = 'text' GROUP BY 1
+        """,
+        files=_pdfs(spark, sf_dir),
+    )
 
 
 OUTLINE_SQL = f"""
@@ -250,18 +273,20 @@ def pdf_wrong_password(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT doc_id, obj::INT AS obj, in_use, obj_stm::INT AS obj_stm FROM documents,
-(VALUES (1, TRUE, 20000), (2, TRUE, 20000), (3, TRUE, 20000), (4, TRUE, NULL), (5, TRUE, 20000), (10, TRUE, 20000), (11, TRUE, NULL), (13, TRUE, 20000), (14, TRUE, NULL), (20000, TRUE, NULL), (20001, TRUE, NULL)) AS v(obj, in_use, obj_stm)
+(VALUES (1, TRUE, 20000), (2, TRUE, 20000), (3, TRUE, 20000), (4, TRUE, NULL), (5, TRUE, 20000), (20000, TRUE, NULL), (20001, TRUE, NULL)) AS v(obj, in_use, obj_stm)
+UNION ALL SELECT doc_id, (10 + 3 * i + k)::INT, TRUE, CASE k WHEN 0 THEN 20000 END::INT FROM (SELECT doc_id, unnest(range(0, 1 + length(text) % 4)) AS i FROM documents), (VALUES (0), (1)) AS p(k)
 """)
 def xref_stream_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = pdf.Documents(_pdfs(spark, sf_dir, layout="stream")).xref
+    x = pdf.Documents(_pdfs(spark, sf_dir, pages=True, layout="stream")).xref
     return x.select(F.col("file_id").cast("long").alias("doc_id"), "obj", "in_use", "obj_stm")
 
 
 @query("""
-SELECT doc_id, obj::INT AS obj, kind FROM documents, (VALUES (1, '/Catalog'), (2, '/Pages'), (3, '/Font'), (5, '/Font'), (10, '/Page'), (13, '/Page')) AS v(obj, kind)
+SELECT doc_id, obj::INT AS obj, kind FROM documents, (VALUES (1, '/Catalog'), (2, '/Pages'), (3, '/Font'), (5, '/Font')) AS v(obj, kind)
+UNION ALL SELECT doc_id, (10 + 3 * unnest(range(0, 1 + length(text) % 4)))::INT, '/Page' FROM documents
 """)
 def objstm_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = pdf.Documents(_pdfs(spark, sf_dir, layout="stream")).objects.where("pos is null")
+    o = pdf.Documents(_pdfs(spark, sf_dir, pages=True, layout="stream")).objects.where("pos is null")
     return o.select(F.col("file_id").cast("long").alias("doc_id"), "obj", F.get_json_object("value", "$.Type").alias("kind"))
 
 

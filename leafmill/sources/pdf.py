@@ -61,29 +61,30 @@ def _per_row(df: DataFrame, rows: Callable[..., list[tuple]], schema: str) -> Da
     return df.mapInArrow(run, schema)
 
 
+def opened_rows(file_id: str, content: bytes | None) -> list[tuple]:
+    """The rows of ``open_files`` for one file."""
+    try:
+        b, out = bytes(content), []
+        found = B.objects(b)
+        sections = B.sections(b) or [([], {"Root": {"r": [o, g]}}) for o, g, _, v, *_ in found[::-1] if isinstance(v, dict) and v.get("Type") == "/Catalog"][:1]
+        for s, (entries, trailer) in enumerate(sections):
+            out += [(file_id, "xref", s, o, g, p, u, m, i, None, None, None) for o, g, p, u, m, i in entries]
+            out.append((file_id, "trailer", s, None, None, None, None, None, None, json.dumps(trailer), None, None))
+        by_number = {o: v for o, _, _, v, *_ in found}
+        for o, g, p, v, at, n in found:
+            v = v if at is None else B.with_parameters(v, by_number)
+            out.append((file_id, "object", None, o, g, p, None, None, None, json.dumps(v), None if at is None else b[at : at + n], None))
+        return out or [(file_id, "error", *[None] * 9, "no objects")]
+    except Exception as e:  # noqa: BLE001  errors are data
+        return [(file_id, "error", *[None] * 9, f"{type(e).__name__}: {e}"[:200])]
+
+
 def open_files(files: DataFrame) -> DataFrame:
     """One row per cross-reference entry, trailer and object of each file; an unreadable one gives an error row.
 
     Null content: an error.  Files without cross-references still give their objects.
     """
-
-    def rows(file_id: str, content: bytes | None) -> list[tuple]:
-        try:
-            b, out = bytes(content), []
-            found = B.objects(b)
-            sections = B.sections(b) or [([], {"Root": {"r": [o, g]}}) for o, g, _, v, *_ in found[::-1] if isinstance(v, dict) and v.get("Type") == "/Catalog"][:1]
-            for s, (entries, trailer) in enumerate(sections):
-                out += [(file_id, "xref", s, o, g, p, u, m, i, None, None, None) for o, g, p, u, m, i in entries]
-                out.append((file_id, "trailer", s, None, None, None, None, None, None, json.dumps(trailer), None, None))
-            by_number = {o: v for o, _, _, v, *_ in found}
-            for o, g, p, v, at, n in found:
-                v = v if at is None else B.with_parameters(v, by_number)
-                out.append((file_id, "object", None, o, g, p, None, None, None, json.dumps(v), None if at is None else b[at : at + n], None))
-            return out or [(file_id, "error", *[None] * 9, "no objects")]
-        except Exception as e:  # noqa: BLE001  errors are data
-            return [(file_id, "error", *[None] * 9, f"{type(e).__name__}: {e}"[:200])]
-
-    return _per_row(files.select("file_id", "content"), rows, OPENED)
+    return _per_row(files.select("file_id", "content"), opened_rows, OPENED)
 
 
 def _get(c: str | Column, path: str) -> Column:
@@ -461,6 +462,16 @@ class Documents:
             return df.observe(seen, F.approx_count_distinct("file_id").alias("files"), count("objects", "object"), F.count("raw").alias("streams"), F.sum(F.octet_length("raw")).alias("stream_bytes"), count("entries", "xref"), count("errors", "error"))
         return df.observe(seen, count("texts", "text"), count("external", "xobject"), count("inline", "inline"), count("errors", "error"))
 
+    def save_tables(self, buckets: int, prefix: str = "pdf_", names: tuple[str, ...] = ("objects", "pages", "outline", "fonts", "elements", "images", "errors")) -> None:
+        """Tables of the catalog, bucketed by file and sorted by file and page.
+
+        A query for a file reads one bucket, one for a page skips the other pages' rows; joins by file need no shuffle.
+        """
+        for name in names:
+            df = getattr(self, name)
+            order = [c for c in ("page_index", "stream_seq", "obj_seq") if c in df.columns]
+            df.repartition(buckets, "file_id").write.bucketBy(buckets, "file_id").sortBy("file_id", *order).mode("overwrite").saveAsTable(prefix + name)
+
     def create_views(self, prefix: str = "pdf_") -> None:
         for name in ("xref", "trailers", "objects", "pages", "page_counts", "outline", "fonts", "elements", "images", "errors"):
             getattr(self, name).createOrReplaceTempView(prefix + name)

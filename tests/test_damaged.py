@@ -145,3 +145,21 @@ def test_own_font_rules(spark):
     name = fonts.font_name(F.col("n"), rules)
     got = [tuple(r) for r in d.select(name, fonts.typeface(name, fonts.FALLBACKS | {"FOO": "GEORGIA", "HELVETICA": "BAR", "BAR": "HELVETICA"})).collect()]
     assert got == [("FOO_BOLD", "serif-bold"), ("HELVETICA", "sans-serif"), (None, None)]
+
+
+def test_saved_tables_are_read_by_bucket(spark):
+    d = Documents(files(spark, **{f"f{i}": write_pdf(PAGES) for i in range(6)}))
+    d.save_tables(4, "saved_", ("pages", "elements", "errors"))
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")  # else the plan doesn't tell
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    one = spark.table("saved_elements").where("file_id = 'f3' and page_index = 1")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "SelectedBucketsCount: 1 out of 4" in plan and "EqualTo(page_index,1)" in plan
+    assert [r["text"] for r in one.collect()] == ["three"]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    both = spark.table("saved_elements").join(spark.table("saved_pages").select("file_id", "resources"), "file_id")
+    assert "Exchange" not in both._jdf.queryExecution().executedPlan().toString() and both.count() == 6 * 3 * 2
+    for k in ("sources.bucketing.autoBucketedScan.enabled", "maxMetadataStringLength", "autoBroadcastJoinThreshold"):
+        spark.conf.unset(f"spark.sql.{k}")
+    for name in ("pages", "elements", "errors"):
+        spark.sql(f"drop table saved_{name}")
