@@ -13,8 +13,9 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from leafmill.llm import importance, lang_id, spelling, substring
+from leafmill.llm import bpe, importance, lang_id, spelling, substring
 from leafmill.llm import queries as Q
 from leafmill.llm.fm_index import FMIndex
 
@@ -224,3 +225,23 @@ def test_no_language_is_lost_by_its_ids(spark, same_id):
     rows = docs.withColumn("doc_id", F.lit(same_id).cast("long")).unionByName(spark.createDataFrame([(9, "xx", "zulu qqq zzz")] * 400, "doc_id long, lang string, text string"))
     model = lang_id.train(rows, max_train=60)
     assert model.langs == sorted({r["lang"] for r in docs.where("lang is not null").select("lang").distinct().collect()} | {"xx"})
+
+
+# ---- byte-pair encoding: words that no task knows beforehand
+
+
+@pytest.mark.parametrize("share", [1.0, 0.01])
+def test_rarer_words_are_encoded_by_tasks(spark, monkeypatch, share):
+    # with these no word, or few, are in the shared table, and a task forgets its own again and again
+    monkeypatch.setattr(bpe, "FREQUENT", share)
+    monkeypatch.setattr(bpe, "TASK_WORDS", 50)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(60)
+    docs = docs.unionByName(spark.createDataFrame([(-1, " ".join(f"Wörter{k * 7919}" for k in range(3000))), (-2, None), (-3, "")], "doc_id long, text string"))
+    tokenizer = Tokenizer.from_file(bpe.default_tokenizer())
+    want = set()
+    for r in docs.collect():
+        ids = tokenizer.encode(r["text"] or "", add_special_tokens=False).ids
+        digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        want.add((r["doc_id"], len(ids), digest(",".join(map(str, ids))), digest(tokenizer.decode(ids, skip_special_tokens=False))))
+    got = bpe.digest(docs).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    assert {tuple(r) for r in got.collect()} == want
