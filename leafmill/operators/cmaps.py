@@ -7,6 +7,8 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Codes of two bytes: no range of a font goes further.
+MAX_CODES = 0xFFFF
 #: Names of glyphs that no rule gives.
 GLYPHS = """
 space 0020 exclam 0021 quotedbl 0022 numbersign 0023 dollar 0024 percent 0025 ampersand 0026 quotesingle 0027 parenleft 0028 parenright 0029
@@ -150,8 +152,11 @@ def glyph_text(glyphs: DataFrame) -> DataFrame:
 
 
 def expand_ranges(ranges: DataFrame) -> DataFrame:
-    """(font, code, unicode) of (font, seq, lo, hi, dst): one row per code, so that a lookup is an equi-join; the first range wins."""
-    d = ranges.select("font", "seq", F.explode(F.sequence("lo", "hi")).alias("code"), "lo", "dst")
+    """(font, code, unicode) of (font, seq, lo, hi, dst): one row per code, so that a lookup is an equi-join; the first range wins.
+
+    A range holds two bytes' codes at most, whatever a broken font claims; one that ends before it begins has none.
+    """
+    d = ranges.where("hi >= lo").select("font", "seq", F.explode(F.sequence("lo", F.least("hi", F.col("lo") + MAX_CODES))).alias("code"), "lo", "dst")
     d = d.select("font", "seq", "code", (F.col("dst") + F.col("code") - F.col("lo")).alias("unicode"))
     return d.groupBy("font", "code").agg(F.min_by("unicode", "seq").alias("unicode"))
 
@@ -194,5 +199,5 @@ def cid_spans(fonts: DataFrame) -> DataFrame:
 def expand_widths(items: DataFrame) -> DataFrame:
     """(font, cid, width) of (font, first, last, width, widths): either a list from ``first`` on, or one width for a range."""
     listed = items.where("widths is not null").select("font", "first", F.posexplode("widths").alias("i", "width")).select("font", (F.col("first") + F.col("i")).alias("cid"), "width")
-    ranged = items.where("widths is null").select("font", F.explode(F.sequence("first", "last")).alias("cid"), "width")
+    ranged = items.where("widths is null and last >= first").select("font", F.explode(F.sequence("first", F.least("last", F.col("first") + MAX_CODES))).alias("cid"), "width")
     return listed.unionByName(ranged)
