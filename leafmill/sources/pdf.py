@@ -20,7 +20,7 @@ from ..durable import stored
 from ..functions.codecs import decode_stream, object_key, rc4_stream
 from ..functions.scalars import text_string
 from ..operators import cmaps
-from ..operators.graph import leaves, newest, walk
+from ..operators.graph import DEPTH, leaves, newest, too_deep, walk
 from . import pdf_bytes as B
 
 OPENED = "file_id string, kind string, section int, obj int, gen int, pos long, in_use boolean, obj_stm int, idx int, value string, raw binary, error string"
@@ -226,7 +226,9 @@ class Documents:
         freed = self.xref.where("not in_use").select(F.col("file_id").alias("tree"), F.col("obj").alias("child"))  # these are null on purpose
         self.lost_children = edges.where("child is not null").join(own.unionByName(freed, allowMissingColumns=True), ["tree", "child"], "left_anti").select(F.col("tree").alias("file_id"), "child")
         edges = edges.join(own, ["tree", "child"]).where("coalesce(type, '/Page') in ('/Page', '/Pages')")
-        found = leaves(walk(top, edges, self.keep), edges).select(F.col("tree").alias("file_id"), "page_index", F.col("node").alias("obj"), F.col("carried").alias("resources"))
+        walked = walk(top, edges, self.keep)
+        self.deep_trees = too_deep(walked, edges).select(F.col("tree").alias("file_id"))
+        found = leaves(walked, edges).select(F.col("tree").alias("file_id"), "page_index", F.col("node").alias("obj"), F.col("carried").alias("resources"))
         found = found.join(o, ["file_id", "obj"]).where((F.coalesce(_get("value", "Type"), F.lit("/Page")) == "/Page") & _get("value", "Kids").isNull())
         return self.keep(self._followed(found, "resources"))
 
@@ -433,6 +435,7 @@ class Documents:
         found = row(node.where(lost.isNotNull()), "tree", lost)
         _ = self.pages  # finds them
         found = found.unionByName(row(self.lost_children, "tree", F.concat(F.lit("object "), "child", F.lit(" is missing"))))
+        found = found.unionByName(row(self.deep_trees, "tree", F.lit(f"deeper than {DEPTH} levels")))
         if self.broken_streams is not None:
             found = found.unionByName(row(self.broken_streams, "objects", F.concat(F.lit("object "), "obj", F.lit(": "), "message")))
         found = found.unionByName(row(self.fonts.where("error is not null"), "font", F.concat_ws(" ", "base_font", "error")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from leafmill.operators import fonts, tables
+from leafmill.operators import fonts, graph, tables
 from leafmill.plans.contents import page_lines, page_parts, page_texts
 from leafmill.sources import pdf_bytes
 from leafmill.sources.pdf import Documents, PdfError
@@ -163,3 +163,11 @@ def test_saved_tables_are_read_by_bucket(spark):
         spark.conf.unset(f"spark.sql.{k}")
     for name in ("pages", "elements", "errors"):
         spark.sql(f"drop table saved_{name}")
+
+
+def test_walks_end_at_a_depth(spark):
+    edges = spark.createDataFrame([(t, i, 0, i + 1, None) for t, n in ((1, 3), (2, 9)) for i in range(n)], "tree int, parent int, ordinal int, child int, own string")
+    roots = spark.createDataFrame([(1, 0, "x"), (2, 0, "y")], "tree int, node int, carried string")
+    walked = graph.walk(roots, edges, depth=5)
+    assert {r["tree"]: r["n"] for r in walked.groupBy("tree").agg(F.max("node").alias("n")).collect()} == {1: 3, 2: 5}
+    assert [r["tree"] for r in graph.too_deep(walked, edges, 5).collect()] == [2]
