@@ -23,11 +23,11 @@ Probabilities after any state sum to one over the vocabulary and one unknown wor
 from __future__ import annotations
 
 import gc
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
@@ -39,7 +39,8 @@ LEAST = 2
 WORD_SHARE, NGRAM_SHARE = 5e-7, 2.5e-7
 MAX_FREQUENT_BYTES = 64
 DISCOUNT = 0.75
-FLUSH_WORDS, FLUSH_TOKENS = 200_000, 2_000_000
+#: Tokens that a task gathers before it hands on their counts; bytes of texts that it reads at once; tokens of a group of n-grams.
+FLUSH_TOKENS, SLICE_BYTES, GROUP_TOKENS = 1_000_000, 2_000_000, 25_000
 FOLDS, HELD_OUT = 7, 2
 #: Bits of the tables that narrow what is counted and asked for.
 FILTER_BITS = 27
@@ -49,56 +50,86 @@ NONE, NEVER = -1, -2
 ASKED, N_TOKENS, N_KNOWN, BASE, SCORE = range(5)
 
 
-def _words(text: bytes | None) -> list[bytes]:
-    """Lower-casing and splitting bytes touch just A-Z and the six white-space controls."""
-    return text.lower().split() if text else []
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of a bounded size; a text is never cut."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right")))
+            yield b.slice(at, end - at)
+            at = end
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of binary texts, one after another, and how many each text has.  Arrow's ASCII functions touch just A-Z and the six white-space controls."""
+    texts = pc.fill_null(texts, b"")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())))
+    words, n = lists.flatten().view(pa.binary()), np.diff(lists.offsets.to_numpy())
+    some = pc.binary_length(words).to_numpy() > 0  # white space at an end leaves an empty word there
+    if not some.all():
+        n = np.bincount(np.repeat(np.arange(len(n)), n)[some], minlength=len(n))
+        words = words.filter(pa.array(some))
+    return words, n
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) of a binary ``text`` column."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
-        flush = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-        for b in batches:
-            for text in b.column("text").to_pylist():
-                seen.update(_words(text))
-                if len(seen) > FLUSH_WORDS:
-                    yield flush()
-                    seen.clear()
+        parts, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            found = pc.value_counts(pa.chunked_array(parts, pa.binary()))
+            return pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["word", "n"])
+
+        for b in _sliced(batches):
+            parts.append(split_words(b.column("text"))[0])
+            size += len(parts[-1])
+            if size > FLUSH_TOKENS:
+                yield flush()
+                parts, size = [], 0
         yield flush()
 
     return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
-def word_hash(word: bytes) -> int:
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
     """Negative, and below NEVER."""
-    return min((xxh64_intdigest(word) >> 1) - (1 << 63), NEVER - 1)
+    h = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words)) >> np.uint64(1)
+    return np.minimum(h.view(np.int64) + np.iinfo(np.int64).min, NEVER - 1)
 
 
-class Numbers(dict):
-    """Number of a word: 0 is the start of a text, 1 its end, frequent words follow; any other has a negative hash, or NEVER."""
+class Numbers:
+    """Numbers of words: 0 is the start of a text, 1 its end, frequent words follow; any other has a negative hash, or NEVER."""
 
     def __init__(self, frequent: dict[bytes, int], twice: np.ndarray) -> None:
         """twice: bits of the hashes of words that occur twice."""
-        super().__init__()
         self.frequent, self.twice = frequent, twice
 
-    def __missing__(self, word: bytes) -> int:
-        n = self.frequent.get(word)
-        if n is None:
-            n = word_hash(word)
-            at = (n & (1 << 64) - 1) >> (63 - FILTER_BITS) & (1 << FILTER_BITS) - 1
-            n = n if int(self.twice[at >> 6]) >> (at & 63) & 1 else NEVER
-        if len(self) > FLUSH_WORDS:
-            self.clear()
-        self[word] = n
-        return n
-
-    def tokens(self, words: list[bytes]) -> np.ndarray:
-        out = np.empty(len(words) + 2, np.int64)
-        out[0], out[-1] = 0, 1
-        out[1:-1] = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return out
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The tokens of texts, one after another, each from its start to its end: numbers, with the hash of any word that isn't frequent; numbers, with NEVER; the row of each.
+
+        A word of the batch is numbered once.
+        """
+        words, n = split_words(texts)
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        get = self.frequent.get
+        ids = np.fromiter([get(w, -1) for w in distinct], np.int64, len(distinct))
+        rare = np.flatnonzero(ids < 0)
+        ids[rare] = h = word_hashes([distinct[i] for i in rare.tolist()])
+        known = ids.copy()
+        known[rare[~_has(self.twice, h)]] = NEVER
+        row = np.repeat(np.arange(len(n)), n + 2)
+        ends = np.cumsum(n + 2)
+        inner = np.ones(len(row), bool)
+        inner[ends - 1] = inner[ends - n - 2] = False
+        tokens, whole = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
+        tokens[ends - 1] = whole[ends - 1] = 1
+        at = coded.indices.to_numpy()
+        whole[inner], tokens[inner] = ids[at], known[at]
+        return whole, tokens, row
 
 
 def _place(k: np.ndarray) -> np.ndarray:
@@ -134,45 +165,69 @@ def _mixed(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     return x ^ (x >> u(31))
 
 
-def _pairs(t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(NONE, b, c) without words that no kept pair holds."""
-    b, c = t[:-1], t[1:]
-    ok = (b != NEVER) & (c != NEVER)
-    b, c = b[ok], c[ok]
-    return np.full(len(b), NONE), b, c
+def _pairs(t: np.ndarray) -> np.ndarray:
+    """Where the pairs begin that may be kept: of words that occur twice, in one text."""
+    return np.flatnonzero((t[:-1] != NEVER) & (t[1:] != NEVER) & (t[1:] != 0))
 
 
-def _triples(t: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, c) of pairs that may be kept, by their bits."""
-    b, c = t[:-1], t[1:]
-    kept = (b != NEVER) & (c != NEVER) & _has(pairs, _mixed(np.full(len(b), NONE), b, c))
-    at = np.flatnonzero(kept[:-1] & kept[1:])
-    return t[at], t[at + 1], t[at + 2]
+def _triples(t: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Where the triples begin of pairs that may be kept, by their bits."""
+    at = _pairs(t)
+    kept = np.zeros(len(t), bool)
+    kept[at[_has(pairs, _mixed(np.full(len(at), NONE), t[at], t[at + 1]))]] = True
+    return np.flatnonzero(kept[:-1] & kept[1:])
 
 
-def ngram_counts(docs: DataFrame, shared, order: int) -> DataFrame:  # noqa: ANN001
-    """(a, b, c, n) of the pairs (a is NONE) or triples that occur LEAST times; ``shared``: numbers of words, their bits, those of pairs."""
+def _counted(k: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Where the first of each key is, in the order of keys, and how often (or the sum of n)."""
+    order = k.argsort()
+    k = k[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(len(k), 1), bool), k[1:] != k[:-1]]))
+    return order[first], np.diff(first, append=len(k)) if n is None else np.add.reduceat(n[order], first) if len(k) else n
+
+
+def packed_ngrams(docs: DataFrame, shared, order: int, groups: int) -> DataFrame:  # noqa: ANN001
+    """(g, a, b, c, n): of each group of keys, what a task has counted, as arrays in binary columns, so that Spark shuffles few rows; order 2 has no a."""
+    names = "abc"[3 - order :]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, twice, kept = shared.value
         numbers, parts, size = Numbers(frequent, twice), [], 0
 
         def flush() -> pa.RecordBatch:
-            a, b, c = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 3
-            _, at, n = np.unique(_mixed(a, b, c), return_index=True, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(c[at]), pa.array(n.astype(np.int64))], ["a", "b", "c", "n"])
-
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                t = numbers.tokens(_words(text))
-                parts.append(_pairs(t) if order == 2 else _triples(t, kept))
-                size += len(parts[-1][0])
-                if size > FLUSH_TOKENS:
-                    yield flush()
-                    parts, size = [], 0
+            grams = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * order
+            k = _mixed(*([np.full(len(grams[0]), NONE)] * (3 - order)), *grams)
+            at, n = _counted(k)
+            g = (k[at] >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)  # in order, like the keys
+            begin = np.flatnonzero(np.concatenate([np.ones(min(len(g), 1), bool), g[1:] != g[:-1]]))
+            ends = np.append(begin, len(g)).astype(np.int32) * np.int32(8)
+            packed = [pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(x.astype(np.int64))]) for x in [*(x[at] for x in grams), n]]
+            return pa.RecordBatch.from_arrays([pa.array(g[begin].astype(np.int32)), *packed], ["g", *names, "n"])
+
+        for batch in _sliced(batches):
+            t = numbers.read(batch.column("text"))[1]
+            at = _pairs(t) if order == 2 else _triples(t, kept)
+            parts.append([t[at + i] for i in range(order)])
+            size += len(at)
+            if size > FLUSH_TOKENS:
+                yield flush()
+                parts, size = [], 0
         yield flush()
 
-    return docs.select("text").mapInArrow(count, "a long, b long, c long, n long").groupBy("a", "b", "c").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+    return docs.select("text").mapInArrow(count, f"g int, {', '.join(f'{x} binary' for x in names)}, n binary")
+
+
+def ngram_counts(docs: DataFrame, shared, order: int, groups: int) -> DataFrame:  # noqa: ANN001
+    """(a, b, c, n) of the pairs (a is NONE) or triples that occur LEAST times; ``shared``: numbers of words, their bits, those of pairs."""
+
+    def add(t: pa.Table) -> pa.Table:
+        *grams, n = (np.frombuffer(b"".join(t[x].to_pylist()), np.int64) for x in t.column_names[1:])
+        grams = [np.full(len(n), NONE)] * (3 - order) + grams
+        at, n = _counted(_mixed(*grams), n)
+        often = n >= LEAST
+        return pa.table([*(x[at[often]] for x in grams), n[often]], names=[*"abc", "n"])
+
+    return packed_ngrams(docs, shared, order, groups).groupBy("g").applyInArrow(add, "a long, b long, c long, n long")
 
 
 def _named(counts: DataFrame) -> DataFrame:
@@ -180,7 +235,7 @@ def _named(counts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("n"), pa.array(list(map(word_hash, b.column("word").to_pylist())), pa.int64())], ["n", "id"])
+            yield pa.RecordBatch.from_arrays([b.column("n"), pa.array(word_hashes(b.column("word").to_pylist()))], ["n", "id"])
 
     return counts.select("word", "n").mapInArrow(run, "n long, id long")
 
@@ -203,8 +258,40 @@ def _backoff(left: Column, below: Column) -> Column:
     return F.log10(F.greatest(weight, F.lit(1e-12)))
 
 
+class Index:
+    """Places of keys in an array by an open hash table, for many at once: a sorted array of a million takes twenty steps instead of one or two."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys, self.shift = keys, np.uint64(64 - (4 * len(keys) + 1).bit_length())
+        self.table = np.full(1 << (64 - int(self.shift)), -1, np.int32)
+        left, slot = np.arange(len(keys), dtype=np.int32), self._slot(keys)
+        while len(left):
+            free = self.table[slot] < 0
+            self.table[slot[free]] = left[free]
+            out = self.table[slot] != left
+            left, slot = left[out], slot[out] + 1 & len(self.table) - 1
+
+    def _slot(self, k: np.ndarray) -> np.ndarray:
+        return (k.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def find(self, k: np.ndarray) -> np.ndarray:
+        """Where each key is, or -1."""
+        out = np.full(len(k), -1)
+        if not len(self.keys):
+            return out
+        slot, left = self._slot(k), np.arange(len(k))
+        while len(left):
+            at = self.table[slot]
+            same = self.keys[at] == k[left]
+            same &= at >= 0
+            out[left[same]] = at[same]
+            on = np.flatnonzero((at >= 0) & ~same)
+            left, slot = left[on], slot[on] + 1 & len(self.table) - 1
+        return out
+
+
 class Automaton:
-    """States: the root, one for each word number, and one for each frequent pair; arcs are sorted keys, looked up for a whole text at once."""
+    """States: the root, one for each word number, and one for each frequent pair; arcs are keys, looked up for many texts at once."""
 
     def __init__(self, words: dict[bytes, int], word_n: np.ndarray, back: np.ndarray, pairs: pa.Table, triples: pa.Table, total: int, vocabulary: int) -> None:
         """word_n, back: by word number, the end's at 1; pairs (b, c, log_p, back) and triples (a, b, c, log_p): the frequent ones."""
@@ -218,44 +305,33 @@ class Automaton:
         three = np.searchsorted(self.pairs, triples["a"].to_numpy() * self.width + triples["b"].to_numpy()) * self.width + triples["c"].to_numpy()
         order = np.argsort(three)
         self.triples, self.triple_p = three[order], triples["log_p"].to_numpy()[order]
-
-    @staticmethod
-    def _find(keys: np.ndarray, k: np.ndarray) -> np.ndarray:
-        """Where each key is, or -1."""
-        at = np.minimum(np.searchsorted(keys, k), max(len(keys) - 1, 0))
-        return np.where(keys[at] == k, at, -1) if len(keys) else np.full(len(k), -1)
-
-    def has(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """Which of the n-grams are the automaton's own."""
-        known = (b >= 0) & (c >= 0)
-        out = np.zeros(len(a), bool)
-        two = np.flatnonzero(known & (a == NONE))
-        out[two] = self._find(self.pairs, b[two] * self.width + c[two]) >= 0
-        three = np.flatnonzero(known & (a >= 0))
-        at = self._find(self.pairs, a[three] * self.width + b[three])
-        out[three] = (at >= 0) & (self._find(self.triples, at * self.width + c[three]) >= 0)
-        return out
+        self.pair_at, self.triple_at = Index(self.pairs), Index(self.triples)
 
     def read(self, words: np.ndarray) -> float:
-        """Sum of log10 probabilities; -1 stands for a word that isn't frequent, whose own probability is left out.
+        """Sum of log10 probabilities of a text's words."""
+        return float(self.steps(np.concatenate([np.zeros(1, np.int64), words]))[0].sum())
+
+    def steps(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log10 probabilities of all tokens but the first, and which arcs of pairs and triples end there (-1: none).
 
-        From left to right: after a word the state is its pair's with the word before, else its own, else the root.  Each
-        word takes an arc from there, or passes failure arcs, which add their weights, until a state has one.
+        Texts follow each other, each from its start; -1 stands for a word that isn't frequent, whose own probability is
+        left out.  From left to right: after a word the state is its pair's with the word before, else its own, else the
+        root.  Each word takes an arc from there, or passes failure arcs, which add their weights, until a state has one.
         """
-        w = np.concatenate([np.zeros(1, np.int64), words])  # after the start
         before, c = w[:-1], w[1:]
         pair = np.full(len(c), -1)
-        both = np.flatnonzero((before >= 0) & (c >= 0))
-        pair[both] = self._find(self.pairs, before[both] * self.width + c[both])
-        state = np.concatenate([np.full(1, -1), pair[:-1]])  # of the pair that ends before the word; else -1
+        both = np.flatnonzero((before >= 0) & (c > 0))
+        pair[both] = self.pair_at.find(before[both] * self.width + c[both])
+        state = np.concatenate([np.full(1, -1), pair[:-1]])[: len(c)]  # of the pair that ends before the word; else -1
         triple = np.full(len(c), -1)
-        at = np.flatnonzero((state >= 0) & (c >= 0))
-        triple[at] = self._find(self.triples, state[at] * self.width + c[at])
+        at = np.flatnonzero((state >= 0) & (c > 0))
+        triple[at] = self.triple_at.find(state[at] * self.width + c[at])
         some = lambda i, values: np.where(i >= 0, values[np.maximum(i, 0)] if len(values) else 0.0, 0.0)
         fails = triple < 0  # past the pair's state
         falls = fails & (pair < 0)  # past the word's state, to the root
         total = some(triple, self.triple_p) + np.where(fails, some(state, self.pair_back) + some(pair, self.pair_p), 0.0)
-        return float((total + np.where(falls, some(before, self.back) + some(c, self.unigram), 0.0)).sum())
+        total += np.where(falls, some(before, self.back) + some(c, self.unigram), 0.0)
+        return np.where(c == 0, 0.0, total), pair, triple
 
 
 class Model:
@@ -276,7 +352,8 @@ class Model:
         others = box.put(_named(self.counts.where(~frequent)))
         self.twice = _bits(others.where(F.col("n") >= LEAST), "id")
         known = share((words, self.twice, None))
-        grams = box.put(ngram_counts(docs, known, 2))
+        groups = max(1, total // GROUP_TOKENS)
+        grams = box.put(ngram_counts(docs, known, 2, groups))
         known.destroy()  # each executor has it on its disk
         _freed(spark)
 
@@ -295,7 +372,7 @@ class Model:
         rare_backs = first_backs.where("id < 0")
         # two words before
         known = share((words, self.twice, pair_bits))
-        found3 = box.put(ngram_counts(docs, known, 3))
+        found3 = box.put(ngram_counts(docs, known, 3, groups))
         known.destroy()
         _freed(spark)
         second = pairs.select("b", "c", F.col("p").alias("below"))
@@ -356,44 +433,46 @@ def score(docs: DataFrame, learn: DataFrame) -> DataFrame:
     """
     base = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
     trained = Model(learn.select(F.col("text").cast("binary").alias("text")))
+    trained.box.drop(trained.counts)
     total, unknown = trained.total, trained.automaton.log_one
     shared = docs.sparkSession.sparkContext.broadcast((trained.automaton, trained.twice, trained.bits))
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, twice, bits = shared.value
-        numbers, get = Numbers(m.words, twice), m.words.get
-
-        def rows(batch: pa.RecordBatch, found: list) -> pa.RecordBatch:
-            at, k, kind, v = (np.concatenate(x) for x in zip(*found, strict=True))
-            at = pa.array(at)
-            return pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("th").take(at), pa.array(k), pa.array(kind), pa.array(v)], ["doc_id", "th", "k", "kind", "v"])
-
-        for batch in batches:
-            found, size, ths = [], 0, batch.column("th").to_numpy()
-            for r, text in enumerate(batch.column("text").to_pylist()):
-                words = _words(text)
-                ids = [get(w, -1) for w in words]
-                ids.append(1)
-                own = np.array([i for i in ids if i >= 0], dtype=np.int64)
-                rare = [word_hash(w) for w, i in zip(words, ids, strict=False) if i < 0]
-                base = float(m.unigram[own].sum()) + len(rare) * unknown
-                sums = np.array([len(ids), (m.word_n[own] > 0).sum(), base, m.read(np.array(ids, np.int64)) + len(rare) * unknown])
-                t = numbers.tokens(words)
-                a, b, c = (np.concatenate(x) for x in zip(_pairs(t), (t[:-2], t[1:-1], t[2:]), strict=True))
-                k = _mixed(a, b, c)
-                maybe = np.flatnonzero(_has(bits, k.view(np.int64)) & (a != NEVER) & (b != NEVER) & (c != NEVER))
-                k = k[maybe[~m.has(a[maybe], b[maybe], c[maybe])]].view(np.int64)
-                asked = np.array(rare, np.int64)
-                k, times = np.unique(np.concatenate([k, asked[_has(bits, asked)]]), return_counts=True)
-                # sums have a key that no n-gram has, so that they are dealt out like the rest
-                found.append((np.full(len(k) + 4, r), np.concatenate([k, np.full(4, ths[r])]), np.repeat(np.array([ASKED, N_TOKENS, N_KNOWN, BASE, SCORE], np.int32), [len(k), 1, 1, 1, 1]), np.concatenate([times, sums])))
-                size += len(k) + 4
-                if size > FLUSH_TOKENS:
-                    yield rows(batch, found)
-                    found, size = [], 0
-            if found:
-                yield rows(batch, found)
+        numbers = Numbers(m.words, twice)
+        for batch in _sliced(batches):
+            n = batch.num_rows
+            whole, t, row = numbers.read(batch.column("text"))
+            summed = lambda v, at=slice(None): np.bincount(row[at], weights=v, minlength=n)  # noqa: B023, E731
+            rare, own = np.flatnonzero(whole < 0), np.flatnonzero(whole > 0)
+            below = summed(None, rare) * unknown
+            score, pair, triple = m.steps(np.maximum(whole, -1))
+            sums = [summed(None) - 1, summed(m.word_n[whole[own]] > 0, own), summed(m.unigram[whole[own]], own) + below, summed(score, slice(1, None)) + below]
+            # pairs and triples that aren't the automaton's but may be kept; a triple's pairs are kept, too
+            at = _pairs(t)
+            kept = np.zeros(len(t), bool)
+            kept[at] = pair[at] >= 0
+            at = at[pair[at] < 0]
+            k2 = _mixed(np.full(len(at), NONE), t[at], t[at + 1]).view(np.int64)
+            some = _has(bits, k2)
+            at2, k2 = at[some], k2[some]
+            kept[at2] = True
+            at3 = np.flatnonzero(kept[:-1] & kept[1:])
+            at3 = at3[triple[at3 + 1] < 0]
+            k3 = _mixed(t[at3], t[at3 + 1], t[at3 + 2]).view(np.int64)
+            some = _has(bits, k3)
+            at3, k3 = at3[some], k3[some]
+            rare = rare[_has(bits, whole[rare])]
+            k, r = np.concatenate([whole[rare], k2, k3]), np.concatenate([row[rare], row[at2], row[at3]])
+            one, times = _counted(_mixed(k, r, r))
+            order = r[one].argsort(kind="stable")  # rows of a text stand together, so that their ids compress
+            one, times = one[order], times[order]
+            # sums have a key that no n-gram has, so that they are dealt out like the rest
+            at = pa.array(np.concatenate([r[one], np.tile(np.arange(n), 4)]))
+            k = pa.array(np.concatenate([k[one], np.tile(batch.column("th").to_numpy(), 4)]))
+            kind = pa.array(np.repeat(np.array([ASKED, N_TOKENS, N_KNOWN, BASE, SCORE], np.int32), [len(one), n, n, n, n]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("th").take(at), k, kind, pa.array(np.concatenate([times, *sums]))], ["doc_id", "th", "k", "kind", "v"])
 
     asked = base.mapInArrow(read, f"doc_id {id_type}, th long, k long, kind int, v double")
     met = asked.join(trained.rest.hint("merge"), "k", "left")

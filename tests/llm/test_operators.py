@@ -10,6 +10,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -680,3 +681,34 @@ def test_pipeline_on_edge_rows(spark, edge, monkeypatch, tmp_path):
     assert sorted((str(r["doc_id"]), r["token_ids"]) for r in stages["byte-level BPE"](spark, mix, "").collect()) == want
     spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+# ---- language model: what tasks hand on
+
+
+def test_words_are_those_of_bytes_split():
+    texts = ["", None, " a  B\tc\n\x0b\x0cd\r", "É x  y\x1cz\x85w", "one", " \n ", "ZZ zz " * 3]
+    words, n = lm.split_words(pa.array([t and t.encode() for t in texts], pa.binary()))
+    want = [t.encode().lower().split() if t else [] for t in texts]
+    assert n.tolist() == [len(w) for w in want] and words.to_pylist() == [x for w in want for x in w]
+
+
+def test_ngrams_are_handed_on_in_few_rows(spark, docs):
+    d = docs.select(F.col("text").cast("binary").alias("text")).repartition(2)
+    known = spark.sparkContext.broadcast(({}, np.full(1 << (lm.FILTER_BITS - 6), ~np.uint64(0)), None))
+    packed = lm.packed_ngrams(d, known, 2, 7)
+    sizes = [(r["g"], len(r["n"]) // 8) for r in packed.collect()]
+    assert len(sizes) <= 2 * 7 and {g for g, _ in sizes} == set(range(7)) and sum(n for _, n in sizes) > 1000
+    tokens = [[None, *(r["text"] or b"").lower().split(), True] for r in d.collect()]
+    want = collections.Counter(p for t in tokens for p in zip(t, t[1:], strict=False))
+    got = lm.ngram_counts(d, known, 2, 7).collect()
+    assert sorted(r["n"] for r in got) == sorted(n for n in want.values() if n >= lm.LEAST)
+    assert len({(r["b"], r["c"]) for r in got}) == len(got)
+
+
+def test_index_finds_what_a_search_finds():
+    rng = np.random.default_rng(3)
+    for keys in (np.zeros(0, np.int64), np.array([5]), np.unique(rng.integers(0, 1 << 40, 5000)), np.arange(0, 90000, 3)):
+        asked = np.concatenate([keys, rng.integers(0, 1 << 40, 2000), np.arange(300)])
+        place = {k: i for i, k in enumerate(keys.tolist())}
+        assert lm.Index(keys).find(asked).tolist() == [place.get(k, -1) for k in asked.tolist()]
