@@ -1,7 +1,7 @@
 """BPE encoding through a table of distinct words, and decoding through a table of pieces.
 
-1. Words: Spark splits each text at special tokens and white space, by built-in functions: a word
-   is a run of anything but white space with the space before it, or white space that goes to
+1. Words: each text is split at special tokens and white space (``words_of`` does the same by built-in functions,
+   which takes several times as long): a word is a run of anything but white space with the space before it, or white space that goes to
    no word.  The tokenizer's own pattern never matches across the ends of such words.
 2. The distinct words of all texts are counted; each that makes up at least ``FREQUENT`` of
    all words is encoded once.  There are at most 1 / FREQUENT of them, each of at most
@@ -21,10 +21,13 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,7 +113,19 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def distinct_words(docs: DataFrame, path: str) -> DataFrame:
     """(word, n) of all texts; counts are summed within tasks before they are shuffled."""
-    return docs.select(F.explode(words_of(F.col("text"), special_tokens(path))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, seen = _split(path), Counter()
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+        for b in _slices(batches):
+            for text in b.column("text").to_pylist():
+                seen.update(words(text or ""))
+                if len(seen) > TASK_WORDS:
+                    yield flush()
+                    seen.clear()
+        yield flush()
+
+    return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _ids(words: list[str], path: str) -> list[str]:
@@ -173,20 +188,30 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 @lru_cache(maxsize=2)
-def _pieces(path: str) -> dict[str, bytes]:
-    """Decimal id to bytes: the printable stand-ins of a byte-level vocabulary, undone."""
+def _pieces(path: str) -> pa.Array:
+    """Bytes by id: the printable stand-ins of a byte-level vocabulary, undone; null for an id that isn't used."""
     shown, special = {c: b for b, c in _byte_names().items()}, set(special_tokens(path))
     vocab = _tokenizer(path).get_vocab(with_added_tokens=True)
-    return {str(i): p.encode() if p in special else bytes(shown[c] for c in p) for p, i in vocab.items()}
+    out: list[bytes | None] = [None] * (max(vocab.values(), default=-1) + 1)
+    for p, i in vocab.items():
+        out[i] = p.encode() if p in special else bytes(shown[c] for c in p)
+    return pa.array(out, pa.binary())
 
 
 def _decoder(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Adds ``text`` to batches with ``ids``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = _pieces(path).__getitem__
+        pieces = _pieces(path)
         for b in _slices(batches):
-            texts = [b"".join(map(piece, x.split(","))).decode("utf-8", "replace") if x else "" for x in b.column("ids").to_pylist()]
+            ids = pc.split_pattern(pc.if_else(pc.equal(b.column("ids"), ""), None, b.column("ids")), ",")
+            found = pieces.take(ids.flatten().cast(pa.int64()))  # the pieces of all rows, one after another
+            if found.null_count:
+                raise KeyError("an id that the tokenizer doesn't have")
+            n = pc.fill_null(pc.list_value_length(ids), 0).to_numpy()
+            whole = np.frombuffer(found.buffers()[2] or b"", np.uint8).tobytes()
+            ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(pc.binary_length(found).to_numpy(), dtype=np.int64)])[np.cumsum(n)].tolist()
+            texts = [whole[i:j].decode("utf-8", "replace") for i, j in zip([0, *ends], ends, strict=False)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, "text"])
 
     return run

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import hashlib
 import math
 import random
@@ -245,3 +246,15 @@ def test_rarer_words_are_encoded_by_tasks(spark, monkeypatch, share):
         want.add((r["doc_id"], len(ids), digest(",".join(map(str, ids))), digest(tokenizer.decode(ids, skip_special_tokens=False))))
     got = bpe.digest(docs).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
     assert {tuple(r) for r in got.collect()} == want
+
+
+def test_words_are_counted_in_tasks_before_they_are_shuffled(spark, monkeypatch):
+    texts = ["aa bb  aa\n", "aa <|endoftext|>aa", None, "", " \t é é"] * 50
+    d = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    for most in (200_000, 2):
+        monkeypatch.setattr(bpe, "TASK_WORDS", most)
+        counts = bpe.distinct_words(d, bpe.default_tokenizer())
+        want = collections.Counter(w for t in texts for w in bpe._split(bpe.default_tokenizer())(t or ""))
+        assert {r["word"]: r["n"] for r in counts.collect()} == want
+        plan = counts._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan and "MapInArrow" in plan  # no row for each word
