@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import giving_back, stored
 
 FREQUENT = 1e-6
 MAX_FREQUENT_BYTES = 64
@@ -125,7 +125,7 @@ def distinct_words(docs: DataFrame, path: str) -> DataFrame:
                     seen.clear()
         yield flush()
 
-    return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(giving_back(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _ids(words: list[str], path: str) -> list[str]:
@@ -140,7 +140,7 @@ def encode_words(table: DataFrame, path: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(_ids(b.column("word").to_pylist(), path), pa.string())], ["word", "ids"])
 
-    return table.select("word").mapInArrow(run, "word string, ids string")
+    return table.select("word").mapInArrow(giving_back(run), "word string, ids string")
 
 
 def _encoder(docs: DataFrame, path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -184,7 +184,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     A tokenizer whose words can't be encoded one by one is an error.
     """
     run = _encoder(docs, path or default_tokenizer())
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids string")
+    return docs.select("doc_id", "text").mapInArrow(giving_back(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids string")
 
 
 @lru_cache(maxsize=2)
@@ -221,7 +221,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """Adds ``text`` to rows with ``ids`` (decimal, joined by commas; null: none); bytes that aren't UTF-8 become U+FFFD.  An unknown id is an error."""
     encoded = encoded.drop("text")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(_decoder(path or default_tokenizer()), f"{kinds}, text string")
+    return encoded.mapInArrow(giving_back(_decoder(path or default_tokenizer())), f"{kinds}, text string")
 
 
 def encode_and_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -229,7 +229,7 @@ def encode_and_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_tokenizer()
     encoder, decoder = _encoder(docs, path), _decoder(path)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids string, text string"
-    return docs.select("doc_id", "text").mapInArrow(lambda batches: decoder(encoder(batches)), schema)
+    return docs.select("doc_id", "text").mapInArrow(giving_back(lambda batches: decoder(encoder(batches))), schema)
 
 
 def digest(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +51,43 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of binary texts, one after another, and how many each text has.  Arrow's ASCII functions touch just A-Z and the six white-space controls."""
+    texts = pc.fill_null(texts, b"")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())))
+    words, n = lists.flatten().view(pa.binary()), np.diff(lists.offsets.to_numpy())
+    some = pc.binary_length(words).to_numpy() > 0  # white space at an end leaves an empty word there
+    if not some.all():
+        n = np.bincount(np.repeat(np.arange(len(n)), n)[some], minlength=len(n))
+        words = words.filter(pa.array(some))
+    return words, n
+
+
+def giving_back(run: Callable) -> Callable:
+    """A function of ``mapInArrow`` after which a Python worker, which lives on, hands its free memory back to the system."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return wrapped
+
+
+def bytes_of(values: pa.Array) -> list[bytes]:
+    """A binary array without nulls as Python objects, in a tenth of the time that ``to_pylist`` takes."""
+    if not len(values):
+        return []
+    _, offsets, data = values.buffers()
+    ends = np.frombuffer(offsets, np.int32)[values.offset : values.offset + len(values) + 1].tolist()
+    whole = data.to_pybytes() if data is not None else b""
+    return [whole[i:j] for i, j in zip(ends, ends[1:], strict=False)]
+
+
 def row_key(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
     """Identifies a row even where ids repeat: rows equal in both are treated alike."""
     return [F.col(id_col), F.xxhash64(F.col(text_col))]

@@ -11,7 +11,8 @@ Only one row per source reaches the driver (``MAX_SOURCES`` at most, else an err
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,6 +49,11 @@ def _sized(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select("doc_id", "source", F.xxhash64(text_col).alias("th"), F.size(words(F.col(text_col))).cast("long").alias("size"), digits.alias("hash"))
 
 
+def _table(spark: SparkSession, rows: list[tuple], kind: T.StructType) -> DataFrame:
+    """A small table.  As an Arrow table it needs no Python worker, unlike a list of rows."""
+    return spark.createDataFrame(pa.table([pa.array(x) for x in zip(*rows, strict=True)] if rows else [pa.nulls(0)] * len(kind), names=kind.names), kind)
+
+
 def _thresholds(sized: DataFrame, budgets: list[tuple[str | None, int]]) -> dict[str | None, int]:
     """By source the hash below which its documents fill the budget as nearly as whole documents can."""
     spark = sized.sparkSession
@@ -57,7 +63,7 @@ def _thresholds(sized: DataFrame, budgets: list[tuple[str | None, int]]) -> dict
     for low in range(HASH_BITS - DIGIT_BITS, -1, -DIGIT_BITS):
         if not todo:
             break
-        open_ = F.broadcast(spark.createDataFrame(todo, kind))  # one row per source
+        open_ = F.broadcast(_table(spark, todo, kind))  # one row per source
         on = F.col("source").eqNullSafe(F.col("b_source")) & (F.shiftright("hash", low + DIGIT_BITS) == F.col("prefix"))
         sums = (
             sized.join(open_, on).groupBy("b_source", "prefix", "budget", F.shiftright("hash", low).alias("bucket"))
@@ -101,7 +107,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = MA
         T.StructField("p_source", docs.schema["source"].dataType), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()),
         T.StructField("whole", T.LongType()), T.StructField("below", T.LongType()),
     ])
-    plans = F.broadcast(docs.sparkSession.createDataFrame(plan, kind))  # one row per source
+    plans = F.broadcast(_table(docs.sparkSession, plan, kind))  # one row per source
     out = sized.join(plans, F.col("source").eqNullSafe(F.col("p_source")))
     copies = F.col("whole") + (F.col("hash") < F.col("below")).cast("long")
     out = out.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(F.lit(0).cast("long")))

@@ -712,3 +712,13 @@ def test_index_finds_what_a_search_finds():
         asked = np.concatenate([keys, rng.integers(0, 1 << 40, 2000), np.arange(300)])
         place = {k: i for i, k in enumerate(keys.tolist())}
         assert lm.Index(keys).find(asked).tolist() == [place.get(k, -1) for k in asked.tolist()]
+
+
+# ---- near-duplicates and mixing: what Python workers do
+
+
+def test_mix_starts_no_python_worker(spark, docs, monkeypatch):
+    """Plans of a row per source go to the executors without Python workers, whose memory would come on top."""
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", None)
+    assert mixing.mix(docs.select("doc_id", "text", "source")).where("copies > 0").count() > 0
+    assert mixing.mix(docs.select("doc_id", "text", F.lit(None).cast("string").alias("source"))).where("copies > 0").count() > 0
