@@ -24,19 +24,19 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import Scratch, col, fresh, tasks_for
+from .common import Scratch, bytes_of, col, fresh, giving_back, split_words, tasks_for
 from .components import connected_components
 
 SHINGLE = 5
@@ -55,6 +55,8 @@ _U = np.uint64
 TABLE_BITS, STEPS, LEAST_LEVEL, LEVELS = 13, 16, -32, 512
 #: Shingles that are sampled at once, so that all their samples stay in the processor's cache; rows that are Python objects at once.
 CHUNK, SLICE = 1024, 256
+#: Bytes of texts that are split at once; hashes of words that a task gathers before it hands on their counts.
+SLICE_BYTES, FLUSH_HASHES = 2_000_000, 1_000_000
 
 
 @lru_cache(maxsize=1)
@@ -145,11 +147,65 @@ def weighted_shingles(words: np.ndarray, vocabulary: Vocabulary) -> tuple[np.nda
     for j in range(k):
         h = h + wh[j : j + m] * place[j]
         weight = weight + iw[j : j + m]
-    h = _mix(h)
+    return _summed(_mix(h), weight, k)
+
+
+def _summed(h: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of a content's shingles of k words, each once, and their weights; ``weight``: sums over the words of each."""
     order = h.argsort()
     h = h[order]
     at = np.flatnonzero(np.concatenate([np.ones(1, bool), h[1:] != h[:-1]]))
-    return h[at], np.diff(at, append=m) * (weight[order[at]] / k)
+    return h[at], np.diff(at, append=len(h)) * (weight[order[at]] / k)
+
+
+def _distinct(k: np.ndarray) -> np.ndarray:
+    """In order; sorting is faster than the hash table of ``np.unique``."""
+    k = np.sort(k)
+    return k[np.concatenate([np.ones(min(len(k), 1), bool), k[1:] != k[:-1]])]
+
+
+def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of binary texts, one after another, by their places among the distinct ones; the hashes of these; and how many words each text has."""
+    words, n = split_words(texts)
+    each = words.dictionary_encode()
+    distinct = bytes_of(each.dictionary)
+    return each.indices.to_numpy(), word_hashes(distinct, len(distinct)), n
+
+
+def weighted_sets(known: Words, rows: Iterable[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What ``Vocabulary.of_content`` gives for each of ``rows`` (packed, rare), in order; words are split and hashed for many contents at once."""
+    unpack, place = zstandard.ZstdDecompressor().decompress, _tables()["place"]
+
+    def flush(texts: list[bytes], rare: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        codes, hashes, n = coded(pa.array(texts, pa.binary()))
+        keys, at = np.unique(np.concatenate([k for k, _ in rare]), return_index=True)  # a word's frequency is the same in all contents
+        idf = known.idf(hashes, (keys, np.concatenate([x for _, x in rare])[at]))
+        wh, iw, ends = hashes.view(_U)[codes], idf[codes], np.cumsum(n)
+
+        def summed(begin: int, end: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+            m = end - begin - k + 1
+            h, weight = np.full(m, _U(k), _U), np.zeros(m)
+            for j in range(begin, begin + k):
+                h += wh[j : j + m] * place[j - begin]
+                weight += iw[j : j + m]
+            return _mix(h), weight
+
+        h, weight = summed(0, len(codes), SHINGLE) if len(codes) >= SHINGLE else (None, None)
+        for begin, end in zip((ends - n).tolist(), ends.tolist(), strict=True):
+            k = min(SHINGLE, end - begin)
+            own = slice(begin, end - SHINGLE + 1)
+            yield _summed(*((h[own], weight[own]) if k == SHINGLE else summed(begin, end, k)), k)
+
+    texts, rare, size = [], [], 0
+    for packed, r in rows:
+        texts.append(unpack(packed))
+        rare.append(r)
+        size += len(texts[-1])
+        if size > SLICE_BYTES:
+            yield from flush(texts, rare)
+            texts, rare, size = [], [], 0
+    if texts:
+        yield from flush(texts, rare)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -193,26 +249,48 @@ def _sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE))
 
 
-def _words(text: bytes | None) -> list[bytes]:
-    """Lower-casing and splitting bytes touch just A-Z and the six white-space controls."""
-    return text.lower().split() if text else []
+def _sliced_texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same, with a bounded size of texts; a text is never cut."""
+    for b in _sliced(batches):
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right")))
+            yield b.slice(at, end - at)
+            at = end
 
 
 def document_frequencies(docs: DataFrame) -> DataFrame:
     """(h, n): in how many rows of ``docs`` (binary ``text``) each word is, by its hash."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
-        flush = lambda: pa.RecordBatch.from_arrays([pa.array(word_hashes(seen, len(seen))), pa.array(list(seen.values()), pa.int64())], ["h", "n"])
-        for b in _sliced(batches):
-            for text in b.column("text").to_pylist():
-                seen.update(set(_words(text)))
-                if len(seen) > FLUSH_WORDS:
-                    yield flush()
-                    seen.clear()
-        yield flush()
-
-    return docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def gathered() -> tuple[np.ndarray, np.ndarray]:
+            h, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = h.argsort()
+            h = h[order]
+            at = np.flatnonzero(np.concatenate([np.ones(min(len(h), 1), bool), h[1:] != h[:-1]]))
+            return h[at], np.add.reduceat(n[order], at) if len(at) else n
+
+        for b in _sliced_texts(batches):
+            codes, h, n = coded(b.column("text"))
+            if not len(h):
+                continue
+            once = _distinct(np.repeat(np.arange(len(n)), n) * len(h) + codes)  # each word of a text
+            parts.append((h, np.bincount(once % len(h), minlength=len(h))))
+            size += len(h)
+            if size > FLUSH_HASHES:
+                parts = [gathered()]
+                size = len(parts[0][0])
+                if size > FLUSH_HASHES // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts[0]], ["h", "n"])
+                    parts, size = [], 0
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in gathered()], ["h", "n"])
+
+    return docs.select("text").mapInArrow(giving_back(count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 def known_words(counts: DataFrame, n_docs: int) -> Words:
@@ -231,36 +309,32 @@ def _read(docs: DataFrame, shared) -> DataFrame:  # noqa: ANN001
     """(doc_id, th, key, packed, rare): key is null for texts without words; one row of a content in a task has it packed, or a few, with the words to look up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack, known, asked = zstandard.ZstdCompressor(level=1).compress, shared.value, {}
-        done: set[bytes | None] = set()
-        for b in _sliced(batches):
+        pack, known = zstandard.ZstdCompressor(level=1).compress, shared.value
+        done: set[bytes] = set()
+        for b in _sliced_texts(batches):
             if len(done) > FLUSH_WORDS:
                 done.clear()
-            keys, packed, rare = [], [], []
-            for text in b.column("text").to_pylist():
-                words = _words(text)
-                joined = b" ".join(words)
-                key = blake2b(joined, digest_size=16).digest() if words else None
-                first = key is not None and key not in done
-                done.add(key)
+            words, n = split_words(b.column("text"))
+            each = words.dictionary_encode()
+            offsets = np.concatenate([np.zeros(1, np.int32), np.cumsum(n, dtype=np.int32)])
+            keys, packed = [], []
+            for joined in pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), words), pa.scalar(b" ", pa.binary())).to_pylist():
+                key = blake2b(joined, digest_size=16).digest() if joined else None
                 keys.append(key and key.hex())
-                packed.append(pack(joined) if first else None)
-                if not first:
-                    rare.append(None)
-                    continue
-                distinct = set(words)
-                if new := [w for w in distinct if w not in asked]:
-                    if len(asked) > FLUSH_WORDS:
-                        asked.clear()
-                        new = list(distinct)
-                    h = word_hashes(new, len(new))
-                    asked.update(zip(new, np.where(known.asked(h), h, 0).tolist(), strict=True))
-                rare.append([h for h in map(asked.__getitem__, distinct) if h])
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("th"), pa.array(keys, pa.string()), pa.array(packed, pa.binary()), pa.array(rare, pa.list_(pa.int64()))], ["doc_id", "th", "key", "packed", "rare"]
-            )
-
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, key string, packed binary, rare array<long>")
+                packed.append(pack(joined) if key is not None and key not in done else None)
+                if key is not None:
+                    done.add(key)
+            distinct = bytes_of(each.dictionary)
+            h = word_hashes(distinct, len(distinct))
+            first = np.array([x is not None for x in packed])
+            row, code = np.repeat(np.arange(len(n)), n), each.indices.to_numpy()
+            wanted = first[row] & known.asked(h)[code]
+            row, code = np.divmod(_distinct(row[wanted] * max(len(h), 1) + code[wanted]), max(len(h), 1))
+            ends = np.concatenate([np.zeros(1, np.int32), np.cumsum(np.bincount(row, minlength=len(n)), dtype=np.int32)])
+            rare = pa.ListArray.from_arrays(pa.array(ends), pa.array(h[code]))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(keys, pa.string()), pa.array(packed, pa.binary()), rare], ["doc_id", "th", "key", "packed", "rare"])
+
+    return docs.mapInArrow(giving_back(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, key string, packed binary, rare array<long>")
 
 
 def _rows(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple]:
@@ -274,12 +348,12 @@ def _sketch(contents: DataFrame, shared) -> DataFrame:  # noqa: ANN001
     """(no, bk): the bands of each content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary(shared.value)
+        known = shared.value
         for b in _sliced(batches):
-            found = [bands(*v.of_content(*x)) for x in _rows(b, "packed", "words", "counts")]
+            found = [bands(*x) for x in weighted_sets(known, _rows(b, "packed", "words", "counts"))]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("no").to_numpy(), BANDS)), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], ["no", "bk"])
 
-    return contents.select("no", "packed", "words", "counts").mapInArrow(run, "no long, bk long")
+    return contents.select("no", "packed", "words", "counts").mapInArrow(giving_back(run), "no long, bk long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shared, least: float) -> DataFrame:  # noqa: ANN001
@@ -305,7 +379,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, shared, least: float) -> DataF
     side = lambda s: texts.select(F.col("no").alias(s), F.col("packed").alias(f"p{s}"), F.col("words").alias(f"w{s}"), F.col("counts").alias(f"c{s}"))
     # neither texts nor pairs are bounded: the same plan for any number of them
     both = pairs.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b").select("a", "b", "pa", "wa", "ca", "pb", "wb", "cb")
-    return both.mapInArrow(run, "a long, b long, similar boolean")
+    return both.mapInArrow(giving_back(run), "a long, b long, similar boolean")
 
 
 def _shareable(wanted: DataFrame, texts: DataFrame, shared, box: Scratch) -> DataFrame:  # noqa: ANN001
@@ -321,7 +395,7 @@ def _shareable(wanted: DataFrame, texts: DataFrame, shared, box: Scratch) -> Dat
                     rows = [pa.array([no]), pa.array([h[part].view(np.int64).tolist()]), pa.array([weight[part].tolist()])]
                     yield pa.RecordBatch.from_arrays(rows, ["no", "h", "w"])
 
-    found = box.put(texts.join(wanted, "no", "left_semi").mapInArrow(run, "no long, h array<long>, w array<double>"))
+    found = box.put(texts.join(wanted, "no", "left_semi").mapInArrow(giving_back(run), "no long, h array<long>, w array<double>"))
     total = found.groupBy("no").agg(F.sum(F.aggregate("w", F.lit(0.0), lambda a, x: a + x)).alias("total"))
     each = found.select("no", F.explode(F.arrays_zip("h", "w")).alias("s")).groupBy("s.h").agg(F.count("*").alias("n"), F.max("no").alias("no"), F.max("s.w").alias("w"))
     alone = each.where("n = 1").groupBy("no").agg(F.sum("w").alias("alone"))

@@ -722,3 +722,19 @@ def test_mix_starts_no_python_worker(spark, docs, monkeypatch):
     monkeypatch.setattr(type(spark.sparkContext), "parallelize", None)
     assert mixing.mix(docs.select("doc_id", "text", "source")).where("copies > 0").count() > 0
     assert mixing.mix(docs.select("doc_id", "text", F.lit(None).cast("string").alias("source"))).where("copies > 0").count() > 0
+
+
+def test_many_contents_at_once_weigh_what_each_weighs(monkeypatch):
+    import zstandard
+
+    rng = np.random.default_rng(12)
+    texts = [[b"%dw" % i for i in rng.integers(0, 90, k)] for k in (1, 4, 5, 6, 3, 200, 70_000, 2, 9)]
+    h = near_dup.word_hashes([b"%dw" % i for i in range(90)], 90)
+    known = near_dup.Words(50, (h[:30], np.arange(1, 31)), np.zeros(1 << (near_dup.FILTER_BITS - 6), np.uint64))
+    rare = np.sort(h[30:60]), np.arange(2, 32)
+    contents = [(zstandard.compress(b" ".join(w)), rare) for w in texts]
+    for size in (near_dup.SLICE_BYTES, 300):
+        monkeypatch.setattr(near_dup, "SLICE_BYTES", size)
+        v = near_dup.Vocabulary(known)
+        for got, x in zip(near_dup.weighted_sets(known, contents), contents, strict=True):
+            assert all(np.array_equal(a, b) for a, b in zip(got, v.of_content(*x), strict=True))
