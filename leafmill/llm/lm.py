@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from xxhash import xxh64_intdigest
 
-from .common import Scratch
+from .common import Scratch, bytes_of, split_words
 
 LEAST = 2
 WORD_SHARE, NGRAM_SHARE = 5e-7, 2.5e-7
@@ -61,18 +61,6 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = end
 
 
-def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The words of binary texts, one after another, and how many each text has.  Arrow's ASCII functions touch just A-Z and the six white-space controls."""
-    texts = pc.fill_null(texts, b"")
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())))
-    words, n = lists.flatten().view(pa.binary()), np.diff(lists.offsets.to_numpy())
-    some = pc.binary_length(words).to_numpy() > 0  # white space at an end leaves an empty word there
-    if not some.all():
-        n = np.bincount(np.repeat(np.arange(len(n)), n)[some], minlength=len(n))
-        words = words.filter(pa.array(some))
-    return words, n
-
-
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) of a binary ``text`` column."""
 
@@ -114,7 +102,7 @@ class Numbers:
         """
         words, n = split_words(texts)
         coded = words.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = bytes_of(coded.dictionary)
         get = self.frequent.get
         ids = np.fromiter([get(w, -1) for w in distinct], np.int64, len(distinct))
         rare = np.flatnonzero(ids < 0)
@@ -235,7 +223,7 @@ def _named(counts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("n"), pa.array(word_hashes(b.column("word").to_pylist()))], ["n", "id"])
+            yield pa.RecordBatch.from_arrays([b.column("n"), pa.array(word_hashes(bytes_of(b.column("word"))))], ["n", "id"])
 
     return counts.select("word", "n").mapInArrow(run, "n long, id long")
 

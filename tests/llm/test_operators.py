@@ -738,3 +738,9 @@ def test_many_contents_at_once_weigh_what_each_weighs(monkeypatch):
         v = near_dup.Vocabulary(known)
         for got, x in zip(near_dup.weighted_sets(known, contents), contents, strict=True):
             assert all(np.array_equal(a, b) for a, b in zip(got, v.of_content(*x), strict=True))
+
+
+def test_bytes_are_those_of_the_array():
+    a = pa.array([b"a", b"", b"\xc3\xa9 x", b"word", b"z" * 100], pa.binary())
+    for x in (a, a[1:4], a[5:], pa.array([], pa.binary()), pa.array([b"", b""], pa.binary())):
+        assert common.bytes_of(x) == x.to_pylist()
