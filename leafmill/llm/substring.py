@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_128_digest, xxh64_intdigest
 
-from .common import Scratch, col, fresh
+from .common import Scratch, col, fresh, giving_back
 from .fm_index import FMIndex
 
 LENGTH = 50
@@ -108,7 +108,7 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
             ids = [np.repeat(np.array([x[k] for x in found], np.int64), sizes) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in [*ids, *(np.concatenate([x[k] for x in found]) for k in (2, 3, 4))]], ["id", "th", "anchor", "start", "n"])
 
-    return docs.mapInArrow(run, "id long, th long, anchor long, start long, n long")
+    return docs.mapInArrow(giving_back(run), "id long, th long, anchor long, start long, n long")
 
 
 def _segments(docs: DataFrame, length: int) -> DataFrame:
@@ -131,7 +131,7 @@ def _segments(docs: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.binary(), *[pa.int64()] * 5, pa.binary()], strict=True)], names)
 
     names = ["key", "anchor", "id", "th", "start", "n", "words"]
-    return docs.mapInArrow(run, "key binary, anchor long, id long, th long, start long, n long, words binary")
+    return docs.mapInArrow(giving_back(run), "key binary, anchor long, id long, th long, start long, n long, words binary")
 
 
 def _searched(rows: DataFrame, length: int) -> DataFrame:
@@ -167,7 +167,7 @@ def _searched(rows: DataFrame, length: int) -> DataFrame:
         if held:
             yield found(held)
 
-    return rows.mapInArrow(run, "key binary, start long, least long")
+    return rows.mapInArrow(giving_back(run), "key binary, start long, least long")
 
 
 def _windows(segments: DataFrame, length: int) -> DataFrame:
@@ -180,7 +180,7 @@ def _windows(segments: DataFrame, length: int) -> DataFrame:
             kinds = [pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["key", "start", "window", "lo", "hi"])
 
-    return segments.select("key", "words", "lo", "hi").mapInArrow(run, "key binary, start long, window binary, lo long, hi long")
+    return segments.select("key", "words", "lo", "hi").mapInArrow(giving_back(run), "key binary, start long, window binary, lo long, hi long")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -265,7 +265,7 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], schema.names)
 
     columns = [col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)]
-    return both.select(*columns, starts).mapInArrow(run, schema).toDF(*own, "n_words", "n_removed")
+    return both.select(*columns, starts).mapInArrow(giving_back(run), schema).toDF(*own, "n_words", "n_removed")
 
 
 def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -228,6 +228,21 @@ def test_no_language_is_lost_by_its_ids(spark, same_id):
     assert model.langs == sorted({r["lang"] for r in docs.where("lang is not null").select("lang").distinct().collect()} | {"xx"})
 
 
+# ---- substring dedup: memory of Python workers
+
+
+@pytest.mark.parametrize("most", [substring.BIG_ANCHOR, 0])
+def test_substring_workers_hand_memory_back(spark, monkeypatch, most):
+    """A worker that has done its part lives on, idle, beside those of the next stage."""
+    kind = type(spark.range(1))
+    run, given = kind.mapInArrow, []
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, *more: given.append(f) or run(self, f, *more))
+    monkeypatch.setattr(substring, "BIG_ANCHOR", most)
+    d = spark.createDataFrame([(i, " ".join(f"w{k % 70}" for k in range(i, 90))) for i in range(4)], "doc_id long, text string")
+    assert substring.digest(d).where("n_removed > 0").count() == 3
+    assert len(given) == (5 if most == 0 else 4) and all(hasattr(f, "__wrapped__") for f in given)
+
+
 # ---- byte-pair encoding: words that no task knows beforehand
 
 
