@@ -24,16 +24,17 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 from xxhash import xxh64_intdigest
 
-from .common import Scratch, bytes_of, split_words
+from .common import Scratch, bytes_of, giving_back, split_words
 
 LEAST = 2
 WORD_SHARE, NGRAM_SHARE = 5e-7, 2.5e-7
@@ -42,12 +43,16 @@ DISCOUNT = 0.75
 #: Tokens that a task gathers before it hands on their counts; bytes of texts that it reads at once; tokens of a group of n-grams.
 FLUSH_TOKENS, SLICE_BYTES, GROUP_TOKENS = 1_000_000, 2_000_000, 25_000
 FOLDS, HELD_OUT = 7, 2
-#: Bits of the tables that narrow what is counted and asked for.
-FILTER_BITS = 27
+#: Bits of the tables that narrow what is counted and asked for, and of their parts.
+FILTER_BITS, PART_BITS = 27, 21
 #: In place of the first word of a pair; of a word that no kept n-gram holds; beyond these are hashes.
 NONE, NEVER = -1, -2
-#: Kinds of rows that a text gives: something to look up, or a sum that is known already.
-ASKED, N_TOKENS, N_KNOWN, BASE, SCORE = range(5)
+#: Kinds of packed rows that meet in a group: what the model has, what texts ask for, sums that are known already.
+HAS, ASKS, SUMS = range(3)
+#: Columns of packed rows, and tokens of a group of what is asked for.
+PACKED, REST_TOKENS = "abcde", 2_000_000
+#: Texts are scored in so many rounds, dealt out by their hash; each round's shuffle files go before the next.
+ROUNDS = 2
 
 
 def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +84,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 parts, size = [], 0
         yield flush()
 
-    return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(giving_back(count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -120,24 +125,52 @@ class Numbers:
         return whole, tokens, row
 
 
+def _binary(x: np.ndarray, begin: np.ndarray) -> pa.Array:
+    """The bytes of an array, from each beginning to the next one."""
+    ends = np.append(begin, len(x)).astype(np.int32) * np.int32(x.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(x))])
+
+
+def _firsts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([np.ones(min(len(x), 1), bool), x[1:] != x[:-1]]))
+
+
 def _place(k: np.ndarray) -> np.ndarray:
     """The bit of a key: its highest bits, without the sign."""
     return k.astype(np.uint64) >> np.uint64(63 - FILTER_BITS) & np.uint64((1 << FILTER_BITS) - 1)
 
 
 def _bits(keys: DataFrame, column: str = "k") -> np.ndarray:
-    """A bit for each key (long): 2 ** FILTER_BITS bits at any number of keys."""
+    """A bit for each key (long, or binary arrays of them): 2 ** FILTER_BITS bits at any number of keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = _place(b.column(column).to_numpy())
-            bit = (np.uint64(1) << (at & np.uint64(63))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int32)), pa.array(bit)], ["slot", "bit"])
-
-    found = keys.select(column).mapInArrow(run, "slot int, bit long").groupBy("slot").agg(F.bit_or("bit").alias("bit")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    out[found["slot"].to_numpy()] = found["bit"].to_numpy().view(np.uint64)
-    return out
+            keys = b.column(column)
+            at = np.unique(_place(np.frombuffer(b"".join(bytes_of(keys)), np.int64) if pa.types.is_binary(keys.type) else keys.to_numpy()))
+            begin = _firsts(at >> np.uint64(PART_BITS))
+            yield pa.RecordBatch.from_arrays([pa.array((at[begin] >> np.uint64(PART_BITS)).astype(np.int32)), _binary((at & np.uint64(size - 1)).astype(np.int32), begin)], ["part", "at"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, there = -1, np.zeros(size, bool)
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(there, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
+        for b in batches:
+            for i, at in zip(b.column("part").to_pylist(), bytes_of(b.column("at")), strict=True):
+                if i != part:
+                    if part >= 0:
+                        yield done()
+                    part, there = i, np.zeros(size, bool)
+                there[np.frombuffer(at, np.int32)] = True
+        if part >= 0:
+            yield done()
+
+    size = 1 << PART_BITS
+    parts = keys.select(column).mapInArrow(giving_back(run), "part int, at binary").repartition("part").sortWithinPartitions("part")
+    found = parts.mapInArrow(giving_back(add), "part int, bits binary").toArrow()
+    out = np.zeros((1 << (FILTER_BITS - PART_BITS), size >> 6), np.uint64)
+    for i, bits in zip(found["part"].to_pylist(), found["bits"].to_pylist(), strict=True):
+        out[i] = np.frombuffer(bits, np.uint64)
+    return out.ravel()
 
 
 def _has(bits: np.ndarray, k: np.ndarray) -> np.ndarray:
@@ -174,6 +207,19 @@ def _counted(k: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np
     return order[first], np.diff(first, append=len(k)) if n is None else np.add.reduceat(n[order], first) if len(k) else n
 
 
+def _group(k: np.ndarray, groups: int) -> np.ndarray:
+    return (k.view(np.uint64) >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)
+
+
+def _packed(g: np.ndarray, kind: int, *columns: pa.Array) -> pa.RecordBatch:
+    """Rows of one kind; columns that it hasn't are null."""
+    none = pa.nulls(len(g), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(g.astype(np.int32)), pa.array(np.full(len(g), kind, np.int32)), *columns, *[none] * (len(PACKED) - len(columns))], ["g", "kind", *PACKED])
+
+
+PACKED_SCHEMA = f"g int, kind int, {', '.join(f'{x} binary' for x in PACKED)}"
+
+
 def packed_ngrams(docs: DataFrame, shared, order: int, groups: int) -> DataFrame:  # noqa: ANN001
     """(g, a, b, c, n): of each group of keys, what a task has counted, as arrays in binary columns, so that Spark shuffles few rows; order 2 has no a."""
     names = "abc"[3 - order :]
@@ -186,10 +232,9 @@ def packed_ngrams(docs: DataFrame, shared, order: int, groups: int) -> DataFrame
             grams = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * order
             k = _mixed(*([np.full(len(grams[0]), NONE)] * (3 - order)), *grams)
             at, n = _counted(k)
-            g = (k[at] >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)  # in order, like the keys
-            begin = np.flatnonzero(np.concatenate([np.ones(min(len(g), 1), bool), g[1:] != g[:-1]]))
-            ends = np.append(begin, len(g)).astype(np.int32) * np.int32(8)
-            packed = [pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(x.astype(np.int64))]) for x in [*(x[at] for x in grams), n]]
+            g = _group(k[at], groups)  # in order, like the keys
+            begin = _firsts(g)
+            packed = [_binary(x.astype(np.int64), begin) for x in [*(x[at] for x in grams), n]]
             return pa.RecordBatch.from_arrays([pa.array(g[begin].astype(np.int32)), *packed], ["g", *names, "n"])
 
         for batch in _sliced(batches):
@@ -202,20 +247,28 @@ def packed_ngrams(docs: DataFrame, shared, order: int, groups: int) -> DataFrame
                 parts, size = [], 0
         yield flush()
 
-    return docs.select("text").mapInArrow(count, f"g int, {', '.join(f'{x} binary' for x in names)}, n binary")
+    return docs.select("text").mapInArrow(giving_back(count), f"g int, {', '.join(f'{x} binary' for x in names)}, n binary")
 
 
-def ngram_counts(docs: DataFrame, shared, order: int, groups: int) -> DataFrame:  # noqa: ANN001
-    """(a, b, c, n) of the pairs (a is NONE) or triples that occur LEAST times; ``shared``: numbers of words, their bits, those of pairs."""
+def ngram_counts(docs: DataFrame, shared, order: int, groups: int, of_words=None) -> DataFrame:  # noqa: ANN001
+    """(a, b, c, n) of the pairs (a is NONE) or triples that occur LEAST times; ``shared``: numbers of words, their bits, those of pairs.
+
+    ``of_words``: counts of frequent words before another and after one; then nb and nc are added, null for other words.
+    """
 
     def add(t: pa.Table) -> pa.Table:
         *grams, n = (np.frombuffer(b"".join(t[x].to_pylist()), np.int64) for x in t.column_names[1:])
         grams = [np.full(len(n), NONE)] * (3 - order) + grams
         at, n = _counted(_mixed(*grams), n)
         often = n >= LEAST
-        return pa.table([*(x[at[often]] for x in grams), n[often]], names=[*"abc", "n"])
+        grams, n = [x[at[often]] for x in grams], n[often]
+        if of_words is None:
+            return pa.table([*grams, n], names=[*"abc", "n"])
+        own = [pa.array(v[np.maximum(x, 0)].astype(np.float64), mask=x < 0) for v, x in zip(of_words.value, grams[1:], strict=True)]
+        return pa.table([*map(pa.array, grams), pa.array(n), *own], names=[*"abc", "n", "nb", "nc"])
 
-    return packed_ngrams(docs, shared, order, groups).groupBy("g").applyInArrow(add, "a long, b long, c long, n long")
+    more = "" if of_words is None else ", nb double, nc double"
+    return packed_ngrams(docs, shared, order, groups).groupBy("g").applyInArrow(add, f"a long, b long, c long, n long{more}")
 
 
 def _named(counts: DataFrame) -> DataFrame:
@@ -225,20 +278,13 @@ def _named(counts: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("n"), pa.array(word_hashes(bytes_of(b.column("word"))))], ["n", "id"])
 
-    return counts.select("word", "n").mapInArrow(run, "n long, id long")
-
+    return counts.select("word", "n").mapInArrow(giving_back(run), "n long, id long")
 
-def _of_word(df: DataFrame, at: str, name: str, frequent: np.ndarray, rare: DataFrame) -> DataFrame:
-    """Adds a value of the word in column ``at``: of frequent ones from an array, of others by a join with ``rare`` (id, v); only the latter are shuffled."""
-    shared = df.sparkSession.sparkContext.broadcast(frequent.astype(np.float64))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value[b.column(at).to_numpy()])], [*b.schema.names, name])
 
-    own = df.where(F.col(at) >= 0).mapInArrow(run, StructType([*df.schema.fields, StructField(name, DoubleType())]))
-    others = df.where(F.col(at) < 0).join(rare.select(F.col("id").alias(at), F.col("v").alias(name)), at, "left")
-    return own.unionByName(others.select(*df.columns, F.coalesce(name, F.lit(0.0)).alias(name)))
+def _of_rare(df: DataFrame, at: str, name: str, rare: DataFrame) -> DataFrame:
+    """Puts a value into column ``name`` where the word in column ``at`` isn't frequent, by a join with ``rare`` (id, v); only such rows are shuffled."""
+    others = df.where(F.col(at) < 0).drop(name).join(rare.select(F.col("id").alias(at), F.col("v").alias(name)), at)
+    return df.where(F.col(at) >= 0).unionByName(others)
 
 
 def _backoff(left: Column, below: Column) -> Column:
@@ -293,7 +339,16 @@ class Automaton:
         three = np.searchsorted(self.pairs, triples["a"].to_numpy() * self.width + triples["b"].to_numpy()) * self.width + triples["c"].to_numpy()
         order = np.argsort(three)
         self.triples, self.triple_p = three[order], triples["log_p"].to_numpy()[order]
-        self.pair_at, self.triple_at = Index(self.pairs), Index(self.triples)
+
+    def __getattr__(self, name: str) -> Index:
+        """The hash tables are made where they are first used, and not sent along."""
+        if name not in ("pair_at", "triple_at"):
+            raise AttributeError(name)
+        self.__dict__[name] = found = Index(self.pairs if name == "pair_at" else self.triples)
+        return found
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("pair_at", "triple_at")}
 
     def read(self, words: np.ndarray) -> float:
         """Sum of log10 probabilities of a text's words."""
@@ -323,7 +378,7 @@ class Automaton:
 
 
 class Model:
-    """The automaton, and ``rest`` (k, base, w): what rarer words and n-grams add to the base and the score, by their keys."""
+    """The automaton, and ``rest``: what rarer words and n-grams add to the score and the base, by their keys, packed by groups of keys."""
 
     def __init__(self, docs: DataFrame) -> None:
         spark = docs.sparkSession
@@ -341,15 +396,16 @@ class Model:
         self.twice = _bits(others.where(F.col("n") >= LEAST), "id")
         known = share((words, self.twice, None))
         groups = max(1, total // GROUP_TOKENS)
-        grams = box.put(ngram_counts(docs, known, 2, groups))
+        context_n = word_n.copy()
+        context_n[0] = rows
+        grams = box.put(ngram_counts(docs, known, 2, groups, share((context_n, word_n))))
         known.destroy()  # each executor has it on its disk
         _freed(spark)
 
         rare = others.where(F.col("n") >= LEAST).select("id", F.col("n").cast("double").alias("v"))
         one = F.lit(float(1 / (total + vocabulary + 1)))
-        context_n = word_n.copy()
-        context_n[0] = rows
-        pairs = _of_word(_of_word(grams.select("b", "c", "n"), "b", "nb", context_n, rare), "c", "nc", word_n, rare)
+        odd = F.col("b").bitwiseOR(F.col("c")) < 0  # one of the two words is rare
+        pairs = grams.where(~odd).unionByName(_of_rare(_of_rare(grams.where(odd), "b", "nb", rare), "c", "nc", rare))
         pairs = box.put(pairs.select("b", "c", "n", ((F.col("n") - DISCOUNT) / F.col("nb")).alias("p"), ((F.col("nc") + 1) * one).alias("below")))
         pair_bits = _bits(_keyed(pairs.select(F.lit(NONE).cast("long").alias("a"), "b", "c")))
         # one word before: a context none of whose n-grams are kept backs off for free
@@ -366,30 +422,38 @@ class Model:
         second = pairs.select("b", "c", F.col("p").alias("below"))
         first = pairs.select(F.col("b").alias("a"), F.col("c").alias("b"), F.col("n").alias("before"))
         triples = found3.join(second, ["b", "c"]).join(first, ["a", "b"])
-        triples = box.put(triples.select("a", "b", "c", "n", ((F.col("n") - DISCOUNT) / F.col("before")).alias("p"), "below"))
+        triples = triples.select("a", "b", "c", "n", ((F.col("n") - DISCOUNT) / F.col("before")).alias("p"), "below")
+        pair = Window.partitionBy("a", "b")  # dealt and sorted so already
+        sums = _backoff(F.sum("p").over(pair), F.sum("below").over(pair)).alias("back")
+        triples = box.put(triples.select("*", sums, (F.min("c").over(pair) == F.col("c")).alias("head")))
         box.drop(grams, found3)
-        backs = box.put(triples.groupBy("a", "b").agg(_backoff(F.sum("p"), F.sum("below")).alias("back")))
-        after = pairs.join(backs.select(F.col("a").alias("b"), F.col("b").alias("c"), "back"), ["b", "c"], "left").withColumn("back", F.coalesce("back", F.lit(0.0)))
-        after = box.put(_of_word(after, "b", "before", back, rare_backs))
+        backs = triples.where("head").select(F.col("a").alias("b"), F.col("b").alias("c"), "back")
+        after = box.put(pairs.join(backs, ["b", "c"], "left").withColumn("back", F.coalesce("back", F.lit(0.0))))
         box.drop(pairs)
 
         mine = F.col("n") >= max(float(LEAST), NGRAM_SHARE * total)  # at most 1 / NGRAM_SHARE rows
         mine2, mine3 = mine & (F.col("b") >= 0) & (F.col("c") >= 0), mine & (F.col("a") >= 0) & (F.col("b") >= 0) & (F.col("c") >= 0)
         log = F.log10("p").alias("log_p")
         self.automaton = Automaton(words, word_n, back, after.where(mine2).select("b", "c", log, "back").toArrow(), triples.where(mine3).select("a", "b", "c", log).toArrow(), total, vocabulary)
-        more2 = after.where(~mine2).select(F.lit(NONE).cast("long").alias("a"), "b", "c", (F.log10("p") - F.col("before") - F.log10("below") + F.col("back")).alias("w"))
-        more3 = triples.where(~mine3).join(backs, ["a", "b"]).select("a", "b", "c", (F.log10("p") - F.col("back") - F.log10("below")).alias("w"))
+        none, key = F.lit(NONE).cast("long"), F.lit(NEVER).cast("long")
+        more2 = after.where(~mine2).select(none.alias("a"), "b", "c", (F.log10("p") - F.log10("below") + F.col("back")).alias("w"))  # less their first word's weight
+        odd = more2.where("b < 0").join(rare_backs.withColumnRenamed("id", "b"), "b", "left")
+        more2 = more2.where("b >= 0").unionByName(odd.select("a", "b", "c", (F.col("w") - F.coalesce("v", F.lit(0.0))).alias("w")))
+        more3 = triples.where(~mine3).select("a", "b", "c", (F.log10("p") - F.col("back") - F.log10("below")).alias("w"))
         logs = F.log10(F.col("n") + F.lit(1.0))
-        own = others.join(rare_backs.withColumnRenamed("v", "back"), "id", "left").select(F.col("id").alias("k"), logs.alias("base"), (logs + F.coalesce("back", F.lit(0.0))).alias("w"))
-        more = _keyed(more2.unionByName(more3), "w").select("k", F.lit(0.0).alias("base"), "w")
-        self.rest = box.put(own.unionByName(more))
-        box.drop(after, triples, backs, first_backs, others)
-        self.bits = _bits(self.rest)
+        own = others.join(rare_backs.withColumnRenamed("v", "back"), "id", "left").select(key.alias("a"), key.alias("b"), F.col("id").alias("c"), (logs + F.coalesce("back", F.lit(0.0))).alias("w"), logs.alias("base"))
+        self.groups = max(1, total // REST_TOKENS)
+        self.rest = box.put(_packed_rest(own.unionByName(more2.unionByName(more3).withColumn("base", F.lit(0.0))), share(back), self.groups))
+        box.drop(after, triples, first_backs, others)
+        self.bits = _bits(self.rest.select(F.col("a").alias("k")))
         _freed(spark)
 
 
 def _freed(spark) -> None:  # noqa: ANN001
-    """Lets Spark's cleaner drop the shuffle files of what is written already."""
+    """Lets Spark's cleaner drop the shuffle files of what is written already; it holds on to those of the last job, so a small one follows."""
+    last = Scratch(spark)
+    last.put(spark.range(0, 1, 1, 1))
+    last.drop()
     gc.collect()
     spark._jvm.System.gc()
 
@@ -402,7 +466,67 @@ def _keyed(grams: DataFrame, *more: str) -> DataFrame:
             k = _mixed(*[b.column(x).to_numpy() for x in "abc"]).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(k), *[b.column(x) for x in more]], ["k", *more])
 
-    return grams.select("a", "b", "c", *more).mapInArrow(run, StructType([StructField("k", LongType()), *[grams.schema[x] for x in more]]))
+    return grams.select("a", "b", "c", *more).mapInArrow(giving_back(run), StructType([StructField("k", LongType()), *[grams.schema[x] for x in more]]))
+
+
+def _packed_rest(rows: DataFrame, back, groups: int) -> DataFrame:  # noqa: ANN001
+    """Packed rows of the keys, weights and bases of (a, b, c, w, base).  With NEVER as a, c is the key; pairs of a frequent word lose its weight."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            k, w, base = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = k.view(np.uint64).argsort()
+            g = _group(k[order], groups)
+            begin = _firsts(g)
+            return _packed(g[begin], HAS, *(_binary(x[order], begin) for x in (k, w, base)))
+
+        for batch in batches:
+            a, b, c, w, base = (batch.column(x).to_numpy() for x in ("a", "b", "c", "w", "base"))
+            w = w - np.where((a == NONE) & (b >= 0), back.value[np.maximum(b, 0)], 0.0)
+            parts.append((np.where(a == NEVER, c, _mixed(a, b, c).view(np.int64)), w, base))
+            size += len(a)
+            if size > FLUSH_TOKENS:
+                yield flush()
+                parts, size = [], 0
+        if parts:
+            yield flush()
+
+    return rows.select("a", "b", "c", "w", "base").mapInArrow(giving_back(run), PACKED_SCHEMA)
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """Sums by text (th), a few rows for each, of packed rows that come group by group: first what the model has, then what is asked for."""
+    names = ["th", "copies", "n_tokens", "n_known", "base", "score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, has, index = None, [], None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                g, kind = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                at = lambda x, kind=np.float64, i=i, batch=batch: np.frombuffer(batch.column(2 + x)[i].as_buffer(), kind)
+                if g != group:
+                    group, has, index = g, [], None
+                if kind == HAS:
+                    has.append((at(0, np.int64).copy(), at(1).copy(), at(2).copy()))
+                    continue
+                th = at(0, np.int64)
+                if kind == SUMS:
+                    yield pa.RecordBatch.from_arrays([pa.array(th), pa.array(np.ones(len(th), np.int64)), *(pa.array(at(x)) for x in range(1, 5))], names)
+                    continue
+                if index is None:
+                    keys, w, base = (np.concatenate(x) for x in zip(*has, strict=True)) if has else (np.zeros(0, np.int64), np.zeros(1), np.zeros(1))
+                    index, has = Index(keys), []
+                n, found = at(1, np.int32).astype(np.int64), index.find(at(2, np.int64))
+                there, begin = found >= 0, n.cumsum() - n
+                own_base = np.where(there, base[found], 0.0)
+                sums = [np.add.reduceat(x, begin) for x in ((own_base > 0).astype(np.float64), own_base, np.where(there, w[found], 0.0))]  # words have a base, n-grams none
+                some = np.flatnonzero(np.logical_or.reduceat(there, begin))
+                zero = np.zeros(len(some))
+                yield pa.RecordBatch.from_arrays([pa.array(th[some]), pa.array(zero.astype(np.int64)), pa.array(zero), *(pa.array(x[some]) for x in sums)], names)
+
+    return rows.mapInArrow(giving_back(run), "th long, copies long, n_tokens double, n_known double, base double, score double")
 
 
 def train(docs: DataFrame) -> tuple[Automaton, DataFrame, int, int]:
@@ -424,11 +548,22 @@ def score(docs: DataFrame, learn: DataFrame) -> DataFrame:
     trained.box.drop(trained.counts)
     total, unknown = trained.total, trained.automaton.log_one
     shared = docs.sparkSession.sparkContext.broadcast((trained.automaton, trained.twice, trained.bits))
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    groups = trained.groups
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, twice, bits = shared.value
-        numbers = Numbers(m.words, twice)
+        numbers, parts, size = Numbers(m.words, twice), [], 0
+
+        def flush() -> pa.RecordBatch:
+            k, row = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] + i for x, i in zip(parts, np.cumsum([0, *(len(x[2]) for x in parts[:-1])]), strict=True)])
+            th = np.concatenate([x[2] for x in parts])
+            g = _group(k, groups)
+            order = (g * np.uint64(len(th)) + row.astype(np.uint64)).argsort()
+            k, row, g = k[order], row[order], g[order]
+            text = np.flatnonzero(np.concatenate([np.ones(min(len(g), 1), bool), (g[1:] != g[:-1]) | (row[1:] != row[:-1])]))
+            begin, first = _firsts(g[text]), _firsts(g)
+            return _packed(g[first], ASKS, _binary(th[row[text]], begin), _binary(np.diff(text, append=len(k)).astype(np.int32), begin), _binary(k, first))
+
         for batch in _sliced(batches):
             n = batch.num_rows
             whole, t, row = numbers.read(batch.column("text"))
@@ -436,7 +571,7 @@ def score(docs: DataFrame, learn: DataFrame) -> DataFrame:
             rare, own = np.flatnonzero(whole < 0), np.flatnonzero(whole > 0)
             below = summed(None, rare) * unknown
             score, pair, triple = m.steps(np.maximum(whole, -1))
-            sums = [summed(None) - 1, summed(m.word_n[whole[own]] > 0, own), summed(m.unigram[whole[own]], own) + below, summed(score, slice(1, None)) + below]
+            sums = [summed(None) - 1.0, summed(m.word_n[whole[own]] > 0, own), summed(m.unigram[whole[own]], own) + below, summed(score, slice(1, None)) + below]
             # pairs and triples that aren't the automaton's but may be kept; a triple's pairs are kept, too
             at = _pairs(t)
             kept = np.zeros(len(t), bool)
@@ -452,29 +587,28 @@ def score(docs: DataFrame, learn: DataFrame) -> DataFrame:
             some = _has(bits, k3)
             at3, k3 = at3[some], k3[some]
             rare = rare[_has(bits, whole[rare])]
-            k, r = np.concatenate([whole[rare], k2, k3]), np.concatenate([row[rare], row[at2], row[at3]])
-            one, times = _counted(_mixed(k, r, r))
-            order = r[one].argsort(kind="stable")  # rows of a text stand together, so that their ids compress
-            one, times = one[order], times[order]
-            # sums have a key that no n-gram has, so that they are dealt out like the rest
-            at = pa.array(np.concatenate([r[one], np.tile(np.arange(n), 4)]))
-            k = pa.array(np.concatenate([k[one], np.tile(batch.column("th").to_numpy(), 4)]))
-            kind = pa.array(np.repeat(np.array([ASKED, N_TOKENS, N_KNOWN, BASE, SCORE], np.int32), [len(one), n, n, n, n]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("th").take(at), k, kind, pa.array(np.concatenate([times, *sums]))], ["doc_id", "th", "k", "kind", "v"])
-
-    asked = base.mapInArrow(read, f"doc_id {id_type}, th long, k long, kind int, v double")
-    met = asked.join(trained.rest.hint("merge"), "k", "left")
-    is_ = lambda kind: F.col("kind") == kind
-    add = lambda kind, c: F.sum(F.when(is_(kind), F.col("v")).when(is_(ASKED), F.col("v") * F.coalesce(c, F.lit(0.0))))
-    known = F.when(F.col("base") > 0, F.lit(1.0)).otherwise(F.lit(0.0))  # words, not n-grams
-    copies = F.count(F.when(is_(SCORE), F.lit(1)))
-    out = met.groupBy("doc_id", "th").agg(
-        copies.alias("copies"), F.sum(F.when(is_(N_TOKENS), F.col("v"))).alias("n_tokens"), add(N_KNOWN, known).alias("n_known"), add(BASE, F.col("base")).alias("base"), add(SCORE, F.col("w")).alias("score")
-    )
-    # rows equal in id and text were summed together
-    each = out.select("doc_id", "th", *[(F.col(c) / F.col("copies")).alias(c) for c in ("n_tokens", "n_known", "base", "score")], F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+            th = batch.column("th").to_numpy()
+            parts.append((np.concatenate([whole[rare], k2, k3]), np.concatenate([row[rare], row[at2], row[at3]]), th))
+            size += len(parts[-1][0])
+            yield _packed(_group(th[:1], groups), SUMS, *(_binary(np.asarray(x), np.zeros(1, np.int64)) for x in (th, *sums)))
+            if size > FLUSH_TOKENS:
+                yield flush()
+                parts, size = [], 0
+        if parts:
+            yield flush()
+
+    add = lambda c: (F.sum(c) / F.sum("copies")).alias(c)  # noqa: E731  equal texts were summed together
+    box, scores = trained.box, []
+    for i in range(ROUNDS):
+        asked = base.where(F.pmod("th", F.lit(ROUNDS)) == i).select("th", "text").mapInArrow(giving_back(read), PACKED_SCHEMA)
+        met = _met(trained.rest.unionByName(asked).repartition("g").sortWithinPartitions("g", "kind"))
+        scores.append(box.put(met.groupBy("th").agg(*map(add, ("n_tokens", "n_known", "base", "score")))))
+        _freed(docs.sparkSession)
+    box.drop(trained.rest)
+    shared.destroy()
+    out = reduce(DataFrame.unionByName, scores)
     whole = lambda c: F.round(c).cast("long").alias(c)
-    return each.select("doc_id", "th", whole("n_tokens"), whole("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
+    return base.select("doc_id", "th").join(out, "th").select("doc_id", "th", whole("n_tokens"), whole("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -5,8 +5,10 @@ from __future__ import annotations
 import collections
 import hashlib
 import math
+import pickle
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -714,6 +716,55 @@ def test_index_finds_what_a_search_finds():
         assert lm.Index(keys).find(asked).tolist() == [place.get(k, -1) for k in asked.tolist()]
 
 
+def test_what_texts_ask_for_is_handed_on_in_few_rows(spark, docs, monkeypatch):
+    monkeypatch.setattr(lm, "NGRAM_SHARE", 0.01)  # nearly all n-grams are looked up by a join
+    run, sizes = lm._met, []
+
+    def met(rows):
+        asks = rows.where(F.col("kind") == lm.ASKS).select(F.octet_length("c").alias("n")).collect()
+        sizes.append((len(asks), sum(r["n"] for r in asks) // 8))
+        return run(rows)
+
+    monkeypatch.setattr(lm, "_met", met)
+    d = docs.select("doc_id", "text").repartition(2)
+    assert lm.digest(d).count() == d.count()
+    assert len(sizes) == lm.ROUNDS and all(n <= 4 < 1000 < asked for n, asked in sizes)
+
+
+def test_bits_are_those_of_the_keys(spark):
+    keys = np.random.default_rng(4).integers(-(1 << 63), 1 << 63, 3000)
+    want = np.zeros(1 << (lm.FILTER_BITS - 6), np.uint64)
+    for at in lm._place(keys).tolist():
+        want[at >> 6] |= np.uint64(1 << (at & 63))
+    longs = spark.createDataFrame([(int(k),) for k in keys], "k long").repartition(3)
+    packed = spark.createDataFrame([(keys[:2000].tobytes(),), (keys[1500:].tobytes(),)], "k binary")
+    assert (lm._bits(longs) == want).all() and (lm._bits(packed) == want).all()
+
+
+def test_hash_tables_are_not_sent_along(docs):
+    m = lm.train(docs.select(F.col("text").cast("binary").alias("text")))[0]
+    size = len(pickle.dumps(m))
+    m.read(np.array([2, 3, 4]))
+    assert len(pickle.dumps(m)) == size and pickle.loads(pickle.dumps(m)).read(np.array([2, 3, 4])) == m.read(np.array([2, 3, 4]))
+
+
+def test_shuffle_files_go_between_steps(spark):
+    def files():
+        blocks = spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {x for x in blocks.mkString(" ").split() if "shuffle_" in x}
+
+    before = files()
+    common.Scratch(spark).put(spark.range(1000).repartition(3, "id"))
+    new = files() - before
+    assert new
+    lm._freed(spark)
+    for _ in range(50):
+        if not new & files():
+            return
+        time.sleep(0.2)
+    raise AssertionError("the last step's files are still there")
+
+
 # ---- near-duplicates and mixing: what Python workers do
 
 
