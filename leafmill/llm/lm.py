@@ -6,7 +6,8 @@ They are tables keyed by word numbers: frequent words (``WORD_SHARE``) are numbe
 any other has a negative 63-bit hash (no two of 10 million share one but with a chance of 1
 in 100,000).  What can't be kept is not counted at all: pairs of a word seen once, triples of a
 pair seen once.  Bit tables of a fixed size tell that; where they are full they only tell less.
-Probabilities and backoff weights come from joins of these tables.
+Probabilities and backoff weights come from joins of these tables: pairs and triples are dealt out by the keys of their
+pairs, packed as arrays, and meet group by group.
 
 A score is a sum over the n-grams of a text: a kept n-gram adds its discounted log10
 probability, less what its absence would have cost, plus its own backoff weight if a word
@@ -29,9 +30,8 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 from xxhash import xxh64_intdigest
 
 from .common import Scratch, bytes_of, giving_back, split_words
@@ -40,17 +40,17 @@ LEAST = 2
 WORD_SHARE, NGRAM_SHARE = 5e-7, 2.5e-7
 MAX_FREQUENT_BYTES = 64
 DISCOUNT = 0.75
-#: Tokens that a task gathers before it hands on their counts; bytes of texts that it reads at once; tokens of a group of n-grams.
-FLUSH_TOKENS, SLICE_BYTES, GROUP_TOKENS = 1_000_000, 2_000_000, 25_000
+#: Words and n-grams that a task gathers before it hands on their counts; bytes of texts that it reads at once; tokens of a group of n-grams.
+FLUSH_WORDS, FLUSH_TOKENS, SLICE_BYTES, GROUP_TOKENS = 2_000_000, 600_000, 2_000_000, 100_000
 FOLDS, HELD_OUT = 7, 2
 #: Bits of the tables that narrow what is counted and asked for, and of their parts.
 FILTER_BITS, PART_BITS = 27, 21
 #: In place of the first word of a pair; of a word that no kept n-gram holds; beyond these are hashes.
 NONE, NEVER = -1, -2
-#: Kinds of packed rows that meet in a group: what the model has, what texts ask for, sums that are known already.
-HAS, ASKS, SUMS = range(3)
-#: Columns of packed rows, and tokens of a group of what is asked for.
-PACKED, REST_TOKENS = "abcde", 2_000_000
+#: Kinds of packed rows that meet in a group: what the model has, what texts ask for, sums of texts; frequent pairs and triples.
+HAS, ASKS, SUMS, PAIRS, TRIPLES = range(5)
+#: Columns of packed rows, tokens of a group of what is asked for, and groups of texts whose sums are added up.
+PACKED, REST_TOKENS, SUM_GROUPS = "abcdef", 2_000_000, 1024
 #: Texts are scored in so many rounds, dealt out by their hash; each round's shuffle files go before the next.
 ROUNDS = 2
 
@@ -79,7 +79,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for b in _sliced(batches):
             parts.append(split_words(b.column("text"))[0])
             size += len(parts[-1])
-            if size > FLUSH_TOKENS:
+            if size > FLUSH_WORDS:
                 yield flush()
                 parts, size = [], 0
         yield flush()
@@ -220,6 +220,53 @@ def _packed(g: np.ndarray, kind: int, *columns: pa.Array) -> pa.RecordBatch:
 PACKED_SCHEMA = f"g int, kind int, {', '.join(f'{x} binary' for x in PACKED)}"
 
 
+def _pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return _mixed(np.full(len(a), NONE), a, b).view(np.int64)
+
+
+def _gathered(pieces: Iterator[tuple], groups: int) -> Iterator[pa.RecordBatch]:
+    """Packed rows of pieces (kind, keys by which they are dealt out, columns), FLUSH_TOKENS at once."""
+    parts, size = {}, 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for kind, found in parts.items():
+            k, *columns = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = k.view(np.uint64).argsort()
+            g = _group(k[order], groups)
+            begin = _firsts(g)
+            yield _packed(g[begin], kind, *(_binary(x[order], begin) for x in columns))
+
+    for kind, k, *columns in pieces:
+        parts.setdefault(kind, []).append((k, *columns))
+        size += len(k)
+        if size > FLUSH_TOKENS:
+            yield from flush()
+            parts, size = {}, 0
+    yield from flush()
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Group, kind, and a function that gives a column's array, of each packed row."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            at = lambda x, kind=np.int64, i=i, batch=batch: np.frombuffer(batch.column(2 + x)[i].as_buffer(), kind)
+            yield batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), at
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], *types: tuple[str, list]) -> Iterator[list[list[np.ndarray]]]:
+    """The columns of each group, for each (kind, types of its columns); rows come group by group."""
+    types, group, parts = dict(types), None, {}
+    whole = lambda: [[np.concatenate(x) for x in zip(*parts[k], strict=True)] if parts.get(k) else [np.zeros(0, t) for t in kinds] for k, kinds in types.items()]
+    for g, kind, at in _rows(batches):
+        if g != group:
+            if parts:
+                yield whole()
+            group, parts = g, {}
+        parts.setdefault(kind, []).append([at(i, t).copy() for i, t in enumerate(types[kind])])
+    if parts:
+        yield whole()
+
+
 def packed_ngrams(docs: DataFrame, shared, order: int, groups: int) -> DataFrame:  # noqa: ANN001
     """(g, a, b, c, n): of each group of keys, what a task has counted, as arrays in binary columns, so that Spark shuffles few rows; order 2 has no a."""
     names = "abc"[3 - order :]
@@ -271,6 +318,75 @@ def ngram_counts(docs: DataFrame, shared, order: int, groups: int, of_words=None
     return packed_ngrams(docs, shared, order, groups).groupBy("g").applyInArrow(add, f"a long, b long, c long, n long{more}")
 
 
+def _by_group(rows: DataFrame, run, groups: int) -> DataFrame:  # noqa: ANN001
+    """Packed rows, dealt out by group, become packed rows of the pieces that ``run`` makes of a task's batches."""
+    dealt = rows.repartition("g").sortWithinPartitions("g", "kind")
+    return dealt.mapInArrow(giving_back(lambda batches: _gathered(run(batches), groups)), PACKED_SCHEMA)
+
+
+def packed_triples(docs: DataFrame, shared, groups: int, met: int) -> DataFrame:  # noqa: ANN001
+    """Packed rows (a, b, c, n) of the triples that occur LEAST times, by ``met`` groups of their second pair's key."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for ((*grams, n),) in _grouped(batches, (ASKS, [np.int64] * 4)):
+            at, n = _counted(_mixed(*grams), n)
+            often = n >= LEAST
+            a, b, c = (x[at[often]] for x in grams)
+            yield ASKS, _pair_keys(b, c), a, b, c, n[often]
+
+    found = packed_ngrams(docs, shared, 3, groups).select("g", F.lit(ASKS).alias("kind"), "a", "b", "c", F.col("n").alias("d"))
+    return _by_group(found, count, met)
+
+
+def packed_pairs(pairs: DataFrame, back, least: float, width: int, groups: int) -> DataFrame:  # noqa: ANN001
+    """Packed rows of pairs (b, c, n, p, below, v): key, n, p, weight without what follows, and a code for a frequent pair, else -1.
+
+    v is the first word's own weight, where it is rare; ``back`` has those of frequent words.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            b, c, n, p, below, v = (batch.column(x).to_numpy() for x in range(6))
+            k = _pair_keys(b, c)
+            w = np.log10(p) - np.log10(below) - np.where(b >= 0, back.value[np.maximum(b, 0)], v)
+            yield HAS, k, k, n, p, w, np.where((n >= least) & (b >= 0) & (c >= 0), b * width + c, -1)
+
+    return pairs.select("b", "c", "n", "p", "below", "v").mapInArrow(giving_back(lambda x: _gathered(run(x), groups)), PACKED_SCHEMA)
+
+
+def _weighed(pairs: DataFrame, triples: DataFrame, least: float, width: int, groups: int) -> DataFrame:
+    """Packed rows of what pairs and triples add: key, weight and base; of frequent pairs: code, log10 p and weight after; of frequent triples: code, log10 p.
+
+    Triples meet their second pair, which has the probability below, then their first, whose weight they make up.
+    """
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for (keys, p), (a, b, c, n) in _grouped(batches, (HAS, [np.int64, np.float64]), (ASKS, [np.int64] * 4)):
+            found = Index(keys).find(_pair_keys(b, c))
+            a, b, c, n, found = (x[found >= 0] for x in (a, b, c, n, found))
+            yield ASKS, _pair_keys(a, b), a, b, c, n, p[found]
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        i, f = np.int64, np.float64
+        for (keys, n2, p2, w2, code2), (a, b, c, n, below) in _grouped(batches, (HAS, [i, i, f, f, i]), (ASKS, [i, i, i, i, f])):
+            found = Index(keys).find(_pair_keys(a, b))
+            a, b, c, n, below, found = (x[found >= 0] for x in (a, b, c, n, below, found))
+            p = (n - DISCOUNT) / n2[found]
+            left, low = (np.bincount(found, x, len(keys)) for x in (p, below))
+            back = np.log10(np.maximum(np.where(low > 0, (1 - left) / np.maximum(1 - low, 1e-12), 1.0), 1e-12))
+            mine, own = code2 >= 0, (n >= least) & (a >= 0) & (b >= 0) & (c >= 0)
+            yield PAIRS, code2[mine], code2[mine], np.log10(p2[mine]), back[mine]
+            code = (a[own] * width + b[own]) * width + c[own]  # fits: there are at most 1 / WORD_SHARE frequent words
+            yield TRIPLES, code, code, np.log10(p[own])
+            k = np.concatenate([keys[~mine], _mixed(a[~own], b[~own], c[~own]).view(np.int64)])
+            w = np.concatenate([(w2 + back)[~mine], (np.log10(p) - back[found] - np.log10(below))[~own]])
+            yield HAS, k, k, w, np.zeros(len(k))
+
+    none = [F.lit(None).cast("binary").alias(x) for x in PACKED[2:]]
+    asked = _by_group(pairs.select("g", "kind", "a", F.col("c").alias("b"), *none).unionByName(triples), second, groups)
+    return _by_group(pairs.unionByName(asked), first, groups)
+
+
 def _named(counts: DataFrame) -> DataFrame:
     """(n, id) of words by their hashes."""
 
@@ -327,18 +443,19 @@ class Index:
 class Automaton:
     """States: the root, one for each word number, and one for each frequent pair; arcs are keys, looked up for many texts at once."""
 
-    def __init__(self, words: dict[bytes, int], word_n: np.ndarray, back: np.ndarray, pairs: pa.Table, triples: pa.Table, total: int, vocabulary: int) -> None:
-        """word_n, back: by word number, the end's at 1; pairs (b, c, log_p, back) and triples (a, b, c, log_p): the frequent ones."""
+    def __init__(self, words: dict[bytes, int], word_n: np.ndarray, back: np.ndarray, pairs: list[np.ndarray], triples: list[np.ndarray], total: int, vocabulary: int) -> None:
+        """word_n, back: by word number, the end's at 1; pairs (code, log_p, back) and triples (code, log_p): the frequent ones."""
         self.words, self.width, self.word_n, self.back = words, len(words) + 2, word_n, back
         self.log_one = -np.log10(total + vocabulary + 1)  # of an unseen word; a word seen c times adds log10(c + 1)
         self.unigram = np.log10(word_n + 1.0) + self.log_one
-        two = pairs["b"].to_numpy() * self.width + pairs["c"].to_numpy()
+        two, log_p, after = pairs
         order = np.argsort(two)
-        self.pairs, self.pair_p, self.pair_back = two[order], pairs["log_p"].to_numpy()[order], pairs["back"].to_numpy()[order]
+        self.pairs, self.pair_p, self.pair_back = two[order], log_p[order], after[order]
         # every pair of a frequent triple is frequent
-        three = np.searchsorted(self.pairs, triples["a"].to_numpy() * self.width + triples["b"].to_numpy()) * self.width + triples["c"].to_numpy()
+        three, log_p = triples
+        three = np.searchsorted(self.pairs, three // self.width) * self.width + three % self.width
         order = np.argsort(three)
-        self.triples, self.triple_p = three[order], triples["log_p"].to_numpy()[order]
+        self.triples, self.triple_p = three[order], log_p[order]
 
     def __getattr__(self, name: str) -> Index:
         """The hash tables are made where they are first used, and not sent along."""
@@ -407,44 +524,37 @@ class Model:
         odd = F.col("b").bitwiseOR(F.col("c")) < 0  # one of the two words is rare
         pairs = grams.where(~odd).unionByName(_of_rare(_of_rare(grams.where(odd), "b", "nb", rare), "c", "nc", rare))
         pairs = box.put(pairs.select("b", "c", "n", ((F.col("n") - DISCOUNT) / F.col("nb")).alias("p"), ((F.col("nc") + 1) * one).alias("below")))
-        pair_bits = _bits(_keyed(pairs.select(F.lit(NONE).cast("long").alias("a"), "b", "c")))
         # one word before: a context none of whose n-grams are kept backs off for free
         first_backs = box.put(pairs.groupBy("b").agg(_backoff(F.sum("p"), F.sum("below")).alias("v")).withColumnRenamed("b", "id"))
         back = np.zeros(len(word_n))
         for i, v in first_backs.where("id >= 0").toLocalIterator():
             back[i] = v
         rare_backs = first_backs.where("id < 0")
+        self.groups = groups2 = max(1, total // REST_TOKENS)
+        least, width = max(float(LEAST), NGRAM_SHARE * total), len(words) + 2  # at most 1 / NGRAM_SHARE pairs or triples are frequent
+        zero = F.lit(0.0)
+        odd = pairs.where("b < 0").join(rare_backs.withColumnRenamed("id", "b"), "b", "left").withColumn("v", F.coalesce("v", zero))
+        packed = box.put(packed_pairs(pairs.where("b >= 0").withColumn("v", zero).unionByName(odd), share(back), least, width, groups2))
+        box.drop(grams, pairs)
         # two words before
-        known = share((words, self.twice, pair_bits))
-        found3 = box.put(ngram_counts(docs, known, 3, groups))
+        known = share((words, self.twice, _bits(packed.select(F.col("a").alias("k")))))
+        triples = box.put(packed_triples(docs, known, groups, groups2))
         known.destroy()
         _freed(spark)
-        second = pairs.select("b", "c", F.col("p").alias("below"))
-        first = pairs.select(F.col("b").alias("a"), F.col("c").alias("b"), F.col("n").alias("before"))
-        triples = found3.join(second, ["b", "c"]).join(first, ["a", "b"])
-        triples = triples.select("a", "b", "c", "n", ((F.col("n") - DISCOUNT) / F.col("before")).alias("p"), "below")
-        pair = Window.partitionBy("a", "b")  # dealt and sorted so already
-        sums = _backoff(F.sum("p").over(pair), F.sum("below").over(pair)).alias("back")
-        triples = box.put(triples.select("*", sums, (F.min("c").over(pair) == F.col("c")).alias("head")))
-        box.drop(grams, found3)
-        backs = triples.where("head").select(F.col("a").alias("b"), F.col("b").alias("c"), "back")
-        after = box.put(pairs.join(backs, ["b", "c"], "left").withColumn("back", F.coalesce("back", F.lit(0.0))))
-        box.drop(pairs)
-
-        mine = F.col("n") >= max(float(LEAST), NGRAM_SHARE * total)  # at most 1 / NGRAM_SHARE rows
-        mine2, mine3 = mine & (F.col("b") >= 0) & (F.col("c") >= 0), mine & (F.col("a") >= 0) & (F.col("b") >= 0) & (F.col("c") >= 0)
-        log = F.log10("p").alias("log_p")
-        self.automaton = Automaton(words, word_n, back, after.where(mine2).select("b", "c", log, "back").toArrow(), triples.where(mine3).select("a", "b", "c", log).toArrow(), total, vocabulary)
-        none, key = F.lit(NONE).cast("long"), F.lit(NEVER).cast("long")
-        more2 = after.where(~mine2).select(none.alias("a"), "b", "c", (F.log10("p") - F.log10("below") + F.col("back")).alias("w"))  # less their first word's weight
-        odd = more2.where("b < 0").join(rare_backs.withColumnRenamed("id", "b"), "b", "left")
-        more2 = more2.where("b >= 0").unionByName(odd.select("a", "b", "c", (F.col("w") - F.coalesce("v", F.lit(0.0))).alias("w")))
-        more3 = triples.where(~mine3).select("a", "b", "c", (F.log10("p") - F.col("back") - F.log10("below")).alias("w"))
+        weighed = box.put(_weighed(packed, triples, least, width, groups2))
+        box.drop(packed, triples)
+        _freed(spark)
+
+        def collected(kind: int, *types: type) -> list[np.ndarray]:
+            found = weighed.where(F.col("kind") == kind).select(*PACKED[: len(types)]).toArrow()
+            return [np.frombuffer(b"".join(found[x].to_pylist()), t) for x, t in zip(PACKED, types, strict=False)]
+
+        self.automaton = Automaton(words, word_n, back, collected(PAIRS, np.int64, np.float64, np.float64), collected(TRIPLES, np.int64, np.float64), total, vocabulary)
         logs = F.log10(F.col("n") + F.lit(1.0))
-        own = others.join(rare_backs.withColumnRenamed("v", "back"), "id", "left").select(key.alias("a"), key.alias("b"), F.col("id").alias("c"), (logs + F.coalesce("back", F.lit(0.0))).alias("w"), logs.alias("base"))
-        self.groups = max(1, total // REST_TOKENS)
-        self.rest = box.put(_packed_rest(own.unionByName(more2.unionByName(more3).withColumn("base", F.lit(0.0))), share(back), self.groups))
-        box.drop(after, triples, first_backs, others)
+        own = others.join(rare_backs.withColumnRenamed("v", "back"), "id", "left").select("id", (logs + F.coalesce("back", zero)).alias("w"), logs.alias("base"))
+        own = box.put(_packed_words(own, groups2))
+        box.drop(first_backs, others)
+        self.parts, self.rest = (own, weighed), own.unionByName(weighed.where(F.col("kind") == HAS))
         self.bits = _bits(self.rest.select(F.col("a").alias("k")))
         _freed(spark)
 
@@ -458,75 +568,94 @@ def _freed(spark) -> None:  # noqa: ANN001
     spark._jvm.System.gc()
 
 
-def _keyed(grams: DataFrame, *more: str) -> DataFrame:
-    """(k, ...): the key of each n-gram (a, b, c)."""
+def _packed_words(rows: DataFrame, groups: int) -> DataFrame:
+    """Packed rows of words (id, w, base) by their hashes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            k = _mixed(*[b.column(x).to_numpy() for x in "abc"]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(k), *[b.column(x) for x in more]], ["k", *more])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            k, w, base = (batch.column(x).to_numpy() for x in range(3))
+            yield HAS, k, k, w, base
+
+    return rows.select("id", "w", "base").mapInArrow(giving_back(lambda x: _gathered(run(x), groups)), PACKED_SCHEMA)
 
-    return grams.select("a", "b", "c", *more).mapInArrow(giving_back(run), StructType([StructField("k", LongType()), *[grams.schema[x] for x in more]]))
 
+def _merged(parts: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
+    """Sums by text, in the order of their groups, from (th, copies, n_tokens, n_known, base, score)."""
+    th, *sums = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = th.view(np.uint64).argsort()
+    first = _firsts(th[order])
+    return [th[order][first], *(np.add.reduceat(x[order], first) if len(first) else x for x in sums)]
 
-def _packed_rest(rows: DataFrame, back, groups: int) -> DataFrame:  # noqa: ANN001
-    """Packed rows of the keys, weights and bases of (a, b, c, w, base).  With NEVER as a, c is the key; pairs of a frequent word lose its weight."""
+
+def _met(rows: DataFrame) -> DataFrame:
+    """Packed sums by text of packed rows that come group by group: first what the model has, then what is asked for.
+
+    A text gets at most one partial sum from a group, and never more than it asks for; they are handed on as arrays.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = [], 0
+        group, has, index, parts, size = None, [], None, [], 0
 
         def flush() -> pa.RecordBatch:
-            k, w, base = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = k.view(np.uint64).argsort()
-            g = _group(k[order], groups)
+            sums = _merged(parts)
+            g = _group(sums[0], SUM_GROUPS)
             begin = _firsts(g)
-            return _packed(g[begin], HAS, *(_binary(x[order], begin) for x in (k, w, base)))
-
-        for batch in batches:
-            a, b, c, w, base = (batch.column(x).to_numpy() for x in ("a", "b", "c", "w", "base"))
-            w = w - np.where((a == NONE) & (b >= 0), back.value[np.maximum(b, 0)], 0.0)
-            parts.append((np.where(a == NEVER, c, _mixed(a, b, c).view(np.int64)), w, base))
-            size += len(a)
+            return _packed(g[begin], SUMS, *(_binary(x, begin) for x in sums))
+
+        for g, kind, at in _rows(batches):
+            if g != group:
+                group, has, index = g, [], None
+            if kind == HAS:
+                has.append((at(0).copy(), at(1, np.float64).copy(), at(2, np.float64).copy()))
+                continue
+            th = at(0)
+            if kind == SUMS:
+                parts.append((th.copy(), np.ones(len(th)), *(at(x, np.float64).copy() for x in range(1, 5))))
+            else:
+                if index is None:
+                    keys, w, base = (np.concatenate(x) for x in zip(*has, strict=True)) if has else (np.zeros(0, np.int64), np.zeros(1), np.zeros(1))
+                    index, has = Index(keys), []
+                n, found = at(1, np.int32).astype(np.int64), index.find(at(2))
+                there, begin = found >= 0, n.cumsum() - n
+                own_base = np.where(there, base[found], 0.0)
+                sums = [np.add.reduceat(x, begin) for x in ((own_base > 0).astype(np.float64), own_base, np.where(there, w[found], 0.0))]  # words have a base, n-grams none
+                some = np.flatnonzero(np.logical_or.reduceat(there, begin))
+                parts.append((th[some], np.zeros(len(some)), np.zeros(len(some)), *(x[some] for x in sums)))
+            size += len(parts[-1][0])
             if size > FLUSH_TOKENS:
                 yield flush()
                 parts, size = [], 0
         if parts:
             yield flush()
 
-    return rows.select("a", "b", "c", "w", "base").mapInArrow(giving_back(run), PACKED_SCHEMA)
+    return rows.mapInArrow(giving_back(run), PACKED_SCHEMA)
 
 
-def _met(rows: DataFrame) -> DataFrame:
-    """Sums by text (th), a few rows for each, of packed rows that come group by group: first what the model has, then what is asked for."""
-    names = ["th", "copies", "n_tokens", "n_known", "base", "score"]
+def _summed(rows: DataFrame) -> DataFrame:
+    """One row per text of packed sums; equal texts were summed together."""
+    names = ["th", "n_tokens", "n_known", "base", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, has, index = None, [], None
-        for batch in batches:
-            for i in range(batch.num_rows):
-                g, kind = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                at = lambda x, kind=np.float64, i=i, batch=batch: np.frombuffer(batch.column(2 + x)[i].as_buffer(), kind)
-                if g != group:
-                    group, has, index = g, [], None
-                if kind == HAS:
-                    has.append((at(0, np.int64).copy(), at(1).copy(), at(2).copy()))
-                    continue
-                th = at(0, np.int64)
-                if kind == SUMS:
-                    yield pa.RecordBatch.from_arrays([pa.array(th), pa.array(np.ones(len(th), np.int64)), *(pa.array(at(x)) for x in range(1, 5))], names)
-                    continue
-                if index is None:
-                    keys, w, base = (np.concatenate(x) for x in zip(*has, strict=True)) if has else (np.zeros(0, np.int64), np.zeros(1), np.zeros(1))
-                    index, has = Index(keys), []
-                n, found = at(1, np.int32).astype(np.int64), index.find(at(2, np.int64))
-                there, begin = found >= 0, n.cumsum() - n
-                own_base = np.where(there, base[found], 0.0)
-                sums = [np.add.reduceat(x, begin) for x in ((own_base > 0).astype(np.float64), own_base, np.where(there, w[found], 0.0))]  # words have a base, n-grams none
-                some = np.flatnonzero(np.logical_or.reduceat(there, begin))
-                zero = np.zeros(len(some))
-                yield pa.RecordBatch.from_arrays([pa.array(th[some]), pa.array(zero.astype(np.int64)), pa.array(zero), *(pa.array(x[some]) for x in sums)], names)
+        group, parts, size = None, [], 0
+
+        def done() -> pa.RecordBatch:
+            th, copies, *sums = _merged(parts)
+            return pa.RecordBatch.from_arrays([pa.array(th), *(pa.array(x / copies) for x in sums)], names)
+
+        for g, _, at in _rows(batches):
+            if g != group and parts:
+                yield done()
+                parts, size = [], 0
+            group = g
+            parts.append((at(0).copy(), *(at(x, np.float64).copy() for x in range(1, 6))))
+            size += len(parts[-1][0])
+            if size > FLUSH_TOKENS:
+                parts, size = [_merged(parts)], 0
+        if parts:
+            yield done()
 
-    return rows.mapInArrow(giving_back(run), "th long, copies long, n_tokens double, n_known double, base double, score double")
+    dealt = rows.repartition("g").sortWithinPartitions("g")
+    return dealt.mapInArrow(giving_back(run), "th long, n_tokens double, n_known double, base double, score double")
 
 
 def train(docs: DataFrame) -> tuple[Automaton, DataFrame, int, int]:
@@ -597,14 +726,13 @@ def score(docs: DataFrame, learn: DataFrame) -> DataFrame:
         if parts:
             yield flush()
 
-    add = lambda c: (F.sum(c) / F.sum("copies")).alias(c)  # noqa: E731  equal texts were summed together
     box, scores = trained.box, []
     for i in range(ROUNDS):
         asked = base.where(F.pmod("th", F.lit(ROUNDS)) == i).select("th", "text").mapInArrow(giving_back(read), PACKED_SCHEMA)
         met = _met(trained.rest.unionByName(asked).repartition("g").sortWithinPartitions("g", "kind"))
-        scores.append(box.put(met.groupBy("th").agg(*map(add, ("n_tokens", "n_known", "base", "score")))))
+        scores.append(box.put(_summed(met)))
         _freed(docs.sparkSession)
-    box.drop(trained.rest)
+    box.drop(*trained.parts)
     shared.destroy()
     out = reduce(DataFrame.unionByName, scores)
     whole = lambda c: F.round(c).cast("long").alias(c)

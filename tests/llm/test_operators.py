@@ -795,3 +795,30 @@ def test_bytes_are_those_of_the_array():
     a = pa.array([b"a", b"", b"\xc3\xa9 x", b"word", b"z" * 100], pa.binary())
     for x in (a, a[1:4], a[5:], pa.array([], pa.binary()), pa.array([b"", b""], pa.binary())):
         assert common.bytes_of(x) == x.to_pylist()
+
+
+def test_sums_of_texts_are_handed_on_in_few_rows_however_many_groups(spark, monkeypatch):
+    random.seed(11)
+    vocabulary = [f"w{i}" for i in range(60)]
+    data = [(i, " ".join(random.choices(vocabulary, k=25))) for i in range(300)]
+    d = spark.createDataFrame(data, "doc_id long, text string")
+    for name, x in (("WORD_SHARE", 0.02), ("NGRAM_SHARE", 0.01)):  # nearly all n-grams are looked up
+        monkeypatch.setattr(lm, name, x)
+    want = {r["doc_id"]: r for r in lm.digest(d).collect()}
+    run, counts = lm._met, []
+
+    def met(rows):
+        out = run(rows)
+        counts.append((rows.select("g").distinct().count(), out.count()))
+        return out
+
+    monkeypatch.setattr(lm, "_met", met)
+    monkeypatch.setattr(lm, "REST_TOKENS", 300)
+    monkeypatch.setattr(lm, "SUM_GROUPS", 2, raising=False)
+    got = {r["doc_id"]: r for r in lm.digest(d).collect()}
+    most = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(counts) == lm.ROUNDS and all(groups > 10 and n <= most for groups, n in counts)
+    assert got.keys() == want.keys()
+    for i, r in want.items():
+        assert (got[i]["n_tokens"], got[i]["n_known"]) == (r["n_tokens"], r["n_known"])
+        assert math.isclose(got[i]["score"], r["score"], rel_tol=1e-9) and math.isclose(got[i]["base_score"], r["base_score"], rel_tol=1e-9)
