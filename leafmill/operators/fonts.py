@@ -50,7 +50,8 @@ def font_name(base_font: Column, rules: tuple[Rule, ...] = RULES) -> Column:
         first = F.slice(F.filter(F.array(*map(row, rules)), fits(n)), 1, 1)
         return F.get(F.transform(first, lambda r: F.concat(r["font"], F.when(r["styled"], style).otherwise(F.lit("")))), F.lit(0))
 
-    return F.get(F.transform(F.array(F.lower(base_font)), named), F.lit(0))
+    # a rule without parts would fit a null, too
+    return F.when(base_font.isNotNull(), F.get(F.transform(F.array(F.lower(base_font)), named), F.lit(0)))
 
 
 def typeface(font: Column, fallbacks: dict[str, str] = FALLBACKS) -> Column:
