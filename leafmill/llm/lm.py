@@ -147,9 +147,11 @@ def _bits(keys: DataFrame, column: str = "k") -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = b.column(column)
-            at = np.unique(_place(np.frombuffer(b"".join(bytes_of(keys)), np.int64) if pa.types.is_binary(keys.type) else keys.to_numpy()))
-            begin = _firsts(at >> np.uint64(PART_BITS))
-            yield pa.RecordBatch.from_arrays([pa.array((at[begin] >> np.uint64(PART_BITS)).astype(np.int32)), _binary((at & np.uint64(size - 1)).astype(np.int32), begin)], ["part", "at"])
+            at = _place(np.frombuffer(b"".join(bytes_of(keys)), np.int64) if pa.types.is_binary(keys.type) else keys.to_numpy()).astype(np.int32)
+            at.sort()
+            at = at[_firsts(at)]
+            begin = _firsts(at >> PART_BITS)
+            yield pa.RecordBatch.from_arrays([pa.array(at[begin] >> PART_BITS), _binary(at & np.int32(size - 1), begin)], ["part", "at"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, there = -1, np.zeros(size, bool)
@@ -522,8 +524,8 @@ class Model:
         rare = others.where(F.col("n") >= LEAST).select("id", F.col("n").cast("double").alias("v"))
         one = F.lit(float(1 / (total + vocabulary + 1)))
         odd = F.col("b").bitwiseOR(F.col("c")) < 0  # one of the two words is rare
-        pairs = grams.where(~odd).unionByName(_of_rare(_of_rare(grams.where(odd), "b", "nb", rare), "c", "nc", rare))
-        pairs = box.put(pairs.select("b", "c", "n", ((F.col("n") - DISCOUNT) / F.col("nb")).alias("p"), ((F.col("nc") + 1) * one).alias("below")))
+        mixed = box.put(_of_rare(_of_rare(grams.where(odd), "b", "nb", rare), "c", "nc", rare))
+        pairs = grams.where(~odd).unionByName(mixed).select("b", "c", "n", ((F.col("n") - DISCOUNT) / F.col("nb")).alias("p"), ((F.col("nc") + 1) * one).alias("below"))
         # one word before: a context none of whose n-grams are kept backs off for free
         first_backs = box.put(pairs.groupBy("b").agg(_backoff(F.sum("p"), F.sum("below")).alias("v")).withColumnRenamed("b", "id"))
         back = np.zeros(len(word_n))
@@ -535,7 +537,7 @@ class Model:
         zero = F.lit(0.0)
         odd = pairs.where("b < 0").join(rare_backs.withColumnRenamed("id", "b"), "b", "left").withColumn("v", F.coalesce("v", zero))
         packed = box.put(packed_pairs(pairs.where("b >= 0").withColumn("v", zero).unionByName(odd), share(back), least, width, groups2))
-        box.drop(grams, pairs)
+        box.drop(grams, mixed)
         # two words before
         known = share((words, self.twice, _bits(packed.select(F.col("a").alias("k")))))
         triples = box.put(packed_triples(docs, known, groups, groups2))
