@@ -44,6 +44,18 @@ def test_round_trips(b):
     assert codecs.unpredict(zlib.decompress(q.png_up(b)), 12, 1, 8, 16).rstrip(b"\0") == b.rstrip(b"\0")
 
 
+def test_repaired_streams():
+    """A whole stream after broken bytes is taken, be it empty, or chance makes data of what stands before it or in it."""
+    bad = b"\xff\xfe"
+    assert codecs.flate(bad + zlib.compress(b"")) == b""
+    text = bytes(range(256)) * 254 + b"x" * 99  # stored: its head reads like that of a stored block two bytes earlier
+    stored = b"\x78\x9c\x01\x63\xfe\x9c\x01" + text + zlib.adler32(text).to_bytes(4, "big")
+    assert codecs.flate(bad + stored) == codecs.flate(stored) == text
+    inner = zlib.compress(b"a" * 5000)
+    assert codecs.flate(bad + zlib.compress(inner, 0)) == inner
+    assert codecs.flate(zlib.compress(b"some text" * 9)[:-9]) and codecs.flate(bad + zlib.compress(b"some text" * 9)[:-4]) == b"some text" * 9
+
+
 @pytest.mark.parametrize("tag", [0, 1, 2, 3, 4])
 def test_png_rows(tag):
     rows = [bytes(range(i, i + 8)) for i in (3, 90, 200)]
