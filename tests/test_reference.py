@@ -240,3 +240,13 @@ def test_stream_of_files(spark, tmp_path):
     s = stream_files(spark, str(tmp_path / "in")).writeStream.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c"))
     s.foreachBatch(each_batch(lambda d, n: found.extend(r["line_text"] for r in page_lines(d.elements).orderBy("line_id").collect()))).start().awaitTermination()
     assert found == ["one", "two"]
+
+
+def test_page_texts_by_characters(spark, same, tmp_path):
+    """Gaps between words are a space wide, so a line that fills 0.8 of the page by characters joins the next, whatever its words."""
+    import pandas as pd
+
+    d = pd.DataFrame({"doc_id": [0, 1, 2], "text": ["b" * 80 + "\nnext\n" + "a " * 49 + "aa" + "\n" * 3 + "on page two", "a " * 39 + "aa\nnext\n" + "b" * 100 + "\n\n\n\n", "a b\ncc dd ee ff g\n" + "hh ii " * 3 + "\n-\n"]})
+    d["text"] = d["text"].str.replace(" \n", "\n")
+    d.to_parquet(tmp_path / "documents.parquet")
+    same(q.QUERIES["pdf_page_texts"](spark, str(tmp_path)), q.ORACLES["pdf_page_texts"], {"documents": d})
