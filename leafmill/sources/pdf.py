@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..durable import stored
-from ..functions.codecs import decode_stream, object_key, rc4_stream
+from ..functions.codecs import decode_stream, decoded, object_key, rc4, rc4_stream
 from ..functions.scalars import text_string
 from ..operators import cmaps
 from ..operators.graph import DEPTH, leaves, newest, too_deep, walk
@@ -30,10 +30,21 @@ TJ = "array<struct<s:string,adj:double,w:double>>"
 REF = "struct<r:array<int>>"
 
 
+PARSED = (
+    "file_id string, page_index int, stream_seq int, kind string, obj_seq int, elem_seq int, font_key string, base_font string, font_size double, rgb array<double>, "
+    f"tx double, ty double, scale_x double, scale_y double, moved boolean, tj {TJ}, metric boolean, font_space double, inline string"
+)
+
+
 class PdfError(ValueError):
     """What FAILFAST raises: the first error row."""
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Stored, and joined by shuffles only: the size of the files says nothing, rows that files have in common take next to none there."""
+    return stored(df).hint("merge")
+
+
 def read_files(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
     """(file_id, content) of the files below a path, in any store that Spark reads."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
@@ -107,7 +118,7 @@ class Documents:
 
         mode: with FAILFAST the first error row is raised as a PdfError; with PERMISSIVE errors are rows of ``errors``.
         """
-        self.password, self.keep = password.encode(), stored if checkpoint else (lambda df: df)
+        self.password, self.keep = password.encode(), kept if checkpoint else (lambda df: df)
         self.broken_streams: DataFrame | None = None
         self._observed: list[tuple[str, Observation]] = []
         self.opened = self.keep(self._counted("open", open_files(files)))
@@ -153,22 +164,38 @@ class Documents:
         """Whether any file is."""
         return not self.opened.where("kind = 'trailer'").where(_get("value", "Encrypt").isNotNull()).isEmpty()
 
-    def _decoded(self, wanted: DataFrame) -> DataFrame:
-        """Adds ``data`` to rows with file_id, obj, gen, pos and value: the stream, decrypted and decoded; null if that fails.
+    def _how(self, wanted: DataFrame) -> DataFrame:
+        """Adds secret, filters, params and shut to rows with file_id, obj, gen and value of streams: what decodes them.
 
-        Only the wanted streams are joined to their bytes.  Files whose password doesn't fit have none.
+        secret is null where nothing is encrypted; shut: the file's password doesn't fit.
         """
-        raw = self.opened.where("kind = 'object' and raw is not null").select("file_id", "obj", "pos", "raw")
-        s = wanted.join(raw, ["file_id", "obj", "pos"])
+        s = wanted
         if self.encrypted:
-            s = s.join(self.keys.withColumn("locked", F.lit(True)), "file_id", "left")
+            s = s.join(self.keys.select("file_id", "key", F.lit(True).alias("locked")), "file_id", "left")
             plain = F.col("locked").isNull() | F.coalesce(_get("value", "Type") == "/XRef", F.lit(False))
-            s = s.withColumn("raw", F.when(plain, F.col("raw")).otherwise(rc4_stream(object_key(F.col("key"), F.col("obj"), F.col("gen")), F.col("raw")))).drop("key", "error", "locked")
+            s = s.withColumns({"secret": F.when(~plain, object_key(F.col("key"), F.col("obj"), F.col("gen"))), "shut": ~plain & F.col("key").isNull()}).drop("key", "locked")
+        else:
+            s = s.withColumns({"secret": F.lit(None).cast("binary"), "shut": F.lit(False)})
         one, many = _get("value", "Filter"), F.from_json(_get("value", "Filter"), "array<string>")
         names = F.when(F.startswith(one, F.lit("[")), many).when(one.isNotNull(), F.array(one)).otherwise(F.array().cast("array<string>"))
         params = _get("value", "DecodeParms")
         params = F.when(F.startswith(params, F.lit("{")), F.concat(F.lit("["), params, F.lit("]"))).otherwise(params)
-        return s.withColumn("data", decode_stream("raw", F.transform(names, _name), params)).drop("raw")
+        return s.withColumns({"filters": F.transform(names, _name), "params": params})
+
+    @property
+    def _streams(self) -> DataFrame:
+        return self.opened.where("kind = 'object' and raw is not null").select("file_id", "obj", "pos", "raw")
+
+    def _decoded(self, wanted: DataFrame) -> DataFrame:
+        """Adds ``data`` to rows with file_id, obj, gen, pos and value: the stream, decrypted and decoded; null if that fails.
+
+        Only the wanted streams are joined to their bytes.  Files whose password doesn't fit have none.
+        """
+        s = self._how(wanted).join(self._streams, ["file_id", "obj", "pos"])
+        s = s.withColumn("raw", F.when(~F.col("shut"), F.col("raw")))
+        if self.encrypted:
+            s = s.withColumn("raw", F.when(F.col("secret").isNull(), F.col("raw")).otherwise(rc4_stream("secret", "raw")))
+        return s.withColumn("data", decode_stream("raw", "filters", "params")).drop("raw", "secret", "filters", "params", "shut")
 
     @cached_property
     def objects(self) -> DataFrame:
@@ -287,7 +314,21 @@ class Documents:
 
     @cached_property
     def fonts(self) -> DataFrame:
-        """One row per font: file_id, font, subtype, base_font, cmap (decoded ToUnicode), codes, widths, missing, space_width, error.
+        """One row per font: file_id, font, subtype, base_font, cmap (decoded ToUnicode), codes, widths, missing, space_width, error."""
+        f, key = self._fonts, ["file_id", "font"]
+        to = self._decoded(self._cmap_streams).select(*key, F.col("data").alias("cmap"))
+        identity = F.coalesce(F.startswith("encoding", F.lit("/Identity")), F.lit(False))
+        error = F.when((F.col("subtype") == "Type0") & F.col("cmap").isNull(), F.when(identity, F.lit("no character map")).otherwise(F.concat(F.lit("unsupported encoding "), F.coalesce("encoding", F.lit("none")))))
+        return self.keep(f.join(to, key, "left").select(*key, "subtype", "base_font", "cmap", "codes", "widths", "missing", "space_width", error.alias("error")))
+
+    @property
+    def _cmap_streams(self) -> DataFrame:
+        to = self._fonts.where("to_unicode is not null").select("file_id", "font", F.col("to_unicode").alias("obj"))
+        return to.join(self.objects.where("is_stream").drop("is_stream"), ["file_id", "obj"])
+
+    @cached_property
+    def _fonts(self) -> DataFrame:
+        """The fonts without their character maps, and the objects that these are.
 
         codes: code to text of a simple font, by its base encoding and differences; widths by code, in thousandths;
         missing: the width of any other code; space_width: the least width that isn't zero, or null without widths.
@@ -296,10 +337,13 @@ class Documents:
         f = self.page_fonts.select("file_id", "font").distinct().withColumn("obj", F.col("font").try_cast("int"))
         f = f.join(o.select("file_id", "obj", "value"), ["file_id", "obj"], "left").withColumn("value", F.coalesce("value", "font"))
         f = f.select("file_id", "font", "value", _name(_get("value", "Subtype")).alias("subtype"), _name(_get("value", "BaseFont")).alias("base_font"), _get("value", "Encoding").alias("encoding"), F.coalesce(_get("value", "Widths"), F.lit("[]")).alias("w"), _get("value", "FontDescriptor").alias("about"), F.coalesce(F.get_json_object("value", "$.DescendantFonts[0]"), F.lit("{}")).alias("below"))
-        for c in ("encoding", "w", "about", "below"):
-            f = self._followed(f, c)
+        f, key = self.keep(f), ["file_id", "font"]
+        # all four may be references: one join for them
+        parts = ["encoding", "w", "about", "below"]
+        asked = f.select(*key, F.posexplode(F.array(*[_ref(F.concat(F.lit('{"v":'), F.col(c), F.lit("}")), "v") for c in parts])).alias("i", "obj")).where("obj is not null")
+        got = asked.join(o.select("file_id", "obj", F.col("value").alias("to")), ["file_id", "obj"], "left").groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("i", "to"))).alias("got"))
+        f = f.join(got, key, "left").withColumns({c: F.when(F.map_contains_key("got", F.lit(i)), F.col("got")[i]).otherwise(F.col(c)) for i, c in enumerate(parts)}).drop("got")
         f = self.keep(f)
-        key = ["file_id", "font"]
         # what codes stand for
         simple = f.where("subtype is null or subtype <> 'Type0'")
         base = _name(F.coalesce(_get("encoding", "BaseEncoding"), F.when(F.startswith("encoding", F.lit("/")), F.col("encoding"))))
@@ -325,14 +369,9 @@ class Documents:
         spans = cmaps.expand_widths(cmaps.cid_spans(cid.select(F.struct(*key).alias("font"), "w"))).select("font.*", "cid", "width")
         spans = spans.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("cid", "width"))).alias("widths"))
         given = given.unionByName(cid.select(*key, "missing").join(spans, key, "left"), allowMissingColumns=True)
-        # ToUnicode
-        to = f.select(*key, _ref("value", "ToUnicode").alias("obj")).join(o.where("is_stream").drop("is_stream"), ["file_id", "obj"])
-        to = self._decoded(to).select(*key, F.col("data").alias("cmap"))
-        identity = F.coalesce(F.startswith("encoding", F.lit("/Identity")), F.lit(False))
-        out = f.join(to, key, "left").join(codes, key, "left").join(given, key, "left")
-        error = F.when((F.col("subtype") == "Type0") & F.col("cmap").isNull(), F.when(identity, F.lit("no character map")).otherwise(F.concat(F.lit("unsupported encoding "), F.coalesce("encoding", F.lit("none")))))
+        out = f.join(codes, key, "left").join(given, key, "left")
         space = F.array_min(F.filter(F.concat(F.coalesce(F.map_values("widths"), F.array().cast("array<double>")), F.array("missing")), lambda x: x != 0))
-        return self.keep(out.select(*key, "subtype", "base_font", "cmap", "codes", "widths", "missing", space.alias("space_width"), error.alias("error")))
+        return self.keep(out.select(*key, "subtype", "base_font", "encoding", _ref("value", "ToUnicode").alias("to_unicode"), "codes", "widths", "missing", space.alias("space_width")))
 
     @property
     def content_refs(self) -> DataFrame:
@@ -344,43 +383,33 @@ class Documents:
     @cached_property
     def contents(self) -> DataFrame:
         """(file_id, page_index, stream_seq, obj, data): the decoded content streams of each page; data is null if it is broken."""
-        wanted = self.content_refs.join(self.objects.where("is_stream").drop("is_stream"), ["file_id", "obj"])
-        return self._decoded(wanted).select("file_id", "page_index", "stream_seq", "obj", "data")
+        return self._decoded(self._content_streams).select("file_id", "page_index", "stream_seq", "obj", "data")
+
+    @property
+    def _content_streams(self) -> DataFrame:
+        return self.content_refs.join(self.objects.where("is_stream").drop("is_stream"), ["file_id", "obj"])
 
     @cached_property
     def parsed(self) -> DataFrame:
         """What ``elements`` has, and a row of kind "error" for each operator that can't be read.
 
-        Fonts and content streams are dealt out by file, the fonts first, so that each font is sent and read once for a
-        file, however many pages use it.
+        Fonts, what is wanted of the streams, and the streams are dealt out by file, in that order, so that each font is
+        sent once for a file and each stream once in all, however many pages use them.
         """
-        font = F.struct("base_font", "cmap", "codes", "widths", "missing", "space_width")
-        data = self.contents.where("data is not null").select("file_id", "page_index", "stream_seq", "data")
+        font = F.struct("base_font", "codes", "widths", "missing", "space_width")
         named = self.page_fonts.groupBy("file_id", "page_index").agg(F.map_from_entries(F.collect_list(F.struct("font_key", "font"))).alias("names"))
-        streams = data.join(named, ["file_id", "page_index"], "left").withColumn("order", F.lit(1))
-        both = self.fonts.select("file_id", F.col("font").alias("id"), font.alias("font"), F.lit(0).alias("order")).unionByName(streams, allowMissingColumns=True)
-        both = both.repartition("file_id").sortWithinPartitions("file_id", "order")
-        held: dict = {"file": None, "fonts": {}}
-
-        def rows(file_id: str, own: str | None, font: dict | None, page: int, seq: int, data: bytes | None, names: list | None) -> list[tuple]:
-            if held["file"] != file_id:
-                held["file"], held["fonts"] = file_id, {}
-            if data is None:
-                held["fonts"][own] = font | {k: dict(font[k]) if font[k] is not None else None for k in ("codes", "widths")}
-                return []
-            found = B.content(bytes(data))
-            known = {key: held["fonts"].get(x, {}) for key, x in names or []}
-            metric = all(f.get("missing") is not None for f in known.values())
-            out = []
-            for kind, o, e, items, key, size, rgb, x, y, sx, sy, moved in found:
-                f = known.get(key, {}) if kind == "text" else {}
-                tj = pieces(items, f) if kind == "text" else None
-                more = json.dumps(items) if kind == "inline" else items if kind == "error" else None
-                out.append((file_id, page, seq, kind, o, e, key, f.get("base_font"), size, rgb, x, y, sx, sy, moved, tj, metric, f.get("space_width"), more))
-            return out
-
-        schema = f"file_id string, page_index int, stream_seq int, kind string, obj_seq int, elem_seq int, font_key string, base_font string, font_size double, rgb array<double>, tx double, ty double, scale_x double, scale_y double, moved boolean, tj {TJ}, metric boolean, font_space double, inline string"
-        return self.keep(self._counted("parse", _per_row(both.select("file_id", "id", "font", "page_index", "stream_seq", "data", "names"), rows, schema)))
+        contents = self._content_streams.join(named, ["file_id", "page_index"], "left")
+        wanted = self._how(contents.unionByName(self._cmap_streams, allowMissingColumns=True)).where(~F.col("shut"))
+        parts = [
+            self._fonts.select("file_id", "font", font.alias("about"), F.lit(0).alias("order")),
+            wanted.select("file_id", "font", "pos", "page_index", "stream_seq", "secret", "filters", "params", "names", F.lit(1).alias("order")),
+            self._streams.select("file_id", "pos", "raw", F.lit(2).alias("order")),
+        ]
+        rows = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+        rows = rows.repartition("file_id").sortWithinPartitions("file_id", "order")
+        rows = rows.select("file_id", "order", "font", "about", "pos", "page_index", "stream_seq", "secret", "filters", "params", "names", "raw")
+        kinds = {f.name: to_arrow_type(f.dataType) for f in T.StructType.fromDDL(PARSED)}
+        return self.keep(self._counted("parse", rows.mapInArrow(lambda batches: _parse(batches, kinds), PARSED)))
 
     @property
     def elements(self) -> DataFrame:
@@ -456,7 +485,7 @@ class Documents:
 
     def _counted(self, stage: str, df: DataFrame) -> DataFrame:
         """Observes a stage's rows as they are written; without checkpoints there is nothing to observe."""
-        if self.keep is not stored:
+        if self.keep is not kept:
             return df
         seen = Observation()
         self._observed.append((stage, seen))
@@ -491,28 +520,153 @@ def _code_map(cmap: bytes) -> B.CodeMap:
     return B.CodeMap(cmap)
 
 
+class _Pieces:
+    """Pieces of text operators, gathered by column."""
+
+    def __init__(self) -> None:
+        self.starts, self.s, self.adj, self.w = [], [], [], []
+
+    def add(self, found: list[dict] | None) -> None:
+        self.starts.append(None if found is None else len(self.s))
+        for x in found or ():
+            self.s.append(x["s"])
+            self.adj.append(x["adj"])
+            self.w.append(x["w"])
+
+    def array(self, kind: pa.ListType) -> pa.Array:
+        one = pa.StructArray.from_arrays([pa.array(self.s, pa.string()), pa.array(self.adj, pa.float64()), pa.array(self.w, pa.float64())], fields=list(kind.value_type))
+        return pa.ListArray.from_arrays(pa.array([*self.starts, len(self.s)], pa.int32()), one, type=kind)
+
+
+class _File:
+    """What has come of a file so far: fonts, what is wanted of its streams by their positions, and those streams."""
+
+    def __init__(self, file_id: str) -> None:
+        self.id, self.fonts, self.cmaps, self.contents, self.wanted = file_id, {}, {}, [], {}
+
+    def stream(self, pos: int, raw: bytes) -> None:
+        for font, page, seq, secret, filters, params, names in self.wanted.get(pos, ()):
+            if font is not None:
+                self.cmaps[font] = decoded(rc4(secret, raw) if secret is not None else raw, filters, params)
+            else:
+                self.contents.append((page, seq, raw, secret, filters, params, names))
+
+
+def _parse(batches: Iterator[pa.RecordBatch], kinds: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``PARSED`` of content streams; rows come sorted by file, its fonts first, then what is wanted, then the streams."""
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([tj.array(k) if n == "tj" else pa.array([r[i] for r in out], k) for i, (n, k) in enumerate(kinds.items())], list(kinds))
+
+    def read(file: _File) -> Iterator[pa.RecordBatch]:
+        nonlocal out, tj, size
+        own = {}
+        for name, (font, by_cmap) in file.fonts.items():
+            cmap = file.cmaps.get(name)
+            if cmap not in by_cmap and len(by_cmap) >= 8:
+                by_cmap.clear()
+            own[name] = by_cmap.setdefault(cmap, font | {"cmap": cmap})
+        for page, seq, raw, secret, filters, params, names in file.contents:
+            data = decoded(rc4(secret, raw) if secret is not None else raw, filters, params)
+            if data is None:
+                continue
+            used = {key: own.get(x, {}) for key, x in names or []}
+            metric = all(f.get("missing") is not None for f in used.values())
+            size += len(data)
+            for kind, o, e, items, key, font_size, rgb, x, y, sx, sy, moved in B.content(data):
+                f = used.get(key, {}) if kind == "text" else {}
+                tj.add(pieces(items, f) if kind == "text" else None)
+                more = json.dumps(items) if kind == "inline" else items if kind == "error" else None
+                out.append((file.id, page, seq, kind, o, e, key, f.get("base_font"), font_size, rgb, x, y, sx, sy, moved, None, metric, f.get("space_width"), more))
+                if len(out) >= SLICE_ROWS or size > SLICE_BYTES:
+                    yield made()
+                    out, tj, size = [], _Pieces(), 0
+
+    out, tj, size = [], _Pieces(), 0
+    file, recent = _File(""), []
+    for b in batches:
+        abouts = b.column(3)
+        for i, (file_id, order, font) in enumerate(zip(*(c.to_pylist() for c in b.columns[:3]), strict=True)):
+            if file_id != file.id:
+                yield from read(file)
+                file = _File(file_id)
+            if order == 0:
+                one = abouts[i]
+                known = next((f for x, f in recent if x.equals(one)), None)
+                if known is None:  # many files have the same fonts
+                    about = one.as_py()
+                    known = about | {k: dict(about[k]) if about[k] is not None else None for k in ("codes", "widths")}, {}
+                    recent = [(abouts.take(pa.array([i]))[0], known), *recent[:7]]
+                file.fonts[font] = known
+            elif order == 1:
+                pos, *what = (c[i].as_py() for c in b.columns[4:11])
+                file.wanted.setdefault(pos, []).append((font, *what))
+            elif (pos := b.column(4)[i].as_py()) in file.wanted:
+                file.stream(pos, b.column(11)[i].as_py())
+    yield from read(file)
+    if out:
+        yield made()
+
+
+class _Widths(dict):
+    """Widths by code; any other code has the missing one."""
+
+    def __init__(self, widths: dict, missing: float) -> None:
+        super().__init__(widths)
+        self.missing = missing
+
+    def __missing__(self, code: int) -> float:
+        self[code] = self.missing
+        return self.missing
+
+
+def reader(font: dict) -> Callable[[bytes], tuple[list[int], str]]:
+    """The codes of a font's string, and their text; without a font a byte is a WinAnsi character."""
+    codes = font.get("codes")
+    if font.get("cmap"):
+        return _code_map(bytes(font["cmap"])).read
+    if codes is not None:
+        texts = [codes.get(c, "□") for c in range(256)]
+        return lambda b: (list(b), "".join(map(texts.__getitem__, b)))
+    if font:
+        return lambda b: ([int.from_bytes(b[i : i + 2], "big") for i in range(0, len(b), 2)], "□" * ((len(b) + 1) // 2))
+    return lambda b: (list(b), b.decode("cp1252", "replace"))
+
+
+class _Strings(dict):
+    """(text, width) of a font's strings; short ones, which come again and again, are kept."""
+
+    def __init__(self, font: dict) -> None:
+        missing = font.get("missing")
+        self.reader, self.width = reader(font), None if missing is None else _Widths(font.get("widths") or {}, missing).__getitem__
+
+    def __missing__(self, s: str) -> tuple[str, float | None]:
+        codes, text = self.reader(s.encode("latin-1"))
+        out = text, None if self.width is None else float(sum(map(self.width, codes)))
+        if len(s) <= 24:
+            if len(self) >= 20_000:
+                self.clear()
+            self[s] = out
+        return out
+
+
 def pieces(items: list, font: dict) -> list[dict]:
-    """Pieces of a text operator: text by the font's maps, the kerning before it, and its width; without a font a byte is a WinAnsi character."""
-    widths, missing, codes = font.get("widths") or {}, font.get("missing"), font.get("codes")
+    """Pieces of a text operator: text by the font's maps, the kerning before it, and its width.
+
+    What reads a font's strings is made once and kept in it.
+    """
+    if (read := font.get("read")) is None:
+        read = font["read"] = _Strings(font)
     out, adj = [], None
     for x in items:
         if isinstance(x, int | float):
             adj = (adj or 0.0) + x
         elif isinstance(x, dict) and "s" in x:
-            b = x["s"].encode("latin-1")
-            if font.get("cmap"):
-                found = _code_map(bytes(font["cmap"])).codes(b)
-            elif codes is not None:
-                found = [(c, codes.get(c, "□")) for c in b]
-            elif font:
-                found = [(int.from_bytes(b[i : i + 2], "big"), "□") for i in range(0, len(b), 2)]
-            else:
-                found = [(c, bytes([c]).decode("cp1252", "replace")) for c in b]
-            w = None if missing is None else float(sum(widths.get(c, missing) for c, _ in found))
-            out.append({"s": "".join(t for _, t in found), "adj": adj, "w": w})
+            text, w = read[x["s"]]
+            out.append({"s": text, "adj": adj, "w": w})
             adj = None
     if adj is not None and out:
-        out.append({"s": "", "adj": adj, "w": None if missing is None else 0.0})
+        out.append({"s": "", "adj": adj, "w": None if font.get("missing") is None else 0.0})
     return out
 
 

@@ -171,3 +171,22 @@ def test_walks_end_at_a_depth(spark):
     walked = graph.walk(roots, edges, depth=5)
     assert {r["tree"]: r["n"] for r in walked.groupBy("tree").agg(F.max("node").alias("n")).collect()} == {1: 3, 2: 5}
     assert [r["tree"] for r in graph.too_deep(walked, edges, 5).collect()] == [2]
+
+
+def test_kept_tables_are_not_broadcast(spark):
+    """What files have in common takes next to no bytes in a table, so its size is no reason to send it to all tasks."""
+    d = Documents(files(spark, **{f"f{i}": write_pdf(PAGES) for i in range(4)}))
+    plan = d.content_refs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
+def test_text_of_a_code_is_found_once(monkeypatch):
+    """Characters of a string are looked up by code, not one by one."""
+    from leafmill.sources import pdf, pdf_bytes
+    from leafmill.testing.pdfwriter import CMAP
+
+    asked, find = [], pdf_bytes.CodeMap.find
+    monkeypatch.setattr(pdf_bytes.CodeMap, "find", lambda self, width, code: asked.append(code) or find(self, width, code))
+    pdf._code_map.cache_clear()
+    got = pdf.pieces([{"s": "\0a\0b" * 5000 + "\0"}], {"cmap": CMAP, "widths": {97: 1.5}, "missing": 0.5})
+    assert got == [{"s": "ab" * 5000 + "□", "adj": None, "w": 10_000.5}] and len(asked) == 2
