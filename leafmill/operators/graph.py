@@ -44,10 +44,10 @@ def walk(roots: DataFrame, edges: DataFrame, keep: Callable[[DataFrame], DataFra
 def too_deep(walked: DataFrame, edges: DataFrame, depth: int | None = None) -> DataFrame:
     """(tree): the trees whose walk was cut because nodes at ``depth`` have children."""
     last = walked.where(F.size("path") == (DEPTH if depth is None else depth)).select("tree", F.col("node").alias("parent"))
-    return edges.join(last, ["tree", "parent"], "left_semi").select("tree").distinct()
+    return edges.join(last.hint("merge"), ["tree", "parent"], "left_semi").select("tree").distinct()
 
 
 def leaves(walked: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes without children, numbered in depth-first order within their tree (``page_index``)."""
-    ends = walked.join(edges.select("tree", F.col("parent").alias("node")).distinct(), ["tree", "node"], "left_anti")
+    ends = walked.join(edges.select("tree", F.col("parent").alias("node")).distinct().hint("merge"), ["tree", "node"], "left_anti")
     return ends.withColumn("page_index", F.row_number().over(Window.partitionBy("tree").orderBy("path")) - 1)

@@ -319,7 +319,7 @@ class Documents:
         to = self._decoded(self._cmap_streams).select(*key, F.col("data").alias("cmap"))
         identity = F.coalesce(F.startswith("encoding", F.lit("/Identity")), F.lit(False))
         error = F.when((F.col("subtype") == "Type0") & F.col("cmap").isNull(), F.when(identity, F.lit("no character map")).otherwise(F.concat(F.lit("unsupported encoding "), F.coalesce("encoding", F.lit("none")))))
-        return self.keep(f.join(to, key, "left").select(*key, "subtype", "base_font", "cmap", "codes", "widths", "missing", "space_width", error.alias("error")))
+        return self.keep(f.join(to.hint("merge"), key, "left").select(*key, "subtype", "base_font", "cmap", "codes", "widths", "missing", "space_width", error.alias("error")))
 
     @property
     def _cmap_streams(self) -> DataFrame:
@@ -357,7 +357,7 @@ class Documents:
         own = cmaps.own_encoding(F.coalesce("base_font", F.lit("")), symbolic)
         under = tables.select(F.col("name").alias("own"), F.col("table").alias("under"))
         codes = simple.select(*key, base.alias("name"), own.alias("own")).withColumn("own", F.coalesce("own", F.when(F.col("name").isNull(), "StandardEncoding")))
-        codes = codes.join(F.broadcast(tables), "name", "left").join(F.broadcast(under), "own", "left").join(changed, key, "left")
+        codes = codes.join(F.broadcast(tables), "name", "left").join(F.broadcast(under), "own", "left").join(changed.hint("merge"), key, "left")
         empty = F.create_map().cast("map<int,string>")
         over = lambda a, b: F.map_zip_with(F.coalesce(a, empty), F.coalesce(b, empty), lambda _, x, y: F.coalesce(y, x))
         codes = codes.select(*key, over(over("under", "table"), "changed").alias("codes"))
@@ -368,8 +368,8 @@ class Documents:
         cid = self._followed(cid, "w")
         spans = cmaps.expand_widths(cmaps.cid_spans(cid.select(F.struct(*key).alias("font"), "w"))).select("font.*", "cid", "width")
         spans = spans.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("cid", "width"))).alias("widths"))
-        given = given.unionByName(cid.select(*key, "missing").join(spans, key, "left"), allowMissingColumns=True)
-        out = f.join(codes, key, "left").join(given, key, "left")
+        given = given.unionByName(cid.select(*key, "missing").join(spans.hint("merge"), key, "left"), allowMissingColumns=True)
+        out = f.join(codes.hint("merge"), key, "left").join(given.hint("merge"), key, "left")
         space = F.array_min(F.filter(F.concat(F.coalesce(F.map_values("widths"), F.array().cast("array<double>")), F.array("missing")), lambda x: x != 0))
         return self.keep(out.select(*key, "subtype", "base_font", "encoding", _ref("value", "ToUnicode").alias("to_unicode"), "codes", "widths", "missing", space.alias("space_width")))
 
@@ -397,7 +397,7 @@ class Documents:
         sent once for a file and each stream once in all, however many pages use them.
         """
         font = F.struct("base_font", "codes", "widths", "missing", "space_width")
-        named = self.page_fonts.groupBy("file_id", "page_index").agg(F.map_from_entries(F.collect_list(F.struct("font_key", "font"))).alias("names"))
+        named = self.page_fonts.groupBy("file_id", "page_index").agg(F.map_from_entries(F.collect_list(F.struct("font_key", "font"))).alias("names")).hint("merge")
         contents = self._content_streams.join(named, ["file_id", "page_index"], "left")
         wanted = self._how(contents.unionByName(self._cmap_streams, allowMissingColumns=True)).where(~F.col("shut"))
         parts = [
